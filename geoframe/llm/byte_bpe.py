@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -184,7 +185,9 @@ def _load(path: str) -> tuple[Vocabulary, _Pieces]:
 
 def _runs(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about as many bytes or values each, one row at least."""
-    sizes = np.cumsum(np.diff(np.asarray(batch.column(column).offsets)).astype(np.int64))
+    values = batch.column(column)
+    lengths = (pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length)(values)
+    sizes = np.cumsum(np.asarray(lengths).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         done = int(sizes[at - 1]) if at else 0
