@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geoframe.llm import byte_bpe, license_scan
+from geoframe.llm import byte_bpe, chat_format, license_scan
 from geoframe.llm.common import table
 
 
@@ -17,6 +17,16 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op7_byte_bpe)}
+#: A conversation whose texts are control strings of another template, beside those of the table.
+STEERING = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
-ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql()}
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.createDataFrame(STEERING, "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_format.read_back(chat_format.reconstruct(chat_format.log_of(rows)))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op7_byte_bpe, op9_chat_format)}
+
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql(), "op9_chat_format": chat_format.oracle_sql(STEERING)}
