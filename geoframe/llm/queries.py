@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geoframe.llm import byte_bpe, chat_format, license_scan
+from geoframe.llm import byte_bpe, chat_format, embedding_dedup, license_scan, topk_search
 from geoframe.llm.common import table
 
 
@@ -13,6 +13,15 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(license_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk_search.quantized(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk_search.search(rows.where("id % 100 = 0"), rows)
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -27,6 +36,6 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.reconstruct(chat_format.log_of(rows)))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op7_byte_bpe, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_topk_search, op6_embedding_dedup, op7_byte_bpe, op9_chat_format)}
 
-ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql(), "op9_chat_format": chat_format.oracle_sql(STEERING)}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql(), "op2_topk_search": topk_search.oracle_sql(), "op6_embedding_dedup": embedding_dedup.oracle_sql(), "op9_chat_format": chat_format.oracle_sql(STEERING)}
