@@ -26,7 +26,7 @@ from geoframe.llm.components import components
 from geoframe.llm.vectors import lists, matrix
 
 #: Tables, buckets that a vector is put into in each, rows of a bucket aimed at, and rows of a block.
-TABLES, PROBES, BUCKET_ROWS, BLOCK_ROWS, SEED = 8, 3, 512, 2048, 20240229
+TABLES, PROBES, BUCKET_ROWS, BLOCK_ROWS, SEED = 8, 2, 512, 2048, 20240229
 
 
 def hashes_for(rows: int, width: int) -> int:
@@ -110,13 +110,13 @@ def links(classes: DataFrame, hashes: int, least: float) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 v = matrix(b.column(2))
-                v /= np.linalg.norm(v, axis=1, keepdims=True)
+                v = v / np.linalg.norm(v, axis=1, keepdims=True)
                 for s in range(0, len(v), 4096):
                     part = b.slice(s, 4096)
                     codes = buckets(v[s : s + 4096], hashes)
                     yield pa.RecordBatch.from_arrays([*part.columns, lists(codes.reshape(part.num_rows, -1), pa.int64())], names=["label", "id", "v", "copies", "codes"])
 
-    rows = classes.select("label", "id", "v", "copies").mapInArrow(hashed, "label string, id long, v array<double>, copies long, codes array<long>")
+    rows = classes.select("label", "id", "v", "copies").mapInArrow(hashed, f"label string, id long, v {classes.schema['v'].dataType.simpleString()}, copies long, codes array<long>")
     rows = written(rows, "embedding-codes")
     posted = rows.select("*", F.posexplode(F.array_distinct(F.transform("codes", lambda c, i: F.struct((i / PROBES).cast("int").alias("table"), c.alias("bucket"))))).alias("k", "b"))
     posted = posted.select("label", F.col("b.table").alias("table"), F.col("b.bucket").alias("bucket"), "id", "v", "copies", "codes")
@@ -169,8 +169,8 @@ def links(classes: DataFrame, hashes: int, least: float) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98) -> DataFrame:
     """id_col, n_links, component_id, kept: a row for each row of df."""
-    x = F.col("v")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    x, kind = F.col("v"), "float" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & F.exists(x, lambda c: c != 0)
     rows = rows.withColumn("fine", F.coalesce((F.size("v") > 0) & fine & F.col("label").isNotNull() & F.col("id").isNotNull(), F.lit(False)))
     # The length is part of the label: only vectors of one length can be compared.
