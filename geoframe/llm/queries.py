@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geoframe.llm import byte_bpe, chat_format, embedding_dedup, license_scan, topk_search
+from geoframe.llm import byte_bpe, chat_format, embedding_dedup, language_id, license_scan, topk_search
 from geoframe.llm.common import table
 
 
@@ -18,6 +18,12 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(rows.where("id % 100 = 0"), rows)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    told = language_id.predict(docs, language_id.fit(docs))
+    return told.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -36,6 +42,6 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.reconstruct(chat_format.log_of(rows)))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_topk_search, op6_embedding_dedup, op7_byte_bpe, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_topk_search, op5_language_id, op6_embedding_dedup, op7_byte_bpe, op9_chat_format)}
 
 ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql(), "op2_topk_search": topk_search.oracle_sql(), "op6_embedding_dedup": embedding_dedup.oracle_sql(), "op9_chat_format": chat_format.oracle_sql(STEERING)}
