@@ -111,7 +111,7 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
 
 def temperature(logits: np.ndarray, truth: np.ndarray) -> float:
     """Of a grid, the one under which held-back labels are likeliest."""
-    grid = np.geomspace(0.1, 20, 60)
+    grid = np.geomspace(0.5, 20, 60)
     return float(min(grid, key=lambda t: -_log_softmax(logits / t)[np.arange(len(truth)), truth].mean()))
 
 
