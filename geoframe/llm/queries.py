@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoframe.llm import byte_bpe, chat_format, embedding_dedup, language_id, license_scan, quality, topk_search
+from geoframe.llm import byte_bpe, chat_format, embedding_dedup, language_id, license_scan, quality, source_mix, topk_search
 from geoframe.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(rows.where("id % 100 = 0"), rows)
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
+    return source_mix.mix(docs)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     told = language_id.predict(docs, language_id.fit(docs))
@@ -49,6 +54,6 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.reconstruct(chat_format.log_of(rows)))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_topk_search, op5_language_id, op6_embedding_dedup, op7_byte_bpe, op8_quality, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_topk_search, op4_source_mix, op5_language_id, op6_embedding_dedup, op7_byte_bpe, op8_quality, op9_chat_format)}
 
-ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql(), "op2_topk_search": topk_search.oracle_sql(), "op6_embedding_dedup": embedding_dedup.oracle_sql(), "op9_chat_format": chat_format.oracle_sql(STEERING)}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql(), "op2_topk_search": topk_search.oracle_sql(), "op4_source_mix": source_mix.oracle_sql(), "op6_embedding_dedup": embedding_dedup.oracle_sql(), "op9_chat_format": chat_format.oracle_sql(STEERING)}
