@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoframe.llm import byte_bpe, chat_format, embedding_dedup, language_id, license_scan, pii, quality, source_mix, topk_search
+from geoframe.llm import byte_bpe, chat_format, embedding_dedup, language_id, license_scan, ngram_join, pii, quality, source_mix, topk_search
 from geoframe.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(rows.where("id % 100 = 0"), rows)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
     return source_mix.mix(docs)
@@ -58,6 +62,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_topk_search, op4_source_mix, op5_language_id, op6_embedding_dedup, op7_byte_bpe, op8_quality, op9_chat_format, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_topk_search, op3_ngram_join, op4_source_mix, op5_language_id, op6_embedding_dedup, op7_byte_bpe, op8_quality, op9_chat_format, op10_pii)}
 
-ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql(), "op2_topk_search": topk_search.oracle_sql(), "op4_source_mix": source_mix.oracle_sql(), "op6_embedding_dedup": embedding_dedup.oracle_sql(), "op9_chat_format": chat_format.oracle_sql(STEERING)}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql(), "op2_topk_search": topk_search.oracle_sql(), "op3_ngram_join": ngram_join.oracle_sql(), "op4_source_mix": source_mix.oracle_sql(), "op6_embedding_dedup": embedding_dedup.oracle_sql(), "op9_chat_format": chat_format.oracle_sql(STEERING)}
