@@ -198,7 +198,7 @@ def _runs(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and ids array<int>, a row for each row of df: every match of pattern in the whole text encoded by itself."""
-    id_type = df.schema[id_col].dataType.simpleString()
+    id_type = df.schema[id_col].dataType.simpleString()  # a struct of columns may stand for the id
 
     def run(batches):
         _, pieces = _load(path)

@@ -222,3 +222,19 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {id_type}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
+
+
+def kept(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of df that are not rejected, with all their columns."""
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+            stay = np.zeros(len(texts), bool)
+            fine = [i for i, t in enumerate(texts) if has_letter(t)] if model.languages else []
+            if fine:
+                p = np.exp(_log_softmax(scores([texts[i] for i in fine], model) / model.temperature))
+                stay[fine] = p.max(1) >= model.threshold
+            yield b.filter(pa.array(stay))
+
+    return df.mapInArrow(run, df.schema)

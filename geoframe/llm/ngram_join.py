@@ -234,8 +234,8 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("token", "u", "v").applyInPandas(compare, "a long, b long")
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """id_col, n_shingles and component_id (the smallest id in reach), a row for each row of df."""
+def linked(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """id, n, node (of equal sets), root (of a class) and low (the smallest id of the class), a row for each row of df; root is null without shingles."""
     rows = written(prepared(df, id_col, text_col, width, percent), "join-rows")
     full = rows.where("n > 0")
     groups = full.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
@@ -269,16 +269,46 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     near = near.select("a", "b", F.size("xa").alias("na"), F.size("xb").alias("nb"), F.size(F.array_intersect("xa", "xb")).alias("k"))
     links = near.where(100 * F.col("k") >= percent * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b")
     blocks = block_links(large.join(sets_of.select(F.col("node").alias("a"), "x"), "a"), percent)
-    linked = components(links.unionByName(blocks))
+    found = components(links.unionByName(blocks))
     delete_written(met, inside, pairs, large, sets_of)
-    root = nodes.select("node", "id").join(linked.select(F.col("id").alias("node"), "component"), "node", "left").select("node", "id", F.coalesce("component", "node").alias("root"))
+    root = nodes.select("node", "id").join(found.select(F.col("id").alias("node"), "component"), "node", "left").select("node", "id", F.coalesce("component", "node").alias("root"))
     root = written(root, "join-roots")
     low = root.groupBy("root").agg(F.min("id").alias("low"))
-    told = root.select("node", "root").join(low, "root").groupBy("node").agg(F.min("low").alias("low"))
-    out = full.select("id", "n", "node").join(told, "node", "left").select("id", "n", "low").unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("low")))
+    out = full.select("id", "n", "node").join(root.select("node", "root").join(low, "root"), "node", "left").select("id", "n", "node", "root", "low")
+    return out.unionByName(rows.where("n = 0").select("id", "n", "node", F.lit(None).cast("long").alias("root"), F.col("id").alias("low")))
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """id_col, n_shingles and component_id (the smallest id in reach), a row for each row of df."""
+    out = linked(df, id_col, text_col, width, percent)
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("low").alias("component_id"))
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """df with one row of each class: that of the smallest id. Rows without shingles are no copies of anything and all stay; of
+    rows of one class under its smallest id (repeated rows, say) one stays."""
+    told = written(linked(df, id_col, text_col, width, percent), "join-told")
+    stays = F.col("root").isNull() | F.col("id").eqNullSafe(F.col("low"))
+    per = told.groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("__rows"), F.max(stays.cast("int")).alias("__stays"))
+    out = df.join(per.where("__rows > 1 OR __stays = 0"), F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    plain = out.where("__rows IS NULL").select(*df.columns)
+    if per.where("__rows > 1").isEmpty():
+        return plain
+    # Several rows under one id: which class a row is of has to be told by its set.
+    again = out.where("__rows > 1").select(F.struct(*df.columns).alias("row"), F.col(text_col).alias("text"))
+
+    def sets(batches):
+        for b in batches:
+            node = np.array([xxhash.xxh3_64_intdigest(shingles(t, width).tobytes(), 1) for t in b.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), _signed(node)], names=["row", "mark"])
+
+    marked = again.mapInArrow(sets, f"row {again.schema['row'].dataType.simpleString()}, mark long")
+    right = told.where(stays).select("id", F.col("node").alias("mark"), "root").distinct()
+    held = marked.join(right, (F.col(f"row.{id_col}").eqNullSafe(F.col("id"))) & (marked["mark"] == right["mark"]))
+    one = held.where("root IS NOT NULL").dropDuplicates(["id", "root"]).unionByName(held.where("root IS NULL"))
+    return plain.unionByName(one.select("row.*"))
+
+
 def oracle_sql(width: int = 5, percent: int = 80) -> str:
     """DuckDB SQL that counts shared shingles of all pairs that share one, and walks the links."""
     return rf"""
