@@ -6,8 +6,8 @@ not known to be frequent, then frequent ones by how frequent they are (in powers
 What is frequent is counted over all texts, and only guides the order: links are exact whatever is in that list, so it may be bounded.
 
 Documents with equal sets are one node; nodes with equal prefixes and sizes are one group.  The prefixes of the groups are
-joined on their shingles; pairs of groups are filtered by size and by the place of the shared shingle in either prefix; what is
-left is expanded to pairs of members, and these are verified on their whole sets.  A shingle in more than SMALL groups makes no
+joined on their shingles; pairs of groups are filtered by size, by the place of the shared shingle in either prefix, and by how much
+the whole prefixes share; what is left is expanded to pairs of members, and these are verified on their whole sets.  A shingle in more than SMALL groups makes no
 pairs: its members are dealt to blocks, blocks are compared as matrices, and a block returns a spanning part of
 its links only.  Components of the links are the classes.
 
@@ -30,7 +30,9 @@ from geoframe.llm.shingles import shingles
 
 #: Groups of a shingle that still make pairs, rows of a block, shingles counted at a time, repeats that are told among them, and
 #: how often a shingle must be told to be frequent, and how many such are kept (16 MB of them).
-SMALL, BLOCK, COUNTED, TOLD, FREQUENT, MOST_FREQUENT = 64, 768, 4_000_000, 3, 24, 1 << 20
+SMALL, BLOCK, COUNTED, TOLD, FREQUENT, MOST_FREQUENT = 64, 768, 4_000_000, 2, 4, 1 << 20
+#: Bits of the map that tells a scan which rows may be wanted; more wanted rows let more others through, and nothing else.
+BITS = 1 << 26
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -234,6 +236,24 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("token", "u", "v").applyInPandas(compare, "a long, b long")
 
 
+def let_through(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key is in wanted, and some others, without a shuffle: by a map of BITS bits, made on the executors, of which at
+    most BITS / 64 numbers come together, however many keys are wanted."""
+    spot = F.pmod(F.xxhash64(key), F.lit(BITS))
+    words = wanted.select(spot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("m")).toPandas()
+    bits = np.zeros(BITS // 64 if len(words) else 1, np.int64)
+    bits[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
+    bits, size, names = bits.view(np.uint8), BITS if len(words) else 64, rows.columns
+
+    def run(batches):
+        for b in batches:
+            at = b.column(b.num_columns - 1).to_numpy() % size
+            hit = pa.array(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], names=names).filter(hit)
+
+    return rows.withColumn("__spot", spot).mapInArrow(run, rows.schema)
+
+
 def linked(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """id, n, node (of equal sets), root (of a class) and low (the smallest id of the class), a row for each row of df; root is null without shingles."""
     rows = written(prepared(df, id_col, text_col, width, percent), "join-rows")
@@ -245,32 +265,39 @@ def linked(df: DataFrame, id_col: str, text_col: str, width: int, percent: int)
     # Groups of several nodes are met inside, too: there the whole prefix is shared.
     several = nodes.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
     inside = written(candidates(nodes.join(several, "grp").select(F.col("grp").alias("token"), F.col("node").alias("item"), "n", F.lit(0).alias("p")), percent), "join-inside")
+    # x has at most n - alpha shingles that y has not. If x's prefix ends first, the others in it are all in y's prefix.
+    close = written(met.where("b IS NOT NULL").select("a", "b").distinct(), "join-met-pairs")
+    some = let_through(full.select("grp", "n", "prefix"), "grp", close.select(F.explode(F.array("a", "b")).alias("grp")))
+    some = some.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    ends = [some.select(F.col("grp").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(f"p{c}")) for c in "ab"]
+    close = close.join(ends[0], "a").join(ends[1], "b")
+    close = close.withColumn("alpha", F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent)))
+    least = F.least(F.size("pa") - F.col("na"), F.size("pb") - F.col("nb")) + F.col("alpha")
+    close = written(close.where(F.size(F.array_intersect("pa", "pb")) >= least).select("a", "b"), "join-close")
     left, right = nodes.select(F.col("grp").alias("a"), F.col("node").alias("x")), nodes.select(F.col("grp").alias("b"), F.col("node").alias("y"))
-    pairs = met.where("b IS NOT NULL").select("a", "b").distinct().join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = close.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     pairs = written(pairs.unionByName(inside.where("b IS NOT NULL").select("a", "b")).distinct(), "join-pairs")
     large = met.where("b IS NULL").select(F.col("a").alias("grp"), "token", "n", "p", "block").join(nodes.select("grp", "node"), "grp").select("token", F.col("node").alias("a"), "n", "p", "block")
     large = written(large.unionByName(inside.where("b IS NULL").select("token", "a", "n", "p", "block")), "join-large")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select(F.col("a").alias("node"))).distinct()
-    needed = needed.join(nodes.select("node", "id"), "node").select("node", "id")
+    needed = written(needed.join(nodes.select("node", "id"), "node").select("node", "id"), "join-needed")
 
     def sets(batches):
         for whole in batches:
             for s in range(0, whole.num_rows, 256):
-                b = whole.slice(s, 256)
-                found = [shingles(t, width) for t in b.column(1).to_pylist()]
+                found = [shingles(t, width) for t in whole.slice(s, 256).column(1).to_pylist()]
                 node = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), 1) for x in found], np.uint64)
-                yield pa.RecordBatch.from_arrays([b.column(0), _signed(node), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["want", "node", "x"])
+                yield pa.RecordBatch.from_arrays([_signed(node), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["node", "x"])
 
-    # One text for each node: the row of its smallest id (ids that repeat bring other nodes along, which go again).
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(needed, "id").select("node", "text")
-    sets_of = texts.mapInArrow(sets, "want long, node long, x array<long>").where("want = node").dropDuplicates(["node"]).select("node", "x")
-    sets_of = written(sets_of, "join-sets")
+    # One text for each node: the row of its smallest id (other rows that the map lets through go again).
+    texts = let_through(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", needed)
+    sets_of = written(texts.mapInArrow(sets, "node long, x array<long>").join(needed, "node", "left_semi"), "join-sets")
     near = pairs.join(sets_of.select(F.col("node").alias("a"), F.col("x").alias("xa")), "a").join(sets_of.select(F.col("node").alias("b"), F.col("x").alias("xb")), "b")
     near = near.select("a", "b", F.size("xa").alias("na"), F.size("xb").alias("nb"), F.size(F.array_intersect("xa", "xb")).alias("k"))
     links = near.where(100 * F.col("k") >= percent * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b")
     blocks = block_links(large.join(sets_of.select(F.col("node").alias("a"), "x"), "a"), percent)
     found = components(links.unionByName(blocks))
-    delete_written(met, inside, pairs, large, sets_of)
+    delete_written(met, inside, close, pairs, large, needed, sets_of)
     root = nodes.select("node", "id").join(found.select(F.col("id").alias("node"), "component"), "node", "left").select("node", "id", F.coalesce("component", "node").alias("root"))
     root = written(root, "join-roots")
     low = root.groupBy("root").agg(F.min("id").alias("low"))
