@@ -29,8 +29,8 @@ from geoframe.llm.components import components
 from geoframe.llm.shingles import shingles
 
 #: Groups of a shingle that still make pairs, rows of a block, shingles counted at a time, repeats that are told among them, and
-#: how often a shingle must be told to be frequent, and how many such are kept (16 MB of them).
-SMALL, BLOCK, COUNTED, TOLD, FREQUENT, MOST_FREQUENT = 64, 768, 4_000_000, 2, 4, 1 << 20
+#: how often a shingle must be told to be frequent, and how many such are kept (5 MB of them). Counted are the upper halves of the hashes.
+SMALL, BLOCK, COUNTED, TOLD, FREQUENT, MOST_FREQUENT = 64, 768, 3_000_000, 2, 4, 1 << 20
 #: Bits of the map that tells a scan which rows may be wanted; more wanted rows let more others through, and nothing else.
 BITS = 1 << 26
 
@@ -39,6 +39,10 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _half(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(32)).astype(np.uint32)
+
+
 def frequent(df: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles told to be frequent, sorted, and the power of two of their count. Each task counts COUNTED shingles of different
     texts at a time and tells those that repeat."""
@@ -47,27 +51,31 @@ def frequent(df: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.n
         held, size, seen = [], 0, set()
 
         def flush():
-            x, n = np.unique(np.concatenate(held), return_counts=True)
+            x = np.concatenate(held)
+            x.sort()
+            start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+            n = np.diff(np.r_[start, len(x)])
             often = n >= TOLD
-            return pa.RecordBatch.from_arrays([_signed(x[often]), pa.array(n[often])], names=["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(x[start[often]].astype(np.int64)), pa.array(n[often])], names=["token", "n"])
 
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                x = shingles(text, width)
-                key = xxhash.xxh3_128_digest(x)
-                if len(x) and key not in seen:
-                    seen.add(key)
-                    held.append(x)
-                    size += len(x)
-                if size >= COUNTED:
-                    yield flush()
-                    held, size, seen = [], 0, set()
+        for whole in batches:
+            for s in range(0, whole.num_rows, 512):
+                for text in whole.slice(s, 512).column(0).to_pylist():
+                    x = shingles(text, width)
+                    key = xxhash.xxh3_64_intdigest(x)
+                    if len(x) and key not in seen:
+                        seen.add(key)
+                        held.append(_half(x))
+                        size += len(x)
+                    if size >= COUNTED:
+                        yield flush()
+                        held, size, seen = [], 0, set()
         if held:
             yield flush()
 
     told = df.select(text_col).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     most = told.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
-    tokens = most["token"].to_numpy(np.int64).view(np.uint64)
+    tokens = most["token"].to_numpy(np.int64).astype(np.uint32)
     order = np.argsort(tokens)
     return tokens[order], np.log2(np.maximum(1, most["n"].to_numpy(np.float64)[order])).astype(np.uint8)
 
@@ -77,8 +85,9 @@ def prefix(x: np.ndarray, known: np.ndarray, power: np.ndarray, percent: int) ->
     n = len(x)
     size = n - -(-percent * n // 100) + 1
     if len(known):
-        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-        rank = np.where(known[at] == x, power[at], 0)
+        half = _half(x)
+        at = np.minimum(np.searchsorted(known, half), len(known) - 1)
+        rank = np.where(known[at] == half, power[at], 0)
         if rank.any():
             return x[np.argsort(rank, kind="stable")[:size]]
     return x[:size]
