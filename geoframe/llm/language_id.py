@@ -2,8 +2,8 @@
 
 A text's subwords are the runs of 2 to 4 bytes inside its lower-cased words, word borders included; each is hashed to a row of
 an embedding matrix, the rows are averaged, and a linear softmax tells the language.  The model is trained by stochastic
-gradient descent in numpy on a bounded sample: at most ROWS_PER_LANGUAGE labelled rows for each of the MAX_LANGUAGES most
-frequent languages, each row whole and in a few excerpts so that short texts are learnt too.  A part of the sample is kept
+gradient descent in numpy on a bounded sample: ROWS_PER_LANGUAGE labelled rows (as a hash takes them) for each of the MAX_LANGUAGES
+most frequent languages, each row whole and in a few excerpts so that short texts are learnt too.  A part of the sample is kept
 back: on it a temperature is fitted, and then the threshold of rejection, the least confidence such that of the rows
 kept at most REJECT_ERROR are wrong; it never falls below FLOOR times the confidence of a blind guess.
 
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The sample's bounds, the model's size and the rule of rejection.
-ROWS_PER_LANGUAGE, MAX_LANGUAGES, HASHES, WIDTH, EPOCHS, REJECT_ERROR, FLOOR, SEED = 800, 200, 1 << 15, 16, 4, 0.02, 1.2, 7
+ROWS_PER_LANGUAGE, MAX_LANGUAGES, HASHES, WIDTH, EPOCHS, REJECT_ERROR, FLOOR, SEED = 400, 200, 1 << 15, 16, 6, 0.02, 1.2, 7
 _WORD = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 SLICE = 1 << 20
 
@@ -101,7 +101,7 @@ def _sample(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
                         place.append(at * 4 + k)
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(which, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32())), pa.array(place, pa.int64())], names=["lang", "which", "n", "place"])
 
-    return taken.select("lang", "text", "place").mapInArrow(run, "lang string, which array<int>, n array<int>, place long").orderBy("place", "lang").limit(4 * 2 * ROWS_PER_LANGUAGE * MAX_LANGUAGES)
+    return taken.select("lang", "text", "place").mapInArrow(run, "lang string, which array<int>, n array<int>, place long")
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -116,15 +116,16 @@ def temperature(logits: np.ndarray, truth: np.ndarray) -> float:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    sample = _sample(df, id_col, text_col, lang_col).toPandas()
+    sample = _sample(df, id_col, text_col, lang_col).toPandas().sort_values(["place", "lang"], kind="stable", ignore_index=True)
     languages = sorted(sample["lang"].unique())
     if not languages:
         return Model([], np.zeros((HASHES, 0), np.float32), np.zeros(0), 1.0, 1.0)
     truth = np.searchsorted(languages, sample["lang"])
     which = [np.asarray(x) for x in sample["which"]]
-    share = [np.asarray(x) / np.sum(x) for x in sample["n"]]
-    rng = np.random.default_rng(SEED)
+    share = [(np.asarray(x) / np.sum(x)).astype(np.float32) for x in sample["n"]]
     place = sample["place"].to_numpy()
+    del sample
+    rng = np.random.default_rng(SEED)
     back = (place // 4) % 5 == 0
     train, back = np.flatnonzero(~back), back & (place % 4 == 0)
     if not len(train) or not back.any():
