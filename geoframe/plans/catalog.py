@@ -1,10 +1,693 @@
-"""Named queries over the test tables, each with its SQL."""
+"""Named queries over the test tables, one for each operator, each with its SQL. Doubles are rounded, as sums are taken in another order."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geoframe.functions import geometry as G
+from geoframe.operators import classify, overlay, query, raster, rastervec, spatial
+from geoframe.operators.table import FeatureFrame
+from geoframe.plans import fixtures as X
+from geoframe.plans.fixtures import cte
+from geoframe.types import FID, GEOM, Grid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def registered(sql: str | None = None):
+    """The function under its own name, with SQL for the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
+def _cells(r: raster.RasterFrame, digits: int = 6) -> DataFrame:
+    return r.df.select("col", "row", (F.round("value", digits) + F.lit(0.0)).alias("value"))
+
+
+# Tables
+
+@registered("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 5000 AND c_mktsegment = 'BUILDING'")
+def select_filter(s, sf):
+    return X.customers(s, sf).select("c_acctbal > 5000 and c_mktsegment == 'BUILDING'").df.select("c_custkey", "c_name", "c_acctbal")
+
+
+@registered("SELECT c_custkey FROM customer WHERE NOT (c_acctbal > 0)")
+def exclude_filter(s, sf):
+    return X.customers(s, sf).exclude("c_acctbal > 0").df.select("c_custkey")
+
+
+@registered("SELECT p_partkey, round(p_retailprice * 1.2 + p_size, 6) AS gross FROM part")
+def compute_expr(s, sf):
+    return X.parts(s, sf).compute("gross", "p_retailprice * 1.2 + p_size").df.select("p_partkey", r6("gross").alias("gross"))
+
+
+@registered("SELECT c_custkey, round(avg(c_acctbal) OVER (PARTITION BY c_nationkey), 6) AS nation_mean FROM customer")
+def compute_by_group(s, sf):
+    return X.customers(s, sf).compute("nation_mean", "c_acctbal", by="c_nationkey", stat="mean").df.select("c_custkey", r6("nation_mean").alias("nation_mean"))
+
+
+@registered("SELECT p_partkey, p_name AS label, CAST(NULL AS VARCHAR) AS note, CAST(p_size AS DOUBLE) AS p_size FROM part")
+def fields_edit(s, sf):
+    return X.parts(s, sf).keep_fields("p_partkey", "p_name", "p_size").rename_field("p_name", "label").add_field("note", 1).convert_field("p_size", "double").df.select("p_partkey", "label", "note", "p_size")
+
+
+@registered("SELECT r_regionkey, r_name FROM region UNION ALL SELECT 99, 'NOWHERE'")
+def add_feature(s, sf):
+    return FeatureFrame(X.table(s, sf, "region").withColumn(FID, F.col("r_regionkey").cast("long"))).add_feature({"r_regionkey": 99, "r_name": "NOWHERE"}).df.select("r_regionkey", "r_name")
+
+
+@registered("SELECT event_id, round(avg(value) OVER (ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS mean5 FROM events")
+def moving_window_mean(s, sf):
+    return X.events(s, sf).moving_window(5, [("mean5", "value", "mean")]).df.select("event_id", r6("mean5").alias("mean5"))
+
+
+@registered("SELECT event_id, round(sum(value) OVER w, 6) AS sum3, max(value) OVER w AS max3, first(event_type) OVER w AS first3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
+def moving_window_grouped(s, sf):
+    return X.events(s, sf).moving_window(3, [("sum3", "value", "sum"), ("max3", "value", "max"), ("first3", "event_type", "first")], groupby="user_id").df.select("event_id", r6("sum3").alias("sum3"), "max3", "first3")
+
+
+@registered("SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS place, c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20")
+def sort_limit(s, sf):
+    return X.customers(s, sf).sort("c_acctbal", reverse=True).limit(20).df.select(F.col(FID).alias("place"), "c_custkey")
+
+
+@registered("SELECT c_mktsegment AS value, count(*) AS frequency, round(100.0 * count(*) / (SELECT count(*) FROM customer), 6) AS percent FROM customer GROUP BY 1")
+def tab_frequency(s, sf):
+    return X.customers(s, sf).tab("c_mktsegment").select("value", "frequency", r6("percent").alias("percent"))
+
+
+@registered("SELECT 'c_acctbal' AS field, 'float' AS type, count(c_acctbal) AS valid, count(*) - count(c_acctbal) AS missing FROM customer UNION ALL SELECT 'c_name', 'text', count(c_name), count(*) - count(c_name) FROM customer UNION ALL SELECT 'c_nationkey', 'int', count(c_nationkey), count(*) - count(c_nationkey) FROM customer")
+def describe_fields(s, sf):
+    return X.customers(s, sf).keep_fields("c_acctbal", "c_name", "c_nationkey").describe().select("field", "type", "valid", "missing")
+
+
+@registered("SELECT 'c_acctbal' AS field, count(c_acctbal) AS obs, min(c_acctbal) AS min, max(c_acctbal) AS max, round(avg(c_acctbal), 6) AS mean FROM customer UNION ALL SELECT 'c_name', 0, NULL, NULL, NULL")
+def field_summary(s, sf):
+    return X.customers(s, sf).summarystats("c_acctbal", "c_name").select("field", "obs", "min", "max", r6("mean").alias("mean"))
+
+
+@registered("SELECT DISTINCT p_brand FROM part")
+def field_values(s, sf):
+    return X.parts(s, sf).field_values("p_brand")
+
+
+@registered("SELECT c_nationkey, count(c_acctbal) AS n, round(sum(c_acctbal), 4) AS total, min(c_acctbal) AS least, max(c_acctbal) AS most, round(avg(c_acctbal), 6) AS mean FROM customer GROUP BY 1")
+def aggregate_stats(s, sf):
+    out = X.customers(s, sf).aggregate(["c_nationkey"], [("n", "c_acctbal", "count"), ("total", "c_acctbal", "sum"), ("least", "c_acctbal", "min"), ("most", "c_acctbal", "max"), ("mean", "c_acctbal", "mean")])
+    return out.df.select("c_nationkey", "n", F.round("total", 4).alias("total"), "least", "most", r6("mean").alias("mean"))
+
+
+@registered("SELECT c_nationkey, arg_min(c_name, c_custkey) AS first_name, arg_max(c_name, c_custkey) AS last_name FROM customer GROUP BY 1")
+def aggregate_first_last(s, sf):
+    return X.customers(s, sf).aggregate(["c_nationkey"], [("first_name", "c_name", "first"), ("last_name", "c_name", "last")]).df.select("c_nationkey", "first_name", "last_name")
+
+
+@registered("SELECT c_nationkey, arg_min(c_mktsegment, (-n, c_mktsegment)) AS usual FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2) GROUP BY 1")
+def aggregate_majority(s, sf):
+    return X.customers(s, sf).aggregate(["c_nationkey"], [("usual", "c_mktsegment", "majority")]).df.select("c_nationkey", "usual")
+
+
+@registered("SELECT c_nationkey, arg_min(c_mktsegment, (n, c_mktsegment)) AS rare FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2) GROUP BY 1")
+def aggregate_minority(s, sf):
+    return X.customers(s, sf).aggregate(["c_nationkey"], [("rare", "c_mktsegment", "minority")]).df.select("c_nationkey", "rare")
+
+
+@registered("SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")
+def aggregate_concat(s, sf):
+    return X.zones(s, sf).aggregate(["n_regionkey"], [("names", "n_name", "|concat")]).df.select("n_regionkey", "names")
+
+
+@registered("SELECT c_nationkey, round(median(c_acctbal), 6) AS median, round(stddev_pop(c_acctbal), 6) AS stdev FROM customer GROUP BY 1")
+def aggregate_spread(s, sf):
+    return X.customers(s, sf).aggregate(["c_nationkey"], [("median", "c_acctbal", "median"), ("stdev", "c_acctbal", "stdev")]).df.select("c_nationkey", r6("median").alias("median"), r6("stdev").alias("stdev"))
+
+
+@registered("SELECT nullif(count(CASE WHEN c_acctbal > 9000 THEN 1 END), 0) AS n, max(CASE WHEN c_acctbal > 9000 THEN c_acctbal END) AS most FROM customer GROUP BY c_custkey % 40")
+def query_where_in_group(s, sf):
+    return query.query(X.customers(s, sf), [("n", None, "count"), ("most", "c_acctbal", "max")], where="c_acctbal > 9000", groupby=F.col("c_custkey") % 40)
+
+
+@registered("SELECT c_nationkey AS nation, round(sum(c_acctbal), 4) AS total FROM customer WHERE c_nationkey IN (SELECT DISTINCT c_nationkey FROM customer ORDER BY 1 LIMIT 7) GROUP BY 1")
+def query_group_limit(s, sf):
+    out = query.query(X.customers(s, sf), [("nation", "c_nationkey", "first"), ("total", "c_acctbal", "sum")], groupby="c_nationkey", limit=7)
+    return out.select("nation", F.round("total", 4).alias("total"))
+
+
+@registered("SELECT c_custkey, c_acctbal * 2 AS twice FROM customer WHERE c_acctbal < 100 ORDER BY c_custkey LIMIT 10")
+def query_flat(s, sf):
+    return query.query(X.customers(s, sf), [("c_custkey", "c_custkey"), ("twice", "c_acctbal * 2")], where="c_acctbal < 100", limit=10)
+
+
+@registered("SELECT s_suppkey, n_name FROM supplier, nation WHERE s_nationkey = n_nationkey")
+def query_product(s, sf):
+    both = query.product([("a", X.suppliers(s, sf)), ("b", X.zones(s, sf))])
+    return query.query(both, [("s_suppkey", F.col("s_suppkey")), ("n_name", F.col("n_name"))], where=F.col("s_nationkey") == F.col("n_nationkey"))
+
+
+@registered("SELECT c_custkey, n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) n ON c_nationkey = n_nationkey")
+def join_left(s, sf):
+    return X.customers(s, sf).join(X.zones(s, sf).select("n_regionkey < 3"), ("c_nationkey", F.col("n_nationkey"))).df.select("c_custkey", "n_name")
+
+
+@registered("SELECT c_custkey, n_name FROM customer JOIN (SELECT * FROM nation WHERE n_regionkey < 3) n ON c_nationkey = n_nationkey")
+def join_inner(s, sf):
+    return X.customers(s, sf).join(X.zones(s, sf).select("n_regionkey < 3"), ("c_nationkey", F.col("n_nationkey")), keepall=False).df.select("c_custkey", "n_name")
+
+
+@registered("SELECT n_nationkey, n, first_supplier FROM nation LEFT JOIN (SELECT s_nationkey, count(s_suppkey) AS n, arg_min(s_name, s_suppkey) AS first_supplier FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey")
+def join_collapse(s, sf):
+    out = X.zones(s, sf).join(X.suppliers(s, sf), ("n_nationkey", F.col("s_nationkey")), collapse=True, mapping=[("n", "s_suppkey", "count"), ("first_supplier", "s_name", "first")])
+    return out.df.select("n_nationkey", "n", "first_supplier")
+
+
+@registered("SELECT a.k AS k, a.c_custkey, b.p_partkey FROM (SELECT nullif(c_custkey % 7, 0) AS k, c_custkey FROM customer WHERE c_custkey < 60) a JOIN (SELECT nullif(p_partkey % 7, 0) AS k, p_partkey FROM part WHERE p_partkey < 60) b ON a.k IS NOT DISTINCT FROM b.k")
+def join_nullsafe(s, sf):
+    a = X.customers(s, sf).select("c_custkey < 60").compute("k", F.nullif(F.col("c_custkey") % 7, F.lit(0)))
+    b = X.parts(s, sf).select("p_partkey < 60").compute("k", F.nullif(F.col("p_partkey") % 7, F.lit(0)))
+    return a.join(b, "k", keepall=False).df.select("k", "c_custkey", "p_partkey")
+
+
+@registered("SELECT s_suppkey, s_name, s_acctbal, '' AS n_name FROM supplier UNION ALL SELECT NULL, '', NULL, n_name FROM nation")
+def merge_union(s, sf):
+    return X.suppliers(s, sf).keep_fields("s_suppkey", "s_name", "s_acctbal").merge(X.zones(s, sf).keep_fields("n_name")).df.select("s_suppkey", "s_name", "s_acctbal", "n_name")
+
+
+@registered(cte("cus") + "SELECT x, y, count(*) AS n, round(sum(c_acctbal), 4) AS total FROM cus GROUP BY 1, 2")
+def duplicates_geom(s, sf):
+    out = X.customers(s, sf).duplicates(mapping=[("n", None, "count"), ("total", "c_acctbal", "sum")]).df
+    return out.select(G.x(F.col(GEOM)).alias("x"), G.y(F.col(GEOM)).alias("y"), "n", F.round("total", 4).alias("total"))
+
+
+@registered("SELECT c_mktsegment AS part, count(*) AS n FROM customer GROUP BY 1")
+def split_unique(s, sf):
+    return X.customers(s, sf).split("c_mktsegment").df.groupBy("part").agg(F.count("*").alias("n"))
+
+
+@registered("SELECT CASE WHEN c_acctbal >= 0 AND c_acctbal < 2500 THEN 0 WHEN c_acctbal >= 2500 AND c_acctbal < 5000 THEN 1 WHEN c_acctbal >= 5000 AND c_acctbal <= 9000 THEN 2 END AS part, count(*) AS n FROM customer WHERE c_acctbal BETWEEN 0 AND 9000 GROUP BY 1")
+def split_breaks(s, sf):
+    return X.customers(s, sf).split("c_acctbal", [0, 2500, 5000, 9000]).df.groupBy("part").agg(F.count("*").alias("n"))
+
+
+@registered("WITH e AS (SELECT min(c_acctbal) AS a, max(c_acctbal) AS b FROM customer), c AS (SELECT CAST(least(7, floor((c_acctbal - a) / ((b - a) / 8))) AS INTEGER) AS bin, count(*) AS n FROM customer, e GROUP BY 1) SELECT CAST(i AS INTEGER) AS bin, round(a + i * ((b - a) / 8), 6) AS lo, coalesce(n, 0) AS n FROM range(8) t(i) CROSS JOIN e LEFT JOIN c ON c.bin = i")
+def histogram_bins(s, sf):
+    return X.customers(s, sf).histogram("c_acctbal", 8).select("bin", r6("lo").alias("lo"), "n")
+
+
+# Boxes
+
+@registered(cte("cus") + "SELECT c_custkey FROM cus WHERE x BETWEEN -50 AND 20 AND y BETWEEN 0 AND 40")
+def bbox_overlap(s, sf):
+    return X.customers(s, sf).quick_overlap((-50, 0, 20, 40)).df.select("c_custkey")
+
+
+@registered(cte("cus") + "SELECT c_custkey FROM cus WHERE NOT (x BETWEEN -50 AND 20 AND y BETWEEN 0 AND 40)")
+def bbox_disjoint(s, sf):
+    return X.customers(s, sf).quick_disjoint((-50, 0, 20, 40)).df.select("c_custkey")
+
+
+@registered(cte("sup") + "SELECT s_suppkey FROM sup ORDER BY sqrt((x-10)*(x-10)+(y-20)*(y-20)), s_suppkey LIMIT 5")
+def bbox_nearest(s, sf):
+    return X.suppliers(s, sf).quick_nearest(10, 20, 5).df.select("s_suppkey")
+
+
+@registered(cte("par") + "SELECT min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM par")
+def dataset_bbox(s, sf):
+    return X.parts(s, sf).bbox()
+
+
+@registered(cte("par") + "SELECT p_partkey, x, y FROM par WHERE x BETWEEN 0 AND 90 AND y BETWEEN -45 AND 45")
+def crop_points(s, sf):
+    return overlay.crop(X.parts(s, sf), (0, -45, 90, 45)).df.select("p_partkey", G.x(F.col(GEOM)).alias("x"), G.y(F.col(GEOM)).alias("y"))
+
+
+@registered(cte("zon") + "SELECT n_nationkey, round((least(x2,50)-greatest(x1,-100))*(least(y2,30)-greatest(y1,-50)),6) AS area FROM zon WHERE x2 > -100 AND x1 < 50 AND y2 > -50 AND y1 < 30")
+def crop_polygons(s, sf):
+    return overlay.crop(X.zones(s, sf), (-100, -50, 50, 30)).df.select("n_nationkey", r6(G.area(F.col(GEOM))).alias("area"))
+
+
+@registered(cte("par") + ", e AS (SELECT min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM par) SELECT CAST(least(4, floor((x-a)/((b-a)/5))) AS INTEGER) AS tile_x, CAST(least(4, floor((y-c)/((d-c)/5))) AS INTEGER) AS tile_y, count(*) AS n FROM par, e GROUP BY 1, 2")
+def tiled_points(s, sf):
+    return overlay.tiled(X.parts(s, sf)).groupBy("tile_x", "tile_y").agg(F.count("*").alias("n"))
+
+
+# Spatial select and joins
+
+ZONE = "(SELECT * FROM zon WHERE n_nationkey % 3 = 0)"
+
+
+def _third(s, sf) -> FeatureFrame:
+    return X.zones(s, sf).select("n_nationkey % 3 == 0")
+
+
+@registered(cte("cus", "zon") + f"SELECT c_custkey FROM cus WHERE EXISTS (SELECT 1 FROM {ZONE} z WHERE x > x1 AND x < x2 AND y > y1 AND y < y2)")
+def where_within(s, sf):
+    return spatial.where(X.customers(s, sf), _third(s, sf), "within").df.select("c_custkey")
+
+
+@registered(cte("cus", "zon") + f"SELECT c_custkey FROM cus WHERE NOT EXISTS (SELECT 1 FROM {ZONE} z WHERE x >= x1 AND x <= x2 AND y >= y1 AND y <= y2)")
+def where_disjoint(s, sf):
+    return spatial.where(X.customers(s, sf), _third(s, sf), "disjoint").df.select("c_custkey")
+
+
+@registered(cte("sup", "emb") + "SELECT s_suppkey FROM sup WHERE EXISTS (SELECT 1 FROM sup b WHERE b.s_suppkey % 10 = 0 AND b.s_suppkey <> sup.s_suppkey AND sqrt((b.x-sup.x)*(b.x-sup.x)+(b.y-sup.y)*(b.y-sup.y)) <= 25) AND s_suppkey % 10 <> 0")
+def where_distance(s, sf):
+    sup = X.suppliers(s, sf)
+    return spatial.where(sup.select("s_suppkey % 10 != 0"), sup.select("s_suppkey % 10 == 0"), "distance", 25.0).df.select("s_suppkey")
+
+
+@registered(cte("sup", "zon") + "SELECT n_name, count(*) AS n, round(sum(s_acctbal), 4) AS total, round(avg(s_acctbal), 6) AS mean FROM sup JOIN zon ON x > x1 AND x < x2 AND y > y1 AND y < y2 GROUP BY 1")
+def sjoin_within(s, sf):
+    joined = spatial.spatial_join(X.suppliers(s, sf), X.zones(s, sf), "within")
+    out = joined.aggregate(["n_name"], [("n", None, "count"), ("total", "s_acctbal", "sum"), ("mean", "s_acctbal", "mean")]).df
+    return out.select("n_name", "n", F.round("total", 4).alias("total"), r6("mean").alias("mean"))
+
+
+@registered(cte("sup", "zon") + "SELECT n_nationkey, s_suppkey FROM zon LEFT JOIN (SELECT * FROM sup WHERE s_suppkey % 9 = 0) s ON x > x1 AND x < x2 AND y > y1 AND y < y2")
+def sjoin_contains_keepall(s, sf):
+    return spatial.spatial_join(X.zones(s, sf), X.suppliers(s, sf).select("s_suppkey % 9 == 0"), "contains", keepall=True).df.select("n_nationkey", "s_suppkey")
+
+
+@registered(cte("sup", "zon") + f"SELECT s_suppkey, n_nationkey FROM sup, {ZONE} z WHERE NOT (x >= x1 AND x <= x2 AND y >= y1 AND y <= y2)")
+def sjoin_disjoint(s, sf):
+    return spatial.spatial_join(X.suppliers(s, sf), _third(s, sf), "disjoint").df.select("s_suppkey", "n_nationkey")
+
+
+@registered(cte("sup", "par") + "SELECT s_suppkey, p_partkey, round(sqrt((sup.x-par.x)*(sup.x-par.x)+(sup.y-par.y)*(sup.y-par.y)), 6) AS distance FROM sup JOIN par ON sqrt((sup.x-par.x)*(sup.x-par.x)+(sup.y-par.y)*(sup.y-par.y)) <= 6")
+def sjoin_distance_radius(s, sf):
+    out = spatial.spatial_join(X.suppliers(s, sf), X.parts(s, sf), "distance", radius=6.0, geodetic=False, distance=True)
+    return out.df.select("s_suppkey", "p_partkey", r6("distance").alias("distance"))
+
+
+_KNN = "row_number() OVER (PARTITION BY a.vec_id ORDER BY sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), b.vec_id)"
+
+
+@registered(cte("emb") + f"SELECT vec_id, other FROM (SELECT a.vec_id, b.vec_id AS other, {_KNN} AS r FROM emb a, emb b WHERE a.vec_id % 20 = 0) WHERE r <= 3")
+def sjoin_knn(s, sf):
+    e = X.embedded(s, sf)
+    return spatial.spatial_join(e.select("vec_id % 20 == 0"), e.rename_field("vec_id", "other"), "distance", n=3).df.select("vec_id", "other")
+
+
+@registered(cte("emb") + f"SELECT vec_id, other FROM (SELECT a.vec_id, b.vec_id AS other, {_KNN} AS r FROM emb a, emb b WHERE a.vec_id % 20 = 0 AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 0.02) WHERE r <= 4")
+def sjoin_knn_radius(s, sf):
+    e = X.embedded(s, sf)
+    return spatial.spatial_join(e.select("vec_id % 20 == 0"), e.rename_field("vec_id", "other"), "distance", radius=0.02, n=4, geodetic=False).df.select("vec_id", "other")
+
+
+@registered(cte("sup", "zon") + "SELECT s_suppkey, n_nationkey FROM sup JOIN zon ON x > x1 AND x < x2 AND y > y1 AND y < y2 AND s_nationkey % 2 = n_nationkey % 2")
+def sjoin_subkey(s, sf):
+    return spatial.spatial_join(X.suppliers(s, sf), X.zones(s, sf), "within", subkey=lambda a, b: a("s_nationkey") % 2 == b("n_nationkey") % 2).df.select("s_suppkey", "n_nationkey")
+
+
+@registered(cte("zon") + ", w AS (SELECT n_nationkey AS k, x1+30 AS x1, y1+10 AS y1, x2+30 AS x2, y2+10 AS y2 FROM zon) SELECT n_nationkey, k, round((least(z.x2,w.x2)-greatest(z.x1,w.x1))*(least(z.y2,w.y2)-greatest(z.y1,w.y1)),6) AS area FROM zon z JOIN w ON z.x1 < w.x2 AND w.x1 < z.x2 AND z.y1 < w.y2 AND w.y1 < z.y2")
+def sjoin_clip(s, sf):
+    z = X.zones(s, sf)
+    moved = z.new(z.df.select(F.col("n_nationkey").alias("k"), FID, G.transform(F.col(GEOM), lambda x, y: x + 30, lambda x, y: y + 10).alias(GEOM)))
+    return spatial.spatial_join(z, moved, "intersects", clip="intersection").df.select("n_nationkey", "k", r6(G.area(F.col(GEOM))).alias("area"))
+
+
+@registered(cte("zon") + "SELECT a.n_nationkey, count(*) AS n FROM zon a JOIN zon b ON a.n_nationkey <> b.n_nationkey AND a.x1 <= b.x2 AND b.x1 <= a.x2 AND a.y1 <= b.y2 AND b.y1 <= a.y2 GROUP BY 1")
+def sjoin_touches(s, sf):
+    z = X.zones(s, sf)
+    other = z.new(z.df.select(F.col("n_nationkey").alias("k"), FID, GEOM))
+    return spatial.spatial_join(z, other, "touches").aggregate(["n_nationkey"], [("n", None, "count")]).df.select("n_nationkey", "n")
+
+
+@registered(cte("cus", "zon") + "SELECT n_nationkey, nullif(count(c_custkey), 0) AS n, round(sum(c_acctbal), 4) AS total, max(c_acctbal) AS most FROM zon LEFT JOIN (SELECT * FROM cus WHERE c_custkey % 17 = 0) c ON x > x1 AND x < x2 AND y > y1 AND y < y2 GROUP BY 1")
+def spatial_stats(s, sf):
+    out = spatial.spatial_stats(X.zones(s, sf), X.customers(s, sf).select("c_custkey % 17 == 0"), [("n", "c_custkey", "count"), ("total", "c_acctbal", "sum"), ("most", "c_acctbal", "max")])
+    return out.select("n_nationkey", "n", F.round("total", 4).alias("total"), "most")
+
+
+@registered(cte("cus", "zon") + "SELECT n_nationkey, c_mktsegment, count(*) AS n FROM zon JOIN cus ON x > x1 AND x < x2 AND y > y1 AND y < y2 GROUP BY 1, 2")
+def spatial_stats_subkey(s, sf):
+    out = spatial.spatial_stats(X.zones(s, sf), X.customers(s, sf), [("n", "c_custkey", "count")], subkey="c_mktsegment", keepall=False)
+    return out.select("n_nationkey", "c_mktsegment", "n")
+
+
+@registered(cte("sup", "cus") + "SELECT s_suppkey, c_custkey, round(sqrt((sup.x-cus.x)*(sup.x-cus.x)+(sup.y-cus.y)*(sup.y-cus.y)), 6) AS len FROM sup JOIN cus ON s_nationkey = c_nationkey WHERE c_custkey % 10 = 0")
+def connect_lines(s, sf):
+    out = spatial.connect(X.suppliers(s, sf), X.customers(s, sf).select("c_custkey % 10 == 0"), key=("s_nationkey", "c_nationkey"), greatcircle=False)
+    return out.df.select("s_suppkey", "c_custkey", r6(G.length(F.col(GEOM))).alias("len"))
+
+
+@registered(cte("sup") + "SELECT s_suppkey, i, round(degrees(atan2(v, u)), 6) + 0.0 AS lon, round(degrees(atan2(w, sqrt(u*u+v*v))), 6) + 0.0 AS lat FROM (SELECT s_suppkey, i, sin((1-f)*d)/sin(d)*cos(radians(y))*cos(radians(x)) + sin(f*d)/sin(d)*cos(radians(50))*cos(radians(10)) AS u, sin((1-f)*d)/sin(d)*cos(radians(y))*sin(radians(x)) + sin(f*d)/sin(d)*cos(radians(50))*sin(radians(10)) AS v, sin((1-f)*d)/sin(d)*sin(radians(y)) + sin(f*d)/sin(d)*sin(radians(50)) AS w FROM (SELECT s_suppkey, x, y, CAST(i AS INTEGER) AS i, i/10.0 AS f, 2*asin(sqrt(pow(sin((radians(50)-radians(y))/2),2)+cos(radians(y))*cos(radians(50))*pow(sin((radians(10)-radians(x))/2),2))) AS d FROM sup, range(11) t(i)))")
+def great_circle(s, sf):
+    d = X.suppliers(s, sf).df
+    path = G.great_circle(G.x(F.col(GEOM)), G.y(F.col(GEOM)), F.lit(10.0), F.lit(50.0), 11)
+    return d.select("s_suppkey", F.posexplode(path).alias("i", "v")).select("s_suppkey", "i", r6("v.x").alias("lon"), r6("v.y").alias("lat"))
+
+
+@registered(cte("sup", "zon") + "SELECT n_nationkey, round(arg_min(least(greatest(x, x1), x2), (d, s_suppkey)), 6) AS x, round(arg_min(least(greatest(y, y1), y2), (d, s_suppkey)), 6) AS y FROM (SELECT *, sqrt(pow(greatest(x1-x, x-x2, 0), 2) + pow(greatest(y1-y, y-y2, 0), 2)) AS d FROM zon, (SELECT * FROM sup WHERE s_suppkey % 11 = 0)) GROUP BY 1")
+def closest_point(s, sf):
+    out = spatial.closest_point(X.zones(s, sf), X.suppliers(s, sf).select("s_suppkey % 11 == 0"))
+    return out.df.select("n_nationkey", r6(G.x(F.col(GEOM))).alias("x"), r6(G.y(F.col(GEOM))).alias("y"))
+
+
+# Geometry
+
+@registered(cte("zon") + "SELECT n_nationkey, x1 AS x, y1 AS y FROM zon UNION ALL SELECT n_nationkey, x2, y1 FROM zon UNION ALL SELECT n_nationkey, x2, y2 FROM zon UNION ALL SELECT n_nationkey, x1, y2 FROM zon UNION ALL SELECT n_nationkey, x1, y1 FROM zon")
+def vertex_explode(s, sf):
+    return overlay.to_points(X.zones(s, sf), "vertex").df.select("n_nationkey", G.x(F.col(GEOM)).alias("x"), G.y(F.col(GEOM)).alias("y"))
+
+
+@registered(cte("zon") + "SELECT n_nationkey, round((x2-x1)*(y2-y1), 6) AS area, round(2*(x2-x1)+2*(y2-y1), 6) AS outline FROM zon")
+def polygon_area(s, sf):
+    return X.zones(s, sf).df.select("n_nationkey", r6(G.area(F.col(GEOM))).alias("area"), r6(G.length(F.col(GEOM))).alias("outline"))
+
+
+@registered("SELECT user_id, count(*) AS n, round(coalesce(sum(step), 0), 4) AS len FROM (SELECT user_id, sqrt(pow(value - lag(value) OVER w, 2) + pow(event_id % 100 - lag(event_id % 100) OVER w, 2)) AS step FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) GROUP BY 1")
+def line_length(s, sf):
+    e = X.events(s, sf)
+    pts = FeatureFrame(e.df.withColumn(GEOM, G.point(F.col("value"), F.col("event_id") % 100)), "Point")
+    return overlay.to_lines(pts, "user_id").df.select("user_id", F.size(G.vertices(F.col(GEOM))).cast("long").alias("n"), (F.round(G.length(F.col(GEOM)), 4) + 0.0).alias("len"))
+
+
+@registered(cte("zon") + "SELECT n_nationkey, round((x1+x2)/2, 6) AS x, round((y1+y2)/2, 6) AS y FROM zon")
+def centroid(s, sf):
+    return overlay.to_points(X.zones(s, sf)).df.select("n_nationkey", r6(G.x(F.col(GEOM))).alias("x"), r6(G.y(F.col(GEOM))).alias("y"))
+
+
+@registered(cte("zon") + "SELECT n_regionkey, round(sum((x2-x1)*(y2-y1)), 4) AS area FROM zon GROUP BY 1")
+def dissolve_union(s, sf):
+    out = X.zones(s, sf).aggregate(["n_regionkey"], [], geometry=overlay.dissolve).df
+    return out.select("n_regionkey", F.round(G.area(F.col(GEOM)), 4).alias("area"))
+
+
+@registered(cte("sup") + "SELECT s_suppkey, round(CAST(3.121445152258052 AS DOUBLE) * 25, 4) AS area FROM sup")
+def buffer_points(s, sf):
+    out = overlay.buffer(X.suppliers(s, sf), 5.0, resolution=32).df
+    return out.select("s_suppkey", F.round(G.area(F.col(GEOM)), 4).alias("area"))
+
+
+@registered(cte("cus") + "SELECT c_custkey, round(6378137.0 * radians(x), 3) + 0.0 AS x, round(6378137.0 * ln(tan(pi()/4 + radians(y)/2)), 3) + 0.0 AS y FROM cus")
+def reproject_mercator(s, sf):
+    from geoframe.functions.crs import reproject
+
+    out = reproject(X.customers(s, sf).df, "EPSG:4326", "EPSG:3857")
+    return out.select("c_custkey", (F.round(G.x(F.col(GEOM)), 3) + 0.0).alias("x"), (F.round(G.y(F.col(GEOM)), 3) + 0.0).alias("y"))
+
+
+# Classification
+
+def _broken(s, df: DataFrame, value: Column, algorithm: str, **more) -> DataFrame:
+    edges = classify.breaks(df, value, algorithm, **more)
+    return s.createDataFrame([(i, float(b)) for i, b in enumerate(edges)], "i int, edge double").select("i", r6("edge").alias("edge"))
+
+
+@registered("SELECT CAST(i AS INTEGER) AS i, round(CASE WHEN i = 5 THEN b ELSE a + i * (b - a) / 5 END, 6) AS edge FROM range(6) t(i), (SELECT min(c_acctbal) AS a, max(c_acctbal) AS b FROM customer)")
+def breaks_equal(s, sf):
+    return _broken(s, X.table(s, sf, "customer"), F.col("c_acctbal"), "equal")
+
+
+@registered("SELECT CAST(i AS INTEGER) AS i, round(pow(10, a + i * (b - a) / 5) - 1, 6) AS edge FROM range(6) t(i), (SELECT log10(min(p_retailprice) + 1) AS a, log10(max(p_retailprice) + 1) AS b FROM part)")
+def breaks_log(s, sf):
+    return _broken(s, X.table(s, sf, "part"), F.col("p_retailprice"), "log")
+
+
+@registered("WITH v AS (SELECT list(c_acctbal ORDER BY c_acctbal) AS v, count(*) AS n FROM customer) SELECT CAST(i AS INTEGER) AS i, round(CASE WHEN i = 5 THEN v[n] ELSE (1 - (i/5.0*n - floor(i/5.0*n))) * v[CAST(floor(i/5.0*n) AS INTEGER) + 1] + (i/5.0*n - floor(i/5.0*n)) * v[CAST(floor(i/5.0*n) AS INTEGER) + 2] END, 6) AS edge FROM range(6) t(i), v")
+def breaks_quantile(s, sf):
+    return _broken(s, X.table(s, sf, "customer"), F.col("c_acctbal"), "quantile")
+
+
+@registered()
+def breaks_stdev(s, sf):
+    return _broken(s, X.table(s, sf, "customer"), F.col("c_acctbal"), "stdev")
+
+
+@registered()
+def breaks_pretty(s, sf):
+    return _broken(s, X.table(s, sf, "customer"), F.col("c_acctbal"), "pretty")
+
+
+@registered()
+def breaks_natural(s, sf):
+    return _broken(s, X.table(s, sf, "customer"), F.col("c_acctbal"), "natural")
+
+
+@registered()
+def breaks_headtail(s, sf):
+    return _broken(s, X.table(s, sf, "orders"), F.col("o_totalprice"), "headtail")
+
+
+@registered("SELECT CAST(r.i AS INTEGER) AS range_id, count(p_partkey) AS n FROM (VALUES (0, 1, 20), (1, 10, 30), (2, 30, 50), (3, 90, 99)) r(i, a, b) LEFT JOIN part ON p_size BETWEEN a AND b GROUP BY 1")
+def membership(s, sf):
+    out = classify.membership(X.table(s, sf, "part"), F.col("p_size"), [(1, 20), (10, 30), (30, 50), (90, 99)])
+    return out.groupBy("range_id").agg(F.count("p_partkey").alias("n"))
+
+
+@registered("SELECT c_custkey, round(10 + 90 * (c_acctbal - a) / (b - a), 6) AS rescaled FROM customer, (SELECT min(c_acctbal) AS a, max(c_acctbal) AS b FROM customer)")
+def rescale(s, sf):
+    return classify.rescale(X.table(s, sf, "customer"), F.col("c_acctbal"), 10, 100).select("c_custkey", r6("rescaled").alias("rescaled"))
+
+
+@registered("SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 10 THEN 0 WHEN p_size BETWEEN 10 AND 30 THEN 1 WHEN p_size BETWEEN 30 AND 50 THEN 2 END AS class FROM part")
+def find_class(s, sf):
+    return X.table(s, sf, "part").select("p_partkey", classify.find_class(F.col("p_size"), [1, 10, 30, 50]).alias("class"))
+
+
+@registered("SELECT p_partkey, CASE WHEN p_size < 10 THEN 0.0 WHEN p_size < 30 THEN 50.0 ELSE 100.0 END::DOUBLE AS class_value FROM part WHERE p_size BETWEEN 1 AND 50")
+def classify_values(s, sf):
+    c = classify.Classifier(X.table(s, sf, "part"), F.col("p_size"), [1.0, 10.0, 30.0, 50.0], values=[0.0, 100.0])
+    return c.apply().select("p_partkey", "class_value").where("class_value IS NOT NULL")
+
+
+@registered("SELECT min(v) AS cut FROM (SELECT c_acctbal AS v, cume_dist() OVER (ORDER BY c_acctbal) AS share FROM customer) WHERE share >= 0.9")
+def cutoff_percentile(s, sf):
+    return X.table(s, sf, "customer").agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY c_acctbal)").alias("cut"))
+
+
+# Rasters: local
+
+def _sql_cells(names: tuple, value: str, source: str) -> str:
+    return cte(*names) + f"SELECT col, row, round({value}, 6) + 0.0 AS value FROM {source}"
+
+
+@registered(_sql_cells(("qty", "dis"), "a.value + b.value", "qty a JOIN dis b USING (col, row)"))
+def raster_add(s, sf):
+    return _cells(X.quantity(s, sf) + X.discount(s, sf))
+
+
+@registered(cte("qty", "dis") + "SELECT col, row, round(CASE WHEN a.value > 100 THEN a.value END * CASE WHEN b.value > 0.03 THEN b.value END, 6) + 0.0 AS value FROM qty a JOIN dis b USING (col, row)")
+def raster_mask_union(s, sf):
+    return _cells(X.quantity(s, sf).recode("val <= 100", None) * X.discount(s, sf).recode("val <= 0.03", None))
+
+
+@registered(_sql_cells(("qty",), "CAST(CASE WHEN value > 1000 THEN 1 ELSE 0 END AS DOUBLE)", "qty"))
+def raster_compare(s, sf):
+    return _cells(X.quantity(s, sf) > 1000)
+
+
+@registered(_sql_cells(("qty",), "CASE WHEN value > 1200 THEN value * 3 + 1 ELSE value END", "qty"))
+def raster_compute(s, sf):
+    return _cells(X.quantity(s, sf).compute("val * 3 + 1", "val > 1200"))
+
+
+@registered(_sql_cells(("qty",), "CASE WHEN value < 900 THEN -1 ELSE value END", "qty"))
+def raster_recode(s, sf):
+    return _cells(X.quantity(s, sf).recode("val < 900", -1.0))
+
+
+@registered(_sql_cells(("qty", "dis"), "(a.value - 5) * b.value", "qty a JOIN dis b USING (col, row)"))
+def raster_mathexpr(s, sf):
+    return _cells(raster.mathexpr("(rast1 - 5) * rast2", [X.quantity(s, sf), X.discount(s, sf)]))
+
+
+@registered(cte("qty") + "SELECT count(*) AS count, round(sum(value), 4) AS sum, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max FROM qty")
+def raster_stats(s, sf):
+    return X.quantity(s, sf).summarystats("count", "sum", "mean", "min", "max").select("count", F.round("sum", 4).alias("sum"), r6("mean").alias("mean"), "min", "max")
+
+
+@registered(cte("dis") + "SELECT v[CAST(floor(len(v)/2) AS INTEGER) + 1] AS median FROM (SELECT list_sort(list(DISTINCT round(value, 2))) AS v FROM dis)")
+def raster_median_distinct(s, sf):
+    return X.discount(s, sf).compute(F.round(F.col("value"), 2)).summarystats("median").select("median")
+
+
+@registered(cte("qty") + "SELECT arg_min(v, (-n, v)) AS majority, arg_min(v, (n, v)) AS minority FROM (SELECT floor(value/100) AS v, count(*) AS n FROM qty GROUP BY 1)")
+def raster_majority(s, sf):
+    return X.quantity(s, sf).compute(F.floor(F.col("value") / 100)).summarystats("majority", "minority").select("majority", "minority")
+
+
+# Rasters: moved cells
+
+@registered(cte("qty") + "SELECT col - 5 AS col, row - 3 AS row, round(value, 6) + 0.0 AS value FROM qty WHERE col BETWEEN 5 AND 20 AND row BETWEEN 3 AND 11")
+def raster_crop(s, sf):
+    return _cells(X.quantity(s, sf).crop((5, 3, 20, 11)))
+
+
+@registered(cte("qty") + "SELECT (col + 7) % 48 AS col, (row + 22) % 24 AS row, round(value, 6) + 0.0 AS value FROM qty")
+def raster_roll(s, sf):
+    return _cells(X.quantity(s, sf).roll(7, -2))
+
+
+@registered(cte("qty") + "SELECT CAST(col // 10 AS INTEGER) AS tile_x, CAST(row // 10 AS INTEGER) AS tile_y, count(*) AS n, round(sum(value), 4) AS total FROM qty GROUP BY 1, 2")
+def raster_tile_stats(s, sf):
+    return X.quantity(s, sf).tiled((10, 10)).groupBy("tile_x", "tile_y").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@registered(cte("qty") + "SELECT CAST(col // 4 AS INTEGER) AS col, CAST(row // 4 AS INTEGER) AS row, round(sum(value), 6) + 0.0 AS value FROM qty GROUP BY 1, 2")
+def upscale_sum(s, sf):
+    return _cells(X.quantity(s, sf).upscale(12, 6, "sum"))
+
+
+def _shifted(s, sf):
+    return X.discount(s, sf).new(X.discount(s, sf).df, Grid(X.COLS, X.ROWS, (1.0, 0.0, 10.0, 0.0, 1.0, 5.0)))
+
+
+_MOSAIC = cte("qty", "dis", "grid") + ", m AS (SELECT col + 10 AS col, row + 5 AS row, value FROM dis WHERE col + 10 < 48 AND row + 5 < 24) SELECT col, row, round({}, 6) + 0.0 AS value FROM qty FULL JOIN m USING (col, row)"
+
+
+@registered(_MOSAIC.format("coalesce(m.value, qty.value)"))
+def mosaic_last(s, sf):
+    return _cells(raster.mosaic([X.quantity(s, sf), _shifted(s, sf)]))
+
+
+@registered(_MOSAIC.format("coalesce(qty.value, m.value)"))
+def mosaic_first(s, sf):
+    return _cells(raster.mosaic([X.quantity(s, sf), _shifted(s, sf)], "first"))
+
+
+@registered(cte("dis") + "SELECT col + 10 AS col, row + 5 AS row, round(value, 6) + 0.0 AS value FROM dis WHERE col + 10 < 48 AND row + 5 < 24")
+def align_shift(s, sf):
+    return _cells(_shifted(s, sf).align(Grid(X.COLS, X.ROWS)))
+
+
+@registered(cte("qty") + "SELECT CAST(c AS INTEGER) AS col, CAST(r AS INTEGER) AS row, round(value, 6) + 0.0 AS value FROM range(20) a(c), range(10) b(r) JOIN qty ON qty.col = CAST(floor((c + 0.5) * 2.4) AS INTEGER) AND qty.row = CAST(floor((r + 0.5) * 2.4) AS INTEGER)")
+def resample_nearest(s, sf):
+    return _cells(X.quantity(s, sf).resample(Grid(20, 10, (2.4, 0.0, 0.0, 0.0, 2.4, 0.0))))
+
+
+@registered(cte("qty", "grid") + ", z AS (SELECT col, row, coalesce(value, 0) AS v FROM grid LEFT JOIN qty USING (col, row)), t AS (SELECT CAST(c AS INTEGER) AS col, CAST(r AS INTEGER) AS row, (c + 0.5) / 2 - 0.5 AS u, (r + 0.5) / 2 - 0.5 AS v FROM range(96) a(c), range(48) b(r)), w AS (SELECT t.col, t.row, least(47, greatest(0, floor(u) + i)) AS sc, least(23, greatest(0, floor(t.v) + j)) AS sr, (1 - abs(u - floor(u) - i)) * (1 - abs(t.v - floor(t.v) - j)) AS k FROM t, range(2) x(i), range(2) y(j)) SELECT w.col, w.row, round(sum(k * z.v), 4) + 0.0 AS value FROM w JOIN z ON z.col = sc AND z.row = sr GROUP BY 1, 2")
+def resample_bilinear(s, sf):
+    q = X.quantity(s, sf)
+    full = raster.mosaic([raster.RasterFrame.empty(s, q.grid, 1, 0.0), q])
+    return _cells(full.resample(Grid(96, 48, (0.5, 0.0, 0.0, 0.0, 0.5, 0.0)), "bilinear"), 4)
+
+
+@registered(cte("qty") + "SELECT CAST(t AS DOUBLE) AS at, col, row, round(CASE WHEN t = 0 THEN value ELSE value + (value * 2 - value) * (t / 10.0) END, 6) + 0.0 AS value FROM qty, (VALUES (0), (3), (7)) v(t)")
+def sequence_lerp(s, sf):
+    q = X.quantity(s, sf)
+    return raster.sequence([0, 3, 7], [(0, q), (10, q * 2)]).select("at", "col", "row", r6("value").alias("value"))
+
+
+@registered(cte("qty") + "SELECT CAST(col // 12 + 4 * (row // 12) AS DOUBLE) AS zone, round(avg(value), 6) AS value FROM qty GROUP BY 1")
+def zonal_mean(s, sf):
+    return raster.zonal_statistics(X.zone_raster(s, sf), X.quantity(s, sf)).select("zone", r6("value").alias("value"))
+
+
+@registered(cte("qty") + "SELECT CAST(col // 12 + 4 * (row // 12) AS DOUBLE) AS zone, round(stddev_pop(value), 6) AS value FROM qty GROUP BY 1")
+def zonal_stdev(s, sf):
+    return raster.zonal_statistics(X.zone_raster(s, sf), X.quantity(s, sf), "stdev").select("zone", r6("value").alias("value"))
+
+
+@registered(cte("qty") + "SELECT col, row, round(255 * (value - a) / (b - a), 6) + 0.0 AS value FROM qty, (SELECT min(value) AS a, max(value) AS b FROM qty)")
+def raster_normalise(s, sf):
+    return _cells(raster.normalise(X.quantity(s, sf)))
+
+
+# Rasters and features
+
+WORLD = Grid.of_bbox((-180, 90, 180, -90), 36, 18)
+
+
+def _at(x: str, y: str) -> str:
+    return f"CAST(floor(({x} + 180) / 10) AS INTEGER) AS col, CAST(floor((90 - {y}) / 10) AS INTEGER) AS row"
+
+
+_WORLD = "world AS (SELECT CAST(c AS INTEGER) AS col, CAST(r AS INTEGER) AS row FROM range(36) a(c), range(18) b(r))"
+
+
+@registered(cte("cus") + f", {_WORLD}, p AS (SELECT {_at('x', 'y')}, c_acctbal FROM cus) SELECT col, row, CAST(nullif(count(c_acctbal), 0) AS DOUBLE) AS value FROM world LEFT JOIN p USING (col, row) GROUP BY 1, 2")
+def rasterize_count(s, sf):
+    return _cells(rastervec.rasterize(X.customers(s, sf), WORLD, "c_acctbal", "count"))
+
+
+@registered(cte("sup", "zon") + f", {_WORLD} SELECT col, row, CAST(sum(n_nationkey + 1) AS DOUBLE) AS value FROM world JOIN (SELECT *, x1 + 15 AS a, x2 + 15 AS b, y1 + 15 AS c, y2 + 15 AS d FROM zon UNION ALL SELECT *, x1 AS a, x2 AS b, y1 AS c, y2 AS d FROM zon) z ON -175 + 10 * col > a AND -175 + 10 * col < b AND 85 - 10 * row > c AND 85 - 10 * row < d GROUP BY 1, 2")
+def rasterize_sum(s, sf):
+    z = X.zones(s, sf)
+    moved = z.new(z.df.withColumn(GEOM, G.transform(F.col(GEOM), lambda x, y: x + 15, lambda x, y: y + 15)))
+    return _cells(rastervec.rasterize(z.new(z.df.unionByName(moved.df)), WORLD, F.col("n_nationkey") + 1, "sum"))
+
+
+@registered(cte("zon") + f", {_WORLD} SELECT col, row, CAST(CASE WHEN EXISTS (SELECT 1 FROM zon WHERE n_regionkey = 1 AND -175 + 10 * col > x1 AND -175 + 10 * col < x2 AND 85 - 10 * row > y1 AND 85 - 10 * row < y2) THEN 1 ELSE 0 END AS DOUBLE) AS value FROM world")
+def rasterize_presence(s, sf):
+    return _cells(rastervec.rasterize(X.zones(s, sf).select("n_regionkey == 1"), WORLD))
+
+
+@registered(cte("qty") + "SELECT col, row, CAST(col AS DOUBLE) AS x, CAST(row AS DOUBLE) AS y, value, CAST(1 AS DOUBLE) AS area FROM qty")
+def vectorize_cells(s, sf):
+    out = rastervec.vectorize(X.quantity(s, sf)).df
+    return out.select("col", "row", "x", "y", "value", r6(G.area(F.col(GEOM))).alias("area"))
+
+
+@registered("SELECT CAST(i AS DOUBLE) AS value, CAST(144 AS BIGINT) AS n_cells, CAST(144 AS DOUBLE) AS area FROM range(8) t(i)")
+def vectorize_merged(s, sf):
+    out = rastervec.vectorize(X.zone_raster(s, sf), merge=True).df
+    return out.select("value", "n_cells", r6(G.area(F.col(GEOM))).alias("area"))
+
+
+@registered(cte("sup") + f", {_WORLD}, k AS (SELECT {_at('x', 'y').replace(' AS col', ' AS pc').replace(' AS row', ' AS pr')}, avg(s_acctbal) AS known FROM sup WHERE s_suppkey < 40 GROUP BY 1, 2) SELECT col, row, round(coalesce(max(CASE WHEN pc = col AND pr = row THEN known END), sum(CASE WHEN pc <> col OR pr <> row THEN pow((col-pc)*(col-pc)+(row-pr)*(row-pr), -1.5) * known END) / sum(CASE WHEN pc <> col OR pr <> row THEN pow((col-pc)*(col-pc)+(row-pr)*(row-pr), -1.5) END)), 4) + 0.0 AS value FROM world, k GROUP BY 1, 2")
+def idw(s, sf):
+    return _cells(rastervec.interpolate(X.suppliers(s, sf).select("s_suppkey < 40"), WORLD, "s_acctbal"), 4)
+
+
+_RADIAL = cte("sup") + f", {_WORLD}, m AS (SELECT col, row, {{}} * (1 - sqrt(pow(-180 + 10 * col - x, 2) + pow(90 - 10 * row - y, 2)) / 25) AS part FROM world JOIN sup ON sqrt(pow(-180 + 10 * col - x, 2) + pow(90 - 10 * row - y, 2)) <= 25) SELECT col, row, round(sum(part), 4) + 0.0 AS value FROM world LEFT JOIN m USING (col, row) GROUP BY 1, 2"
+
+
+@registered(_RADIAL.format("s_acctbal"))
+def smooth_radial(s, sf):
+    return _cells(rastervec.smooth(X.suppliers(s, sf), WORLD, 25.0, "s_acctbal"), 4)
+
+
+@registered(_RADIAL.format("1"))
+def density(s, sf):
+    return _cells(rastervec.density(X.suppliers(s, sf), WORLD, 25.0), 4)
+
+
+@registered(cte("sup") + f", {_WORLD}, z AS (SELECT col, row, count(s_suppkey) AS v FROM world LEFT JOIN (SELECT s_suppkey, {_at('x', 'y')} FROM sup) USING (col, row) GROUP BY 1, 2), k AS (SELECT i, j, exp(-(i*i+j*j) / 2.0) AS w FROM range(-3, 4) a(i), range(-3, 4) b(j)), n AS (SELECT t.col, t.row, least(35, greatest(0, t.col + i)) AS sc, least(17, greatest(0, t.row + j)) AS sr, w FROM world t, k) SELECT n.col, n.row, round(sum(w * v) / (SELECT sum(w) FROM k), 6) + 0.0 AS value FROM n JOIN z ON z.col = sc AND z.row = sr GROUP BY 1, 2")
+def smooth_gauss(s, sf):
+    counts = rastervec.rasterize(X.suppliers(s, sf), WORLD, "s_suppkey", "count")
+    return _cells(counts.gauss(1.0))
+
+
+@registered(cte("zon") + f", {_WORLD}, m AS (SELECT n_nationkey, col, row, n_nationkey + 10.0 AS v FROM zon JOIN world ON -175 + 10 * col > x1 AND -175 + 10 * col < x2 AND 85 - 10 * row > y1 AND 85 - 10 * row < y2) SELECT col, row, round(sum(v / n), 6) + 0.0 AS value FROM world LEFT JOIN (SELECT m.*, count(*) OVER (PARTITION BY n_nationkey) AS n FROM m) USING (col, row) GROUP BY 1, 2")
+def disperse(s, sf):
+    return _cells(rastervec.disperse(X.zones(s, sf), WORLD, F.col("n_nationkey") + 10.0))
+
+
+@registered(cte("sup") + f", {_WORLD}, o AS (SELECT DISTINCT {_at('x', 'y').replace(' AS col', ' AS pc').replace(' AS row', ' AS pr')} FROM sup WHERE s_suppkey < 12) SELECT col, row, round(min(sqrt(pow((col - pc) * 10, 2) + pow((row - pr) * 10, 2))), 6) + 0.0 AS value FROM world, o GROUP BY 1, 2")
+def distance_raster(s, sf):
+    return _cells(rastervec.distance(X.suppliers(s, sf).select("s_suppkey < 12"), WORLD))
+
+
+@registered(cte("zon") + f", {_WORLD}, z AS (SELECT col, row, EXISTS (SELECT 1 FROM zon WHERE n_nationkey % 4 = 0 AND -175 + 10 * col > x1 AND -175 + 10 * col < x2 AND 85 - 10 * row > y1 AND 85 - 10 * row < y2) AS s FROM world) SELECT a.col, a.row, CAST(CASE WHEN a.s AND (SELECT count(*) FROM z b WHERE b.s AND abs(a.col - b.col) <= 1 AND abs(a.row - b.row) <= 1) < 9 THEN 1 ELSE 0 END AS DOUBLE) AS value FROM z a")
+def morphology_edge(s, sf):
+    on = rastervec.rasterize(X.zones(s, sf).select("n_nationkey % 4 == 0"), WORLD)
+    return _cells(on.morphology("val == 1", "edge"))
+
+
+@registered(cte("zon") + f", {_WORLD} SELECT col, row, CASE WHEN EXISTS (SELECT 1 FROM zon WHERE n_nationkey % 4 = 0 AND -175 + 10 * col > x1 AND -175 + 10 * col < x2 AND 85 - 10 * row > y1 AND 85 - 10 * row < y2) THEN CAST(col + row AS DOUBLE) END AS value FROM world")
+def clip_raster(s, sf):
+    every = raster.RasterFrame.empty(s, WORLD)
+    numbered = every.new(every.df.withColumn("value", F.col("col") + F.col("row")))
+    return _cells(rastervec.clip(numbered, X.zones(s, sf).select("n_nationkey % 4 == 0")))
+
+
+@registered(cte("zon") + f", {_WORLD} SELECT n_nationkey, count(*) AS n, round(avg(col + row), 6) AS mean FROM zon JOIN world ON -175 + 10 * col > x1 AND -175 + 10 * col < x2 AND 85 - 10 * row > y1 AND 85 - 10 * row < y2 GROUP BY 1")
+def raster_in_vector(s, sf):
+    every = raster.RasterFrame.empty(s, WORLD)
+    out = spatial.raster_stats(X.zones(s, sf), every.df.withColumn("value", (F.col("col") + F.col("row")).cast("double")), WORLD, [("n", "value", "count"), ("mean", "value", "mean")])
+    return out.select("n_nationkey", "n", r6("mean").alias("mean"))
