@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoframe.llm.common import release, text_batches
+
 #: Pieces that a Python worker keeps encoded; when as many new ones have come, those not seen since go.
 KEPT_PIECES = 250_000
 
@@ -212,9 +214,10 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
                     ends.append(ends[-1] + len(ids))
                 flat = np.concatenate(values) if values else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["id", "ids"])
+        release()
 
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
+    return text_batches(rows).mapInArrow(run, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -232,7 +235,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
                 yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.binary())], names=["id", "ids", "decoded"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(run, f"id {id_type}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+    return text_batches(rows).mapInArrow(run, f"id {id_type}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
 
 
 def digest(ids: Column) -> Column:

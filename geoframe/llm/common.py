@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +47,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ascii_lower(c):
     """A-Z to a-z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Rows of a batch of whole texts on its way to Python. Spark's default of 10,000 is made for short rows.
+TEXT_BATCH = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches held to TEXT_BATCH rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= TEXT_BATCH:
+        df.sparkSession.conf.set(name, str(TEXT_BATCH))
+    return df
+
+
+def sliced(batches, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of a few rows; when all are through, memory that is free goes back to the system, as workers live on."""
+    try:
+        for b in batches:
+            for s in range(0, b.num_rows, rows):
+                yield b.slice(s, rows)
+    finally:
+        release()
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps what it keeps

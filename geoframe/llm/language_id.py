@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoframe.llm.common import sliced, text_batches
+
 #: The sample's bounds, the model's size and the rule of rejection.
 ROWS_PER_LANGUAGE, MAX_LANGUAGES, HASHES, WIDTH, EPOCHS, REJECT_ERROR, FLOOR, SEED = 400, 200, 1 << 15, 16, 6, 0.02, 1.2, 7
 _WORD = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -86,7 +88,7 @@ def _sample(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
     taken = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place")).join(F.broadcast(cut), "lang").where("place < cut")
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             lang, which, n, place = [], [], [], []
             for label, text, at in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 words = text.split()
@@ -101,7 +103,7 @@ def _sample(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
                         place.append(at * 4 + k)
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(which, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32())), pa.array(place, pa.int64())], names=["lang", "which", "n", "place"])
 
-    return taken.select("lang", "text", "place").mapInArrow(run, "lang string, which array<int>, n array<int>, place long")
+    return text_batches(taken.select("lang", "text", "place")).mapInArrow(run, "lang string, which array<int>, n array<int>, place long")
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -208,7 +210,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(1).to_pylist()
             fine = [i for i, t in enumerate(texts) if has_letter(t)] if model.languages else []
             lang, score, out = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
@@ -222,14 +224,14 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang), pa.array(score), pa.array(out)], names=["id", "lang_pred", "score", "rejected"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
+    return text_batches(rows).mapInArrow(run, f"id {id_type}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
 
 
 def kept(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of df that are not rejected, with all their columns."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
             stay = np.zeros(len(texts), bool)
             fine = [i for i, t in enumerate(texts) if has_letter(t)] if model.languages else []
@@ -238,4 +240,4 @@ def kept(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 stay[fine] = p.max(1) >= model.threshold
             yield b.filter(pa.array(stay))
 
-    return df.mapInArrow(run, df.schema)
+    return text_batches(df).mapInArrow(run, df.schema)

@@ -24,9 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoframe.llm.common import delete_written, written
+from geoframe.llm.common import delete_written, release, sliced, text_batches, written
 from geoframe.llm.components import components
-from geoframe.llm.shingles import shingles
+from geoframe.llm.shingles import forget, shingles
 
 #: Groups of a shingle that still make pairs, rows of a block, shingles counted at a time, repeats that are told among them, and
 #: how often a shingle must be told to be frequent, and how many such are kept (5 MB of them). Counted are the upper halves of the hashes.
@@ -58,22 +58,24 @@ def frequent(df: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.n
             often = n >= TOLD
             return pa.RecordBatch.from_arrays([pa.array(x[start[often]].astype(np.int64)), pa.array(n[often])], names=["token", "n"])
 
-        for whole in batches:
-            for s in range(0, whole.num_rows, 512):
-                for text in whole.slice(s, 512).column(0).to_pylist():
-                    x = shingles(text, width)
-                    key = xxhash.xxh3_64_intdigest(x)
-                    if len(x) and key not in seen:
-                        seen.add(key)
-                        held.append(_half(x))
-                        size += len(x)
-                    if size >= COUNTED:
-                        yield flush()
-                        held, size, seen = [], 0, set()
+        for b in sliced(batches):
+            for text in b.column(0).to_pylist():
+                x = shingles(text, width)
+                key = xxhash.xxh3_64_intdigest(x)
+                if len(x) and key not in seen:
+                    seen.add(key)
+                    held.append(_half(x))
+                    size += len(x)
+                if size >= COUNTED:
+                    yield flush()
+                    held, size, seen = [], 0, set()
         if held:
             yield flush()
+        forget()
+        held = None
+        release()
 
-    told = df.select(text_col).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    told = text_batches(df.select(text_col)).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     most = told.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
     tokens = most["token"].to_numpy(np.int64).astype(np.uint32)
     order = np.argsort(tokens)
@@ -99,23 +101,24 @@ def prepared(df: DataFrame, id_col: str, text_col: str, width: int, percent: int
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for whole in batches:
-            for s in range(0, whole.num_rows, 512):
-                b = whole.slice(s, 512)
-                n, node, grp, pre = [], [], [], []
-                for text in b.column(1).to_pylist():
-                    x = shingles(text, width)
-                    p = prefix(x, known, power, percent) if len(x) else x
-                    n.append(len(x))
-                    node.append(xxhash.xxh3_64_intdigest(x.tobytes(), 1))
-                    grp.append(xxhash.xxh3_64_intdigest(p.tobytes() + len(x).to_bytes(8, "little"), 2))
-                    pre.append(p.view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(n, pa.int32()), _signed(np.array(node, np.uint64)), _signed(np.array(grp, np.uint64)), pa.array(pre, pa.list_(pa.int64()))],
-                    names=["id", "n", "node", "grp", "prefix"],
-                )
-
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, n int, node long, grp long, prefix array<long>")
+        for b in sliced(batches):
+            n, node, grp, pre = [], [], [], []
+            for text in b.column(1).to_pylist():
+                x = shingles(text, width)
+                p = prefix(x, known, power, percent) if len(x) else x
+                n.append(len(x))
+                node.append(xxhash.xxh3_64_intdigest(x.tobytes(), 1))
+                grp.append(xxhash.xxh3_64_intdigest(p.tobytes() + len(x).to_bytes(8, "little"), 2))
+                pre.append(p.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n, pa.int32()), _signed(np.array(node, np.uint64)), _signed(np.array(grp, np.uint64)), pa.array(pre, pa.list_(pa.int64()))],
+                names=["id", "n", "node", "grp", "prefix"],
+            )
+        forget()
+        release()
+
+    rows = text_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return rows.mapInArrow(run, f"id {id_type}, n int, node long, grp long, prefix array<long>")
 
 
 def _may(n1, p1, n2, p2, percent: int):
@@ -292,11 +295,12 @@ def linked(df: DataFrame, id_col: str, text_col: str, width: int, percent: int)
     needed = written(needed.join(nodes.select("node", "id"), "node").select("node", "id"), "join-needed")
 
     def sets(batches):
-        for whole in batches:
-            for s in range(0, whole.num_rows, 256):
-                found = [shingles(t, width) for t in whole.slice(s, 256).column(1).to_pylist()]
-                node = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), 1) for x in found], np.uint64)
-                yield pa.RecordBatch.from_arrays([_signed(node), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["node", "x"])
+        for b in sliced(batches):
+            found = [shingles(t, width) for t in b.column(1).to_pylist()]
+            node = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), 1) for x in found], np.uint64)
+            yield pa.RecordBatch.from_arrays([_signed(node), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["node", "x"])
+        forget()
+        release()
 
     # One text for each node: the row of its smallest id (other rows that the map lets through go again).
     texts = let_through(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", needed)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoframe.llm.common import sliced, text_batches
 from geoframe.llm.language_id import held_out
 
 #: Rows of vectors, their width, the sample's bound, hidden units, passes over the sample, and rows in a piece of the sums.
@@ -101,7 +102,7 @@ def contexts(df: DataFrame, text_col: str = "text") -> np.ndarray:
             for stream in _split(np.concatenate(held)):
                 add(stream, text)
 
-        for b in batches:
+        for b in sliced(batches):
             for text in b.column(0).to_pylist():
                 ids = _ids(text)
                 if len(ids):
@@ -127,7 +128,7 @@ def contexts(df: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([held[k] for k in keys], pa.list_(pa.int64()))], names=["piece", "salt", "sums"])
 
     kind = "piece int, salt int, sums array<long>"
-    parts = df.select(text_col).mapInArrow(count, kind)
+    parts = text_batches(df.select(text_col)).mapInArrow(count, kind)
     parts = parts.repartition("piece", "salt").mapInArrow(add_up, kind).withColumn("salt", F.lit(0)).repartition("piece").mapInArrow(add_up, kind)
     rows = sorted(parts.select("piece", "sums").toPandas().itertuples(index=False), key=lambda r: r.piece)
     total = np.zeros((_ALL // PIECE, PIECE * (WIDTH + 1)))
@@ -187,13 +188,11 @@ def pooled(texts: list[str | None], tables: tuple[np.ndarray, np.ndarray]) -> np
 def _features(df: DataFrame, vectors: np.ndarray, extra: str, kind: str) -> DataFrame:
     def run(batches):
         tables = _tables(vectors)
-        for whole in batches:
-            for s in range(0, whole.num_rows, 256):
-                b = whole.slice(s, 256)
-                x = pooled(b.column(1).to_pylist(), tables).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float32()))], names=[extra, "x"])
+        for b in sliced(batches):
+            x = pooled(b.column(1).to_pylist(), tables).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float32()))], names=[extra, "x"])
 
-    return df.mapInArrow(run, f"{extra} {kind}, x array<float>")
+    return text_batches(df).mapInArrow(run, f"{extra} {kind}, x array<float>")
 
 
 def train(x: np.ndarray, y: np.ndarray, back: np.ndarray) -> Network:
@@ -262,11 +261,9 @@ def predict(df: DataFrame, vectors: np.ndarray, net: Network | float, id_col: st
 
     def run(batches):
         tables = _tables(vectors)
-        for whole in batches:
-            for s in range(0, whole.num_rows, 256):
-                b = whole.slice(s, 256)
-                p = probability(pooled(b.column(1).to_pylist(), tables), net) if isinstance(net, Network) else np.full(b.num_rows, net)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], names=["id", "score"])
+        for b in sliced(batches):
+            p = probability(pooled(b.column(1).to_pylist(), tables), net) if isinstance(net, Network) else np.full(b.num_rows, net)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], names=["id", "score"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, score double").withColumnRenamed("id", id_col)
+    return text_batches(rows).mapInArrow(run, f"id {id_type}, score double").withColumnRenamed("id", id_col)

@@ -23,6 +23,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget() -> None:
+    """Let go of the words, as a worker lives on after its task."""
+    _words.clear()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that leaves no order in them."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
