@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoframe.functions.arrowshapes import of_shapes
+
 # The WGS84 ellipsoid.
 A, B, FLAT = 6378137.0, 6356752.314245, 1 / 298.257223563
 MILES_PER_KM = 0.621371
@@ -81,20 +85,33 @@ def _authalic_q(lat) -> np.ndarray:
     return (1 - e * e) * (s / (1 - e * e * s * s) - np.log((1 - e * s) / (1 + e * s)) / (2 * e))
 
 
+def _along(lon1, lat1, lon2, lat2, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n + 1 points on the way between two points: the great circle through their reduced latitudes, which a geodesic follows to within
+    the flattening times its bulge."""
+    u1, u2 = (math.atan((1 - FLAT) * math.tan(math.radians(v))) if abs(v) < 90 else math.radians(v) for v in (lat1, lat2))
+    span = math.radians((lon2 - lon1 + 180) % 360 - 180)
+    p = np.array([math.cos(u1), 0.0, math.sin(u1)])
+    q = np.array([math.cos(u2) * math.cos(span), math.cos(u2) * math.sin(span), math.sin(u2)])
+    d = math.atan2(np.linalg.norm(np.cross(p, q)), p @ q)
+    t = np.linspace(0, 1, n + 1)
+    if math.sin(d) < 1e-12 or min(abs(u1), abs(u2)) > math.radians(90 - 1e-9) or abs(span) < 1e-15:
+        return np.degrees(span * t), lat1 + t * (lat2 - lat1)
+    v = (np.sin((1 - t) * d)[:, None] * p + np.sin(t * d)[:, None] * q) / math.sin(d)
+    return np.degrees(np.unwrap(np.arctan2(v[:, 1], v[:, 0]))), np.degrees(np.arctan2(v[:, 2], (1 - FLAT) * np.hypot(v[:, 0], v[:, 1])))
+
+
 def ring_km2(lon, lat, steps: int = 64) -> float:
-    """Area of a ring whose edges are straight in lon/lat between close steps along geodesics' chords: the integral of the authalic sine
-    over longitude, each edge in `steps` pieces by Gauss' rule, so a ring of a meridian and parallels is exact."""
+    """Area of a ring of geodesics: the integral of the authalic sine over longitude, `steps` pieces for each edge."""
     lon, lat = np.asarray(lon, float), np.asarray(lat, float)
     if len(lon) < 3:
         return 0.0
     if lon[0] != lon[-1] or lat[0] != lat[-1]:
         lon, lat = np.r_[lon, lon[0]], np.r_[lat, lat[0]]
-    step = (np.diff(lon) + 180) % 360 - 180
-    x, w = np.polynomial.legendre.leggauss(8)
     total = 0.0
-    for a, b, d in zip(lat, lat[1:], step, strict=False):
-        t = (np.arange(steps)[:, None] + (x + 1) / 2) / steps
-        total += float((_authalic_q(a + t * (b - a)) * (w / 2)).sum() / steps * np.radians(d))
+    for i in range(len(lon) - 1):
+        x, y = _along(lon[i], lat[i], lon[i + 1], lat[i + 1], steps)
+        q, mid = _authalic_q(y), _authalic_q((y[1:] + y[:-1]) / 2)
+        total += float(((q[1:] + q[:-1] + 4 * mid) / 6 * np.radians(np.diff(x))).sum())
     return abs(total) * A * A / 2 / 1e6
 
 
@@ -105,53 +122,38 @@ def distance_km(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Seri
     return pd.Series(out).where(~np.isnan(out), None)
 
 
-def _length_km(parts) -> float:
+def _length_km(s) -> float:
     total = 0.0
-    for part in parts:
+    for part in s[1]:
         for ring in part:
-            p = np.array([(v["x"], v["y"]) for v in ring], float)
+            p = np.array(ring, float)
             if len(p) > 1:
                 total += float(inverse(p[:-1, 1], p[:-1, 0], p[1:, 1], p[1:, 0]).sum())
     return total
 
 
-@F.pandas_udf(T.DoubleType())
-def length_km(parts: pd.Series) -> pd.Series:
-    """Length of lines over all their segments, 0 for points; hand it geom.parts."""
-    return parts.map(lambda p: None if p is None else _length_km(p))
+def length_km(geom: Column) -> Column:
+    """Length of lines over all their segments, 0 for points."""
+    return of_shapes(_length_km, "g", "double")(geom)
 
 
-@F.pandas_udf(T.DoubleType())
-def area_km2(parts: pd.Series) -> pd.Series:
-    """Area of polygons, holes taken off; hand it geom.parts."""
-
-    def one(p):
-        if p is None:
-            return None
-        return sum((1 if i == 0 else -1) * ring_km2([v["x"] for v in r], [v["y"] for v in r]) for part in p for i, r in enumerate(part))
-
-    return parts.map(one)
-
-
-@F.pandas_udf(T.ArrayType(_XY))
-def _walked(lon: pd.Series, lat: pd.Series, km: pd.Series, n: pd.Series) -> pd.Series:
-    out = []
-    for x, y, d, k in zip(lon, lat, km, n, strict=True):
-        if pd.isna(x) or pd.isna(y) or pd.isna(d):
-            out.append(None)
-        else:
-            u, v = direct(x, y, np.arange(int(k)) * 360.0 / int(k), d)
-            out.append([{"x": float(a), "y": float(b)} for a, b in zip(u, v, strict=True)])
-    return pd.Series(out)
+def area_km2(geom: Column) -> Column:
+    """Area of polygons, holes taken off."""
+    one = lambda s: sum((1 if i == 0 else -1) * ring_km2(*zip(*r, strict=True)) for part in s[1] for i, r in enumerate(part)) if s[0] == "Polygon" else 0.0
+    return of_shapes(one, "g", "double")(geom)
 
 
 def buffer_km(geom: Column, km, resolution: int = 100) -> Column:
-    """A polygon around each part of a point geometry: `resolution` vertices at equal bearings from north, the ring not closed."""
-    from geoframe.functions.geometry import geometry, x, y
+    """A polygon around each part of a point geometry: `resolution` vertices at equal bearings from north, the rings not closed; null for others."""
+    km = F.lit(float(km)) if isinstance(km, int | float) else km.cast("double")
+
+    def one(s, d):
+        if s[0] != "Point":
+            return None
+        turn = np.arange(resolution) * 360.0 / resolution
+        return "Polygon", [[list(zip(*(v.tolist() for v in direct(*part[0][0], turn, d)), strict=True))] for part in s[1]]
 
-    km = F.lit(float(km)) if isinstance(km, int | float) else km
-    ring = _walked(x(geom), y(geom), km, F.lit(resolution))
-    return F.when(geom["type"] == "Point", geometry("Polygon", F.array(F.array(ring)), F.lit(False)))
+    return of_shapes(one, "gv", "geometry")(geom, km)
 
 
 @F.pandas_udf(_XY)

@@ -8,51 +8,25 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoframe.functions import geodesy, kernels
+from geoframe.functions import arrowshapes, geodesy, kernels
 from geoframe.functions import geometry as G
+from geoframe.functions.arrowshapes import of_shapes
 from geoframe.operators.table import FeatureFrame
 from geoframe.types import FID, GEOM, GEOMETRY
 
-_FIELDS = ["type", "multi", "parts", "bbox"]
-
-
-def _frame(shapes: list) -> pd.DataFrame:
-    rows = [(kernels.struct(*s) if s else None) or dict.fromkeys(_FIELDS) for s in shapes]
-    return pd.DataFrame(rows, columns=_FIELDS)
-
-
-def _null_if_empty(made: Column) -> Column:
-    return F.when(made["parts"].isNotNull(), made)
-
-
-def _shapes(frame: pd.DataFrame) -> list:
-    return [None if r["parts"] is None else kernels.shape(r) for r in frame.to_dict("records")]
-
 
 def kernel(function: Callable) -> Callable[..., Column]:
     """A column function of a geometry from one of shapes; further arguments are fixed values."""
-
-    def column(geom: Column, *args) -> Column:
-        @F.pandas_udf(GEOMETRY)
-        def run(a: pd.DataFrame) -> pd.DataFrame:
-            return _frame([None if s is None else function(s, *args) for s in _shapes(a)])
-
-        return _null_if_empty(run(geom))
-
-    return column
+    return lambda geom, *args: of_shapes(lambda s: function(s, *args), "g", "geometry")(geom)
 
 
 def combine(a: Column, b: Column, how: str) -> Column:
-    """intersection, union, difference or symdifference of two geometry columns."""
-
-    @F.pandas_udf(GEOMETRY)
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        return _frame([kernels.combine(s, t, how) for s, t in zip(_shapes(x), _shapes(y), strict=True)])
-
-    return _null_if_empty(run(a, b))
+    """intersection, union, difference or symdifference of two geometry columns; null if either is."""
+    return of_shapes(lambda s, t: kernels.combine(s, t, how), "gg", "geometry")(a, b)
 
 
 def crop(frame: FeatureFrame, bbox: tuple[float, float, float, float]) -> FeatureFrame:
@@ -98,44 +72,41 @@ def buffer(frame: FeatureFrame, distance, geodetic: bool = False, resolution: in
         ring = F.transform(F.sequence(F.lit(0), F.lit(resolution)), lambda i: G.vertex(G.x(F.col(GEOM)) + d * F.cos(turn(i % resolution)), G.y(F.col(GEOM)) + d * F.sin(turn(i % resolution))))
         made = G.polygon(ring)
     else:
-        @F.pandas_udf(GEOMETRY)
-        def run(a: pd.DataFrame, r: pd.Series) -> pd.DataFrame:
-            return _frame([kernels.buffer(s, float(x), resolution, join, cap) for s, x in zip(_shapes(a), r, strict=True)])
-
-        made = _null_if_empty(run(F.col(GEOM), d.cast("double")))
+        made = of_shapes(lambda s, r: kernels.buffer(s, r, resolution, join, cap), "gv", "geometry")(F.col(GEOM), d.cast("double"))
     return frame.new(rows.withColumn(GEOM, made).where(F.col(GEOM).isNotNull()), geometry_type="Polygon")
 
 
 def dissolve(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The union of each group's geometries. Shares of a group, by place, are united first, so neighbours meet early and a hot group is many tasks."""
     cell = F.concat_ws(":", F.floor(F.log2(F.greatest(F.col(f"{GEOM}.bbox.xmax") - F.col(f"{GEOM}.bbox.xmin"), F.lit(1e-9)))).cast("string"), *(F.floor(F.col(f"{GEOM}.bbox.{k}min") / F.greatest(4 * (F.col(f"{GEOM}.bbox.{k}max") - F.col(f"{GEOM}.bbox.{k}min")), F.lit(1e-9))).cast("string") for k in "xy"))
+    return _grouped(_grouped(rows.where(F.col(GEOM).isNotNull()).select(*keys, GEOM, cell.alias("__cell")), [*keys, "__cell"], kernels.union_all), keys, kernels.union_all)
+
+
+def _grouped(rows: DataFrame, keys: Sequence[str], unite: Callable[[list], tuple | None]) -> DataFrame:
+    """keys and geom: one shape of each group's, in the frame's order if it has one."""
+    keys = list(keys)
     schema = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), f"{GEOM} {GEOMETRY}"])
 
-    def unite(frame: pd.DataFrame) -> pd.DataFrame:
-        s = kernels.union_all([kernels.shape(g) for g in frame[GEOM] if g is not None])
-        return pd.DataFrame([[*(frame[k].iloc[0] for k in keys), kernels.struct(*s) if s else None]], columns=[*keys, GEOM])
+    def run(t: pa.Table) -> pa.Table:
+        if FID in t.column_names:
+            t = t.sort_by(FID)
+        t = t.combine_chunks()
+        shapes = [s for c in t.column(GEOM).chunks for s in arrowshapes.shapes(c) if s is not None]
+        return pa.table([*(t.column(k).slice(0, 1) for k in keys), arrowshapes.geometries([unite(shapes)])], names=[*keys, GEOM])
 
-    part = rows.where(F.col(GEOM).isNotNull()).select(*keys, GEOM, cell.alias("__cell")).groupBy(*keys, "__cell").applyInPandas(unite, schema)
-    return part.groupBy(*keys).applyInPandas(unite, schema)
+    return rows.groupBy(*keys).applyInArrow(run, schema)
 
 
 def fold(how: str) -> Callable[[DataFrame, Sequence[str]], DataFrame]:
     """For aggregate(geometry=...): intersection of a group's geometries, or difference (the first less all others), in the frame's order."""
 
-    def run(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-        schema = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), f"{GEOM} {GEOMETRY}"])
-
-        def one(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values(FID)
-            shapes = [kernels.shape(g) for g in frame[GEOM] if g is not None]
-            out = shapes[0] if shapes else None
-            for s in shapes[1:]:
-                out = kernels.combine(out, s, how) if out else None
-            return pd.DataFrame([[*(frame[k].iloc[0] for k in keys), kernels.struct(*out) if out else None]], columns=[*keys, GEOM])
-
-        return rows.select(*keys, FID, GEOM).groupBy(*keys).applyInPandas(one, schema)
+    def one(shapes: list):
+        out = shapes[0] if shapes else None
+        for s in shapes[1:]:
+            out = kernels.combine(out, s, how) if out else None
+        return out
 
-    return run
+    return lambda rows, keys: _grouped(rows.select(*keys, FID, GEOM), keys, one)
 
 
 def _cleaned(s, tolerance: float):
@@ -224,15 +195,17 @@ def cut(frame: FeatureFrame, cutter: FeatureFrame) -> FeatureFrame:
 
     def run(batches):
         for b in batches:
-            out = []
-            for r in b.to_dict("records"):
-                knives = r.pop("__cut")
-                s = kernels.shape(r[GEOM])
-                for piece in _pieces(s, [kernels.shape(k) for k in knives] if knives is not None else []) if s else [None]:
-                    out.append({**r, GEOM: kernels.struct(*piece) if piece else None})
-            yield pd.DataFrame(out, columns=schema.names)
+            knives = b.column(b.num_columns - 1).to_pylist()
+            at, made = [], []
+            for i, s in enumerate(arrowshapes.shapes(b.column(b.schema.get_field_index(GEOM)))):
+                for piece in _pieces(s, [kernels.shape(k) for k in knives[i] or []]) if s else [None]:
+                    at.append(i)
+                    made.append(piece)
+            rows = b.select(schema.names).take(pa.array(at, pa.int64()))
+            columns = [arrowshapes.geometries(made) if n == GEOM else rows.column(n) for n in schema.names]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return frame.new(rows.mapInPandas(run, schema))
+    return frame.new(rows.mapInArrow(run, schema))
 
 
 def _pieces(s, knives: list) -> list:
@@ -252,8 +225,8 @@ def _pieces(s, knives: list) -> list:
                 run.append((x1, y1))
             out.append(("LineString", [[run]]))
         return out
-    # A blade so thin that its area is nothing against the polygon's parts it.
-    width = 1e-9 * max(1.0, abs(kernels.edges(s)).max())
+    # A blade so thin that its area is nothing against the polygon's parts it; it must be wider than what stitching takes for one point.
+    width = 1e-7 * max(1.0, abs(kernels.edges(s)).max())
     rest = kernels.combine(s, kernels.buffer(lines, width, 4, cap="square"), "difference")
     return [("Polygon", [part]) for part in rest[1]] if rest else [s]
 
@@ -285,7 +258,7 @@ def tessellate(frame: FeatureFrame, how: str = "voronoi", key: str | None = None
             made = [(i, [pts[a], pts[b], pts[c], pts[a]]) for i, (a, b, c) in enumerate(kernels.delaunay(pts))]
         return pd.DataFrame([[*(p[k].iloc[0] for k in keys), i, kernels.struct("Polygon", [[ring]])] for i, ring in made], columns=[*keys, FID, GEOM])
 
-    return frame.new((rows.groupBy(*keys) if keys else rows.groupBy(F.lit(1))).applyInPandas(run, schema), geometry_type="Polygon")
+    return frame.new(rows.withColumn("__all", F.lit(1)).groupBy(*(keys or ["__all"])).applyInPandas(run, schema), geometry_type="Polygon")
 
 
 def label_points(frame: FeatureFrame, view: tuple[float, float, float, float]) -> FeatureFrame:

@@ -9,15 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from geoframe.functions import geodesy, kernels, stats
 from geoframe.functions import geometry as G
+from geoframe.functions.arrowshapes import of_shapes
 from geoframe.operators.table import FeatureFrame
-from geoframe.types import FID, GEOM, GEOMETRY
+from geoframe.types import FID, GEOM
 
 #: The most cells that a feature may be listed under along one axis.
 CELLS_ALONG = 48
@@ -57,17 +56,7 @@ def candidates(left: DataFrame, right: DataFrame, size: float, extra: float = 0.
 
 def _kernel(condition: str):
     test = kernels.PREDICATES[condition]
-
-    @F.pandas_udf("boolean")
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-        return pd.Series([bool(test(kernels.shape(x), kernels.shape(y))) for x, y in zip(a.to_dict("records"), b.to_dict("records"), strict=True)])
-
-    return run
-
-
-@F.pandas_udf(T.DoubleType())
-def _distance(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-    return pd.Series([kernels.distance(kernels.shape(x), kernels.shape(y)) for x, y in zip(a.to_dict("records"), b.to_dict("records"), strict=True)], dtype=float)
+    return of_shapes(lambda a, b: bool(test(a, b)), "gg", "boolean")
 
 
 def predicate(condition: str, a: Column, b: Column, atype: str | None = None, btype: str | None = None) -> Column:
@@ -95,7 +84,7 @@ def planar_distance(a: Column, b: Column, atype: str | None = None, btype: str |
         return G.distance_to_point(a, G.x(b), G.y(b))
     if atype == "Point":
         return G.distance_to_point(b, G.x(a), G.y(a))
-    return _distance(a, b)
+    return of_shapes(kernels.distance, "gg", "double")(a, b)
 
 
 def _clip(how, a: Column, b: Column, btype: str | None):
@@ -104,14 +93,7 @@ def _clip(how, a: Column, b: Column, btype: str | None):
     if how not in ("intersection", "union", "difference"):
         raise ValueError(f"unknown clip: {how}")
 
-    @F.pandas_udf(GEOMETRY)
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = [kernels.combine(kernels.shape(u), kernels.shape(v), how) for u, v in zip(x.to_dict("records"), y.to_dict("records"), strict=True)]
-        rows = [kernels.struct(*s) if s else None for s in out]
-        return pd.DataFrame([r or {"type": None, "multi": None, "parts": None, "bbox": None} for r in rows], columns=["type", "multi", "parts", "bbox"])
-
-    made = run(a, b)
-    return F.when(made["parts"].isNotNull(), made)
+    return of_shapes(lambda s, t: kernels.combine(s, t, how), "gg", "geometry")(a, b)
 
 
 def where(left: FeatureFrame, right: FeatureFrame, condition: str, radius: float | None = None) -> FeatureFrame:
@@ -257,28 +239,22 @@ def closest_point(left: FeatureFrame, right: FeatureFrame) -> FeatureFrame:
     return left.new(pairs.select(*(F.col(f"l_{f}").alias(f) for f in left.fields), F.col(f"l_{FID}").alias(FID), spot.alias(GEOM)), geometry_type="Point")
 
 
-@F.pandas_udf(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
-def _closest_xy(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for x, y in zip(a.to_dict("records"), b.to_dict("records"), strict=True):
-        s, t = kernels.shape(x), kernels.shape(y)
-        e, f = kernels.edges(s), kernels.edges(t)
-        met = kernels.crossings(e, f)
-        if met:
-            out.append(met[0][4:])
-            continue
-        best = None
-        for u, v, w, z in e.tolist():
-            for p, q in f.reshape(-1, 2).tolist():
-                d2 = (w - u) ** 2 + (z - v) ** 2
-                k = min(1, max(0, ((p - u) * (w - u) + (q - v) * (z - v)) / d2)) if d2 else 0
-                spot = (u + k * (w - u), v + k * (z - v))
-                best = min(filter(None, (best, ((spot[0] - p) ** 2 + (spot[1] - q) ** 2, spot))))
-            d = kernels.point_distance(u, v, f)[0].min()
-            best = min(best, (d * d, (u, v)))
-        out.append(best[1])
-    return pd.DataFrame(out, columns=["x", "y"])
+def _closest_xy(s, t) -> dict:
+    e, f = kernels.edges(s), kernels.edges(t)
+    met = kernels.crossings(e, f)
+    if met:
+        return {"x": met[0][4], "y": met[0][5]}
+    best = (float("inf"), (0.0, 0.0))
+    for u, v, w, z in e.tolist():
+        for p, q in f.reshape(-1, 2).tolist():
+            d2 = (w - u) ** 2 + (z - v) ** 2
+            k = min(1, max(0, ((p - u) * (w - u) + (q - v) * (z - v)) / d2)) if d2 else 0
+            spot = (u + k * (w - u), v + k * (z - v))
+            best = min(best, ((spot[0] - p) ** 2 + (spot[1] - q) ** 2, spot))
+        d = kernels.point_distance(u, v, f)[0].min()
+        best = min(best, (float(d * d), (u, v)))
+    return {"x": best[1][0], "y": best[1][1]}
 
 
 def _closest(a: Column, b: Column) -> Column:
-    return G.let(_closest_xy(a, b), lambda p: G.point(p["x"], p["y"]))
+    return of_shapes(lambda s, t: ("Point", [[[tuple(_closest_xy(s, t).values())]]]), "gg", "geometry")(a, b)

@@ -5,6 +5,7 @@ All operators are lazy and return a new frame.  Order-dependent statistics (firs
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoframe.functions import geometry as G
-from geoframe.functions import stats
+from geoframe.functions import kernels, stats
 from geoframe.functions.exprparse import parse
 from geoframe.types import FID, GEOM, GEOMETRY, WGS84
 
@@ -56,10 +57,9 @@ class FeatureFrame:
                 row = [row.get(f) for f in fields]
             if len(row) != len(fields):
                 raise ValueError(f"row {i} has {len(row)} values for {len(fields)} fields")
-            made.append((*row, i, g))
+            made.append((*row, i, _parsed(g)))
         kinds = schema or ", ".join(f"`{f}` {_kind([r[i] for r in made])}" for i, f in enumerate(fields))
-        df = spark.createDataFrame(made, f"{kinds}{', ' if fields else ''}{FID} long, __g string")
-        return cls(df.withColumn(GEOM, G.from_geojson(F.col("__g"))).drop("__g"), **more)
+        return cls(spark.createDataFrame(made, f"{kinds}{', ' if fields else ''}{FID} long, {GEOM} {GEOMETRY}"), **more)
 
     def new(self, df: DataFrame, **changes) -> FeatureFrame:
         return FeatureFrame(df, **({"geometry_type": self.geometry_type, "crs": self.crs} | changes))
@@ -357,6 +357,18 @@ class FeatureFrame:
         return self.new(self.df.withColumn(GEOM, G.point(F.col(xfield).try_cast("double"), F.col(yfield).try_cast("double"))), geometry_type="Point")
 
 
+def _parsed(text: str | None) -> dict | None:
+    """The geometry struct of a GeoJSON text, on the driver; None where from_geojson gives null."""
+    try:
+        shape = json.loads(text or "null")
+        kind, c = shape["type"], shape["coordinates"]
+        parts = {"Point": lambda: [[[c]]], "MultiPoint": lambda: [[[p]] for p in c], "LineString": lambda: [[c]], "MultiLineString": lambda: [[r] for r in c], "Polygon": lambda: [c], "MultiPolygon": lambda: c}[kind]()
+        out = kernels.struct(kind.removeprefix("Multi"), [[[(v[0], v[1]) for v in r] for r in p] for p in parts])
+        return out and out | {"multi": kind.startswith("Multi")}
+    except (ValueError, KeyError, TypeError):
+        return None
+
+
 def _kind(values: list) -> str:
     seen = {type(v) for v in values if v is not None}
     return "boolean" if seen == {bool} else "long" if seen and seen <= {int, bool} else "double" if seen and seen <= {int, float} else "string"

@@ -615,10 +615,10 @@ def rasterize_count(s, sf):
     return _cells(rastervec.rasterize(X.customers(s, sf), WORLD, "c_acctbal", "count"))
 
 
-@registered(cte("sup", "zon") + f", {_WORLD} SELECT col, row, CAST(sum(n_nationkey + 1) AS DOUBLE) AS value FROM world JOIN (SELECT *, x1 + 15 AS a, x2 + 15 AS b, y1 + 15 AS c, y2 + 15 AS d FROM zon UNION ALL SELECT *, x1 AS a, x2 AS b, y1 AS c, y2 AS d FROM zon) z ON -175 + 10 * col > a AND -175 + 10 * col < b AND 85 - 10 * row > c AND 85 - 10 * row < d GROUP BY 1, 2")
+@registered(cte("sup", "zon") + f", {_WORLD} SELECT col, row, CAST(sum(n_nationkey + 1) AS DOUBLE) AS value FROM world JOIN (SELECT *, x1 + 14 AS a, x2 + 14 AS b, y1 + 14 AS c, y2 + 14 AS d FROM zon UNION ALL SELECT *, x1 AS a, x2 AS b, y1 AS c, y2 AS d FROM zon) z ON -175 + 10 * col > a AND -175 + 10 * col < b AND 85 - 10 * row > c AND 85 - 10 * row < d GROUP BY 1, 2")
 def rasterize_sum(s, sf):
     z = X.zones(s, sf)
-    moved = z.new(z.df.withColumn(GEOM, G.transform(F.col(GEOM), lambda x, y: x + 15, lambda x, y: y + 15)))
+    moved = z.new(z.df.withColumn(GEOM, G.transform(F.col(GEOM), lambda x, y: x + 14, lambda x, y: y + 14)))
     return _cells(rastervec.rasterize(z.new(z.df.unionByName(moved.df)), WORLD, F.col("n_nationkey") + 1, "sum"))
 
 
