@@ -16,10 +16,7 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{os.path.join(tempfile.gettempdir(), 'geoframe-shared')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    return (path or f"file://{os.path.join(tempfile.gettempdir(), 'geoframe-shared')}").rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -18,6 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,8 +108,10 @@ def links(classes: DataFrame, hashes: int, least: float) -> DataFrame:
     """id, n, low: for vectors (label, id, v, copies), how many links were counted in a block and the smallest id in reach there."""
 
     def hashed(batches):
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            lengths = np.asarray(pc.list_value_length(whole.column(2)))
+            for n in np.unique(lengths).tolist():  # vectors of one length at a time
+                b = whole.take(pa.array(np.flatnonzero(lengths == n)))
                 v = matrix(b.column(2))
                 v = v / np.linalg.norm(v, axis=1, keepdims=True)
                 for s in range(0, len(v), 4096):

@@ -343,8 +343,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
             yield pa.RecordBatch.from_arrays([b.column(0), _signed(node)], names=["row", "mark"])
 
     marked = again.mapInArrow(sets, f"row {again.schema['row'].dataType.simpleString()}, mark long")
-    right = told.where(stays).select("id", F.col("node").alias("mark"), "root").distinct()
-    held = marked.join(right, (F.col(f"row.{id_col}").eqNullSafe(F.col("id"))) & (marked["mark"] == right["mark"]))
+    right = told.where(stays).select("id", F.col("node").alias("same"), "root").distinct()
+    held = marked.join(right, F.col(f"row.{id_col}").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("same")))
     one = held.where("root IS NOT NULL").dropDuplicates(["id", "root"]).unionByName(held.where("root IS NULL"))
     return plain.unionByName(one.select("row.*"))
 

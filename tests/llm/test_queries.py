@@ -19,16 +19,16 @@ def test_every_operator_has_a_query():
 
 
 def test_shared_folder_is_the_clusters(spark, tmp_path):
-    from geoframe.llm.common import shared_dir, written
-
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        written(spark.range(3), "some").count()
-        assert any(n.startswith("some-") for n in os.listdir(tmp_path))
-    finally:
-        if before:
-            spark.conf.set("spark.checkpoint.dir", before)
-        else:
-            spark.conf.unset("spark.checkpoint.dir")
-    assert shared_dir(spark)
+    """Tables go to the folder in spark.checkpoint.dir, read from the session; a folder of our own serves only where it is unset."""
+    from geoframe.llm import common
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: f"file://{tmp_path}/" if key == "spark.checkpoint.dir" else default)
+
+    assert common.shared_dir(Session) == f"file://{tmp_path}"
+    out = common.written(spark.range(3), "some")
+    at = out.__dict__["written_at"].removeprefix("file://")
+    assert at.startswith(common.shared_dir(spark).removeprefix("file://")) and os.path.isdir(at) and out.count() == 3
+    common.delete_written(out)
+    assert not os.path.isdir(at)
