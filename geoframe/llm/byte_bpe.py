@@ -7,16 +7,18 @@ encoding is read off backwards.  Appending bytes only appends to the table, and
 it are made anew.
 
 Defined results: a null text is encoded as the empty text (no ids); an empty text has no ids and decodes to nothing;
-a piece of any length is encoded whole (time in proportion to its length times the longest token); repeated rows give
+a piece of any length is encoded whole, in time in proportion to the tokens that occur in it; repeated rows give
 repeated rows; an empty table gives an empty table; columns other than the two named ones are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from geoframe.llm.common import release, text_batches
 
 #: Pieces that a Python worker keeps encoded; when as many new ones have come, those not seen since go.
-KEPT_PIECES = 250_000
+KEPT_PIECES = 400_000
 
 
 class Vocabulary:
@@ -41,6 +43,10 @@ class Vocabulary:
             self.tokens[rank] = token
         self.longest = max(map(len, self.ranks))
         self.alone: set[int] = set()
+        self.matcher = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            self.matcher.add_word(token.decode("latin-1"), (rank, len(token)))
+        self.matcher.make_automaton()
         self.merged: dict[tuple[int, int], int] = {}
         self.halves: list[tuple[int, int]] = [(i, i) for i in range(len(self.tokens))]
         self.follows: dict[tuple[int, int], bool] = {}
@@ -77,27 +83,27 @@ class Vocabulary:
                         return True
 
     def extend(self, data: bytes, last: list[int]) -> list[int]:
-        """The last token of each prefix of data, where last holds those of the first len(last) prefixes."""
-        ranks, follows, alone, longest = self.ranks, self.follows, self.alone, self.longest
-        for end in range(len(last) + 1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(data[start:end])
-                if token is None:
-                    continue
-                if not start:
-                    if token in alone:
-                        last.append(token)
-                        break
-                    continue
-                pair = last[start - 1], token
+        """The last token of each prefix of data, where last holds those of the first len(last) prefixes. The matcher tells all tokens
+        that end at each byte, the longest first."""
+        follows, alone = self.follows, self.alone
+        base = max(0, len(last) + 1 - self.longest)
+        done = len(last)
+        for at, (token, size) in self.matcher.iter(data[base:].decode("latin-1")):
+            end = base + at + 1
+            if end <= done:
+                continue
+            if end == size:
+                may = token in alone
+            else:
+                pair = last[end - size - 1], token
                 may = follows.get(pair)
                 if may is None:
                     may = token in alone and self.may_follow(*pair)
-                    if len(follows) < 1_000_000:
+                    if len(follows) < 400_000:
                         follows[pair] = may
-                if may:
-                    last.append(token)
-                    break
+            if may:
+                last.append(token)
+                done = end
         return last
 
     def encode_piece(self, data: bytes) -> list[int]:
@@ -157,16 +163,16 @@ class Encoding:
 
 
 class _Pieces(dict):
-    """Ids of pieces; two generations, so that pieces in use stay while memory is bounded."""
+    """Ids of pieces as packed 32-bit numbers; two generations, so that pieces in use stay while memory is bounded."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary, self.older, self.numbers = vocabulary, {}, list(range(len(vocabulary.tokens)))
+        self.vocabulary, self.older = vocabulary, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            ids = tuple(map(self.numbers.__getitem__, self.vocabulary.encode_piece(piece.encode())))
+            ids = array("i", self.vocabulary.encode_piece(piece.encode())).tobytes()
         if len(piece) <= 64:
             if len(self) >= KEPT_PIECES:
                 self.older = dict(self)
@@ -209,7 +215,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
             for batch in _runs(whole, 1):
                 values, ends = [], [0]
                 for text in batch.column(1).to_pylist():
-                    ids = np.fromiter(chain.from_iterable(map(get, find(text))), np.int32)
+                    ids = np.frombuffer(b"".join(map(get, find(text))), np.int32)
                     values.append(ids)
                     ends.append(ends[-1] + len(ids))
                 flat = np.concatenate(values) if values else np.zeros(0, np.int32)
