@@ -189,3 +189,55 @@ def mask(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     told = told.withColumn("__spans", spans)
     text = F.when(F.size("__spans") > 0, masked(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))
     return told.withColumn(text_col, text).select(*df.columns).unionByName(plain)
+
+
+#: The patterns as written for an engine that never backtracks; candidates are runs of six or more that hold a digit.
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "id": r"[A-Za-z0-9_-]{6,}",
+}
+
+
+def oracle_sql(rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> str:
+    """DuckDB SQL for report(find(documents))."""
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = r"regexp_extract_all(" + lower + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    cut = " UNION ALL ".join(
+        f"SELECT r, t, {i} AS rank, '{k}' AS kind, regexp_extract_all(t, '{p}') AS m, list_transform(regexp_split_to_array(t, '{p}'), lambda x: length(x)) AS g FROM docs WHERE regexp_matches(t, '{p}')" for i, (k, p) in enumerate(PLAIN.items())
+    )
+    digits = "regexp_replace(value, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(0, length({digits})), lambda i: CASE WHEN i % 2 = 0 THEN CAST({digits}[length({digits}) - i] AS INTEGER) WHEN CAST({digits}[length({digits}) - i] AS INTEGER) > 4 THEN 2 * CAST({digits}[length({digits}) - i] AS INTEGER) - 9 ELSE 2 * CAST({digits}[length({digits}) - i] AS INTEGER) END)) % 10 = 0"
+    octets = "len(list_filter(string_split(value, '.'), lambda p: NOT regexp_matches(regexp_replace(p, '^0+', ''), '^(?:|[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$'))) = 0"
+    steps, score = [], "score0"
+    for k in range(1, rounds + 1):
+        steps.append(f"sure{k} AS (SELECT pattern, round(sum(score), 9) / (max(n) + 1) AS sure FROM live JOIN {score} USING (value) GROUP BY pattern)")
+        steps.append(f"score{k} AS (SELECT value, CASE WHEN bool_or(seed) THEN 1.0 ELSE round(avg(sure), 9) END AS score FROM live JOIN sure{k} USING (pattern) GROUP BY value)")
+        score = f"score{k}"
+    listed = "kind || ':' || start || ':' || stop"
+    counts = ", ".join(f"count(*) FILTER (rank = {i}) AS n_{k}" for i, k in enumerate(KINDS))
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+cut AS ({cut}),
+places AS (SELECT r, t, rank, kind, unnest(m) AS value, unnest(range(len(m))) AS i, g, list_transform(m, lambda x: length(x)) AS l FROM cut),
+found AS (SELECT r, t, rank, kind, value, CAST(list_sum(g[1:i + 1]) + coalesce(list_sum(l[1:i]), 0) AS BIGINT) AS start FROM places),
+spans AS (SELECT r, t, rank, kind, value, start, start + length(value) AS stop FROM found),
+base AS (SELECT * FROM spans WHERE CASE kind WHEN 'email' THEN true WHEN 'ip' THEN {octets}
+  WHEN 'card' THEN length({digits}) BETWEEN 14 AND 19 AND {luhn} WHEN 'phone' THEN length({digits}) BETWEEN 10 AND 15 ELSE false END),
+free AS (SELECT * FROM spans s WHERE kind = 'id' AND regexp_matches(value, '[0-9]')
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = s.r AND b.start < s.stop AND s.start < b.stop)),
+seen AS (SELECT r, start, stop, value, rank < {len(KINDS)} AS seed, substring(t, greatest(start - {CONTEXT}, 0) + 1, start - greatest(start - {CONTEXT}, 0)) AS b, substring(t, stop + 1, {CONTEXT}) AS a
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM free)),
+contexts AS (SELECT value, seed, unnest([CASE WHEN len({words.format("b")}) > 0 THEN '<' || {words.format("b")}[-1] END, CASE WHEN len({words.format("a")}) > 0 THEN '>' || {words.format("a")}[1] END]) AS pattern FROM seen),
+edges AS (SELECT pattern, value, bool_or(seed) AS seed FROM contexts WHERE pattern IS NOT NULL GROUP BY ALL),
+vouched AS (SELECT pattern, count(*) AS n FROM edges GROUP BY pattern HAVING count(*) FILTER (seed) >= {support}),
+live AS (SELECT pattern, value, seed, n FROM edges JOIN vouched USING (pattern)),
+score0 AS (SELECT value, CASE WHEN bool_or(seed) THEN 1.0 ELSE 0.0 END AS score FROM live GROUP BY value),
+{", ".join(steps)},
+ids AS (SELECT DISTINCT r, {len(KINDS)} AS rank, 'id' AS kind, start, stop FROM seen WHERE NOT seed AND value IN (SELECT value FROM {score} WHERE score >= {confidence})),
+per AS (SELECT r, {counts}, string_agg({listed}, ',' ORDER BY start, rank) AS l FROM base GROUP BY r),
+whole AS (SELECT r, string_agg({listed}, ',' ORDER BY start, rank) AS l FROM (SELECT r, rank, kind, start, stop FROM base UNION ALL SELECT * FROM ids) GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)}, sha256(coalesce(per.l, '')) AS base_sha256, coalesce(whole.l, '') AS spans
+FROM docs LEFT JOIN per USING (r) LEFT JOIN whole USING (r)"""

@@ -64,4 +64,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_topk_search, op3_ngram_join, op4_source_mix, op5_language_id, op6_embedding_dedup, op7_byte_bpe, op8_quality, op9_chat_format, op10_pii)}
 
-ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql(), "op2_topk_search": topk_search.oracle_sql(), "op3_ngram_join": ngram_join.oracle_sql(), "op4_source_mix": source_mix.oracle_sql(), "op6_embedding_dedup": embedding_dedup.oracle_sql(), "op9_chat_format": chat_format.oracle_sql(STEERING)}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql(), "op2_topk_search": topk_search.oracle_sql(), "op3_ngram_join": ngram_join.oracle_sql(), "op4_source_mix": source_mix.oracle_sql(), "op6_embedding_dedup": embedding_dedup.oracle_sql(), "op9_chat_format": chat_format.oracle_sql(STEERING), "op10_pii": pii.oracle_sql()}
