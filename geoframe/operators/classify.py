@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoframe.functions.stats import number
+from geoframe.operators.table import checkpointed
 
 #: Values that natural() takes at most; more are sampled by hash, with both ends kept.
 NATURAL_SAMPLE = 1000
@@ -58,7 +59,7 @@ def quantile(df: DataFrame, value: Column, classes: int = 5) -> list[float]:
     # Ranks by counts of equal values, summed along them: rows of one value are one row.
     counted = df.select(value.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
     ranged = counted.repartitionByRange("v").withColumn("p", F.spark_partition_id())
-    inside = ranged.withColumn("upto", F.sum("n").over(Window.partitionBy("p").orderBy("v")))
+    inside = checkpointed(ranged.withColumn("upto", F.sum("n").over(Window.partitionBy("p").orderBy("v"))))
     before = inside.groupBy("p").agg(F.sum("n").alias("n"))
     before = before.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
     ends = inside.join(F.broadcast(before), "p").select("v", (F.col("upto") + F.col("b") - F.col("n")).alias("lo"), (F.col("upto") + F.col("b")).alias("hi"))

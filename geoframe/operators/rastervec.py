@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from geoframe.functions import geometry as G
 from geoframe.functions import stats
 from geoframe.operators.raster import CELL, RasterFrame
-from geoframe.operators.table import FeatureFrame
+from geoframe.operators.table import FeatureFrame, checkpointed
 from geoframe.types import FID, GEOM, Grid
 
 
@@ -99,24 +99,12 @@ def regions(raster: RasterFrame) -> DataFrame:
             rows = rows.withColumn("__run", F.sum(F.when(F.coalesce(start, F.lit(False)), 0).otherwise(1)).over(along))
             rows = rows.withColumn("__new", F.min("region").over(Window.partitionBy(other, "__run")))
             rows = rows.withColumn("moved" if axis == "row" else "moved_col", F.col("__new") != F.col("region")).withColumn("region", F.col("__new")).drop("__run", "__new")
-        rows = _checkpointed(rows)
+        rows = checkpointed(rows)
         if rows.where("moved OR moved_col").isEmpty():
             return rows.select("col", "row", "value", "region")
         rows = rows.drop("moved", "moved_col")
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Lineage cut in the cluster's shared folder."""
-    import os
-    import tempfile
-
-    spark = df.sparkSession
-    path = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'geoframe-shared')}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return df.checkpoint()
-
-
 def _point_cells(frame: FeatureFrame, grid: Grid, value) -> DataFrame:
     """Points with their fractional cell place (u, v), cell and value."""
     u, v = _place(grid, G.x(F.col(GEOM)), G.y(F.col(GEOM)))

@@ -6,6 +6,8 @@ All operators are lazy and return a new frame.  Order-dependent statistics (firs
 from __future__ import annotations
 
 import json
+import os
+import tempfile
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,16 +26,28 @@ def as_column(condition) -> Column:
     return parse(condition) if isinstance(condition, str) else condition
 
 
-def with_fid(df: DataFrame, *keys: str) -> DataFrame:
-    """df with __fid from 0 in the order of the keys. The rank is made in two levels, range partitions and places in them, so no
-    task sees all rows; without keys ids only follow the order in which rows are read."""
-    if not keys:
-        return df.withColumn(FID, F.monotonically_increasing_id())
-    ranged = df.repartitionByRange(*(F.col(k) for k in keys)).sortWithinPartitions(*keys).withColumn("__p", F.spark_partition_id())
-    local = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*keys)))
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the folder that the cluster names in spark.checkpoint.dir (one of our own only where that is unset)."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        path = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'geoframe-shared')}"
+        spark.sparkContext.setCheckpointDir(path)
+    return df.checkpoint()
+
+
+def ranked(df: DataFrame, *order: Column, name: str = FID) -> DataFrame:
+    """df with a number from 0 in the given order. Rows are dealt into ranges and ranked inside; the ranges' sizes are added up, so no
+    task sees all rows. The ranges come from a sample, which another run would draw otherwise: they are kept before they are counted."""
+    ranged = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    local = checkpointed(ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order))))
     sizes = local.groupBy("__p").agg(F.count("*").alias("__n"))
     starts = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
-    return local.join(F.broadcast(starts), "__p").select(*df.columns, (F.col("__s") + F.col("__r") - 1).alias(FID))
+    return local.join(F.broadcast(starts), "__p").select(*(c for c in df.columns if c != name), (F.col("__s") + F.col("__r") - 1).alias(name))
+
+
+def with_fid(df: DataFrame, *keys: str) -> DataFrame:
+    """df with __fid from 0 in the order of the keys; without keys ids only follow the order in which rows are read."""
+    return ranked(df, *(F.col(k) for k in keys)) if keys else df.withColumn(FID, F.monotonically_increasing_id())
 
 
 class FeatureFrame:
@@ -146,12 +160,7 @@ class FeatureFrame:
         for n, c in zip(names, columns, strict=True):
             df = df.withColumn(n, c)
         order = [F.col(n).desc() if reverse else F.col(n).asc() for n in names]
-        ranged = df.repartitionByRange(*order, F.col("__old")).withColumn("__p", F.spark_partition_id())
-        local = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order, "__old")))
-        starts = local.groupBy("__p").agg(F.count("*").alias("__n"))
-        starts = starts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
-        out = local.join(F.broadcast(starts), "__p").withColumn(FID, F.col("__s") + F.col("__r") - 1)
-        return self.new(out.select(*self.df.columns))
+        return self.new(ranked(df, *order, F.col("__old")).select(*self.df.columns))
 
     def limit(self, n: int) -> FeatureFrame:
         return self.new(self.df.orderBy(FID).limit(n))

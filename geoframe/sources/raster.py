@@ -6,10 +6,11 @@ import struct as binary
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoframe.operators.raster import RasterFrame
+from geoframe.operators.table import checkpointed
 from geoframe.sources.vector import head
 from geoframe.types import WGS84, Grid
 
@@ -42,10 +43,8 @@ def read_ascii(spark: SparkSession, path: str) -> RasterFrame:
     y = header.get("yllcorner", header.get("yllcenter", 0.0) - size / 2)
     rows = spark.read.text(path).withColumn("o", F.monotonically_increasing_id())
     parts = rows.select("o", F.filter(F.split("value", r"[ \t\r]+"), lambda v: v != "").alias("v"))
-    ranged = parts.repartitionByRange("o").sortWithinPartitions("o").withColumn("p", F.spark_partition_id())
-    from pyspark.sql import Window
-
-    local = ranged.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy("o")) - 1).withColumn("k", F.size("v"))
+    ranged = checkpointed(parts.repartitionByRange("o").withColumn("p", F.spark_partition_id()))
+    local = ranged.withColumn("k", F.size("v"))
     local = local.where((F.col("o") >= lines) | (F.col("o") >= 1 << 33))
     before = Window.partitionBy("p").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
     local = local.withColumn("s", F.coalesce(F.sum("k").over(before), F.lit(0)))
