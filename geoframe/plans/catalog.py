@@ -438,9 +438,11 @@ def breaks_natural(s, sf):
     return _broken(s, X.table(s, sf, "customer"), F.col("c_acctbal"), "natural")
 
 
-@registered()
+@registered("WITH RECURSIVE v AS (SELECT l_quantity * l_quantity * l_extendedprice AS v FROM lineitem), h(k, m) AS (SELECT 0, CAST('-infinity' AS DOUBLE) UNION ALL SELECT k + 1, m2 FROM h, LATERAL (SELECT avg(v) AS m2 FROM v WHERE v >= h.m) a, LATERAL (SELECT count(*) FILTER (v >= m2) AS head, count(*) FILTER (v < m2) AS tail FROM v WHERE v >= h.m) b WHERE tail > head), e AS (SELECT min(v) AS edge FROM v UNION ALL SELECT m FROM h WHERE k > 0 UNION ALL SELECT max(v) FROM v) SELECT CAST(row_number() OVER (ORDER BY edge) - 1 AS INTEGER) AS i, round(edge, 2) AS edge FROM e")
 def breaks_headtail(s, sf):
-    return _broken(s, X.table(s, sf, "orders"), F.col("o_totalprice"), "headtail")
+    rows = X.table(s, sf, "lineitem")
+    out = _broken(s, rows, F.col("l_quantity") * F.col("l_quantity") * F.col("l_extendedprice"), "headtail")
+    return out.select("i", (F.round("edge", 2) + 0.0).alias("edge"))
 
 
 @registered("SELECT CAST(r.i AS INTEGER) AS range_id, count(p_partkey) AS n FROM (VALUES (0, 1, 20), (1, 10, 30), (2, 30, 50), (3, 90, 99)) r(i, a, b) LEFT JOIN part ON p_size BETWEEN a AND b GROUP BY 1")
