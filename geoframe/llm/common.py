@@ -60,6 +60,7 @@ def text_batches(df: DataFrame) -> DataFrame:
 
 def sliced(batches, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Batches in slices of a few rows; when all are through, memory that is free goes back to the system, as workers live on."""
+    pa.set_memory_pool(pa.system_memory_pool())  # what it frees, release() can give back
     try:
         for b in batches:
             for s in range(0, b.num_rows, rows):

@@ -31,6 +31,8 @@ from geoframe.llm.shingles import forget, shingles
 #: Groups of a shingle that still make pairs, rows of a block, shingles counted at a time, repeats that are told among them, and
 #: how often a shingle must be told to be frequent, and how many such are kept (5 MB of them). Counted are the upper halves of the hashes.
 SMALL, BLOCK, COUNTED, TOLD, FREQUENT, MOST_FREQUENT = 64, 768, 3_000_000, 2, 4, 1 << 20
+#: Shingles that a row of a block counts for at least: blocks hold BLOCK rows of so many, or fewer longer ones.
+TYPICAL = 512
 #: Bits of the map that tells a scan which rows may be wanted; more wanted rows let more others through, and nothing else.
 BITS = 1 << 26
 
@@ -147,8 +149,9 @@ def candidates(postings: DataFrame, percent: int) -> DataFrame:
                 same = int(np.searchsorted(cols[0] != large, True)) if (cols[0] != large).any() else len(cols[0])
                 if same:
                     t, i, n, p = (c[:same] for c in cols)
-                    yield rows(i, None, t, n, p, (seen + np.arange(same)) // BLOCK)
-                    seen += same
+                    weight = seen + np.cumsum(np.maximum(n, TYPICAL), dtype=np.int64)
+                    yield rows(i, None, t, n, p, weight // (BLOCK * TYPICAL))
+                    seen = int(weight[-1])
                     cols = [c[same:] for c in cols]
                 if not len(cols[0]):
                     continue
@@ -161,9 +164,10 @@ def candidates(postings: DataFrame, percent: int) -> DataFrame:
             tail = [c[last] for c in cols]
             yield from closed(cols, starts[:-1], ends[:-1])
             if len(tail[0]) > SMALL:
-                large, seen = int(tail[0][0]), len(tail[0])
                 t, i, n, p = tail
-                yield rows(i, None, t, n, p, np.arange(seen) // BLOCK)
+                weight = np.cumsum(np.maximum(n, TYPICAL), dtype=np.int64)
+                large, seen = int(t[0]), int(weight[-1])
+                yield rows(i, None, t, n, p, weight // (BLOCK * TYPICAL))
                 tail = None
         if tail is not None:
             yield from closed(tail, np.array([0]), np.array([len(tail[0])]))
@@ -172,7 +176,7 @@ def candidates(postings: DataFrame, percent: int) -> DataFrame:
         t, i, n, p = cols
         length = ends - starts
         for s, e in zip(starts[length > SMALL].tolist(), ends[length > SMALL].tolist(), strict=True):
-            yield rows(i[s:e], None, t[s:e], n[s:e], p[s:e], np.arange(e - s) // BLOCK)
+            yield rows(i[s:e], None, t[s:e], n[s:e], p[s:e], np.cumsum(np.maximum(n[s:e], TYPICAL), dtype=np.int64) // (BLOCK * TYPICAL))
         for size in np.unique(length[(length > 1) & (length <= SMALL)]).tolist():
             x, y = np.triu_indices(size, 1)
             first = starts[length == size]
@@ -248,20 +252,29 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("token", "u", "v").applyInPandas(compare, "a long, b long")
 
 
-def let_through(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose key is in wanted, and some others, without a shuffle: by a map of BITS bits, made on the executors, of which at
-    most BITS / 64 numbers come together, however many keys are wanted."""
+def wanted_test(key: str, wanted: DataFrame):
+    """A column, and a function of its values that tells the rows whose key is in wanted, and some others, without a shuffle: by a map of
+    BITS bits, made on the executors, of which at most BITS / 64 numbers come together, however many keys are wanted."""
     spot = F.pmod(F.xxhash64(key), F.lit(BITS))
     words = wanted.select(spot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("m")).toPandas()
     bits = np.zeros(BITS // 64 if len(words) else 1, np.int64)
     bits[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
-    bits, size, names = bits.view(np.uint8), BITS if len(words) else 64, rows.columns
+    bits, size = bits.view(np.uint8), BITS if len(words) else 64
+
+    def test(spots: pa.Array) -> pa.Array:
+        at = spots.to_numpy() % size
+        return pa.array(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
+
+    return spot, test
+
+
+def let_through(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key is in wanted, and some others (see wanted_test)."""
+    (spot, test), names = wanted_test(key, wanted), rows.columns
 
     def run(batches):
         for b in batches:
-            at = b.column(b.num_columns - 1).to_numpy() % size
-            hit = pa.array(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
-            yield pa.RecordBatch.from_arrays(b.columns[:-1], names=names).filter(hit)
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], names=names).filter(test(b.column(b.num_columns - 1)))
 
     return rows.withColumn("__spot", spot).mapInArrow(run, rows.schema)
 
@@ -294,16 +307,18 @@ def linked(df: DataFrame, id_col: str, text_col: str, width: int, percent: int)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select(F.col("a").alias("node"))).distinct()
     needed = written(needed.join(nodes.select("node", "id"), "node").select("node", "id"), "join-needed")
 
+    spot, test = wanted_test("id", needed)
+
     def sets(batches):
         for b in sliced(batches):
-            found = [shingles(t, width) for t in b.column(1).to_pylist()]
+            found = [shingles(t, width) for t in b.filter(test(b.column(1))).column(0).to_pylist()]
             node = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), 1) for x in found], np.uint64)
             yield pa.RecordBatch.from_arrays([_signed(node), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["node", "x"])
         forget()
         release()
 
     # One text for each node: the row of its smallest id (other rows that the map lets through go again).
-    texts = let_through(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", needed)
+    texts = text_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("text", spot.alias("spot")))
     sets_of = written(texts.mapInArrow(sets, "node long, x array<long>").join(needed, "node", "left_semi"), "join-sets")
     near = pairs.join(sets_of.select(F.col("node").alias("a"), F.col("x").alias("xa")), "a").join(sets_of.select(F.col("node").alias("b"), F.col("x").alias("xb")), "b")
     near = near.select("a", "b", F.size("xa").alias("na"), F.size("xb").alias("nb"), F.size(F.array_intersect("xa", "xb")).alias("k"))
