@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from geoframe.llm.common import release, text_batches
 
 #: Pieces that a Python worker keeps encoded; when as many new ones have come, those not seen since go.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 300_000
 
 
 class Vocabulary:
@@ -180,10 +180,25 @@ class _Pieces(dict):
             self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+        self.vocabulary.follows.clear()
+
 
 _loaded: dict[str, tuple[Vocabulary, _Pieces]] = {}
 
 
+def tokens_of(path: str) -> list[bytes]:
+    """The tokens of a file by rank, which is all that decoding takes."""
+    with open(path, "rb") as lines:
+        pairs = [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, lines)]
+    out = [b""] * (max(r for _, r in pairs) + 1)
+    for token, rank in pairs:
+        out[rank] = token
+    return out
+
+
 def _load(path: str) -> tuple[Vocabulary, _Pieces]:
     if path not in _loaded:
         vocabulary = Vocabulary(path)
@@ -220,6 +235,8 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
                     ends.append(ends[-1] + len(ids))
                 flat = np.concatenate(values) if values else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["id", "ids"])
+        # Workers live on beside other stages: what was learnt of this task's texts goes.
+        pieces.forget()
         release()
 
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -231,14 +248,15 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        vocabulary, _ = _load(path)
+        get = tokens_of(path).__getitem__
         for whole in batches:
             for batch in _runs(whole, 1, 1_000_000):
                 ids = batch.column(1)
                 flat, ends = ids.flatten().to_numpy(), np.asarray(ids.offsets)
                 ends = (ends - ends[0]).tolist()
-                decoded = [vocabulary.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
+                decoded = [b"".join(map(get, flat[a:b].tolist())) for a, b in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.binary())], names=["id", "ids", "decoded"])
+        release()
 
     rows = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     return text_batches(rows).mapInArrow(run, f"id {id_type}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
