@@ -693,3 +693,23 @@ def raster_in_vector(s, sf):
     every = raster.RasterFrame.empty(s, WORLD)
     out = spatial.raster_stats(X.zones(s, sf), every.df.withColumn("value", (F.col("col") + F.col("row")).cast("double")), WORLD, [("n", "value", "count"), ("mean", "value", "mean")])
     return out.select("n_nationkey", "n", r6("mean").alias("mean"))
+
+
+# Whole tables: the operators of queries above that take a part of the ids, over all rows, with their own SQL
+
+@registered("SELECT k, c_custkey, p_partkey FROM (SELECT CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END AS k, c_custkey FROM customer) a JOIN (SELECT nullif(p_partkey, 7) AS j, p_partkey FROM part) b ON a.k IS NOT DISTINCT FROM b.j")
+def join_nullsafe_whole(s, sf):
+    """The key is unique among parts, null in one of them, so each customer has one part at most."""
+    a = X.customers(s, sf).compute("k", F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey")))
+    b = X.parts(s, sf).compute("k", F.nullif(F.col("p_partkey"), F.lit(7)))
+    return a.join(b, "k", keepall=False).df.select("k", "c_custkey", "p_partkey")
+
+
+@registered(cte("sup") + f", {_WORLD}, k AS (SELECT {_at('x', 'y').replace(' AS col', ' AS pc').replace(' AS row', ' AS pr')}, avg(s_acctbal) AS known FROM sup GROUP BY 1, 2) SELECT col, row, round(coalesce(max(CASE WHEN pc = col AND pr = row THEN known END), sum(CASE WHEN pc <> col OR pr <> row THEN pow((col-pc)*(col-pc)+(row-pr)*(row-pr), -1.5) * known END) / sum(CASE WHEN pc <> col OR pr <> row THEN pow((col-pc)*(col-pc)+(row-pr)*(row-pr), -1.5) END)), 4) + 0.0 AS value FROM world, k GROUP BY 1, 2")
+def idw_whole(s, sf):
+    return _cells(rastervec.interpolate(X.suppliers(s, sf), WORLD, "s_acctbal"), 4)
+
+
+@registered(cte("sup") + f", {_WORLD}, o AS (SELECT DISTINCT {_at('x', 'y').replace(' AS col', ' AS pc').replace(' AS row', ' AS pr')} FROM sup) SELECT col, row, round(min(sqrt(pow((col - pc) * 10, 2) + pow((row - pr) * 10, 2))), 6) + 0.0 AS value FROM world, o GROUP BY 1, 2")
+def distance_raster_whole(s, sf):
+    return _cells(rastervec.distance(X.suppliers(s, sf), WORLD))
