@@ -713,3 +713,60 @@ def idw_whole(s, sf):
 @registered(cte("sup") + f", {_WORLD}, o AS (SELECT DISTINCT {_at('x', 'y').replace(' AS col', ' AS pc').replace(' AS row', ' AS pr')} FROM sup) SELECT col, row, round(min(sqrt(pow((col - pc) * 10, 2) + pow((row - pr) * 10, 2))), 6) + 0.0 AS value FROM world, o GROUP BY 1, 2")
 def distance_raster_whole(s, sf):
     return _cells(rastervec.distance(X.suppliers(s, sf), WORLD))
+
+
+@registered(cte("cus", "zon") + "SELECT c_custkey FROM cus WHERE EXISTS (SELECT 1 FROM zon z WHERE n_regionkey = 2 AND x > x1 AND x < x2 AND y > y1 AND y < y2)")
+def where_within_whole(s, sf):
+    return spatial.where(X.customers(s, sf), X.zones(s, sf).select("n_regionkey == 2"), "within").df.select("c_custkey")
+
+
+@registered(cte("cus", "zon") + "SELECT c_custkey FROM cus WHERE NOT EXISTS (SELECT 1 FROM zon z WHERE n_regionkey = 2 AND x >= x1 AND x <= x2 AND y >= y1 AND y <= y2)")
+def where_disjoint_whole(s, sf):
+    return spatial.where(X.customers(s, sf), X.zones(s, sf).select("n_regionkey == 2"), "disjoint").df.select("c_custkey")
+
+
+@registered(cte("sup") + "SELECT s_suppkey FROM sup WHERE s_acctbal >= 0 AND EXISTS (SELECT 1 FROM sup b WHERE b.s_acctbal < 0 AND sqrt((b.x-sup.x)*(b.x-sup.x)+(b.y-sup.y)*(b.y-sup.y)) <= 25)")
+def where_distance_whole(s, sf):
+    sup = X.suppliers(s, sf)
+    return spatial.where(sup.select("s_acctbal >= 0"), sup.select("s_acctbal < 0"), "distance", 25.0).df.select("s_suppkey")
+
+
+@registered(cte("sup", "zon") + "SELECT n_nationkey, s_suppkey FROM zon LEFT JOIN sup ON x > x1 AND x < x2 AND y > y1 AND y < y2")
+def sjoin_contains_keepall_whole(s, sf):
+    return spatial.spatial_join(X.zones(s, sf), X.suppliers(s, sf), "contains", keepall=True).df.select("n_nationkey", "s_suppkey")
+
+
+@registered(cte("sup", "zon") + "SELECT s_suppkey, n_nationkey FROM sup, zon z WHERE NOT (x >= x1 AND x <= x2 AND y >= y1 AND y <= y2)")
+def sjoin_disjoint_whole(s, sf):
+    return spatial.spatial_join(X.suppliers(s, sf), X.zones(s, sf), "disjoint").df.select("s_suppkey", "n_nationkey")
+
+
+@registered(cte("cus", "zon") + "SELECT n_nationkey, nullif(count(c_custkey), 0) AS n, round(sum(c_acctbal), 4) AS total, max(c_acctbal) AS most FROM zon LEFT JOIN cus ON x > x1 AND x < x2 AND y > y1 AND y < y2 GROUP BY 1")
+def spatial_stats_whole(s, sf):
+    out = spatial.spatial_stats(X.zones(s, sf), X.customers(s, sf), [("n", "c_custkey", "count"), ("total", "c_acctbal", "sum"), ("most", "c_acctbal", "max")])
+    return out.select("n_nationkey", "n", F.round("total", 4).alias("total"), "most")
+
+
+@registered(cte("sup", "cus") + "SELECT s_suppkey, c_custkey, round(sqrt((sup.x-cus.x)*(sup.x-cus.x)+(sup.y-cus.y)*(sup.y-cus.y)), 6) AS len FROM sup JOIN cus ON s_nationkey = c_nationkey")
+def connect_lines_whole(s, sf):
+    out = spatial.connect(X.suppliers(s, sf), X.customers(s, sf), key=("s_nationkey", "c_nationkey"), greatcircle=False)
+    return out.df.select("s_suppkey", "c_custkey", r6(G.length(F.col(GEOM))).alias("len"))
+
+
+@registered(cte("sup", "zon") + "SELECT n_nationkey, round(arg_min(least(greatest(x, x1), x2), (d, s_suppkey)), 6) AS x, round(arg_min(least(greatest(y, y1), y2), (d, s_suppkey)), 6) AS y FROM (SELECT *, sqrt(pow(greatest(x1-x, x-x2, 0), 2) + pow(greatest(y1-y, y-y2, 0), 2)) AS d FROM zon, sup) GROUP BY 1")
+def closest_point_whole(s, sf):
+    out = spatial.closest_point(X.zones(s, sf), X.suppliers(s, sf))
+    return out.df.select("n_nationkey", r6(G.x(F.col(GEOM))).alias("x"), r6(G.y(F.col(GEOM))).alias("y"))
+
+
+@registered(cte("zon") + f", {_WORLD}, z AS (SELECT col, row, EXISTS (SELECT 1 FROM zon WHERE n_regionkey = 2 AND -175 + 10 * col > x1 AND -175 + 10 * col < x2 AND 85 - 10 * row > y1 AND 85 - 10 * row < y2) AS s FROM world) SELECT a.col, a.row, CAST(CASE WHEN a.s AND (SELECT count(*) FROM z b WHERE b.s AND abs(a.col - b.col) <= 1 AND abs(a.row - b.row) <= 1) < 9 THEN 1 ELSE 0 END AS DOUBLE) AS value FROM z a")
+def morphology_edge_whole(s, sf):
+    on = rastervec.rasterize(X.zones(s, sf).select("n_regionkey == 2"), WORLD)
+    return _cells(on.morphology("val == 1", "edge"))
+
+
+@registered(cte("zon") + f", {_WORLD} SELECT col, row, CASE WHEN EXISTS (SELECT 1 FROM zon WHERE n_regionkey = 2 AND -175 + 10 * col > x1 AND -175 + 10 * col < x2 AND 85 - 10 * row > y1 AND 85 - 10 * row < y2) THEN CAST(col + row AS DOUBLE) END AS value FROM world")
+def clip_raster_whole(s, sf):
+    every = raster.RasterFrame.empty(s, WORLD)
+    numbered = every.new(every.df.withColumn("value", F.col("col") + F.col("row")))
+    return _cells(rastervec.clip(numbered, X.zones(s, sf).select("n_regionkey == 2")))
