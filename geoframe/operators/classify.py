@@ -1,6 +1,6 @@
 """Class breaks and what is done with them.
 
-Breaks are made from a few aggregated numbers on the driver; values never come there, but for a bounded, repeatable sample in natural().
+Breaks are made from a few aggregated numbers on the driver; values never come there, but for a bounded number of distinct ones, with counts, in natural().
 """
 
 from __future__ import annotations
@@ -9,14 +9,15 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoframe.functions.stats import number
 from geoframe.operators.table import checkpointed
 
-#: Values that natural() takes at most; more are sampled by hash, with both ends kept.
-NATURAL_SAMPLE = 1000
+#: Distinct values up to which natural() is exact; more are put into bins: so many of one width, cut again at so many quantiles.
+NATURAL_DISTINCT, NATURAL_WIDTHS, NATURAL_QUANTILES = 1 << 18, 1 << 16, 1 << 12
 
 
 def _range(df: DataFrame, value: Column) -> tuple[float, float, int]:
@@ -128,35 +129,76 @@ def headtail(df: DataFrame, value: Column) -> list[float]:
     return [*out, hi]
 
 
+def _binned(rows: DataFrame, lo: float, hi: float, widths: int, quantiles: int) -> DataFrame:
+    """v (mean), last (largest) and n (rows) of each bin that is not empty, of all rows."""
+    places = [float(p) for p in np.linspace(0, 1, quantiles + 1)[1:-1]]
+    edges = np.unique(np.array(rows.distinct().agg(F.percentile_approx("v", places, 10 * quantiles)).first()[0], float))
+
+    def run(batches):
+        for b in batches:
+            v = b["v"].to_numpy()
+            wide = np.minimum(widths - 1, (v / 2 - lo / 2) / (hi / 2 - lo / 2) * widths).astype(np.int64)
+            bins = pd.DataFrame({"bin": wide * (len(edges) + 1) + np.searchsorted(edges, v, "left"), "v": v})
+            yield bins.groupby("bin")["v"].agg(["sum", "max", "count"]).reset_index()
+
+    parts = rows.mapInPandas(run, "bin long, sum double, max double, count long")
+    return parts.groupBy("bin").agg((F.sum("sum") / F.sum("count")).alias("v"), F.max("max").alias("last"), F.sum("count").alias("n"))
+
+
 def natural(df: DataFrame, value: Column, classes: int = 5) -> list[float]:
-    """Fisher's exact breaks of least squared deviation within classes, of all values if there are at most NATURAL_SAMPLE."""
+    """Fisher's breaks of least squared deviation within classes, of all rows: exact with at most NATURAL_DISTINCT distinct values, else the best of those between bins."""
     lo, hi, n = _range(df, value)
-    rows = df.select(value.alias("v")).where("v IS NOT NULL")
-    if n > NATURAL_SAMPLE:
-        rows = rows.orderBy(F.xxhash64("v", F.lit(1)), "v").limit(NATURAL_SAMPLE - 2)
-    v = np.sort(np.array([r[0] for r in rows.collect()] + ([lo, hi] if n > NATURAL_SAMPLE else []), float))
+    rows = df.select(value.cast("double").alias("v")).where("v IS NOT NULL")
+    if n <= classes:
+        v = sorted(r[0] for r in rows.collect())
+        return [*v, v[-1]]
+    each = rows.groupBy("v").agg(F.count("*").alias("n")).limit(NATURAL_DISTINCT + 1).toPandas()
+    if len(each) > NATURAL_DISTINCT:
+        each = _binned(rows, float(lo), float(hi), NATURAL_WIDTHS, NATURAL_QUANTILES).toPandas()
+    each = each.sort_values("v")
+    v, weight = each["v"].to_numpy(float), each["n"].to_numpy(float)
+    last = each["last"].to_numpy(float) if "last" in each else v
     if len(v) <= classes:
-        return [*v.tolist(), float(v[-1])]
-    s, q = np.r_[0, np.cumsum(v)], np.r_[0, np.cumsum(v * v)]
-    best = q[1:] - s[1:] ** 2 / np.arange(1, len(v) + 1)
-    cuts = []
-    for _ in range(1, classes):
-        new, cut = np.full(len(v), np.inf), np.zeros(len(v), int)
-        for j in range(len(v)):
-            i = np.arange(1, j + 1)  # the last class is v[i..j]
-            if len(i):
-                cost = best[i - 1] + (q[j + 1] - q[i]) - (s[j + 1] - s[i]) ** 2 / (j + 1 - i)
-                k = int(cost.argmin())
-                new[j], cut[j] = cost[k], i[k]
-        best = np.where(np.isinf(new), best, new)
-        cuts.append(cut)
-    out, j = [float(v[-1])], len(v) - 1
-    for cut in reversed(cuts):
-        j = cut[j] - 1
-        if j < 0:
-            break
-        out.append(float(v[j]))
-    return [float(v[0]), *reversed(out)]
+        return [float(lo), *last.tolist()]
+    ends = _least_deviation(v, weight, classes)
+    return [float(lo), *(float(last[i]) for i in ends)]
+
+
+def _least_deviation(v: np.ndarray, weight: np.ndarray, classes: int) -> list[int]:
+    """Where the classes of sorted, weighted values end. The best start of the last class never falls as values are added, so each
+    round halves the gaps between settled places and searches between the starts of their neighbours only."""
+    size, v = len(v), v - np.average(v, weights=weight)
+    w, s, q = (np.r_[0, np.cumsum(weight * x)] for x in (np.ones(size), v, v * v))
+
+    def cost(i, j):  # of v[i..j]
+        return q[j + 1] - q[i] - (s[j + 1] - s[i]) ** 2 / (w[j + 1] - w[i])
+
+    best, starts = cost(np.zeros(size, int), np.arange(size)), []
+    for c in range(1, classes):
+        new, start = np.full(size, np.inf), np.full(size, -1)
+        todo = np.array([(c, size - 1, c, size - 1)])  # places, and starts that they may have
+        while len(todo):
+            a, b, least, most = todo.T
+            mid = (a + b) // 2
+            most_here = np.minimum(most, mid)
+            length = most_here - least + 1
+            first = np.cumsum(np.r_[0, length[:-1]])
+            segment = np.repeat(np.arange(len(mid)), length)
+            i = np.arange(length.sum()) - first[segment] + least[segment]
+            costs = best[i - 1] + cost(i, mid[segment])
+            low = np.minimum.reduceat(costs, first)
+            hit = np.flatnonzero(costs == low[segment])
+            _, where = np.unique(segment[hit], return_index=True)
+            new[mid], start[mid] = low, i[hit[where]]
+            left, right = np.c_[a, mid - 1, least, start[mid]], np.c_[mid + 1, b, start[mid], most]
+            todo = np.r_[left[a < mid], right[mid < b]]
+        best = new
+        starts.append(start)
+    out, j = [size - 1], size - 1
+    for start in reversed(starts):
+        j = int(start[j]) - 1
+        out.append(j)
+    return out[::-1]
 
 
 ALGORITHMS = {"equal": equal, "histogram": equal, "log": log, "quantile": quantile, "pretty": pretty, "stdev": stdev, "headtail": headtail, "natural": natural}
