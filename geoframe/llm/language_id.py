@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from geoframe.llm.common import sliced, text_batches
 
 #: The sample's bounds, the model's size and the rule of rejection.
-ROWS_PER_LANGUAGE, MAX_LANGUAGES, HASHES, WIDTH, EPOCHS, REJECT_ERROR, FLOOR, SEED = 400, 200, 1 << 15, 16, 6, 0.02, 1.2, 7
+ROWS_PER_LANGUAGE, MAX_LANGUAGES, HASHES, WIDTH, EPOCHS, REJECT_ERROR, FLOOR, SEED = 800, 200, 1 << 15, 16, 6, 0.02, 1.2, 7
 _WORD = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 SLICE = 1 << 20
 
@@ -80,7 +80,7 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sample(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """lang, which, n: subword counts of the sampled rows and of excerpts of them, made on the executors."""
+    """lang, which, share: hashes of the sampled rows and of excerpts of them as bytes of uint16, and their shares as bytes of float32, made on the executors."""
     rows = df.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     per = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES)
     cut = per.select(F.col(lang_col).alias("lang"), (F.lit(float(1 << 30)) * F.least(F.lit(1.0), F.lit(float(ROWS_PER_LANGUAGE)) / F.col("count"))).alias("cut"))
@@ -89,7 +89,7 @@ def _sample(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
 
     def run(batches):
         for b in sliced(batches):
-            lang, which, n, place = [], [], [], []
+            lang, which, share, place = [], [], [], []
             for label, text, at in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 words = text.split()
                 rng = np.random.default_rng(at)
@@ -98,12 +98,12 @@ def _sample(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
                     x, y = counts(piece)
                     if len(x):
                         lang.append(label)
-                        which.append(x)
-                        n.append(y)
+                        which.append(x.astype(np.uint16).tobytes())
+                        share.append((y / np.sum(y)).astype(np.float32).tobytes())
                         place.append(at * 4 + k)
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(which, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32())), pa.array(place, pa.int64())], names=["lang", "which", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(which, pa.binary()), pa.array(share, pa.binary()), pa.array(place, pa.int64())], names=["lang", "which", "share", "place"])
 
-    return text_batches(taken.select("lang", "text", "place")).mapInArrow(run, "lang string, which array<int>, n array<int>, place long")
+    return text_batches(taken.select("lang", "text", "place")).mapInArrow(run, "lang string, which binary, share binary, place long")
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -123,8 +123,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     if not languages:
         return Model([], np.zeros((HASHES, 0), np.float32), np.zeros(0), 1.0, 1.0)
     truth = np.searchsorted(languages, sample["lang"])
-    which = [np.asarray(x) for x in sample["which"]]
-    share = [(np.asarray(x) / np.sum(x)).astype(np.float32) for x in sample["n"]]
+    which = [np.frombuffer(x, np.uint16) for x in sample["which"]]
+    share = [np.frombuffer(x, np.float32) for x in sample["share"]]
     place = sample["place"].to_numpy()
     del sample
     rng = np.random.default_rng(SEED)
@@ -158,7 +158,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             step = np.bincount((at[:, None] * WIDTH + columns).ravel(), each.ravel(), len(used) * WIDTH).reshape(-1, WIDTH)
             e[used] -= rate * WIDTH * step
     kept_back = np.flatnonzero(back)
-    logits = gathered(kept_back)[3] @ w + bias
+    logits = np.concatenate([gathered(kept_back[s : s + 32])[3] for s in range(0, len(kept_back), 32)]) @ w + bias
     t = temperature(logits, truth[kept_back])
     p = np.exp(_log_softmax(logits / t))
     sure, right = p.max(1), p.argmax(1) == truth[kept_back]

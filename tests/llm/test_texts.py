@@ -268,3 +268,11 @@ def test_pipeline_by_brute_force(spark, tmp_path, library):
         assert stage(spark, docs.where(F.col("doc_id") < 40), "").columns == docs.columns
         assert stage(spark, docs.limit(0), "").count() == 0
     assert "op1_license_scan" in queries.QUERIES
+
+
+def test_language_sample_has_800_rows_of_each(spark):
+    texts = [(i, f"wort {i} satz" if i % 2 else f"word {i} phrase", "de" if i % 2 else "en") for i in range(6000)]
+    sample = language_id._sample(spark.createDataFrame(texts, "doc_id long, text string, lang string"), "doc_id", "text", "lang").toPandas()
+    rows = sample[sample.place % 4 == 0].groupby("lang").size()
+    assert ((rows > 700) & (rows < 900)).all()
+    assert sample.which.map(len).mul(2).eq(sample.share.map(len)).all()
