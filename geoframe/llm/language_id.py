@@ -2,8 +2,8 @@
 
 A text's subwords are the runs of 2 to 4 bytes inside its lower-cased words, word borders included; each is hashed to a row of
 an embedding matrix, the rows are averaged, and a linear softmax tells the language.  The model is trained by stochastic
-gradient descent in numpy on a bounded sample: ROWS_PER_LANGUAGE labelled rows (as a hash takes them) for each of the MAX_LANGUAGES
-most frequent languages, each row whole and in a few excerpts so that short texts are learnt too.  A part of the sample is kept
+gradient descent in numpy on a bounded sample: ROWS_PER_LANGUAGE labelled rows (as a hash takes them) for each language, as many of each
+as make SAMPLE_ROWS where languages are many, but one at least, each row whole and in a few excerpts so that short texts are learnt too.  A part of the sample is kept
 back: on it a temperature is fitted, and then the threshold of rejection, the least confidence such that of the rows
 kept at most REJECT_ERROR are wrong; it never falls below FLOOR times the confidence of a blind guess.
 
@@ -20,13 +20,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoframe.llm.common import sliced, text_batches
 
 #: The sample's bounds, the model's size and the rule of rejection.
-ROWS_PER_LANGUAGE, MAX_LANGUAGES, HASHES, WIDTH, EPOCHS, REJECT_ERROR, FLOOR, SEED = 800, 200, 1 << 15, 16, 6, 0.02, 1.2, 7
+ROWS_PER_LANGUAGE, SAMPLE_ROWS, HASHES, WIDTH, EPOCHS, REJECT_ERROR, FLOOR, SEED = 800, 160_000, 1 << 15, 16, 6, 0.02, 1.2, 7
 _WORD = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 SLICE = 1 << 20
 
@@ -82,10 +82,12 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 def _sample(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """lang, which, share: hashes of the sampled rows and of excerpts of them as bytes of uint16, and their shares as bytes of float32, made on the executors."""
     rows = df.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    per = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES)
-    cut = per.select(F.col(lang_col).alias("lang"), (F.lit(float(1 << 30)) * F.least(F.lit(1.0), F.lit(float(ROWS_PER_LANGUAGE)) / F.col("count"))).alias("cut"))
     place = F.pmod(F.xxhash64(F.col(id_col), F.lit(SEED)), F.lit(1 << 30))
-    taken = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place")).join(F.broadcast(cut), "lang").where("place < cut")
+    per = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("count"), F.min(place).alias("first"))
+    # One line for each language; its first row is taken however few the others are.
+    wanted = F.least(F.lit(float(ROWS_PER_LANGUAGE)), F.lit(float(SAMPLE_ROWS)) / F.count("*").over(Window.partitionBy()))
+    cut = per.select("lang", "first", (F.lit(float(1 << 30)) * F.least(F.lit(1.0), wanted / F.col("count"))).alias("cut"))
+    taken = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place")).join(F.broadcast(cut), "lang").where("place < cut OR place = first")
 
     def run(batches):
         for b in sliced(batches):
@@ -130,6 +132,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     rng = np.random.default_rng(SEED)
     back = (place // 4) % 5 == 0
     train, back = np.flatnonzero(~back), back & (place % 4 == 0)
+    alone = ~np.isin(truth, truth[train])
+    train = np.flatnonzero(np.isin(np.arange(len(truth)), train) | alone)  # a language of which all rows are kept back is learnt from them
     if not len(train) or not back.any():
         train, back = np.arange(len(truth)), np.ones(len(truth), bool)
     e = rng.uniform(-1 / WIDTH, 1 / WIDTH, (HASHES, WIDTH))

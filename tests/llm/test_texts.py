@@ -276,3 +276,25 @@ def test_language_sample_has_800_rows_of_each(spark):
     rows = sample[sample.place % 4 == 0].groupby("lang").size()
     assert ((rows > 700) & (rows < 900)).all()
     assert sample.which.map(len).mul(2).eq(sample.share.map(len)).all()
+
+
+def test_rare_languages_are_learnt(spark):
+    """300 languages, each of words of its own and of very unequal frequency."""
+    rows, rng = [], np.random.default_rng(3)
+    for k in range(300):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(4)]
+        for i in range(60 if k < 250 else 15):
+            rows.append((len(rows), " ".join(rng.choice(words, 12)), f"l{k:03d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert len(model.languages) == 300
+    told = language_id.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    rare = told[told.lang >= "l250"]
+    assert len(set(rare.lang_pred) & set(rare.lang)) > 40
+
+
+def test_every_language_has_a_row_in_a_small_sample(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 30)
+    rows = [(i, f"word{i % 60} and more", f"l{i % 60}") for i in range(3000)]
+    sample = language_id._sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang").toPandas()
+    assert sample.lang.nunique() == 60 and sample.place.floordiv(4).nunique() < 200
