@@ -10,14 +10,16 @@ in bounded pieces; the k best of the pieces are merged.
 
 Pivots are fitted on a bounded sample (PIVOT_SAMPLE rows of smallest hash); every row is indexed.
 
-Defined results: vectors that are null or empty, hold null or non-finite components, or have another length than most take
-no part, as queries or candidates; ties go to the smaller id; a query's id is no candidate of it, repeated
+Defined results: vectors that are null or empty or hold null or non-finite components take no part, as queries or candidates;
+vectors are compared with those of their own length, length by length; ties go to the smaller id; a query's id is no candidate of it, repeated
 ids are candidates each, and a repeated query id is asked once, with its smallest vector; fewer candidates than k give fewer rows; an empty table gives an empty table; further columns are ignored.
 Inner products are exact as long as they fit in 63 bits; quantised components beyond 2^28 take part as 2^28 with their sign.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -116,11 +118,15 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 10, pivots: int = PIVOT
     """query_id, rank, vec_id, score: for each query (id, v) its k highest inner products among rows (id, v) of other ids."""
     spark = rows.sparkSession
     rows = written(rows, "topk-rows")
-    width = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if width is None:
-        return empty
-    rows, queries = (x.where(F.size("v") == width["n"]) for x in (rows, queries))
+    queries = written(queries.groupBy("id").agg(F.min("v").alias("v")), "topk-queries")
+    lengths = [x.select(F.size("v").alias("n")).distinct() for x in (rows, queries)]
+    parts = [_search(*(x.where(F.size("v") == r["n"]) for x in (queries, rows)), k, pivots, rings) for r in lengths[0].join(lengths[1], "n").orderBy("n").collect()]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+
+
+def _search(queries: DataFrame, rows: DataFrame, k: int, pivots: int, rings: int) -> DataFrame:
+    """search() among vectors of one length."""
+    spark = rows.sparkSession
     fitted = _fit(rows, pivots, rings)
     norm, centres, borders = fitted
     per = borders.shape[1] + 1

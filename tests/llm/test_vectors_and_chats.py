@@ -112,3 +112,15 @@ def test_formatting_of_ties_nulls_and_repeats(spark):
     one = next(r for r in got.collect() if r.conv_id == 1)
     assert one.n_turns == 4 and one.loss_chars == 12 and one.loss_sha256 == hashlib.sha256(("b\\</s>" * 2).encode()).hexdigest()
     assert chat_format.read_back(chat_format.reconstruct(chat_format.log_of(df.limit(0)))).count() == 0
+
+
+def test_topk_searches_each_length(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8 if i % 3 else 3).tolist()) for i in range(120)] + [(500, [1.0] * 5)]
+    q = topk_search.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    v = {r.id: np.array(r.v) for r in q.collect()}
+    want = set()
+    for i in (i for i in v if i % 10 == 0):
+        best = sorted((-int(v[i] @ v[j]), j) for j in v if j != i and len(v[j]) == len(v[i]))[:4]
+        want |= {(i, k + 1, j, -s) for k, (s, j) in enumerate(best)}
+    assert {tuple(r) for r in topk_search.search(q.where("id % 10 = 0"), q, k=4, pivots=4, rings=3).collect()} == want
