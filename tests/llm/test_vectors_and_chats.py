@@ -124,3 +124,28 @@ def test_topk_searches_each_length(spark):
         best = sorted((-int(v[i] @ v[j]), j) for j in v if j != i and len(v[j]) == len(v[i]))[:4]
         want |= {(i, k + 1, j, -s) for k, (s, j) in enumerate(best)}
     assert {tuple(r) for r in topk_search.search(q.where("id % 10 = 0"), q, k=4, pivots=4, rings=3).collect()} == want
+
+
+def test_topk_of_large_components_ties_and_repeated_ids(spark):
+    """Nothing is clamped: beyond 2^53 and 2^63 products are ranked as the integers they are."""
+    rows = [(0, [4e5, 1.0]), (1, [3e5, 0.0]), (2, [5e5, 0.0]), (10, [4e5, 1.0]), (10, [4e5, 1.0]), (10, [-4e5, 2.0]), (3, [1e30, 1.0]), (4, [1e30, 2.0]), (5, [-1e30, 1.0]), (6, [1e200, 0.0]), (7, [1e308, 0.0]), (8, [2e30, -1e30])]
+    q = topk_search.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = topk_search.search(q.where("id % 10 = 0"), q, k=6).collect()
+    v = {r.row: (r.id, [int(x) for x in r.v]) for r in q.collect()}
+    assert len(v) == len(rows) - 1 and v[next(k for k in v if v[k][0] == 3)][1] == [int(1e30 * 1024), 1024]  # 1e308 * 1024 is not finite
+    want = []
+    for r, (i, x) in v.items():
+        if i % 10 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), j, o) for o, (j, y) in v.items() if o != r)[:6]
+            want += [(i, k + 1, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for k, (s, j, _) in enumerate(best)]
+    assert sorted(tuple(r) for r in got) == sorted(want) and sum(w[0] == 10 for w in want) == 18
+
+
+def test_topk_sends_only_what_is_asked_for(spark):
+    """Rows of rings that no query asks for are not dealt out, and those of others once for each block of the queries that ask."""
+    cells = spark.range(100).selectExpr("id AS row", "id", "array(cast(id AS double)) AS v", "cast(id % 4 AS int) AS ring", "0.0 AS d")
+    parts = spark.createDataFrame([(r, 1) for r in range(4)], "ring int, parts int")
+    queries = spark.createDataFrame([(1000 + i, i, [1.0]) for i in range(5)], "row long, id long, v array<double>")
+    wanted = spark.createDataFrame([(1000 + i, 2) for i in range(5)], "query long, ring int")
+    out = topk_search._scan(cells, queries, wanted, 3, parts)
+    assert {(r.query, r.id) for r in out.collect()} == {(1000 + i, j) for i in range(5) for j in (98, 94, 90)}
