@@ -2,9 +2,10 @@
 
 Unit vectors are rotated at random (three rounds of random signs and a fast Hadamard transform); the hash is the axis, with
 sign, that the rotated vector is nearest to.  A table's bucket is made of HASHES(n) such axes; each vector is put into the
-bucket of its nearest axes and into the next best ones (multiprobe).  Pairs that meet in a bucket are compared exactly in
-blocks of bounded size, so a hot bucket is many tasks.  A pair is counted only in the first bucket that the two share,
-which both can tell from their own buckets; a block returns a row for each vector that has links in it, never its pairs: the
+bucket of its nearest axes and into the next best ones (multiprobe).  Only numbers of vectors are put into buckets; buckets of one vector
+go at once, and a vector is sent once to each block that it is compared in.  Pairs that meet in a bucket are compared exactly in
+blocks of bounded size, so a hot bucket is many tasks.  A pair is counted only in the first bucket that the two share, which is
+told from the buckets of the few vectors that have links, made anew there; a block returns a row for each vector that has links in it, never its pairs: the
 number of links, and the smallest id that it is connected with inside the block.  Equal vectors are one before all this.
 
 Defined results: links need equal labels, not null, and equal lengths; vectors that are null, empty or zero, or hold null or
@@ -48,7 +49,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 def buckets(unit: np.ndarray, hashes: int, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
     """rows x tables x probes: the numbers of the best `probes` buckets in each table."""
-    n, dim = unit.shape
+    n, dim = unit.shape  # a row's buckets do not depend on the other rows
     width = 1 << max(1, (dim - 1).bit_length())
     padded = np.zeros((n, width))
     padded[:, :dim] = unit
@@ -71,7 +72,11 @@ def buckets(unit: np.ndarray, hashes: int, tables: int = TABLES, probes: int = P
     return out
 
 
-def _block(ids, v, codes, copies, left, table, bucket, least):
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _block(ids, v, copies, left, table, bucket, hashes, least):
     """ids, links and smallest connected id for the rows of a block; left marks the first side of a pair of blocks, None: one block."""
     cos = v @ v.T if left is None else v[left] @ v[~left].T
     i, j = np.nonzero(cos >= least)
@@ -92,11 +97,14 @@ def _block(ids, v, codes, copies, left, table, bucket, least):
         if (new == label).all():
             break
         label = new
-    first = np.ones(len(i), bool)
+    some = np.unique(np.concatenate((i, j)))
+    codes = buckets(v[some], hashes, table + 1)
+    at, first = np.zeros(len(ids), np.int64), np.ones(len(i), bool)
+    at[some] = np.arange(len(some))
     for t in range(table + 1):
-        same = codes[i, t][:, :, None] == codes[j, t][:, None, :]
+        same = codes[at[i], t][:, :, None] == codes[at[j], t][:, None, :]
         if t == table:
-            same &= codes[i, t][:, :, None] < bucket
+            same &= codes[at[i], t][:, :, None] < bucket
         first &= ~same.any((1, 2))
     i, j = i[first], j[first]
     links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
@@ -105,30 +113,30 @@ def _block(ids, v, codes, copies, left, table, bucket, least):
 
 
 def links(classes: DataFrame, hashes: int, least: float) -> DataFrame:
-    """id, n, low: for vectors (label, id, v, copies), how many links were counted in a block and the smallest id in reach there."""
+    """id, n, low: for vectors (cls, label, id, v, copies), how many links were counted in a block and the smallest id in reach there."""
 
     def hashed(batches):
         for whole in batches:
             lengths = np.asarray(pc.list_value_length(whole.column(2)))
             for n in np.unique(lengths).tolist():  # vectors of one length at a time
                 b = whole.take(pa.array(np.flatnonzero(lengths == n)))
-                v = matrix(b.column(2))
-                v = v / np.linalg.norm(v, axis=1, keepdims=True)
+                v = _unit(matrix(b.column(2)))
                 for s in range(0, len(v), 4096):
                     part = b.slice(s, 4096)
                     codes = buckets(v[s : s + 4096], hashes)
-                    yield pa.RecordBatch.from_arrays([*part.columns, lists(codes.reshape(part.num_rows, -1), pa.int64())], names=["label", "id", "v", "copies", "codes"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists(codes.reshape(part.num_rows, -1), pa.int64())], names=["cls", "label", "codes"])
 
-    rows = classes.select("label", "id", "v", "copies").mapInArrow(hashed, f"label string, id long, v {classes.schema['v'].dataType.simpleString()}, copies long, codes array<long>")
-    rows = written(rows, "embedding-codes")
-    posted = rows.select("*", F.posexplode(F.array_distinct(F.transform("codes", lambda c, i: F.struct((i / PROBES).cast("int").alias("table"), c.alias("bucket"))))).alias("k", "b"))
-    posted = posted.select("label", F.col("b.table").alias("table"), F.col("b.bucket").alias("bucket"), "id", "v", "copies", "codes")
+    codes = classes.select("cls", "label", "v").mapInArrow(hashed, "cls long, label string, codes array<long>")
+    codes = written(codes, "embedding-codes")
+    posted = codes.select("cls", "label", F.explode(F.array_distinct(F.transform("codes", lambda c, i: F.struct((i / PROBES).cast("int").alias("table"), c.alias("bucket"))))).alias("b"))
+    posted = posted.select("cls", "label", "b.table", "b.bucket")
     key = ["label", "table", "bucket"]
     sizes = posted.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).drop("n")
-    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
     placed = posted.join(sizes, key).withColumn("own", own)
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("a"), F.greatest(F.col("own"), o).alias("b")))
-    dealt = placed.withColumn("pair", F.explode(pairs)).select(*key, F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), "own", "id", "v", "copies", "codes")
+    dealt = placed.withColumn("pair", F.explode(pairs)).select(*key, F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), "own", "cls")
+    dealt = dealt.join(classes.select("cls", "id", "copies", "v"), "cls").drop("cls")
     by = [*key, "a", "b"]
     dealt = dealt.repartition(*by).sortWithinPartitions(*by)
 
@@ -138,12 +146,9 @@ def links(classes: DataFrame, hashes: int, least: float) -> DataFrame:
         def flush(done):
             t = pa.Table.from_batches(done).combine_chunks().to_batches()[0]
             a, b = t.column(3)[0].as_py(), t.column(4)[0].as_py()
-            v = matrix(t.column(7))
-            v = v / np.linalg.norm(v, axis=1, keepdims=True)
-            ids, copies = t.column(6).to_numpy(), t.column(8).to_numpy()
-            codes = matrix(t.column(9), np.int64).reshape(len(v), -1, PROBES)
+            ids, copies = t.column(6).to_numpy(), t.column(7).to_numpy()
             left = None if a == b else t.column(5).to_numpy() == a
-            got = _block(ids, v, codes, copies, left, t.column(1)[0].as_py(), t.column(2)[0].as_py(), least)
+            got = _block(ids, _unit(matrix(t.column(8))), copies, left, t.column(1)[0].as_py(), t.column(2)[0].as_py(), hashes, least)
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], names=["id", "n", "low"])
 
@@ -179,7 +184,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     # The length is part of the label: only vectors of one length can be compared.
     label = F.concat_ws(":", F.size("v").cast("string"), "label")
     keyed = rows.where("fine").select(label.alias("label"), "id", "v", F.sha2(F.concat_ws(",", F.transform("v", lambda c: (c + F.lit(0.0)).cast("string"))), 256).alias("same"))
-    classes = written(keyed.groupBy("label", "same").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")), "embedding-classes")
+    classes = keyed.groupBy("label", "same").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "embedding-classes")
     largest = classes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).agg(F.max("n"), F.max("w")).first()
     hashes = hashes_for(largest[0] or 1, largest[1] or 1)
     counted = written(links(classes, hashes, least), "embedding-links")
