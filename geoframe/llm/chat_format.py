@@ -1,7 +1,8 @@
 r"""Chat formatting by event-sourced reconstruction.
 
 A log holds events of conversations: `message` starts a message, `delta` appends streamed text to it, `edit` replaces its
-text, `regenerate` empties it for new deltas, `delete` takes it away.  The log is dealt by conversation (and, as an event
+text, `regenerate` empties it for new deltas, `delete` takes it away.  A table of finished turns becomes such a log, too: texts are streamed
+in deltas, some after a draft that is regenerated, some as a draft that is edited, so that its reconstruction goes the same way.  The log is dealt by conversation (and, as an event
 changes its own message only, by message, so that a hot conversation is spread), sorted by sequence, and folded as it
 streams by; a worker holds the message at hand and nothing else.
 
@@ -9,7 +10,7 @@ Rendering: `<|turn:ROLE|>\nTEXT<|end|>\n` for each message, by sequence.  Inside
 each backslash and after the first character of every control string; taking each backslash away and the character after it
 literally gives the text back, and no control string is left.
 
-Defined results: null text is empty, null role is the empty role; ties in sequence are ordered by kind (as listed above),
+Defined results: null text is empty, null role is the empty role; ties in sequence are ordered by step (if the log has any), kind (as listed above),
 role and text; a second `message` event with the same message id starts a second message, so repeated rows are repeated
 turns; an event for a message that never started starts it; rows with a null conversation form one of their own; an empty
 table gives an empty table; columns other than those named are ignored.  A digest of a whole conversation is sequential:
@@ -24,7 +25,7 @@ from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Strings that steer one chat template or another.
@@ -105,8 +106,8 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 2000, chars:
 
 def reconstruct(events: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """conv_id, seq, role, text, formatted, mask_start, mask_end of each final message. events: conv_id long, seq long,
-    message (a message's id in its conversation, of any type that sorts), kind, role, text. A conversation's formatted text
-    is that of its messages by seq; [mask_start, mask_end) of each is under the loss mask."""
+    message (a message's id in its conversation, of any type that sorts), kind, role, text, and step long (optional, the order of events of
+    one seq). A conversation's formatted text is that of its messages by seq; [mask_start, mask_end) of each is under the loss mask."""
     schema = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("formatted", pa.string()), ("mask_start", pa.int64()), ("mask_end", pa.int64())])
 
     def run(batches):
@@ -117,10 +118,11 @@ def reconstruct(events: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> D
 
         yield from _batches(messages(), schema)
 
-    rows = events.select(F.col("conv_id").cast("long"), "message", F.col("seq").cast("long"), "kind", "role", "text")
+    step = F.col("step") if "step" in events.columns else F.lit(0)
     by_kind = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    dealt = rows.repartition("conv_id", "message").sortWithinPartitions("conv_id", "message", "seq", by_kind, "role", "text")
-    return dealt.mapInArrow(run, "conv_id long, seq long, role string, text string, formatted string, mask_start long, mask_end long")
+    rows = events.select(F.col("conv_id").cast("long"), "message", F.col("seq").cast("long"), "kind", "role", "text", step.cast("long").alias("step"), by_kind.alias("by_kind"))
+    dealt = rows.repartition("conv_id", "message").sortWithinPartitions("conv_id", "message", "seq", "step", "by_kind", "role", "text")
+    return dealt.drop("step", "by_kind").mapInArrow(run, "conv_id long, seq long, role string, text string, formatted string, mask_start long, mask_end long")
 
 
 def read_back(messages: DataFrame) -> DataFrame:
@@ -150,9 +152,30 @@ def read_back(messages: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+#: Characters of a delta at least, deltas of a text at most, and the draft that an edit or a regeneration takes back.
+DELTA, DELTAS, DRAFT = 400, 64, "(draft) "
+
+
 def log_of(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log: each row is a `message` event of its own."""
-    return conversations.select("conv_id", F.col("turn").alias("message"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    """A table of finished turns (conv_id, turn, role, text) as the log of how they came about: each row is a message of its own. A third of
+    them (by hash) are streamed in deltas; a third begin with a draft in deltas, are regenerated and streamed again; a third hold a
+    draft that an edit replaces."""
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.withColumn("how", F.pmod(F.xxhash64("conv_id", "turn", "role", "text"), F.lit(3)))
+    size = F.greatest(F.lit(DELTA), F.ceil(F.length("text") / DELTAS).cast("int"))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / size).cast("int")), lambda k: F.substring("text", k * size + 1, size))
+
+    def event(kind: str, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+
+    draft = F.concat(F.lit(DRAFT), F.substring("text", 1, DELTA))
+    streamed = F.transform(pieces, lambda t: event("delta", t))
+    begun, none = event("message", F.lit("")), F.lit(None).cast("string")
+    regenerated = F.concat(F.array(begun, event("delta", draft), event("regenerate", none)), streamed)
+    events = F.when(F.col("how") == 0, F.concat(F.array(begun), streamed)).when(F.col("how") == 1, regenerated).otherwise(F.array(event("message", draft), event("edit", F.col("text"))))
+    # The first event carries the role; the row's number keeps repeated rows and rows of one turn apart.
+    log = rows.select("conv_id", F.struct("turn", "row").alias("message"), F.col("turn").alias("seq"), "role", F.posexplode(events).alias("step", "event"))
+    return log.select("conv_id", "message", "seq", "step", "event.kind", F.when(F.col("step") == 0, F.col("role")).alias("role"), "event.text")
 
 
 def _count(column: str) -> str:

@@ -114,6 +114,18 @@ def test_formatting_of_ties_nulls_and_repeats(spark):
     assert chat_format.read_back(chat_format.reconstruct(chat_format.log_of(df.limit(0)))).count() == 0
 
 
+def test_logs_of_finished_turns_hold_drafts(spark):
+    """Deltas, edits and regenerations lie between the table and what is read back."""
+    rows = [(i % 7, i // 7, "assistant" if i % 2 else "user", "é\\U0001f600<|" * (i * 13 % 900) if i % 11 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat_format.log_of(df)
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds["message"] == 300 and min(kinds["edit"], kinds["regenerate"]) > 50 and kinds["delta"] > 600
+    assert log.where("kind = 'delta'").selectExpr("max(length(text))").first()[0] <= chat_format.DELTA + len(chat_format.DRAFT)
+    out = chat_format.reconstruct(log.orderBy(chat_format.F.rand(3))).collect()
+    assert sorted((r.conv_id, r.seq, r.role, r.text) for r in out) == sorted((c, t, r, x or "") for c, t, r, x in rows)
+
+
 def test_topk_searches_each_length(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=8 if i % 3 else 3).tolist()) for i in range(120)] + [(500, [1.0] * 5)]
