@@ -3,9 +3,11 @@ r"""Personal data by bootstrapped contextual extraction, in DataFrame functions
 Four kinds of entities with a form of their own (email, ip, card, phone) are found by pattern and check; they are the seeds.
 The word before and the word after an entity are its lexical patterns.  Strings that look like identifiers (CANDIDATE) and overlap no entity
 stand in such contexts too.  Patterns and instances (the strings) make a bipartite graph that Spark scores in ROUNDS rounds: a
-pattern's confidence is the summed score of its instances over their number plus 1, where seeds score 1; an instance that is no
-seed gets the mean confidence of its patterns that at least SUPPORT different seeds vouch for.  Instances that reach CONFIDENCE at
-the end are identifiers, wherever they stand in the contexts that were scored.
+pattern's confidence is the summed score of its instances over their number plus 1, where seeds score 1; a pattern counts if at least
+SUPPORT different accepted instances vouch for it, that is seeds and those that reached CONFIDENCE in the round before; an instance that is no
+seed gets the mean confidence of its patterns that count.  So an identifier found in one round can vouch for a new pattern in the
+next, which finds others that no seed ever stood beside.  Instances that reach CONFIDENCE at the end are identifiers, wherever they
+stand.
 
 Positions come from cutting a text at its matches: a match starts after all earlier gaps and matches, in code points.
 All patterns start at the border of a run, or where the last match ended, and never backtrack into it, so a run of any length costs one pass.
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoframe.llm.common import ascii_lower, written
+from geoframe.llm.common import ascii_lower, delete_written, written
 from geoframe.llm.license_scan import BREAKS
 
 KINDS = ("email", "ip", "card", "phone")
@@ -126,16 +128,19 @@ def discovered(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, c
     each = found.select("id", "same", F.explode("seen").alias("o")).select("id", "same", "o.*")
     contexts = F.filter(F.array(F.concat(F.lit("<"), "before"), F.concat(F.lit(">"), "after")), lambda p: p.isNotNull())
     edges = written(each.select("value", "seed", F.explode(contexts).alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-edges")
-    vouched = edges.groupBy("pattern").agg(F.count(F.when(F.col("seed"), 1)).alias("seeds"), F.count("*").alias("n"))
-    # A pattern without enough seeds, and an instance without such a pattern, never matter: they leave the graph at once.
-    live = edges.join(vouched.where(F.col("seeds") >= support).select("pattern", "n"), "pattern")
-    live = written(live, "pii-live")
-    score = live.select("value", "seed").groupBy("value").agg(F.max("seed").cast("double").alias("score"))
+    sizes = written(edges.groupBy("pattern").agg(F.count("*").alias("n")), "pii-sizes")
+    score = written(edges.where("seed").select("value").distinct().select("value", F.lit(True).alias("seed"), F.lit(1.0).alias("score")), "pii-score")
     for _ in range(rounds):
-        sure = live.join(score, "value").groupBy("pattern").agg((F.round(F.sum("score"), 9) / (F.max("n") + 1)).alias("sure"))
-        mean = live.join(sure, "pattern").groupBy("value").agg(F.max("seed").alias("seed"), F.round(F.avg("sure"), 9).alias("mean"))
-        score = written(mean.select("value", F.when(F.col("seed"), 1.0).otherwise(F.col("mean")).alias("score")), "pii-score")
-    good = score.where(F.col("score") >= confidence).select("value")
+        # Instances that score nothing add nothing: a pattern's size is known, so only the others are joined.
+        met = edges.select("pattern", "value").join(score, "value").groupBy("pattern").agg(F.sum("score").alias("sum"), F.count(F.when(F.col("score") >= confidence, 1)).alias("sure"))
+        sure = met.where(F.col("sure") >= support).join(sizes, "pattern").select("pattern", (F.round("sum", 9) / (F.col("n") + 1)).alias("confidence"))
+        found_now = edges.where("NOT seed").join(sure, "pattern").groupBy("value").agg(F.round(F.avg("confidence"), 9).alias("mean"))
+        seeds = score.where("seed")
+        new = found_now.join(seeds.select("value"), "value", "left_anti").select("value", F.lit(False).alias("seed"), F.col("mean").alias("score"))
+        last, score = score, written(seeds.unionByName(new), "pii-score")
+        delete_written(last)
+    delete_written(sizes)
+    good = score.where((F.col("score") >= confidence) & ~F.col("seed")).select("value")
     spans = each.where("NOT seed").join(good, "value", "left_semi").select("id", "same", F.struct("start", F.lit(len(KINDS)).alias("rank"), "stop", F.lit("id").alias("kind"), "value").alias("s")).distinct()
     return spans.groupBy("id", "same").agg(F.array_sort(F.collect_list("s")).cast(_SPANS).alias("ids"))
 
@@ -213,8 +218,8 @@ def oracle_sql(rounds: int = ROUNDS, support: int = SUPPORT, confidence: float =
     octets = "len(list_filter(string_split(value, '.'), lambda p: NOT regexp_matches(regexp_replace(p, '^0+', ''), '^(?:|[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$'))) = 0"
     steps, score = [], "score0"
     for k in range(1, rounds + 1):
-        steps.append(f"sure{k} AS (SELECT pattern, round(sum(score), 9) / (max(n) + 1) AS sure FROM live JOIN {score} USING (value) GROUP BY pattern)")
-        steps.append(f"score{k} AS (SELECT value, CASE WHEN bool_or(seed) THEN 1.0 ELSE round(avg(sure), 9) END AS score FROM live JOIN sure{k} USING (pattern) GROUP BY value)")
+        steps.append(f"sure{k} AS (SELECT pattern, round(sum(score), 9) / (count(*) + 1) AS sure FROM edges JOIN {score} USING (value) GROUP BY pattern HAVING count(*) FILTER (score >= {confidence}) >= {support})")
+        steps.append(f"score{k} AS (SELECT value, CASE WHEN bool_or(seed) THEN 1.0 ELSE coalesce(round(avg(sure), 9), 0.0) END AS score FROM edges LEFT JOIN sure{k} USING (pattern) GROUP BY value)")
         score = f"score{k}"
     listed = "kind || ':' || start || ':' || stop"
     counts = ", ".join(f"count(*) FILTER (rank = {i}) AS n_{k}" for i, k in enumerate(KINDS))
@@ -232,9 +237,7 @@ seen AS (SELECT r, start, stop, value, rank < {len(KINDS)} AS seed, substring(t,
   FROM (SELECT * FROM base UNION ALL SELECT * FROM free)),
 contexts AS (SELECT value, seed, unnest([CASE WHEN len({words.format("b")}) > 0 THEN '<' || {words.format("b")}[-1] END, CASE WHEN len({words.format("a")}) > 0 THEN '>' || {words.format("a")}[1] END]) AS pattern FROM seen),
 edges AS (SELECT pattern, value, bool_or(seed) AS seed FROM contexts WHERE pattern IS NOT NULL GROUP BY ALL),
-vouched AS (SELECT pattern, count(*) AS n FROM edges GROUP BY pattern HAVING count(*) FILTER (seed) >= {support}),
-live AS (SELECT pattern, value, seed, n FROM edges JOIN vouched USING (pattern)),
-score0 AS (SELECT value, CASE WHEN bool_or(seed) THEN 1.0 ELSE 0.0 END AS score FROM live GROUP BY value),
+score0 AS (SELECT value, CASE WHEN bool_or(seed) THEN 1.0 ELSE 0.0 END AS score FROM edges GROUP BY value),
 {", ".join(steps)},
 ids AS (SELECT DISTINCT r, {len(KINDS)} AS rank, 'id' AS kind, start, stop FROM seen WHERE NOT seed AND value IN (SELECT value FROM {score} WHERE score >= {confidence})),
 per AS (SELECT r, {counts}, string_agg({listed}, ',' ORDER BY start, rank) AS l FROM base GROUP BY r),
