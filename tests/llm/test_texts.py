@@ -46,11 +46,24 @@ def _sets(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_join_of_large_groups(spark, monkeypatch):
-    """Near copies and a shared passage, with limits so small that shingles overflow into blocks."""
-    monkeypatch.setattr(ngram_join, "SMALL", 4)
-    monkeypatch.setattr(ngram_join, "BLOCK", 7)
-    monkeypatch.setattr(ngram_join, "FREQUENT", 6)
+def _classes(sets, near=80):
+    """The smallest id in reach of each id, by comparing all pairs."""
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            k = len(sets[a] & sets[b]) if a < b else 0
+            if k and 100 * k >= near * (len(sets[a]) + len(sets[b]) - k):
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: root(i) for i in sets}
+
+
+def _large_groups():
     random.seed(3)
     words = [f"w{i}" for i in range(400)]
     base, passage, rows = random.choices(words, k=70), random.choices(words, k=55), []
@@ -60,23 +73,41 @@ def test_join_of_large_groups(spark, monkeypatch):
             t[random.randrange(len(t))] = random.choice(words)
         rows.append((1000 - i, " ".join(t)))
     rows += [(i, " ".join(random.choices(words, k=40) + passage + random.choices(words, k=40))) for i in range(60)]
-    rows += [(2000 + i, rows[i][1].upper()) for i in range(20)]
+    return rows + [(2000 + i, rows[i][1].upper()) for i in range(20)]
+
+
+@pytest.mark.parametrize("hot, pairs", [(13, 4096), (2, 4096), (13, 1)])
+def test_join_of_large_groups(spark, monkeypatch, hot, pairs):
+    """Near copies and a shared passage, with limits so small that shingles overflow into blocks, are hot, or make jobs of two groups."""
+    for name, v in (("SMALL", 4), ("BLOCK", 7), ("TYPICAL", 64), ("FREQUENT", 6), ("HOT", hot), ("PAIRS", pairs)):
+        monkeypatch.setattr(ngram_join, name, v)
+    rows = _large_groups()
     got = {r.doc_id: r for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     sets = {i: _sets(t) for i, t in rows}
-    up = {i: i for i in sets}
+    low = _classes(sets)
+    assert {i: (got[i].n_shingles, got[i].component_id) for i in sets} == {i: (len(sets[i]), low[i]) for i in sets}
+    assert len(set(low.values())) < len(sets) - 40
 
-    def root(i):
-        while up[i] != i:
-            i = up[i]
-        return i
 
-    for a in sets:
-        for b in sets:
-            k = len(sets[a] & sets[b])
-            if a < b and 100 * k >= 80 * (len(sets[a]) + len(sets[b]) - k):
-                up[max(root(a), root(b))] = min(root(a), root(b))
-    assert {i: (got[i].n_shingles, got[i].component_id) for i in sets} == {i: (len(sets[i]), root(i)) for i in sets}
-    assert len({root(i) for i in sets}) < len(sets) - 40
+def test_join_tells_sets_by_more_bits_when_hashes_meet(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TOLD_BY", (5, 64))
+    rows = _large_groups() + [(3000, "x"), (3000, "y z"), (3001, "Y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: _sets(t) for i, t in rows if i < 3000}
+    got = [(r.doc_id, r.component_id) for r in ngram_join.classes(df).collect()]
+    assert sorted(got) == sorted([*_classes(sets).items(), (3000, 3000), (3000, 3000), (3001, 3000)])
+    assert sorted(r.doc_id for r in ngram_join.keep_one(df).collect()) == sorted([*set(_classes(sets).values()), 3000, 3000])
+
+
+def test_join_of_one_prefix(spark, monkeypatch):
+    """50,000 different texts, most of them of one prefix and size (no shingle is told to be frequent), all near copies: one class."""
+    monkeypatch.setattr(ngram_join, "frequent", lambda *_: (np.zeros(0, np.uint32), np.zeros(0, np.uint8)))
+    same = " ".join(f"s{k}" for k in range(44))
+    df = spark.createDataFrame([(i, f"{same} t{i}") for i in range(50_000)], "doc_id long, text string").repartition(8)
+    rows = ngram_join.prepared(df, "doc_id", "text", 5, 80, np.zeros(0, np.uint32), np.zeros(0, np.uint8))
+    assert rows.groupBy("grp").count().agg({"count": "max"}).first()[0] > 30_000
+    out = ngram_join.classes(df).groupBy("component_id").count().collect()
+    assert [(r.component_id, r["count"]) for r in out] == [(0, 50_000)]
 
 
 def test_keep_one(spark, hard):
