@@ -219,6 +219,25 @@ def _runs(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator
         at = to
 
 
+def _ids_of(texts: pa.Array, find, get) -> pa.ListArray:
+    values, ends = [np.zeros(0, np.int32)], [0]
+    for text in texts.to_pylist():
+        ids = np.frombuffer(b"".join(map(get, find(text))), np.int32)
+        values.append(ids)
+        ends.append(ends[-1] + len(ids))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
+
+
+def _bytes_of(ids: pa.ListArray, get) -> pa.Array:
+    flat, ends = ids.flatten().to_numpy(), np.asarray(ids.offsets)
+    ends = (ends - ends[0]).tolist()
+    return pa.array([b"".join(map(get, flat[a:b].tolist())) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+
+
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return text_batches(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+
+
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and ids array<int>, a row for each row of df: every match of pattern in the whole text encoded by itself."""
     id_type = df.schema[id_col].dataType.simpleString()  # a struct of columns may stand for the id
@@ -228,19 +247,12 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         find, get = regex.compile(pattern).findall, pieces.__getitem__
         for whole in batches:
             for batch in _runs(whole, 1):
-                values, ends = [], [0]
-                for text in batch.column(1).to_pylist():
-                    ids = np.frombuffer(b"".join(map(get, find(text))), np.int32)
-                    values.append(ids)
-                    ends.append(ends[-1] + len(ids))
-                flat = np.concatenate(values) if values else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), _ids_of(batch.column(1), find, get)], names=["id", "ids"])
         # Workers live on beside other stages: what was learnt of this task's texts goes.
         pieces.forget()
         release()
 
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return text_batches(rows).mapInArrow(run, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
+    return _texts(df, id_col, text_col).mapInArrow(run, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -251,17 +263,30 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
         get = tokens_of(path).__getitem__
         for whole in batches:
             for batch in _runs(whole, 1, 1_000_000):
-                ids = batch.column(1)
-                flat, ends = ids.flatten().to_numpy(), np.asarray(ids.offsets)
-                ends = (ends - ends[0]).tolist()
-                decoded = [b"".join(map(get, flat[a:b].tolist())) for a, b in zip(ends, ends[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.binary())], names=["id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _bytes_of(batch.column(1), get)], names=["id", "ids", "decoded"])
         release()
 
     rows = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     return text_batches(rows).mapInArrow(run, f"id {id_type}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
 
 
+def encode_and_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What decode(encode(df)) gives, by one Python worker a task: ids are decoded where they were made, by the same vocabulary."""
+    id_type = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        vocabulary, pieces = _load(path)
+        find, get, back = regex.compile(pattern).findall, pieces.__getitem__, vocabulary.tokens.__getitem__
+        for whole in batches:
+            for batch in _runs(whole, 1, 2_000_000):
+                ids = _ids_of(batch.column(1), find, get)
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids, _bytes_of(ids, back)], names=["id", "ids", "decoded"])
+        pieces.forget()
+        release()
+
+    return _texts(df, id_col, text_col).mapInArrow(run, f"id {id_type}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+
+
 def digest(ids: Column) -> Column:
     """Lowercase hex of SHA-256 of the decimal ids joined by one space."""
     return F.sha2(F.array_join(ids.cast("array<string>"), " "), 256)
@@ -269,5 +294,5 @@ def digest(ids: Column) -> Column:
 
 def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, ids_sha256, decoded_sha256: digests of what encode() and then decode() give."""
-    out = decode(encode(df, path, pattern, id_col, text_col), path, id_col)
+    out = encode_and_decode(df, path, pattern, id_col, text_col)
     return out.select(id_col, F.size("ids").cast("long").alias("n_tokens"), digest(F.col("ids")).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))

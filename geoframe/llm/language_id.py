@@ -3,8 +3,9 @@
 A text's subwords are the runs of 2 to 4 bytes inside its lower-cased words, word borders included; each is hashed to a row of
 an embedding matrix, the rows are averaged, and a linear softmax tells the language.  The model is trained by stochastic
 gradient descent in numpy on a bounded sample: ROWS_PER_LANGUAGE labelled rows (as a hash takes them) for each language, as many of each
-as make SAMPLE_ROWS where languages are many, but one at least, each row whole and in a few excerpts so that short texts are learnt too.  A part of the sample is kept
-back: on it a temperature is fitted, and then the threshold of rejection, the least confidence such that of the rows
+as make SAMPLE_ROWS where languages are many, but one at least, each row whole and in a few excerpts so that short texts are learnt too; of a row
+with more different subwords than its share of SAMPLE_VALUES, an excerpt from anywhere in it takes the place of the whole, so that the sample fits the driver whatever the
+texts' lengths.  A part of the sample is kept back: on it a temperature is fitted, and then the threshold of rejection, the least confidence such that of the rows
 kept at most REJECT_ERROR are wrong; it never falls below FLOOR times the confidence of a blind guess.
 
 As embedding and softmax are both linear, scoring needs their product only, one short row for each hash.
@@ -26,9 +27,10 @@ from pyspark.sql import functions as F
 from geoframe.llm.common import sliced, text_batches
 
 #: The sample's bounds, the model's size and the rule of rejection.
-ROWS_PER_LANGUAGE, SAMPLE_ROWS, HASHES, WIDTH, EPOCHS, REJECT_ERROR, FLOOR, SEED = 800, 160_000, 1 << 15, 16, 6, 0.02, 1.2, 7
+ROWS_PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_VALUES, HASHES, WIDTH, EPOCHS, REJECT_ERROR, FLOOR, SEED = 800, 160_000, 40_000_000, 1 << 15, 16, 6, 0.02, 1.2, 7
 _WORD = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
-SLICE = 1 << 20
+#: Bytes of texts that are scored at a time, and numbers of them, so that memory does not grow with the languages.
+SLICE, SLICE_VALUES = 1 << 18, 1 << 21
 
 
 class Model(NamedTuple):
@@ -86,18 +88,24 @@ def _sample(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
     per = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("count"), F.min(place).alias("first"))
     # One line for each language; its first row is taken however few the others are.
     wanted = F.least(F.lit(float(ROWS_PER_LANGUAGE)), F.lit(float(SAMPLE_ROWS)) / F.count("*").over(Window.partitionBy()))
-    cut = per.select("lang", "first", (F.lit(float(1 << 30)) * F.least(F.lit(1.0), wanted / F.col("count"))).alias("cut"))
+    share = F.lit(SAMPLE_VALUES) / F.greatest(F.sum(F.least(wanted, F.col("count"))).over(Window.partitionBy()) * 1.2, F.lit(1.0))
+    cut = per.select("lang", "first", (F.lit(float(1 << 30)) * F.least(F.lit(1.0), wanted / F.col("count"))).alias("cut"), F.greatest(share, F.lit(64.0)).cast("int").alias("most"))
     taken = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place")).join(F.broadcast(cut), "lang").where("place < cut OR place = first")
 
     def run(batches):
         for b in sliced(batches):
             lang, which, share, place = [], [], [], []
-            for label, text, at in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for label, text, at, most in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 words = text.split()
                 rng = np.random.default_rng(at)
                 starts = [(int(rng.integers(0, max(1, len(words) - size + 1))), size) for size in (4, 12, 40)]
                 for k, piece in enumerate((text, *(" ".join(words[s : s + size]) for s, size in starts))):
                     x, y = counts(piece)
+                    size = len(words)
+                    while len(x) > most and size > 4:
+                        size = max(4, size * most // (len(x) + most // 8))
+                        s = int(rng.integers(0, len(words) - size + 1))
+                        x, y = counts(" ".join(words[s : s + size]))
                     if len(x):
                         lang.append(label)
                         which.append(x.astype(np.uint16).tobytes())
@@ -105,7 +113,7 @@ def _sample(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
                         place.append(at * 4 + k)
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(which, pa.binary()), pa.array(share, pa.binary()), pa.array(place, pa.int64())], names=["lang", "which", "share", "place"])
 
-    return text_batches(taken.select("lang", "text", "place")).mapInArrow(run, "lang string, which binary, share binary, place long")
+    return text_batches(taken.select("lang", "text", "place", "most")).mapInArrow(run, "lang string, which binary, share binary, place long")
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -183,6 +191,7 @@ def scores(texts: list[str], model: Model) -> np.ndarray:
     out, n = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
     held: list[bytes] = []
     first = size = 0
+    most = max(64, min(SLICE, SLICE_VALUES // max(1, len(model.languages))))
 
     def add(parts: list[bytes], at: int) -> None:
         data = np.frombuffer(b"".join(parts), np.uint8)
@@ -195,13 +204,13 @@ def scores(texts: list[str], model: Model) -> np.ndarray:
 
     for i, text in enumerate(texts):
         data = _bytes(text)
-        if len(data) > SLICE:
+        if len(data) > most:
             which, k = counts(text)
             out[i], n[i] = (model.rows[which] * k[:, None]).sum(0), k.sum()
             data = b" "
         held.append(data)
         size += len(data)
-        if size > SLICE:
+        if size > most:
             add(held, first)
             held, first, size = [], i + 1, 0
     if held:

@@ -342,3 +342,37 @@ def test_every_language_has_a_row_in_a_small_sample(spark, monkeypatch):
     rows = [(i, f"word{i % 60} and more", f"l{i % 60}") for i in range(3000)]
     sample = language_id._sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang").toPandas()
     assert sample.lang.nunique() == 60 and sample.place.floordiv(4).nunique() < 200
+
+
+def test_sample_of_languages_is_bounded_whatever_the_lengths(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_VALUES", 3000)
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(400)), f"l{i % 2}") for i in range(30)] + [(99, "x" * 5000, "l0")]
+    sample = language_id._sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang").toPandas()
+    assert sample.which.map(len).max() <= 2 * 200 and sample.place.floordiv(4).nunique() > 20 and (sample.place % 4 == 0).sum() > 20
+
+
+def test_language_scores_by_a_plain_loop(spark, sf):
+    """Scores and predictions against sums over each subword, one by one."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.fit(docs)
+    told = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
+    for r in docs.limit(60).collect():
+        data = b" " + (r.text or "").lower().encode().translate(language_id._WORD) + b" "
+        total, n = np.zeros(len(model.languages)), 0
+        for width in (2, 3, 4):
+            for at in range(len(data) - width + 1):
+                run = data[at : at + width]
+                if run == b"  " if width == 2 else 32 in run[1:-1]:
+                    continue
+                h = run[0]
+                for c in run[1:]:
+                    h = (h * 16777619 + c) % (1 << 32)
+                h = (h * 2654435761) % (1 << 32) >> 17
+                total, n = total + model.rows[h or 1], n + 1
+        z = (total / max(n, 1) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        if any(map(str.isalpha, r.text or "")):
+            assert told[r.doc_id].lang_pred == model.languages[int(p.argmax())] and abs(told[r.doc_id].score - p.max()) < 1e-5
+        else:
+            assert told[r.doc_id].lang_pred == "und"
