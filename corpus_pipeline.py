@@ -43,7 +43,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and digests of the ids and of what they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = docs.select(F.struct("doc_id", "lang", "source").alias("row"), "text")
-    out = byte_bpe.decode(byte_bpe.encode(rows, path, public_tokenizers.PATTERN, "row"), path, "row")
+    out = byte_bpe.encode_and_decode(rows, path, public_tokenizers.PATTERN, "row")
     return out.select("row.*", F.size("ids").cast("long").alias("n_tokens"), "ids", byte_bpe.digest(F.col("ids")).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
