@@ -1,4 +1,8 @@
-"""Connected components by hooking and contraction, as joins; no link or component comes to the driver."""
+"""Connected components by hooking and contraction, as joins; no link or component comes to the driver.
+
+Defined results: links with a null end and links of a node with itself say nothing, and a node of no other link has no row; repeated and turned links are one; an empty
+table gives an empty table; columns other than a and b are ignored.
+"""
 
 from __future__ import annotations
 

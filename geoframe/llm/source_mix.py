@@ -13,6 +13,9 @@ added up along the digits, and rows are ranked inside such a group only; a hot s
 Defined results: a null source is the source ''; weights not given are the square roots of the sources' row counts (a
 temperature of 2); sources without a weight get the smallest (one slot a period), as do those with weight 0; repeated rows get places of their own;
 an empty table gives an empty table; columns of df named as the new ones are replaced.
+
+One period is scheduled by one fold, whose work is the period's slots (at least 4 for each source) times the sources: it is made for up to some thousands of
+sources (1,000: 4 million steps), whatever their rows.
 """
 
 from __future__ import annotations
@@ -92,7 +95,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", weigh
         j = F.floor(rank / block)
         return F.floor(j / F.col("a")) * F.col("period") + F.col("at")[(j % F.col("a")).cast("int")]
 
-    plan = starts.join(F.broadcast(given), "source").select(F.col("source").alias("__source"), F.col("group").alias("__group"), "start", "a", "period", "at")
+    plan = starts.join(given, "source").select(F.col("source").alias("__source"), F.col("group").alias("__group"), "start", "a", "period", "at")
     by = ["__source", "__group"]
     rank = F.col("start") + F.row_number().over(Window.partitionBy(*by).orderBy("__hash", id_col)) - 1
     out = rows.join(plan, by).withColumn("__rank", rank)

@@ -376,3 +376,68 @@ def test_language_scores_by_a_plain_loop(spark, sf):
             assert told[r.doc_id].lang_pred == model.languages[int(p.argmax())] and abs(told[r.doc_id].score - p.max()) < 1e-5
         else:
             assert told[r.doc_id].lang_pred == "und"
+
+
+def test_quality_by_plain_loops(spark, hard):
+    """Word vectors, pooling and the network's probabilities, one word after another."""
+    texts = {r.doc_id: r.text for r in hard.collect() if r.doc_id not in (9, 10, 12)}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(3)
+    places, signs = quality.index_vectors()
+    token, w = quality._Tokens(), quality.WIDTH
+    rows = {i: [divmod(token[t], quality.SHAPES) for t in (x or "").split()] for i, x in texts.items()}
+    sums = np.zeros((quality._ALL, w + 1))
+    index = np.zeros((quality._ALL, w))
+    for r in range(quality._ALL):
+        for k in (0, 1):
+            index[r, places[r, k]] += signs[r, k]
+    for ids in rows.values():
+        for stream in ([a for a, _ in ids], [b + quality.WORDS for _, b in ids]):
+            for i, a in enumerate(stream):
+                sums[a, w] += 1
+                for j in (i - 2, i - 1, i + 1, i + 2):
+                    if 0 <= j < len(stream):
+                        sums[a, :w] += index[stream[j]]
+    assert np.array_equal(quality.contexts(docs), sums)
+    vectors = quality.word_vectors(sums)
+    rng = np.random.default_rng(1)
+    net = quality.Network(np.zeros(6 * w + 3), np.ones(6 * w + 3), rng.normal(size=(6 * w + 3, 4)), rng.normal(size=4), rng.normal(size=4), 0.1, 1.7)
+    told = {r.doc_id: r.score for r in quality.predict(docs, vectors, net).collect()}
+    for i, ids in rows.items():
+        n = max(1, len(ids))
+        same = [sum(ids[k][part] == ids[k + 1][part] for k in range(len(ids) - 1)) / n for part in (0, 1)]
+        x = [*same, np.log1p(len(ids))]
+        for each in ([vectors[a] for a, _ in ids], [np.concatenate((vectors[b + quality.WORDS], index[b + quality.WORDS])) for _, b in ids]):
+            m = np.array(each, float).reshape(len(ids), -1) if ids else np.zeros((1, w if len(x) == 3 else 2 * w))
+            x += [*m.mean(0), *m.std(0)]
+        h = np.tanh(np.array(x) @ net.w1 + net.b1) @ net.w2 + net.b2
+        assert abs(told[i] - 1 / (1 + np.exp(-h / net.temperature))) < 1e-4, texts[i]
+
+
+HARD_ROWS = [(i, t, "en" if i % 2 else None, None if i % 4 == 0 else f"s{i % 3}", None if i % 5 == 0 else len(t or "")) for i, t in HARD]
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_stages_over_hard_rows(spark, number):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, clashing columns, and no rows at all."""
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[number]
+    rows = [*HARD_ROWS, HARD_ROWS[3], (None, None, None, None, None), (None, "some words of no document", "en", "s1", 4), (5, "another text under this id", "en", "s1", 1)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    more = plain.selectExpr("*", "'x' AS id", "1.5 AS score", "array(1) AS ids", "'y' AS mix_slot", "'z' AS node", "0 AS place")
+    out = stage(spark, more, "")
+    got = out.collect()
+    if number < 4:
+        assert out.columns == plain.columns
+    if name == "language":
+        assert {r.doc_id for r in got} <= {r[0] for r in rows if language_id.has_letter(r[1])}
+    if name == "near_copies":
+        kept = collections.Counter(r.doc_id for r in got)
+        assert kept[7] == 0 and kept[6] == 1 and kept[3] == 1 and kept[5] == 2 and kept[None] == 2
+    if name in ("private", "mixture", "tokens"):
+        assert collections.Counter(r.doc_id for r in got) == collections.Counter(r[0] for r in rows)
+    if name == "private":
+        assert all("@" not in (r.text or "") for r in got) and all((r.text is None) == (r.n_chars is None) for r in got)
+    if name == "mixture":
+        assert collections.Counter(r.text for r in got) == collections.Counter(r[1] for r in rows)
+    assert stage(spark, plain.limit(0), "").count() == 0
