@@ -2,6 +2,11 @@
 
 Languages are told and rejected documents go; of near copies one document stays; personal data is masked; sources are interleaved
 to target weights, so that the files hold the rows in the order of the mix; texts become byte-level BPE ids.
+
+Defined results: null and empty texts, and texts without a letter, have no language and go in the first stage; given to a later stage they stay (each a
+document of its own), have nothing to mask, and no ids. Null ids, sources and counts stay null, and a null source is mixed as the source ''. Of repeated rows
+one stays in near_copies; elsewhere each is a row of its own. Texts of any length are taken whole. Columns other than those of documents go in each stage's first
+step, whatever their names. An empty table gives an empty table in every stage.
 """
 
 from __future__ import annotations
