@@ -103,8 +103,9 @@ def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.array([[sum(a * b for a, b in zip(map(int, x), y, strict=True)) for y in whole] for x in q.tolist()], object)
 
 
-def _best(q: np.ndarray, own: np.ndarray, v: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places in q, places in v and products of the k best of v for each of q, ties to the smaller id and row; own: the row that q is itself."""
+def _best(q: np.ndarray, own: np.ndarray, least: np.ndarray, v: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in q, places in v and products of the k best of v for each of q, ties to the smaller id and row; own: the row that q is itself;
+    least: what a product must reach to matter (-LONG: anything does)."""
     order = np.lexsort((rows, ids))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -112,10 +113,13 @@ def _best(q: np.ndarray, own: np.ndarray, v: np.ndarray, rows: np.ndarray, ids:
     step = max(1, (1 << 21) // len(v))
     for s in range(0, len(q), step):
         scores = _products(q[s : s + step], v)
-        i, j = np.nonzero(own[s : s + step, None] != rows[None])
+        floor = least[s : s + step, None]
+        # Both are longs here, or doubles that hold them; a floor that no double holds is rounded to one that may be a little higher, so it is lowered.
+        fine = (own[s : s + step, None] != rows[None]) & ((floor == -LONG) | (scores >= (floor if scores.dtype != np.float64 else floor - (np.abs(floor) >> 50))))
         if len(v) > k + 1 and scores.dtype != object:
             # With the query's own row there may be one too many, never one too few.
-            i, j = np.nonzero((scores >= np.partition(scores, len(v) - k - 1, axis=1)[:, len(v) - k - 1, None]) & (own[s : s + step, None] != rows[None]))
+            fine &= scores >= np.partition(scores, len(v) - k - 1, axis=1)[:, len(v) - k - 1, None]
+        i, j = np.nonzero(fine.astype(bool))
         x = scores[i, j]
         ranked = np.lexsort((place[j], -x, i)) if x.dtype != object else np.array(sorted(range(len(x)), key=lambda t: (i[t], -x[t], place[j[t]])), np.int64)
         i, j, x = i[ranked], j[ranked], x[ranked]
@@ -133,13 +137,14 @@ def _over(x) -> str:
 
 
 def _scan(cells: DataFrame, queries: DataFrame, wanted: DataFrame, k: int, parts: DataFrame) -> DataFrame:
-    """query (a row), query_id, row, id, score, over: the k best of each part of a wanted ring for each query. wanted: query, ring."""
+    """query (a row), query_id, row, id, score, over: the k best of each part of a wanted ring for each query, if they reach what is known to
+    be reached. wanted: query, ring, least."""
     # One line for each ring; rings that nobody asks for have none, and their rows stay where they are.
     blocks = wanted.groupBy("ring").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("blocks")).join(F.broadcast(parts), "ring")
     block = F.pmod(F.xxhash64("query", "ring"), F.col("blocks")).cast("int").alias("block")
-    asked = wanted.join(F.broadcast(blocks), "ring").select("query", "ring", block, "parts")
+    asked = wanted.join(F.broadcast(blocks), "ring").select("query", "ring", "least", block, "parts")
     asked = asked.join(queries.select(F.col("row").alias("query"), F.col("id").alias("query_id"), F.col("v").alias("q")), "query")
-    asked = asked.select("query", "query_id", "q", "ring", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    asked = asked.select("query", "query_id", "q", "least", "ring", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     offered = cells.join(F.broadcast(blocks), "ring").select("row", "id", "v", "ring", F.pmod(F.xxhash64("row", F.lit(7)), F.col("parts")).cast("int").alias("part"), "blocks")
     offered = offered.select("row", "id", "v", "ring", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
@@ -147,7 +152,7 @@ def _scan(cells: DataFrame, queries: DataFrame, wanted: DataFrame, k: int, parts
         if not len(left) or not len(right):
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("query", "int64"), ("query_id", "int64"), ("row", "int64"), ("id", "int64"), ("score", "int64"), ("over", "str"))})
         own, ids, rows = left["query"].to_numpy(), right["id"].to_numpy(), right["row"].to_numpy()
-        i, j, x = _best(np.stack(left["q"].to_numpy()), own, np.stack(right["v"].to_numpy()), rows, ids, k)
+        i, j, x = _best(np.stack(left["q"].to_numpy()), own, left["least"].to_numpy(np.int64), np.stack(right["v"].to_numpy()), rows, ids, k)
         score = np.array([max(-LONG, min(LONG - 1, s)) for s in x], np.int64) if x.dtype == object else x.astype(np.int64)
         over = [_over(s) for s in x] if x.dtype == object else ""
         return pd.DataFrame({"query": own[i], "query_id": left["query_id"].to_numpy()[i], "row": rows[j], "id": ids[j], "score": score, "over": over})
@@ -195,31 +200,31 @@ def _search(queries: DataFrame, rows: DataFrame, total: int, largest: float, k:
                 take = np.minimum((held < k + 1).sum(1) + 1, len(ring))
                 at = np.repeat(np.arange(len(take)), take)
                 which = np.concatenate([order[i, :t] for i, t in enumerate(take)])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(ring[which].astype(np.int32))], names=["query", "ring"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(ring[which].astype(np.int32)), pa.array(np.full(len(at), -LONG))], names=["query", "ring", "least"])
 
     def rest(batches):
         """The annuli that may hold a row as good as the k-th so far and were not scanned."""
         for b in batches:
             if b.num_rows:
                 v = matrix(b.column(1)) / unit
-                kth, seen = b.column(2).to_numpy(zero_copy_only=False).astype(float) / unit / unit, b.column(3).to_pylist()
-                reach = np.sqrt(np.maximum(0, (v**2).sum(1) + norm**2 - 2 * kth)) + slack
-                # A score that does not fit a long bounds nothing.
-                unknown = np.isnan(kth) | (np.abs(kth) * unit * unit >= 2.0**62)
+                least, seen = b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_pylist()
+                # Without k rows so far nothing is bounded, and a score that does not fit a long bounds nothing.
+                unknown = (least == -LONG) | (least == LONG - 1)
+                reach = np.sqrt(np.maximum(0, (v**2).sum(1) + norm**2 - 2 * (least.astype(float) / unit / unit))) + slack
                 near = gaps(v) <= np.where(unknown, np.inf, reach)[:, None]
                 for i, s in enumerate(seen):
                     near[i, np.isin(ring, s)] = False
                 at, which = np.nonzero(near)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(ring[which].astype(np.int32))], names=["query", "ring"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(ring[which].astype(np.int32)), b.column(2).take(pa.array(at))], names=["query", "ring", "least"])
 
     asked = queries.select("row", "id", "v")
-    wanted = written(asked.select("row", "v").mapInArrow(first, "query long, ring int"), "topk-first")
+    wanted = written(asked.select("row", "v").mapInArrow(first, "query long, ring int, least long"), "topk-first")
     near = written(_scan(cells, asked, wanted, k, parts), "topk-near")
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("over"), "id", "row")
     kth = near.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("query", F.col("score").alias("kth"))
     seen = wanted.groupBy("query").agg(F.collect_list("ring").alias("seen"))
     todo = asked.join(seen, asked["row"] == seen["query"]).drop("query").join(kth, F.col("row") == kth["query"], "left")
-    more = written(todo.select("row", "v", F.col("kth").cast("double"), "seen").mapInArrow(rest, "query long, ring int"), "topk-more")
+    more = written(todo.select("row", "v", F.coalesce("kth", F.lit(-LONG)).alias("kth"), "seen").mapInArrow(rest, "query long, ring int, least long"), "topk-more")
     found = written(near.unionByName(_scan(cells, asked, more, k, parts)), "topk-found")
     delete_written(cells, wanted, near, more)
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -158,6 +158,6 @@ def test_topk_sends_only_what_is_asked_for(spark):
     cells = spark.range(100).selectExpr("id AS row", "id", "array(cast(id AS double)) AS v", "cast(id % 4 AS int) AS ring", "0.0 AS d")
     parts = spark.createDataFrame([(r, 1) for r in range(4)], "ring int, parts int")
     queries = spark.createDataFrame([(1000 + i, i, [1.0]) for i in range(5)], "row long, id long, v array<double>")
-    wanted = spark.createDataFrame([(1000 + i, 2) for i in range(5)], "query long, ring int")
+    wanted = spark.createDataFrame([(1000 + i, 2, -(1 << 63) if i < 3 else 94) for i in range(5)], "query long, ring int, least long")
     out = topk_search._scan(cells, queries, wanted, 3, parts)
-    assert {(r.query, r.id) for r in out.collect()} == {(1000 + i, j) for i in range(5) for j in (98, 94, 90)}
+    assert {(r.query, r.id) for r in out.collect()} == {(1000 + i, j) for i in range(5) for j in (98, 94, 90) if i < 3 or j >= 94}
