@@ -76,16 +76,17 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _block(ids, v, copies, left, table, bucket, hashes, least):
-    """ids, links and smallest connected id for the rows of a block; left marks the first side of a pair of blocks, None: one block."""
+def _pairs(v: np.ndarray, left: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the links of a block; left marks the first side of a pair of blocks, None: one block."""
     cos = v @ v.T if left is None else v[left] @ v[~left].T
     i, j = np.nonzero(cos >= least)
     if left is None:
-        i, j = i[i < j], j[i < j]
-    else:
-        i, j = np.flatnonzero(left)[i], np.flatnonzero(~left)[j]
-    if not len(i):
-        return None
+        return i[i < j], j[i < j]
+    return np.flatnonzero(left)[i], np.flatnonzero(~left)[j]
+
+
+def _told(ids: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray, codes: np.ndarray, table: int, bucket: int):
+    """ids, links and smallest connected id for the rows of a block with links (i, j). codes: rows x tables x probes; a pair counts where it meets first."""
     label = np.arange(len(ids))
     order = np.argsort(ids, kind="stable")
     label[order] = np.arange(len(ids))
@@ -97,14 +98,11 @@ def _block(ids, v, copies, left, table, bucket, hashes, least):
         if (new == label).all():
             break
         label = new
-    some = np.unique(np.concatenate((i, j)))
-    codes = buckets(v[some], hashes, table + 1)
-    at, first = np.zeros(len(ids), np.int64), np.ones(len(i), bool)
-    at[some] = np.arange(len(some))
+    first = np.ones(len(i), bool)
     for t in range(table + 1):
-        same = codes[at[i], t][:, :, None] == codes[at[j], t][:, None, :]
+        same = codes[i, t][:, :, None] == codes[j, t][:, None, :]
         if t == table:
-            same &= codes[at[i], t][:, :, None] < bucket
+            same &= codes[i, t][:, :, None] < bucket
         first &= ~same.any((1, 2))
     i, j = i[first], j[first]
     links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
@@ -142,15 +140,28 @@ def links(classes: DataFrame, hashes: int, least: float) -> DataFrame:
 
     def found(batches):
         held: list[pa.RecordBatch] = []
+        waiting: list[tuple] = []  # blocks with links, whose rows' buckets are made for many blocks at a time
 
-        def flush(done):
+        def compared(done):
             t = pa.Table.from_batches(done).combine_chunks().to_batches()[0]
             a, b = t.column(3)[0].as_py(), t.column(4)[0].as_py()
-            ids, copies = t.column(6).to_numpy(), t.column(7).to_numpy()
-            left = None if a == b else t.column(5).to_numpy() == a
-            got = _block(ids, _unit(matrix(t.column(8))), copies, left, t.column(1)[0].as_py(), t.column(2)[0].as_py(), hashes, least)
-            if got:
+            v = _unit(matrix(t.column(8)))
+            i, j = _pairs(v, None if a == b else t.column(5).to_numpy() == a, least)
+            if not len(i):
+                return
+            some = np.unique(np.concatenate((i, j)))
+            ids, copies = t.column(6).to_numpy()[some], t.column(7).to_numpy()[some]
+            if waiting and (waiting[-1][0].shape[1] != v.shape[1] or sum(len(w[0]) for w in waiting) >= 8192 or sum(len(w[3]) for w in waiting) >= 1 << 20):
+                yield from flush()
+            waiting.append((v[some], ids, copies, np.searchsorted(some, i), np.searchsorted(some, j), t.column(1)[0].as_py(), t.column(2)[0].as_py()))
+
+        def flush():
+            codes = buckets(np.concatenate([w[0] for w in waiting]), hashes, 1 + max(w[5] for w in waiting))
+            ends = np.cumsum([len(w[0]) for w in waiting])
+            for (v, ids, copies, i, j, table, bucket), end in zip(waiting, ends.tolist(), strict=True):
+                got = _told(ids, copies, i, j, codes[end - len(v) : end], table, bucket)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], names=["id", "n", "low"])
+            waiting.clear()
 
         last = None
         for batch in batches:
@@ -165,12 +176,14 @@ def links(classes: DataFrame, hashes: int, least: float) -> DataFrame:
             for s, e in zip(starts, starts[1:], strict=False):
                 key_now = tuple(c[s].as_py() for c in keys)
                 if held and key_now != last:
-                    yield from flush(held)
+                    yield from compared(held)
                     held = []
                 last = key_now
                 held.append(batch.slice(s, e - s))
         if held:
-            yield from flush(held)
+            yield from compared(held)
+        if waiting:
+            yield from flush()
 
     return dealt.mapInArrow(found, "id long, n long, low long")
 
