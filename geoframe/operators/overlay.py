@@ -186,9 +186,9 @@ def cut(frame: FeatureFrame, cutter: FeatureFrame) -> FeatureFrame:
     """Lines split where the cutter's lines meet them; polygons split along them. Points raise."""
     if frame.geometry_type == "Point":
         raise ValueError("points cannot be cut")
-    from geoframe.operators.spatial import candidates, cell_size
+    from geoframe.operators.spatial import candidates
 
-    met = candidates(frame.df.select(FID, GEOM), cutter.df.select(GEOM), cell_size(cutter.df))
+    met = candidates(frame.df.select(FID, GEOM), cutter.df.select(GEOM))
     blades = met.groupBy(F.col(f"l_{FID}").alias(FID)).agg(F.collect_list(f"r_{GEOM}").alias("__cut"))
     rows = frame.df.join(blades, FID, "left")
     schema = rows.drop("__cut").schema

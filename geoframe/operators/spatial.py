@@ -1,13 +1,16 @@
 """Spatial select, joins and statistics.
 
-A spatial join is an equi-join on grid cells: both sides are listed under the cells that their bboxes overlap, and a pair that meets in
-several cells is kept in one only, the cell of the larger of the two lower left bbox corners.  Then comes the exact test: an expression where one side
+A spatial join is an equi-join on grid cells of several levels. A feature's home level has cells of about its own size, so it lies in four of them at most; it
+is listed there, and under those higher levels that features of the other side have as their home. A pair meets at the higher one of its two home levels, in the cell of the larger of
+its two lower left bbox corners, and nowhere else, so one very large feature costs the small ones nothing. Then comes the exact test: an expression where one side
 is known to be points, a kernel else.  Catalyst picks the join: broadcast if a side is known to be small, sort-merge with skew handling if not.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,40 +21,70 @@ from geoframe.functions.arrowshapes import of_shapes
 from geoframe.operators.table import FeatureFrame
 from geoframe.types import FID, GEOM
 
-#: The most cells that a feature may be listed under along one axis.
-CELLS_ALONG = 48
+#: A level's cells are 2 ** LEVEL_STEP times as wide as those of the one before; no more than 2 ** FINEST cells lie along the extent of all features.
+LEVEL_STEP, FINEST = 2, 30
 
 
-def cell_size(*frames: DataFrame, extra: float = 0.0) -> float:
-    """The mean bbox side of the features, but so large that none takes more than CELLS_ALONG cells along an axis."""
-    b = F.col(f"{GEOM}.bbox")
-    side = F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"])
-    sizes = [f.where(F.col(GEOM).isNotNull()).agg(F.avg(side), F.max(side), F.min(b["xmin"]), F.max(b["xmax"]), F.min(b["ymin"]), F.max(b["ymax"]), F.count("*")).first() for f in frames]
-    sizes = [s for s in sizes if s[6]]
-    if not sizes:
-        return 1.0
-    mean, most = max(s[0] for s in sizes), max(s[1] for s in sizes) + 2 * extra
-    size = max(mean, 2 * extra, most / (CELLS_ALONG - 1))
-    if size <= 0:  # points only: so many cells that each holds a few
-        extent = max(max(s[3] - s[2], s[5] - s[4]) for s in sizes)
-        size = extent / max(1.0, max(s[6] for s in sizes) ** 0.5) or 1.0
-    return size
-
-
-def _cells(df: DataFrame, geom: str, size: float, extra: float = 0.0) -> DataFrame:
+def _side(geom: str, extra: float) -> Column:
+    b = F.col(f"{geom}.bbox")
+    return F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"]) + 2 * extra
+
+
+def _raw_level(side: Column) -> Column:
+    return F.when(side > 0, F.ceil(F.log2(side) / LEVEL_STEP).cast("int"))
+
+
+class Levels:
+    """The home levels of the features of two frames. Those below `base` are put there: it follows the median feature, or without any
+    extent the points' spacing. None stands for points that are not there yet, as in a stream."""
+
+    def __init__(self, left: DataFrame | None, right: DataFrame, extra: float = 0.0):
+        told = []
+        b = F.col(f"{GEOM}.bbox")
+        for df, more in ((left, extra), (right, 0.0)):
+            if df is None:
+                told.append({"levels": [], "n": 0})
+                continue
+            side = _side(GEOM, more)
+            # One row: the levels are few, as each is a factor of 4.
+            told.append(df.where(F.col(GEOM).isNotNull()).agg(F.collect_set(_raw_level(side)).alias("levels"), F.percentile_approx(F.when(side > 0, side), 0.5).alias("median"), F.min(b["xmin"]).alias("x1"), F.max(b["xmax"]).alias("x2"), F.min(b["ymin"]).alias("y1"), F.max(b["ymax"]).alias("y2"), F.count("*").alias("n")).first())
+        some = [t for t in told if t["n"]]
+        extent = max([max(t["x2"] for t in some) - min(t["x1"] for t in some), max(t["y2"] for t in some) - min(t["y1"] for t in some)], default=0.0) if some else 0.0
+        far = max([abs(t[c]) for t in some for c in ("x1", "x2", "y1", "y2")], default=1.0) or 1.0
+        medians = [t["median"] for t in some if t["median"]]
+        size = min(medians) if medians else extent / max([1.0, *(t["n"] ** 0.5 for t in some)])
+        size = max(size, far * 2.0**-FINEST, 1e-300)
+        self.base = math.ceil(math.log2(size) / LEVEL_STEP)
+        self.left, self.right = (sorted({max(k, self.base) for k in t["levels"]} | {self.base}) for t in told)
+
+
+def _size(level: Column) -> Column:
+    return F.pow(F.lit(2.0), level * LEVEL_STEP)
+
+
+def _cells(df: DataFrame, geom: str, base: int, others: list[int], extra: float = 0.0) -> DataFrame:
+    """df with a row for each cell (__lv, __cx, __cy) that a feature is listed under, and whether it is at home there."""
     b = F.col(f"{geom}.bbox")
+    home = F.greatest(F.coalesce(_raw_level(_side(geom, extra)), F.lit(base)), F.lit(base))
+    rows = df.where(F.col(geom).isNotNull()).withColumn("__home", home)
+    above = F.filter(F.array(*map(F.lit, others)), lambda k: k > F.col("__home"))
+    listed = F.when(F.col("__home") >= others[0], F.concat(F.array(F.col("__home")), above)).otherwise(above)
+    rows = rows.withColumn("__lv", F.explode(listed)).withColumn("__home", F.col("__home") == F.col("__lv"))
+    size = _size(F.col("__lv"))
     along = lambda lo, hi: F.sequence(F.floor((b[lo] - extra) / size).cast("long"), F.floor((b[hi] + extra) / size).cast("long"))
-    return df.where(F.col(geom).isNotNull()).withColumn("__cx", F.explode(along("xmin", "xmax"))).withColumn("__cy", F.explode(along("ymin", "ymax")))
+    return rows.withColumn("__cx", F.explode(along("xmin", "xmax"))).withColumn("__cy", F.explode(along("ymin", "ymax")))
 
 
-def candidates(left: DataFrame, right: DataFrame, size: float, extra: float = 0.0) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, extra: float = 0.0, levels: Levels | None = None) -> DataFrame:
     """Pairs (left columns l_*, right columns r_*) whose bboxes, the left ones widened by extra, overlap; each pair once."""
-    a = _cells(left, GEOM, size, extra).select("__cx", "__cy", *(F.col(f"`{c}`").alias(f"l_{c}") for c in left.columns))
-    b = _cells(right, GEOM, size).select("__cx", "__cy", *(F.col(f"`{c}`").alias(f"r_{c}") for c in right.columns))
-    lb, rb = F.col(f"l_{GEOM}.bbox"), F.col(f"r_{GEOM}.bbox")
+    levels = levels or Levels(left, right, extra)
+    a = _cells(left, GEOM, levels.base, levels.right, extra).select("__lv", "__cx", "__cy", F.col("__home").alias("__lhome"), *(F.col(f"`{c}`").alias(f"l_{c}") for c in left.columns))
+    b = _cells(right, GEOM, levels.base, levels.left).select("__lv", "__cx", "__cy", F.col("__home").alias("__rhome"), *(F.col(f"`{c}`").alias(f"r_{c}") for c in right.columns))
+    lb, rb, size = F.col(f"l_{GEOM}.bbox"), F.col(f"r_{GEOM}.bbox"), _size(F.col("__lv"))
     own = (F.col("__cx") == F.floor(F.greatest(lb["xmin"] - extra, rb["xmin"]) / size)) & (F.col("__cy") == F.floor(F.greatest(lb["ymin"] - extra, rb["ymin"]) / size))
     near = (lb["xmin"] - extra <= rb["xmax"]) & (lb["xmax"] + extra >= rb["xmin"]) & (lb["ymin"] - extra <= rb["ymax"]) & (lb["ymax"] + extra >= rb["ymin"])
-    return a.join(b, ["__cx", "__cy"]).where(own & near).drop("__cx", "__cy")
+    met = a.join(b, ["__lv", "__cx", "__cy"]).where((F.col("__lhome") | F.col("__rhome")) & own & near)
+    return met.drop("__lv", "__cx", "__cy", "__lhome", "__rhome")
 
 
 def _kernel(condition: str):
@@ -99,10 +132,10 @@ def _clip(how, a: Column, b: Column, btype: str | None):
 def where(left: FeatureFrame, right: FeatureFrame, condition: str, radius: float | None = None) -> FeatureFrame:
     """Left features that meet the condition with any right feature (for disjoint: with none), once each, geometry unchanged."""
     if condition == "distance":
-        pairs = candidates(left.df.select(FID, GEOM), right.df.select(GEOM), cell_size(right.df, extra=radius), radius)
+        pairs = candidates(left.df.select(FID, GEOM), right.df.select(GEOM), radius)
         test = planar_distance(F.col(f"l_{GEOM}"), F.col(f"r_{GEOM}"), left.geometry_type, right.geometry_type) <= radius
     else:
-        pairs = candidates(left.df.select(FID, GEOM), right.df.select(GEOM), cell_size(right.df))
+        pairs = candidates(left.df.select(FID, GEOM), right.df.select(GEOM))
         test = predicate("intersects" if condition == "disjoint" else condition, F.col(f"l_{GEOM}"), F.col(f"r_{GEOM}"), left.geometry_type, right.geometry_type)
     hit = pairs.where(test).select(F.col(f"l_{FID}").alias(FID))
     return left.new(left.df.join(hit, FID, "left_anti" if condition == "disjoint" else "left_semi").select(*left.df.columns))
@@ -120,7 +153,7 @@ def pairs_of(left: FeatureFrame, right: FeatureFrame, condition: str, radius: fl
         every = left.df.where(F.col(GEOM).isNotNull()).select(*(F.col(f"`{c}`").alias(f"l_{c}") for c in left.df.columns)).join(right.df.where(F.col(GEOM).isNotNull()).select(*(F.col(f"`{c}`").alias(f"r_{c}") for c in right.df.columns)))
         return every.join(met, [f"l_{FID}", f"r_{FID}"], "left_anti")
     if condition != "distance":
-        return candidates(left.df, right.df, cell_size(right.df)).where(predicate(condition, lg, rg, left.geometry_type, right.geometry_type))
+        return candidates(left.df, right.df).where(predicate(condition, lg, rg, left.geometry_type, right.geometry_type))
     if radius is None and n is None:
         raise ValueError("a distance join needs a radius, or n, or both")
     if radius is None:
@@ -128,13 +161,13 @@ def pairs_of(left: FeatureFrame, right: FeatureFrame, condition: str, radius: fl
     if geodetic:
         # Only points have a geodetic radius: a buffer of 100 vertices, in km.
         if left.geometry_type not in (None, "Point"):
-            raise ValueError("a geodetic radius is for points on the left side")
+            raise ValueError("a radius in km is for points on the left side: geodetic=False takes it in units of the coordinates")
         around = left.df.withColumn("__at", F.col(GEOM)).withColumn(GEOM, geodesy.buffer_km(F.col(GEOM), radius))
-        out = candidates(around, right.df, cell_size(right.df, around)).where(predicate("intersects", lg, rg, "Polygon", right.geometry_type))
+        out = candidates(around, right.df).where(predicate("intersects", lg, rg, "Polygon", right.geometry_type))
         near = planar_distance(F.col("l___at"), rg, "Point", right.geometry_type)
         out = out.withColumn("distance", near).withColumn(f"l_{GEOM}", F.col("l___at")).drop("l___at")
     else:
-        out = candidates(left.df, right.df, cell_size(right.df, extra=radius), radius)
+        out = candidates(left.df, right.df, radius)
         out = out.withColumn("distance", planar_distance(lg, rg, left.geometry_type, right.geometry_type)).where(F.col("distance") <= radius)
     return out if n is None else _first(out, n)
 
@@ -145,40 +178,43 @@ def _first(pairs: DataFrame, n: int) -> DataFrame:
 
 
 def _nearest(left: FeatureFrame, right: FeatureFrame, n: int) -> DataFrame:
-    """The n nearest right features of each left one, ties to the smaller right id. Rings of cells grow twofold until each left feature has n
-    within a distance that the ring surely covers; what is settled leaves the loop."""
-    from geoframe.operators.table import FeatureFrame as Frame
+    """The n nearest right features of each left one, ties to the smaller right id. Rings of cells grow fourfold until each left feature has n
+    within a distance that the ring surely covers; what is settled leaves the loop, and each ring is kept, so that none is run again."""
+    from geoframe.operators.table import checkpointed
 
     shapes = right.df.where(F.col(GEOM).isNotNull())
-    edge = Frame(shapes.unionByName(left.df.where(F.col(GEOM).isNotNull()), allowMissingColumns=True)).bbox().first()
-    total = shapes.count()
-    if not total:
-        return candidates(left.df, right.df, 1.0).withColumn("distance", F.lit(0.0))
-    extent = max(edge["xmax"] - edge["xmin"], edge["ymax"] - edge["ymin"], 1e-9)
-    reach = extent * (max(n, 1) / total) ** 0.5
-    open_, done = left.df.where(F.col(GEOM).isNotNull()), None
+    b = F.col(f"{GEOM}.bbox")
+    whole = [F.min(b["xmin"]), F.max(b["xmax"]), F.min(b["ymin"]), F.max(b["ymax"]), F.count("*")]
+    x1, x2, y1, y2, total = shapes.agg(*whole).first()
+    open_ = left.df.where(F.col(GEOM).isNotNull())
+    u1, u2, v1, v2, waiting = open_.agg(*whole).first()
+    if not total or not waiting:
+        return candidates(left.df.limit(0), right.df.limit(0)).withColumn("distance", F.lit(0.0))
+    # What n of the right features take up on average; no distance is beyond the extent of both.
+    reach = max(x2 - x1, y2 - y1, 1e-9) * (max(n, 1) / total) ** 0.5
+    extent = max(max(x2, u2) - min(x1, u1), max(y2, v2) - min(y1, v1), reach)
+    found = []
     while True:
         last = reach >= 2 * extent
-        met = candidates(open_, shapes, cell_size(shapes, extra=reach), reach)
+        met = candidates(open_, shapes, reach)
         met = met.withColumn("distance", planar_distance(F.col(f"l_{GEOM}"), F.col(f"r_{GEOM}"), left.geometry_type, right.geometry_type))
-        if not last:
-            met = met.where(F.col("distance") <= reach)
-        met = _first(met, n)
-        enough = met.groupBy(f"l_{FID}").agg(F.count("*").alias("k")).where(F.col("k") >= min(n, total)).select(F.col(f"l_{FID}").alias(FID))
-        found = met if last else met.join(enough.withColumnRenamed(FID, f"l_{FID}"), f"l_{FID}", "left_semi")
-        done = found if done is None else done.unionByName(found)
-        if last:
-            return done
-        open_ = open_.join(enough, FID, "left_anti")
-        if open_.isEmpty():
-            return done
-        reach *= 2
+        met = met if last else met.where(F.col("distance") <= reach)
+        per = F.count("*").over(Window.partitionBy(f"l_{FID}"))
+        met = checkpointed(_first(met, n).withColumn("__k", per))
+        enough = met if last else met.where(F.col("__k") >= min(n, total))
+        found.append(enough.drop("__k"))
+        settled = enough.select(F.col(f"l_{FID}").alias(FID)).distinct()
+        if last or settled.count() >= waiting:
+            return reduce(DataFrame.unionByName, found)
+        open_ = checkpointed(open_.join(settled, FID, "left_anti").select(*left.df.columns))
+        waiting = open_.count()
+        reach *= 4
 
 
 def spatial_join(left: FeatureFrame, right: FeatureFrame, condition: str, subkey=None, keepall: bool = False, clip=None, radius: float | None = None, n: int | None = None, geodetic: bool = True, distance: bool = False) -> FeatureFrame:
     """Pairs of features: the left one's fields, the right one's that the left has not, the left geometry (or what clip makes of both).
-    subkey: a function of (left, right), which give columns by name, to a further test. keepall: left features without a partner once, with nulls."""
-    pairs = pairs_of(left, right, condition, radius, n, geodetic and condition == "distance" and radius is not None and left.geometry_type == "Point" and n is None)
+    radius: in km around left points (n of them at most, the nearest first, if n is given), or with geodetic=False in units of the coordinates. subkey: a function of (left, right), which give columns by name, to a further test. keepall: left features without a partner once, with nulls."""
+    pairs = pairs_of(left, right, condition, radius, n, geodetic and condition == "distance" and radius is not None)
     if subkey is not None:
         pairs = pairs.where(subkey(lambda f: F.col(f"l_{f}"), lambda f: F.col(f"r_{f}")))
     geom = F.col(f"l_{GEOM}") if clip is None else _clip(clip, F.col(f"l_{GEOM}"), F.col(f"r_{GEOM}"), right.geometry_type)
@@ -214,7 +250,7 @@ def raster_stats(left: FeatureFrame, cells: DataFrame, grid, mapping: Sequence[t
     """A row for each left polygon (and band) with statistics of the raster cells whose middles it holds."""
     a, b, c, d, e, f = grid.affine
     x, y = a * (F.col("col") + 0.5) + b * (F.col("row") + 0.5) + c, d * (F.col("col") + 0.5) + e * (F.col("row") + 0.5) + f
-    points = FeatureFrame(cells.select("band", "value", G.point(x, y).alias(GEOM), F.lit(0).cast("long").alias(FID)), "Point")
+    points = FeatureFrame(cells.select("band", "value", G.point(x, y).alias(GEOM), (F.col("row").cast("long") * grid.width + F.col("col")).alias(FID)), "Point")
     return spatial_stats(left, points, mapping, subkey="band", keepall=keepall)
 
 

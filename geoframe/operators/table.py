@@ -5,9 +5,11 @@ All operators are lazy and return a new frame.  Order-dependent statistics (firs
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,13 +28,37 @@ def as_column(condition) -> Column:
     return parse(condition) if isinstance(condition, str) else condition
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, or that the context was given; one of our own only on a local master."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = f"file://{os.path.join(tempfile.gettempdir(), 'geoframe-shared')}"
+    return path.rstrip("/")
+
+
+_kept: dict[str, SparkSession] = {}
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that the cluster names in spark.checkpoint.dir (one of our own only where that is unset)."""
+    """df with its lineage cut: a table in the shared folder, written in one job and removed when this process ends."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'geoframe-shared')}"
-        spark.sparkContext.setCheckpointDir(path)
-    return df.checkpoint()
+    path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # names may be any
+    _kept[path] = spark
+    plain.write.parquet(path)
+    return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+
+
+@atexit.register
+def remove_kept() -> None:
+    """Remove the tables of checkpointed(): at the end, or before, once no frame made from them is used any more."""
+    for path, spark in list(_kept.items()):
+        _kept.pop(path)
+        if spark.sparkContext._jsc is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ranked(df: DataFrame, *order: Column, name: str = FID) -> DataFrame:
