@@ -6,13 +6,17 @@ over features one by one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoframe.functions import geometry as G
 from geoframe.functions import stats
+from geoframe.operators.components import components
 from geoframe.operators.raster import CELL, RasterFrame
 from geoframe.operators.table import FeatureFrame, checkpointed
 from geoframe.types import FID, GEOM, Grid
@@ -88,21 +92,18 @@ def vectorize(raster: RasterFrame, merge: bool = False, band: int = 0) -> Featur
 
 
 def regions(raster: RasterFrame) -> DataFrame:
-    """col, row, value and region, the smallest cell number of the contiguous cells of one value: labels spread along runs of a row or column
-    at a time (windows over runs), so a region of many cells settles in a few rounds."""
+    """col, row, value and region, the smallest cell number of the contiguous cells of one value. Cells of a row that lie side by side are one run,
+    runs of one value that touch are linked, and components of the links are the regions: rounds grow with the logarithm of the number of runs."""
     n = raster.grid.width
-    rows = raster.band(0).df.where("value IS NOT NULL").select("col", "row", "value", (F.col("row").cast("long") * n + F.col("col")).alias("region"))
-    while True:
-        for axis, other in (("col", "row"), ("row", "col")):
-            along = Window.partitionBy(other).orderBy(axis)
-            start = (F.lag(axis).over(along) == F.col(axis) - 1) & (F.lag("value").over(along) == F.col("value"))
-            rows = rows.withColumn("__run", F.sum(F.when(F.coalesce(start, F.lit(False)), 0).otherwise(1)).over(along))
-            rows = rows.withColumn("__new", F.min("region").over(Window.partitionBy(other, "__run")))
-            rows = rows.withColumn("moved" if axis == "row" else "moved_col", F.col("__new") != F.col("region")).withColumn("region", F.col("__new")).drop("__run", "__new")
-        rows = checkpointed(rows)
-        if rows.where("moved OR moved_col").isEmpty():
-            return rows.select("col", "row", "value", "region")
-        rows = rows.drop("moved", "moved_col")
+    rows = raster.band(0).df.where("value IS NOT NULL").select("col", "row", "value")
+    along = Window.partitionBy("row").orderBy("col")
+    goes_on = (F.lag("col").over(along) == F.col("col") - 1) & (F.lag("value").over(along) == F.col("value"))
+    begins = F.when(F.coalesce(goes_on, F.lit(False)), None).otherwise(F.col("row").cast("long") * n + F.col("col"))
+    cells = checkpointed(rows.withColumn("run", F.last(begins, True).over(along)))
+    above = cells.select("col", (F.col("row") + 1).alias("row"), F.col("value").alias("v"), F.col("run").alias("up"))
+    links = cells.join(above, ["col", "row"]).where(F.col("v") == F.col("value")).select(F.col("run").alias("a"), F.col("up").alias("b"))
+    found = components(links)
+    return cells.join(found.withColumnRenamed("id", "run"), "run", "left").select("col", "row", "value", F.coalesce("component", "run").alias("region"))
 
 
 def _point_cells(frame: FeatureFrame, grid: Grid, value) -> DataFrame:
@@ -112,19 +113,25 @@ def _point_cells(frame: FeatureFrame, grid: Grid, value) -> DataFrame:
     return rows.withColumn("pc", F.floor("u").cast("int")).withColumn("pr", F.floor("v").cast("int"))
 
 
-def interpolate(frame: FeatureFrame, grid: Grid, value, sensitivity: float = 3.0, stat: str = "mean", most: int = 20_000) -> RasterFrame:
+#: Point cells of a block and cells of a part that interpolate() compares in one go.
+POINT_BLOCK, CELL_PART = 4096, 65536
+
+
+def interpolate(frame: FeatureFrame, grid: Grid, value, sensitivity: float = 3.0, stat: str = "mean") -> RasterFrame:
     """Inverse distance weights of all points: a cell that holds points has their statistic, any other sum(w v) / sum(w) with w = d^-s in
-    cells. Points are first made one for each cell, so there are no more of them than cells; the product with the cells is what the
-    method is, and refused beyond `most` point cells."""
+    cells. Points are first made one for each cell, so there are no more of them than cells; each cell takes all of them, as the method has it,
+    in blocks of point cells and parts of cells, so that no task holds more than one of each."""
     points = _point_cells(frame, grid, value).where(f"pc >= 0 AND pr >= 0 AND pc < {grid.width} AND pr < {grid.height}")
     known = points.groupBy("pc", "pr").agg(stats.stat(stat, "v_").alias("known"))
-    known = known.where("known IS NOT NULL")
-    if known.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} cells hold points: interpolate in tiles, or on a coarser grid")
-    cells = RasterFrame.empty(frame.df.sparkSession, grid).df.select("band", "col", "row")
+    known = checkpointed(known.where("known IS NOT NULL"))
+    blocks, parts = max(1, -(-known.count() // POINT_BLOCK)), max(1, -(-grid.width * grid.height // CELL_PART))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    cells = RasterFrame.empty(frame.df.sparkSession, grid).df.select("band", "col", "row", deal(parts, "col", "row").alias("part"), each(blocks).alias("block"))
+    held = known.select("pc", "pr", "known", deal(blocks, "pc", "pr").alias("block"), each(parts).alias("part"))
     d2 = (F.col("col") - F.col("pc")) * (F.col("col") - F.col("pc")) + (F.col("row") - F.col("pr")) * (F.col("row") - F.col("pr"))
     w = F.when(d2 > 0, F.pow(d2.cast("double"), F.lit(-sensitivity / 2)))
-    met = cells.join(F.broadcast(known))
+    met = cells.join(held, ["block", "part"])
     out = met.groupBy(*CELL).agg(F.coalesce(F.max(F.when(d2 == 0, F.col("known"))), F.sum(w * F.col("known")) / F.sum(w)).alias("value"))
     return RasterFrame(out, grid)
 
@@ -167,20 +174,46 @@ def disperse(frame: FeatureFrame, grid: Grid, value, weight: RasterFrame | None
     return RasterFrame(every.join(cells, ["col", "row"], "left"), grid)
 
 
+def _envelope(gaps: np.ndarray, step: float) -> np.ndarray:
+    """For each place i the least sqrt(gaps[k]^2 + (step (i - k))^2) over all k, by one sweep along the lower envelope of the parabolas."""
+    squares = (gaps / step) ** 2
+    at = np.flatnonzero(np.isfinite(squares))
+    if not len(at):
+        return np.full(len(gaps), np.nan)
+    low, edge = [int(at[0])], [-math.inf]
+    for k in at[1:].tolist():
+        while True:
+            j = low[-1]
+            cross = (squares[k] + k * k - squares[j] - j * j) / (2 * (k - j))
+            if cross > edge[-1]:
+                break
+            low.pop()
+            edge.pop()
+        low.append(k)
+        edge.append(cross)
+    places = np.arange(len(gaps))
+    nearest = np.array(low)[np.searchsorted(np.array(edge), places, "right") - 1]
+    return np.sqrt(squares[nearest] + (places - nearest) ** 2) * step
+
+
 def distance(frame: FeatureFrame, grid: Grid) -> RasterFrame:
     """Distance of each cell's corner from the nearest covered cell's corner, 0 in covered cells. Two passes: the nearest covered
-    cell in the same column for every cell (a window), then for each row the least over its columns, so no pair of all cells is made with all."""
+    cell in the same column for every cell (a window), then along each row one sweep, so the work grows with the cells."""
     on = covered(frame, grid).select("col", "row").distinct().withColumn("on", F.col("row"))
     every = RasterFrame.empty(frame.df.sparkSession, grid).df.select("col", "row").join(on, ["col", "row"], "left")
     up = Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("col").orderBy("row").rowsBetween(0, Window.unboundedFollowing)
-    sy, sx = abs(grid.affine[4]), abs(grid.affine[0])
+    sy, sx, width = abs(grid.affine[4]), abs(grid.affine[0]), grid.width
     gap = F.least(F.col("row") - F.last("on", True).over(up), F.first("on", True).over(down) - F.col("row")) * sy
-    column = every.select("col", "row", gap.alias("g"))
-    rows = column.groupBy("row").agg(F.collect_list(F.when(F.col("g").isNotNull(), F.struct("col", "g"))).alias("gaps"))
-    met = column.select("col", "row").join(rows, "row")
-    best = F.array_min(F.transform("gaps", lambda p: F.sqrt(p["g"] * p["g"] + ((F.col("col") - p["col"]) * sx) * ((F.col("col") - p["col"]) * sx))))
-    return RasterFrame(met.select(F.lit(0).alias("band"), "col", "row", best.alias("value")), grid)
+    column = every.select("col", "row", gap.cast("double").alias("gap"))
+
+    def swept(rows: pd.DataFrame) -> pd.DataFrame:
+        gaps = np.full(width, np.inf)
+        gaps[rows["col"].to_numpy()] = rows["gap"].fillna(np.inf).to_numpy()
+        return pd.DataFrame({"col": np.arange(width, dtype=np.int32), "row": rows["row"].iloc[0], "value": _envelope(gaps, sx)})
+
+    out = column.groupBy("row").applyInPandas(swept, "col int, row int, value double")
+    return RasterFrame(out.select(F.lit(0).alias("band"), "col", "row", F.when(~F.isnan("value"), F.col("value")).alias("value")), grid)
 
 
 def clip(raster: RasterFrame, frame: FeatureFrame) -> RasterFrame:

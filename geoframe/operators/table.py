@@ -51,14 +51,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
 
 
+def remove_kept(*frames: DataFrame) -> None:
+    """Remove the tables that frames straight from checkpointed() read, once nothing else reads them."""
+    for df in frames:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _remove(next((k for k in _kept if k.split(":")[-1].rstrip("/") == path.split(":")[-1].rstrip("/")), None))
+
+
+def _remove(path: str | None) -> None:
+    spark = _kept.pop(path, None)
+    if spark is not None and spark.sparkContext._jsc is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @atexit.register
-def remove_kept() -> None:
-    """Remove the tables of checkpointed(): at the end, or before, once no frame made from them is used any more."""
-    for path, spark in list(_kept.items()):
-        _kept.pop(path)
-        if spark.sparkContext._jsc is not None:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def remove_all_kept() -> None:
+    """Remove all tables of checkpointed(): at the end, or before, once no frame made from them is used any more."""
+    for path in list(_kept):
+        _remove(path)
 
 
 def ranked(df: DataFrame, *order: Column, name: str = FID) -> DataFrame:
@@ -72,7 +83,8 @@ def ranked(df: DataFrame, *order: Column, name: str = FID) -> DataFrame:
 
 
 def with_fid(df: DataFrame, *keys: str) -> DataFrame:
-    """df with __fid from 0 in the order of the keys; without keys ids only follow the order in which rows are read."""
+    """df with __fid from 0 in the order of the keys; without keys ids follow the order in which rows are read, which the file splits decide:
+    give keys where first, last, ties in sort, or a moving window must not change with them."""
     return ranked(df, *(F.col(k) for k in keys)) if keys else df.withColumn(FID, F.monotonically_increasing_id())
 
 
@@ -245,11 +257,22 @@ class FeatureFrame:
         out = self.df.withColumn("part", c if breaks is None else class_of(c, list(breaks)))
         return self.new(out.where("part IS NOT NULL"))
 
+    #: Rows of a block of an ungrouped moving window.
+    WINDOW_BLOCK = 100_000
+
     def moving_window(self, n: int, mapping: Mapping, groupby: str | Column | None = None) -> FeatureFrame:
-        """Statistics of the last n rows, this one included, in the frame's order, inside groups if given."""
-        key = [] if groupby is None else [F.col(groupby) if isinstance(groupby, str) else groupby]
-        w = Window.partitionBy(*key).orderBy(FID).rowsBetween(-(n - 1), 0)
-        out = self.df
+        """Statistics of the last n rows, this one included, in the frame's order, inside groups if given. Without groups rows are ranked by ranges and
+        cut into blocks, and the last n - 1 rows of each block go before the next one, too, so no task sees all rows."""
+        if groupby is not None:
+            key, out, before = F.col(groupby) if isinstance(groupby, str) else groupby, self.df, None
+        else:
+            size = max(self.WINDOW_BLOCK, n)
+            out = ranked(self.df, F.col(FID), name="__pos")
+            block = F.floor(F.col("__pos") / size)
+            reaches = F.when(F.col("__pos") % size >= size - (n - 1), F.array(block, block + 1)).otherwise(F.array(block))
+            out = out.withColumn("__block", F.explode(reaches))
+            key, before = F.col("__block"), F.col("__block") != block
+        w = Window.partitionBy(key).orderBy(*([F.col(FID)] if before is None else [F.col("__pos")])).rowsBetween(-(n - 1), 0)
         old = {f: F.col(f"__old_{f}") for f, _, _ in mapping if f in self.df.columns}
         for f in old:
             out = out.withColumn(f"__old_{f}", F.col(f))
@@ -259,6 +282,7 @@ class FeatureFrame:
             made.append((f, self._window_stat(s, value, w)))
         for f, c in made:
             out = out.withColumn(f, c)
+        out = out.where(~before).drop("__pos", "__block") if before is not None else out
         return self.new(out.drop(*(f"__old_{f}" for f in old)))
 
     @staticmethod
