@@ -6,11 +6,13 @@ Text formats are read and written by Spark itself.  A shapefile is read in recor
 from __future__ import annotations
 
 import csv
+import decimal
+import itertools
 import struct as binary
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoframe.functions import geometry as G
@@ -54,35 +56,54 @@ def parsed(value: Column) -> Column:
 
 
 def typed(df: DataFrame, fields: list[str]) -> DataFrame:
-    """Columns of which every value that is there is a number become long (if all are whole) or double; one pass over the data."""
+    """Columns of which every value that is there is a number become long (if all are whole and fit one, each as it is written) or double; one pass over the data."""
     aggs = []
+    whole = lambda f: F.regexp_replace(F.trim(F.col(f"`{f}`")), r"\.0*$", "").try_cast("long")
     for i, f in enumerate(fields):
         n = F.col(f"`{f}`").try_cast("double")
-        aggs += [F.bool_and(F.when(F.col(f"`{f}`").isNotNull(), n.isNotNull())).alias(f"a{i}"), F.bool_and(F.when(n.isNotNull(), n == F.floor(n))).alias(f"b{i}")]
+        fits = whole(f).isNotNull() | ((n == F.floor(n)) & (F.abs(n) < F.lit(2.0**53)))
+        aggs += [F.bool_and(F.when(F.col(f"`{f}`").isNotNull(), n.isNotNull())).alias(f"a{i}"), F.bool_and(F.when(n.isNotNull(), F.coalesce(fits, F.lit(False)))).alias(f"b{i}")]
     told = df.agg(*aggs).first() if aggs else None
     for i, f in enumerate(fields):
         if told[f"a{i}"]:
-            df = df.withColumn(f, F.col(f"`{f}`").try_cast("double").cast("long" if told[f"b{i}"] else "double"))
+            n = F.col(f"`{f}`").try_cast("double")
+            df = df.withColumn(f, F.coalesce(whole(f), F.when(F.abs(n) < F.lit(2.0**53), n).cast("long")) if told[f"b{i}"] else n)
     return df
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "utf-8", skip: int = 0, last: int | None = None, xfield: str | None = None, yfield: str | None = None, geokey: Callable[[], Column] | None = None, sniffsize: int = 10) -> FeatureFrame:
-    """skip: lines before the names; last: the last data row taken (from 1). xfield, yfield: columns of point geometries; geokey: a function that makes the geometry column."""
+def _numbered_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """value and n, the number of a line from 0: places inside splits, and splits' sizes added up."""
+    lines = spark.read.option("encoding", encoding).text(path).withColumn("m", F.monotonically_increasing_id())
+    lines = lines.select("value", F.shiftright("m", 33).alias("split"), F.col("m").bitwiseAND((1 << 33) - 1).alias("place"))
+    sizes = lines.groupBy("split").agg(F.count("*").alias("k"))  # a row for each split
+    starts = sizes.select("split", F.coalesce(F.sum("k").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    return lines.join(F.broadcast(starts), "split").select("value", (F.col("start") + F.col("place")).alias("n"))
+
+
+def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "utf-8", skip: int = 0, last: int | None = None, xfield: str | None = None, yfield: str | None = None, geokey: Callable[[], Column] | None = None, sniffsize: int = 10, multiline: bool = False) -> FeatureFrame:
+    """skip: lines before the names; last: the last data row taken (from 1). xfield, yfield: columns of point geometries; geokey: a function that makes the
+    geometry column. multiline: quoted values may hold line breaks, and each file is read by one task; not together with skip and last, which count lines."""
     if delimiter is None:
         try:
             delimiter = csv.Sniffer().sniff(head(spark, path, sniffsize * 1056, encoding), ";,\t|").delimiter
         except csv.Error:
             delimiter = ","
-    rows = spark.read.option("encoding", encoding).option("sep", delimiter).option("multiLine", "true").option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+    quoting = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
     if skip or last is not None:
-        lines = spark.read.option("encoding", encoding).text(path).rdd.zipWithIndex().toDF(["line", "n"]).select("line.value", "n")
-        kept = lines.where((F.col("n") >= skip) & (F.lit(True) if last is None else F.col("n") <= skip + last)).orderBy("n").select("value")
-        df = spark.read.option("sep", delimiter).option("header", "true").csv(kept.rdd.map(lambda r: r[0]))
+        if multiline:
+            raise ValueError("skip and last count lines, so values cannot go over several")
+        lines = _numbered_lines(spark, path, encoding)
+        names = lines.where(F.col("n") == skip).first()
+        names = next(csv.reader([names["value"]], delimiter=delimiter)) if names else []
+        names = [n if n and names.index(n) == i else f"{n or '_c'}{i}" for i, n in enumerate(names)]
+        kept = lines.where((F.col("n") > skip) & (F.lit(True) if last is None else F.col("n") <= skip + last) & (F.col("value") != ""))
+        schema = ", ".join(f"`{n}` string" for n in names)
+        df = kept.select(F.from_csv("value", F.lit(schema), quoting).alias("r"), F.col("n").alias(FID)).select(*(F.col("r").getField(n).alias(n) for n in names), FID)
     else:
-        df = rows.option("header", "true").csv(path)
-    fields = df.columns
-    df = df.withColumn(FID, F.monotonically_increasing_id())
-    df = typed(df.select(*(parsed(F.col(f"`{f}`")).alias(f) for f in fields), FID), fields)
+        df = spark.read.options(**quoting).option("encoding", encoding).option("multiLine", str(multiline).lower()).option("header", "true").csv(path)
+        names = df.columns
+        df = df.withColumn(FID, F.monotonically_increasing_id())
+    df = typed(df.select(*(parsed(F.col(f"`{f}`")).alias(f) for f in names), FID), names)
     if geokey is not None:
         df = df.withColumn(GEOM, geokey())
     out = FeatureFrame(df)
@@ -219,14 +240,19 @@ def read_shapefile(spark: SparkSession, path: str, encoding: str = "utf-8") -> F
     except FileNotFoundError:
         crs = WGS84
     kinds = {"C": "string", "N": "double", "F": "double", "L": "boolean", "D": "string"}
-    schema = ", ".join([*(f"`{f}` {'long' if k == 'N' and not dec else kinds.get(k, 'string')}" for f, k, _, dec in fields), f"{FID} long", f"{GEOM} {GEOMETRY}"])
+    # 18 digits always fit a long; wider whole numbers are decimals, so that none is rounded.
+    whole = lambda width: "long" if width <= 18 else "decimal(38,0)"
+    schema = ", ".join([*(f"`{f}` {whole(w) if k == 'N' and not dec else kinds.get(k, 'string')}" for f, k, w, dec in fields), f"{FID} long", f"{GEOM} {GEOMETRY}"])
 
-    def value(raw: bytes, kind: str, decimals: int):
+    def value(raw: bytes, kind: str, width: int, decimals: int):
         text = raw.decode(encoding, "replace").strip().strip("\0")
         if kind in "NF":
             try:
-                return float(text) if decimals or kind == "F" else int(float(text))
-            except ValueError:
+                if decimals or kind == "F":
+                    return float(text)
+                number = decimal.Decimal(text)
+                return int(number) if width <= 18 else number.quantize(decimal.Decimal(1), decimal.ROUND_DOWN, decimal.Context(38))
+            except (ValueError, decimal.InvalidOperation):
                 return None
         if kind == "L":
             return {"T": True, "Y": True, "F": False, "N": False}.get(text.upper())
@@ -243,7 +269,7 @@ def read_shapefile(spark: SparkSession, path: str, encoding: str = "utf-8") -> F
                         shp.seek(at * 2 + 8)
                         s = _shape(shp.read(words * 2))
                         dbf.seek(header + size * k + 1)
-                        row = [value(dbf.read(w), kind, dec) for _, kind, w, dec in fields]
+                        row = [value(dbf.read(w), kind, w, dec) for _, kind, w, dec in fields]
                         rows.append([*row, k, kernels.struct(*s) if s else None])
                         if len(rows) >= 2000:
                             yield pd.DataFrame(rows, columns=[*(f[0] for f in fields), FID, GEOM]).astype(object)
@@ -260,7 +286,8 @@ def read_shapefile(spark: SparkSession, path: str, encoding: str = "utf-8") -> F
 
 
 def write_shapefile(frame: FeatureFrame, path: str) -> None:
-    """.shp, .shx, .dbf and .prj on the driver, rows streaming in order: names cut to 10 characters, numbers as N, all else as C."""
+    """.shp, .shx, .dbf and .prj on the driver, rows streaming in order: names cut to 10 characters, numbers as N with all digits that
+    they need, all else as C. A text of more than the format's 254 bytes is refused, with its field's name."""
     stem, names, used = path.removesuffix(".shp"), {}, set()
     for f in frame.fields:
         short, k = f.replace(" ", "_")[:10], 1
@@ -271,9 +298,23 @@ def write_shapefile(frame: FeatureFrame, path: str) -> None:
     kinds = {f: frame.df.schema[f].dataType.simpleString() for f in frame.fields}
     text = lambda f: F.col(f"`{f}`").cast("string")
     is_number = {f: k in ("int", "bigint", "smallint", "tinyint", "double", "float") for f, k in kinds.items()}
-    shown = {f: F.when(F.isnan(F.col(f"`{f}`")), None).otherwise(F.format_string("%.6f", F.col(f"`{f}`").cast("double"))) if kinds[f] in ("double", "float") else text(f) for f in frame.fields}
-    widths = frame.df.agg(*(F.max(F.octet_length(shown[f])).alias(f"w{i}") for i, f in enumerate(frame.fields))).first() if frame.fields else ()
-    width = [min(254, max(1, w or 1)) for w in widths]
+
+    def number(f: str) -> Column:
+        """All digits of a double, plainly where a decimal holds it as it is, else with an exponent."""
+        c = F.col(f"`{f}`").cast("double")
+        plain = c.try_cast("decimal(38,17)")
+        text_ = F.regexp_replace(plain.cast("string"), r"\.?0+$", "")
+        text_ = F.when(F.instr(plain.cast("string"), ".") > 0, text_).otherwise(plain.cast("string"))
+        return F.when(F.isnan(c), None).otherwise(F.when(plain.cast("double") == c, text_).otherwise(c.cast("string")))
+
+    shown = {f: number(f) if kinds[f] in ("double", "float") else text(f) for f in frame.fields}
+    places = lambda f: F.max(F.length(F.regexp_extract(shown[f], r"\.([0-9]+)", 1)))
+    told = frame.df.agg(*(F.max(F.octet_length(shown[f])).alias(f"w{i}") for i, f in enumerate(frame.fields)), *(places(f).alias(f"p{i}") for i, f in enumerate(frame.fields))).first() if frame.fields else {}
+    width = [max(1, told[f"w{i}"] or 1) for i in range(len(frame.fields))]
+    # Whole doubles stay doubles when they are read again.
+    decimals = [max(1, told[f"p{i}"] or 0) if kinds[f] in ("double", "float") else 0 for i, f in enumerate(frame.fields)]
+    if long := [f"{f} ({w} bytes)" for f, w in zip(frame.fields, width, strict=True) if w > 254]:
+        raise ValueError(f"a shapefile's values have 254 bytes at most: {', '.join(long)}")
     code = _CODES.get(frame.geometry_type or (frame.df.where(F.col(GEOM).isNotNull()).select(f"{GEOM}.type").first() or ["Point"])[0], 1)
     multi = code == 1 and not frame.df.where(F.col(f"{GEOM}.multi")).isEmpty()
     code = 8 if multi else code
@@ -295,7 +336,7 @@ def write_shapefile(frame: FeatureFrame, path: str) -> None:
             at += 4 + len(data) // 2
             dbf.write(b" ")
             for f, w in zip(frame.fields, width, strict=True):
-                raw = (row[names[f]] or "").encode()[:w]
+                raw = (row[names[f]] or "").encode()
                 dbf.write(raw.rjust(w) if is_number[f] else raw.ljust(w))
         dbf.write(b"\x1a")
         box = [0.0] * 4 if n == 0 or box[0] == float("inf") else box
@@ -304,9 +345,8 @@ def write_shapefile(frame: FeatureFrame, path: str) -> None:
             f.write(binary.pack(">7i", 9994, 0, 0, 0, 0, 0, size) + binary.pack("<2i", 1000, code) + binary.pack("<8d", *box, 0, 0, 0, 0))
         dbf.seek(0)
         dbf.write(binary.pack("<4BIHH20x", 3, 100, 1, 1, n, header, 1 + sum(width)))
-        for f, w in zip(frame.fields, width, strict=True):
-            decimals = 6 if kinds[f] in ("double", "float") else 0
-            dbf.write(names[f].encode()[:10].ljust(11, b"\0") + (b"N" if is_number[f] else b"C") + b"\0" * 4 + bytes([w, decimals]) + b"\0" * 14)
+        for f, w, d in zip(frame.fields, width, decimals, strict=True):
+            dbf.write(names[f].encode()[:10].ljust(11, b"\0") + (b"N" if is_number[f] else b"C") + b"\0" * 4 + bytes([w, d]) + b"\0" * 14)
         dbf.write(b"\r")
     with open(f"{stem}.prj", "w") as f:
         f.write(frame.crs)
@@ -345,6 +385,17 @@ def write(frame: FeatureFrame, path: str, **options) -> None:
     writers[ending](frame, path, **options)
 
 
+#: Data rows that a sheet holds below its names.
+SHEET_ROWS = 1_048_575
+
+
 def write_excel(frame: FeatureFrame, path: str) -> None:
-    """A sheet named Data, on the driver (a sheet is bounded by its format); needs pandas' Excel engine."""
-    frame.df.drop(GEOM, FID).limit(1_048_575).toPandas().to_excel(path, sheet_name="Data", index=False)
+    """Sheets named Data, Data2 and so on, as many as the rows need, in the frame's order, streaming through the driver; needs pandas' Excel engine."""
+    rows, sheet = frame.df.orderBy(FID).select(*frame.fields).toLocalIterator(), 0
+    with pd.ExcelWriter(path) as book:
+        while True:
+            part = list(itertools.islice(rows, SHEET_ROWS))
+            if sheet and not part:
+                return
+            sheet += 1
+            pd.DataFrame(part, columns=frame.fields).to_excel(book, sheet_name=f"Data{sheet if sheet > 1 else ''}", index=False)
