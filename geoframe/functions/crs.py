@@ -1,11 +1,13 @@
 """Projections as column functions between lon/lat degrees and metres, always x before y.
 
-Known: longlat, merc (sphere, also web mercator), mercell (ellipsoid), eqc (plate carree), sinu and cea.  Others are refused by name.
+Known: longlat, merc (sphere, also web mercator), mercell (ellipsoid), eqc (plate carree), sinu, cea and robin on the sphere; utm and tmerc, lcc
+(Lambert conformal) and aea (Albers) on the WGS84 ellipsoid.  Others are refused by name.  lon_0, lat_0, lat_1, lat_2, k_0, x_0, y_0, zone and south are taken from a proj text.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,61 +16,244 @@ from geoframe.functions import geometry as G
 from geoframe.types import GEOM
 
 R = 6378137.0
-E = math.sqrt(1 - (6356752.314245 / R) ** 2)
-NAMES = {"EPSG:4326": "longlat", "EPSG:3857": "merc", "EPSG:3395": "mercell", "EPSG:4087": "eqc", "EPSG:32662": "eqc", "EPSG:54008": "sinu", "EPSG:54034": "cea"}
+#: Flattening and eccentricity of WGS84.
+FLAT = 1 / 298.257223563
+E = math.sqrt(FLAT * (2 - FLAT))
+NAMES = {"EPSG:4326": "longlat", "EPSG:3857": "merc", "EPSG:3395": "mercell", "EPSG:4087": "eqc", "EPSG:32662": "eqc", "EPSG:54008": "sinu", "EPSG:54034": "cea", "EPSG:54030": "robin", "ESRI:54030": "robin"}
+#: Fixed values, as Robinson published them: for each 5 degrees of latitude the length of the parallel and its distance from the equator.
+ROBINSON_LENGTH = (1.0, 0.9986, 0.9954, 0.99, 0.9822, 0.973, 0.96, 0.9427, 0.9216, 0.8962, 0.8679, 0.835, 0.7986, 0.7597, 0.7186, 0.6732, 0.6213, 0.5722, 0.5322)
+ROBINSON_HEIGHT = (0.0, 0.062, 0.124, 0.186, 0.248, 0.31, 0.372, 0.434, 0.4958, 0.5571, 0.6176, 0.6769, 0.7346, 0.7903, 0.8435, 0.8936, 0.9394, 0.9761, 1.0)
+ROBINSON_X, ROBINSON_Y = 0.8487, 1.3523
 
 
-def name_of(crs: str) -> str:
-    """The projection's short name, from an EPSG code, a proj text or a name."""
-    if crs in NAMES:
-        return NAMES[crs]
-    short = next((p.split("=")[1] for p in crs.split() if p.startswith("+proj=")), crs)
+class Projection(NamedTuple):
+    name: str
+    lon_0: float = 0.0
+    lat_0: float = 0.0
+    lat_1: float = 0.0
+    lat_2: float = 0.0
+    k_0: float = 1.0
+    x_0: float = 0.0
+    y_0: float = 0.0
+
+
+def projection(crs: str) -> Projection:
+    """From an EPSG code, a proj text or a name."""
+    if crs[:8] in ("EPSG:326", "EPSG:327") and len(crs) == 10 and 1 <= int(crs[8:]) <= 60:
+        return _utm(int(crs[8:]), crs[7] == "7")
+    words = [w.lstrip("+").split("=", 1) for w in crs.split() if w.startswith("+")]
+    given = {w[0]: w[1] if len(w) > 1 else "" for w in words}
+    short = NAMES.get(crs) or given.get("proj", crs)
     short = {"latlong": "longlat", "webmerc": "merc"}.get(short, short)
-    if short == "merc" and "+a=" not in crs and "+R=" not in crs and "+proj" in crs:
+    if short == "merc" and "proj" in given and not {"a", "R"} & set(given):
         short = "mercell"
-    if short not in {"longlat", "merc", "mercell", "eqc", "sinu", "cea"}:
+    if short == "utm":
+        return _utm(int(given["zone"]), "south" in given)
+    if short not in {"longlat", "merc", "mercell", "eqc", "sinu", "cea", "robin", "tmerc", "lcc", "aea"}:
         raise ValueError(f"unknown projection: {crs}")
-    return short
+    number = {k: float(v) for k, v in given.items() if k in Projection._fields}
+    if short == "lcc" and "lat_2" not in number:
+        number["lat_2"] = number.get("lat_1", 0.0)
+    if "k" in given:
+        number["k_0"] = float(given["k"])
+    return Projection(short, **number)
 
 
-def _forward(name: str, lon: Column, lat: Column) -> tuple[Column, Column]:
-    x, phi = F.radians(lon), F.radians(lat)
-    if name == "longlat":
+def _utm(zone: int, south: bool) -> Projection:
+    return Projection("tmerc", lon_0=6.0 * zone - 183, k_0=0.9996, x_0=500_000.0, y_0=10_000_000.0 if south else 0.0)
+
+
+def name_of(crs: str) -> str:
+    """The projection's short name."""
+    return projection(crs).name
+
+
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+# Series in the third flattening n, for the transverse Mercator and for geodetic from conformal latitudes.
+_N = FLAT / (2 - FLAT)
+_RECTIFYING = R / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
+_BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+_DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
+
+
+def _geodetic(chi: Column) -> Column:
+    """Latitude from conformal latitude."""
+    return _let(chi, lambda c: c + sum(d * F.sin(2 * (j + 1) * c) for j, d in enumerate(_DELTA)))
+
+
+def _conformal(phi: Column) -> Column:
+    """sinh of the isometric latitude."""
+    return F.sinh(F.atanh(F.sin(phi)) - E * F.atanh(E * F.sin(phi)))
+
+
+def _tmerc(p: Projection, lon: Column, phi: Column) -> tuple[Column, Column]:
+    at = F.struct(_conformal(phi).alias("t"), lon.alias("l"))
+    xi = _let(at, lambda v: F.struct(F.atan2(v["t"], F.cos(v["l"])).alias("xi"), F.atanh(F.sin(v["l"]) / F.sqrt(1 + v["t"] * v["t"])).alias("eta")))
+
+    def along(v: Column) -> Column:
+        return v["xi"] + sum(a * F.sin(2 * (j + 1) * v["xi"]) * F.cosh(2 * (j + 1) * v["eta"]) for j, a in enumerate(_ALPHA))
+
+    def across(v: Column) -> Column:
+        return v["eta"] + sum(a * F.cos(2 * (j + 1) * v["xi"]) * F.sinh(2 * (j + 1) * v["eta"]) for j, a in enumerate(_ALPHA))
+
+    scale = p.k_0 * _RECTIFYING
+    return scale * _let(xi, across), scale * (_let(xi, along) - _meridian(p.lat_0))
+
+
+def _meridian(lat: float) -> float:
+    phi = math.radians(lat)
+    xi = math.atan(math.sinh(math.atanh(math.sin(phi)) - E * math.atanh(E * math.sin(phi))))
+    return xi + sum(a * math.sin(2 * (j + 1) * xi) for j, a in enumerate(_ALPHA))
+
+
+def _tmerc_back(p: Projection, x: Column, y: Column) -> tuple[Column, Column]:
+    scale = p.k_0 * _RECTIFYING
+    at = F.struct((y / scale + _meridian(p.lat_0)).alias("xi"), (x / scale).alias("eta"))
+
+    def straight(v: Column) -> Column:
+        xi = v["xi"] - sum(b * F.sin(2 * (j + 1) * v["xi"]) * F.cosh(2 * (j + 1) * v["eta"]) for j, b in enumerate(_BETA))
+        eta = v["eta"] - sum(b * F.cos(2 * (j + 1) * v["xi"]) * F.sinh(2 * (j + 1) * v["eta"]) for j, b in enumerate(_BETA))
+        return F.struct(xi.alias("xi"), eta.alias("eta"))
+
+    v = _let(at, straight)
+    return _let(v, lambda u: F.atan2(F.sinh(u["eta"]), F.cos(u["xi"]))), _geodetic(_let(v, lambda u: F.asin(F.sin(u["xi"]) / F.cosh(u["eta"]))))
+
+
+def _narrowing(lat: float) -> tuple[float, float, float]:
+    """Of a latitude: the radius of its parallel, t as Snyder has it, and q (twice the area up to it), all on an ellipsoid of radius 1."""
+    s = math.sin(math.radians(lat))
+    m = math.cos(math.radians(lat)) / math.sqrt(1 - (E * s) ** 2)
+    t = math.exp(-(math.atanh(s) - E * math.atanh(E * s))) if abs(s) < 1 else 0.0
+    return m, t, (1 - E * E) * (s / (1 - (E * s) ** 2) + math.atanh(E * s) / E)
+
+
+def _cone(p: Projection) -> tuple[float, float, float]:
+    """n, the constant, and the radius of lat_0, in units of R."""
+    (m1, t1, q1), (m2, t2, q2), (_, t0, q0) = (_narrowing(v) for v in (p.lat_1, p.lat_2, p.lat_0))
+    s1 = math.sin(math.radians(p.lat_1))
+    if p.name == "lcc":
+        n = (math.log(m1) - math.log(m2)) / (math.log(t1) - math.log(t2)) if abs(p.lat_1 - p.lat_2) > 1e-10 else s1
+        c = p.k_0 * m1 / (n * t1**n)
+        return n, c, c * t0**n
+    n = (m1 * m1 - m2 * m2) / (q2 - q1) if abs(p.lat_1 - p.lat_2) > 1e-10 else s1
+    c = m1 * m1 + n * q1
+    return n, c, math.sqrt(c - n * q0) / n
+
+
+def _conic(p: Projection, lon: Column, phi: Column) -> tuple[Column, Column]:
+    n, c, rho_0 = _cone(p)
+    s = F.sin(phi)
+    if p.name == "lcc":
+        rho = c * F.exp(-n * (F.atanh(s) - E * F.atanh(E * s)))
+    else:
+        rho = F.sqrt(F.greatest(F.lit(0.0), c - n * (1 - E * E) * (s / (1 - E * E * s * s) + F.atanh(E * s) / E))) / n
+    at = F.struct(rho.alias("r"), (n * lon).alias("a"))
+    return R * _let(at, lambda v: v["r"] * F.sin(v["a"])), R * (rho_0 - _let(at, lambda v: v["r"] * F.cos(v["a"])))
+
+
+def _conic_back(p: Projection, x: Column, y: Column) -> tuple[Column, Column]:
+    n, c, rho_0 = _cone(p)
+    sign = math.copysign(1.0, n)
+    u, v = x / R, rho_0 - y / R
+    rho, angle = F.sqrt(u * u + v * v), F.atan2(sign * u, sign * v)
+    if p.name == "lcc":
+        chi = math.pi / 2 - 2 * F.atan(F.pow(rho / abs(c), F.lit(1 / n)))
+        return angle / n, _geodetic(chi)
+    whole = _narrowing(90.0)[2]
+    beta = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (c - rho * rho * n * n) / n / whole)))
+    e2 = E * E
+    terms = (e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040, 23 * e2**2 / 360 + 251 * e2**3 / 3780, 761 * e2**3 / 45360)
+    return angle / n, _let(beta, lambda b: b + sum(k * F.sin(2 * (j + 1) * b) for j, k in enumerate(terms)))
+
+
+def _robinson_at(table: tuple[float, ...], lat: Column) -> Column:
+    """A value between a table's, by the cubic through the four entries around; the table goes on below 0 as its kind (even or odd) has it."""
+    sign = 1.0 if table[0] else -1.0
+    whole = [sign * table[1], *table, 2 * table[-1] - table[-2]]
+    cells = F.array(*(F.array(*map(F.lit, whole[k : k + 4])) for k in range(len(table) - 1)))
+    place = F.abs(lat) / 5
+
+    def between(u: Column) -> Column:
+        k = F.least(F.lit(len(table) - 2), F.floor(u).cast("int"))
+        return _let(F.struct(F.get(cells, k).alias("v"), (u - k).alias("t")), cubic)
+
+    def cubic(z: Column) -> Column:
+        v, t = z["v"], z["t"]
+        return -F.get(v, 0) * t * (t - 1) * (t - 2) / 6 + F.get(v, 1) * (t + 1) * (t - 1) * (t - 2) / 2 - F.get(v, 2) * (t + 1) * t * (t - 2) / 2 + F.get(v, 3) * (t + 1) * t * (t - 1) / 6
+
+    return _let(place, between)
+
+
+def _robinson_back(x: Column, y: Column) -> tuple[Column, Column]:
+    """Halving the interval of latitudes, as heights grow with them."""
+    height = F.abs(y) / (R * ROBINSON_Y)
+
+    def halved(state: Column, _: Column) -> Column:
+        middle = (state["lo"] + state["hi"]) / 2
+        high = _robinson_at(ROBINSON_HEIGHT, middle) > height
+        return F.struct(F.when(high, state["lo"]).otherwise(middle).alias("lo"), F.when(high, middle).otherwise(state["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(90.0).alias("hi"))
+    lat = F.aggregate(F.sequence(F.lit(1), F.lit(48)), start, halved, lambda s: (s["lo"] + s["hi"]) / 2)
+    lat = F.when(height <= 1, F.signum(y) * lat)
+    return _let(lat, lambda v: F.degrees(x / (R * ROBINSON_X * _robinson_at(ROBINSON_LENGTH, v)))), lat
+
+
+def _forward(p: Projection, lon: Column, lat: Column) -> tuple[Column, Column]:
+    if p.name == "longlat":
         return lon, lat
-    if name in ("merc", "mercell"):
-        y = F.ln(F.tan(F.lit(math.pi / 4) + phi / 2))
-        if name == "mercell":
-            y = y + (E / 2) * F.ln((1 - E * F.sin(phi)) / (1 + E * F.sin(phi)))
+    if p.lon_0:
+        lon = F.pmod(lon - p.lon_0 + 180, F.lit(360.0)) - 180
+    x, phi = F.radians(lon), F.radians(lat)
+    if p.name in ("merc", "mercell"):
+        v = F.ln(F.tan(F.lit(math.pi / 4) + phi / 2))
+        if p.name == "mercell":
+            v = v + (E / 2) * F.ln((1 - E * F.sin(phi)) / (1 + E * F.sin(phi)))
+        fine = F.abs(lat) < 90
+        u, v = F.when(fine, R * x), F.when(fine, R * v)
+    elif p.name == "eqc":
+        u, v = R * x, R * phi
+    elif p.name == "sinu":
+        u, v = R * x * F.cos(phi), R * phi
+    elif p.name == "cea":
+        u, v = R * x, R * F.sin(phi)
+    elif p.name == "robin":
+        u, v = R * ROBINSON_X * _robinson_at(ROBINSON_LENGTH, lat) * x, R * ROBINSON_Y * F.signum(lat) * _robinson_at(ROBINSON_HEIGHT, lat)
+    else:
         fine = F.abs(lat) < 90
-        return F.when(fine, R * x), F.when(fine, R * y)
-    if name == "eqc":
-        return R * x, R * phi
-    if name == "sinu":
-        return R * x * F.cos(phi), R * phi
-    return R * x, R * F.sin(phi)
+        u, v = (F.when(fine, c) for c in (_tmerc if p.name == "tmerc" else _conic)(p, x, phi))
+    return (u + p.x_0 if p.x_0 else u), (v + p.y_0 if p.y_0 else v)
 
 
-def _inverse(name: str, x: Column, y: Column) -> tuple[Column, Column]:
-    if name == "longlat":
+def _inverse(p: Projection, x: Column, y: Column) -> tuple[Column, Column]:
+    if p.name == "longlat":
         return x, y
-    if name == "merc":
-        return F.degrees(x / R), F.degrees(2 * F.atan(F.exp(y / R)) - math.pi / 2)
-    if name == "mercell":
-        phi = 2 * F.atan(F.exp(y / R)) - math.pi / 2
-        for _ in range(6):
-            s = E * F.sin(phi)
-            phi = 2 * F.atan(F.exp(y / R) * F.pow((1 + s) / (1 - s), F.lit(E / 2))) - math.pi / 2
-        return F.degrees(x / R), F.degrees(phi)
-    if name == "eqc":
-        return F.degrees(x / R), F.degrees(y / R)
-    if name == "sinu":
-        return F.degrees(x / (R * F.cos(y / R))), F.degrees(y / R)
-    return F.degrees(x / R), F.degrees(F.asin(y / R))
+    x, y = (x - p.x_0 if p.x_0 else x), (y - p.y_0 if p.y_0 else y)
+    if p.name == "merc":
+        lon, lat = F.degrees(x / R), F.degrees(2 * F.atan(F.exp(y / R)) - math.pi / 2)
+    elif p.name == "mercell":
+        lon, lat = F.degrees(x / R), F.degrees(_geodetic(2 * F.atan(F.exp(y / R)) - math.pi / 2))
+    elif p.name == "eqc":
+        lon, lat = F.degrees(x / R), F.degrees(y / R)
+    elif p.name == "sinu":
+        lon, lat = F.degrees(x / (R * F.cos(y / R))), F.degrees(y / R)
+    elif p.name == "cea":
+        lon, lat = F.degrees(x / R), F.degrees(F.asin(y / R))
+    elif p.name == "robin":
+        lon, lat = _robinson_back(x, y)
+    else:
+        lon, lat = (F.degrees(c) for c in (_tmerc_back if p.name == "tmerc" else _conic_back)(p, x, y))
+    return (F.pmod(lon + p.lon_0 + 180, F.lit(360.0)) - 180 if p.lon_0 else lon), lat
 
 
 def transformer(source: str, target: str):
     """A function of two columns to two columns."""
-    a, b = name_of(source), name_of(target)
+    a, b = projection(source), projection(target)
     return lambda x, y: (x, y) if a == b else _forward(b, *_inverse(a, x, y))
 
 

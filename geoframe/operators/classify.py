@@ -68,36 +68,29 @@ def quantile(df: DataFrame, value: Column, classes: int = 5) -> list[float]:
     return [(1 - (p - int(p))) * at[int(p)] + (p - int(p)) * at.get(int(p) + 1, hi) for p in places] + [hi]
 
 
+#: Steps of round numbers, and from which share of a power of ten on each is nearer to what was asked for than the one before it, if wide steps are
+#: favoured by 1.5 to 1 (5s by 2.75 to 1), as the published method weighs them.
+STEPS, TURNS = (1, 2, 5, 10), (1.4, 2.8, 7.0)
+
+
+def round_step(width: float) -> float:
+    """The round number (1, 2 or 5 times a power of ten) that stands for a class width."""
+    power = 10.0 ** math.floor(math.log10(width))
+    return STEPS[int(np.searchsorted(TURNS, width / power, "left"))] * power
+
+
 def _pretty(lo: float, hi: float, classes: int) -> list[float]:
-    """Breaks at 1, 2, 5 or 10 times a power of ten that cover the range, as R's pretty() chooses them."""
-    h, h5, least = 1.5, 0.5 + 1.5 * 1.5, classes // 3
-    span, eps = hi - lo, np.finfo(float).eps
-    if not span and not hi:
-        cell, tiny = 1.0, True
+    """Multiples of a round step that cover the range, about as many classes as asked for and a third of them at least."""
+    size = max(abs(lo), abs(hi))
+    if hi - lo < size * 1e-13:  # nothing to divide: round numbers around the one value
+        width = (size if size <= 10 else 9 + size / 10) / max(1, classes) if size else 1.0 / max(1, classes)
     else:
-        cell = max(abs(lo), abs(hi))
-        u = 1 + (1 / (1 + h) if h5 >= 1.5 * h + 0.5 else 1.5 / (1 + h5))
-        tiny = span < cell * u * max(1, classes) * eps * 3
-    if tiny:
-        cell = (9 + cell if cell > 10 else cell) / (classes if least <= 1 and classes else max(1, least))
-    else:
-        cell = span / classes
-    cell = max(cell, 20 * np.finfo(float).tiny)
-    base = 10.0 ** math.floor(math.log10(cell))
-    unit = base
-    for factor, bias in ((2, h), (5, h5), (10, h)):
-        if factor * base - cell < bias * (cell - unit):
-            unit = factor * base
-        else:
-            break
-    a, b = math.floor(lo / unit + 1e-7), math.ceil(hi / unit - 1e-7)
-    while a * unit > lo + 1e-7 * unit:
-        a -= 1
-    while b * unit < hi - 1e-7 * unit:
-        b += 1
-    if (lack := least - (b - a)) > 0:
-        a, b = (a - lack // 2, b + lack // 2 + lack % 2) if a >= 0 else (a - lack // 2 - lack % 2, b + lack // 2)
-    return [k * unit for k in range(a, b + 1)]
+        width = (hi - lo) / classes
+    step = round_step(max(width, 1e-300))
+    first, last = math.floor(lo / step + 1e-7), math.ceil(hi / step - 1e-7)
+    while last - first < classes // 3:
+        first, last = (first, last + 1) if (last - first) % 2 == 0 or first == 0 <= lo else (first - 1, last)
+    return [k * step for k in range(first, last + 1)]
 
 
 def pretty(df: DataFrame, value: Column, classes: int = 5) -> list[float]:

@@ -201,15 +201,30 @@ class RasterFrame:
         a, b, c, d, e, f = self.grid.affine
         return self.new(out, self.grid.with_(width=w, height=h, affine=(a * fx, b * fy, c, d * fx, e * fy, f)))
 
-    def resample(self, grid: Grid, method: str = "nearest") -> RasterFrame:
+    def reproject(self, tocrs: str, method: str = "nearest", grid: Grid | None = None) -> RasterFrame:
+        """The raster in another projection: the middle of each cell of the target grid is taken back to the raster's own projection, and valued there as
+        resample() does. Without a grid the target has as many cells, over the bbox of 21 x 21 reprojected points of the raster's."""
+        from geoframe.functions.crs import reproject_bbox, transformer
+
+        if grid is None:
+            x1, y1, x2, y2 = reproject_bbox(self.df.sparkSession, self.grid.bbox, self.grid.crs, tocrs)
+            grid = Grid.of_bbox((x1, y2, x2, y1), self.grid.width, self.grid.height, mode=self.grid.mode, nodata=self.grid.nodata)
+        return self.resample(grid.with_(crs=tocrs), method, transformer(tocrs, self.grid.crs))
+
+    def resample(self, grid: Grid, method: str = "nearest", via: Callable | None = None) -> RasterFrame:
         """Values at the cells' middles of another grid: of the nearest cell, or of 4 (bilinear) or 16 (bicubic) cells around by weight.
-        Outside of the raster, and where one of the cells that count is nodata, there is none."""
+        Outside of the raster, and where one of the cells that count is nodata, there is none. via: a function of the columns x and y of a middle to
+        those of its place in this raster."""
         target = RasterFrame.empty(self.df.sparkSession, grid).df.select("col", "row")
         a, b, c, d, e, f = grid.affine
         x, y = a * (F.col("col") + 0.5) + b * (F.col("row") + 0.5) + c, d * (F.col("col") + 0.5) + e * (F.col("row") + 0.5) + f
+        if via is not None:
+            x, y = via(x, y)
+            target = target.withColumn("__x", x).withColumn("__y", y).where("__x IS NOT NULL AND __y IS NOT NULL AND NOT isnan(__x) AND NOT isnan(__y)")
+            x, y = F.col("__x"), F.col("__y")
         a, b, c, d, e, f = self.grid.inverse
         u, v = a * x + b * y + c, d * x + e * y + f
-        rows = target.withColumn("u", u).withColumn("v", v)
+        rows = target.select("col", "row", u.alias("u"), v.alias("v")).where(f"u >= 0 AND v >= 0 AND u <= {self.grid.width} AND v <= {self.grid.height}")
         if method == "nearest":
             want = rows.withColumn("sc", F.floor("u").cast("int")).withColumn("sr", F.floor("v").cast("int"))
             src = self.df.select("band", F.col("col").alias("sc"), F.col("row").alias("sr"), "value")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoframe.functions import crs
 from geoframe.functions import geometry as G
 from geoframe.operators import classify, overlay, query, raster, rastervec, spatial
 from geoframe.operators.table import FeatureFrame
@@ -389,12 +391,44 @@ def buffer_points(s, sf):
 
 @registered(cte("cus") + "SELECT c_custkey, round(6378137.0 * radians(x), 3) + 0.0 AS x, round(6378137.0 * ln(tan(pi()/4 + radians(y)/2)), 3) + 0.0 AS y FROM cus")
 def reproject_mercator(s, sf):
-    from geoframe.functions.crs import reproject
+    out = crs.reproject(X.customers(s, sf).df, "EPSG:4326", "EPSG:3857")
+    return out.select("c_custkey", (F.round(G.x(F.col(GEOM)), 3) + 0.0).alias("x"), (F.round(G.y(F.col(GEOM)), 3) + 0.0).alias("y"))
+
+
+def _double(x: float) -> str:
+    """A number that SQL takes as a double."""
+    return repr(x) if "e" in repr(x) else f"{x!r}e0"
 
-    out = reproject(X.customers(s, sf).df, "EPSG:4326", "EPSG:3857")
+
+def _places(out: DataFrame) -> DataFrame:
     return out.select("c_custkey", (F.round(G.x(F.col(GEOM)), 3) + 0.0).alias("x"), (F.round(G.y(F.col(GEOM)), 3) + 0.0).alias("y"))
 
 
+def _robinson_sql(table: str, values: tuple) -> str:
+    """The cubic through the four entries around a latitude y."""
+    sign = 1.0 if values[0] else -1.0
+    whole = [sign * values[1], *values, 2 * values[-1] - values[-2]]
+    k = "CAST(least(17, floor(abs(y) / 5)) AS INTEGER)"
+    t, v = f"(abs(y) / 5 - {k})", [f"CAST([{', '.join(map(repr, whole))}] AS DOUBLE[])[{k} + {i}]" for i in range(1, 5)]
+    return f"(-{v[0]}*{t}*({t}-1)*({t}-2)/6 + {v[1]}*({t}+1)*({t}-1)*({t}-2)/2 - {v[2]}*({t}+1)*{t}*({t}-2)/2 + {v[3]}*({t}+1)*{t}*({t}-1)/6)"
+
+
+@registered(cte("cus") + f"SELECT c_custkey, round({_double(crs.R * crs.ROBINSON_X)} * {_robinson_sql('l', crs.ROBINSON_LENGTH)} * radians(x), 3) + 0.0 AS x, round({_double(crs.R * crs.ROBINSON_Y)} * sign(y) * {_robinson_sql('h', crs.ROBINSON_HEIGHT)}, 3) + 0.0 AS y FROM cus")
+def reproject_robinson(s, sf):
+    return _places(crs.reproject(X.customers(s, sf).df, "EPSG:4326", "robin"))
+
+
+_SERIES = ", ".join(f"{_double(a)} AS a{j}" for j, a in enumerate(crs._ALPHA, 1))
+
+
+@registered(cte("cus") + f", p AS (SELECT c_custkey, radians(x / 60) AS l, radians(y) AS f, {_SERIES} FROM cus), t AS (SELECT *, sinh(atanh(sin(f)) - {_double(crs.E)} * atanh({_double(crs.E)} * sin(f))) AS t FROM p), u AS (SELECT *, atan2(t, cos(l)) AS xi, atanh(sin(l) / sqrt(1 + t * t)) AS eta FROM t) SELECT c_custkey, round(500000 + 0.9996 * {_double(crs._RECTIFYING)} * (eta + a1*cos(2*xi)*sinh(2*eta) + a2*cos(4*xi)*sinh(4*eta) + a3*cos(6*xi)*sinh(6*eta)), 3) + 0.0 AS x, round(0.9996 * {_double(crs._RECTIFYING)} * (xi + a1*sin(2*xi)*cosh(2*eta) + a2*sin(4*xi)*cosh(4*eta) + a3*sin(6*xi)*cosh(6*eta)), 3) + 0.0 AS y FROM u")
+def reproject_utm(s, sf):
+    """All customers, drawn together into three degrees on either side of the zone's middle."""
+    c = X.customers(s, sf)
+    drawn = c.df.withColumn(GEOM, G.transform(F.col(GEOM), lambda x, y: x / 60 + 15, lambda x, y: y))
+    return _places(crs.reproject(drawn, "EPSG:4326", "EPSG:32633"))
+
+
 # Classification
 
 def _broken(s, df: DataFrame, value: Column, algorithm: str, **more) -> DataFrame:
@@ -417,17 +451,26 @@ def breaks_quantile(s, sf):
     return _broken(s, X.table(s, sf, "customer"), F.col("c_acctbal"), "quantile")
 
 
-@registered()
+#: Round steps that cover (a, b) in about five classes, as multiples i of step.
+_ROUND = "w AS (SELECT *, (b - a) / 5 AS wide, pow(10, floor(log10((b - a) / 5))) AS base FROM r), step AS (SELECT *, base * CASE WHEN wide / base <= 1.4 THEN 1 WHEN wide / base <= 2.8 THEN 2 WHEN wide / base <= 7 THEN 5 ELSE 10 END AS step FROM w), inner_ AS (SELECT r.*, i * step AS z FROM step r, range(-60, 61) k(i) WHERE i * step > a AND i * step < b)"
+_EDGES = "SELECT CAST(row_number() OVER (ORDER BY edge) - 1 AS INTEGER) AS i, round(edge, 6) + 0.0 AS edge FROM e"
+
+
+@registered(f"WITH r AS (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS d, min(c_acctbal) AS lo, max(c_acctbal) AS hi, (min(c_acctbal) - avg(c_acctbal)) / stddev_pop(c_acctbal) AS a, (max(c_acctbal) - avg(c_acctbal)) / stddev_pop(c_acctbal) AS b FROM customer), {_ROUND}, e AS (SELECT lo AS edge FROM r UNION ALL SELECT hi FROM r UNION ALL SELECT z * d + m FROM inner_) {_EDGES}")
 def breaks_stdev(s, sf):
     return _broken(s, X.table(s, sf, "customer"), F.col("c_acctbal"), "stdev")
 
 
-@registered()
+@registered(f"WITH r AS (SELECT min(c_acctbal) AS a, max(c_acctbal) AS b FROM customer), {_ROUND}, e AS (SELECT a AS edge FROM r UNION ALL SELECT b FROM r UNION ALL SELECT z FROM inner_) {_EDGES}")
 def breaks_pretty(s, sf):
     return _broken(s, X.table(s, sf, "customer"), F.col("c_acctbal"), "pretty")
 
 
-@registered()
+#: Best division of the first j distinct values into k classes, by trying every start of the last one.
+_BEST = ", ".join(f"d{k} AS (SELECT e.j, min(d.best + {{cost}}) AS best, arg_min(b.j, d.best + {{cost}}) AS upto FROM p e JOIN p b ON b.j < e.j JOIN d{k - 1} d ON d.j = b.j GROUP BY e.j)".format(cost="(e.q - b.q - (e.s - b.s) * (e.s - b.s) / (e.w - b.w))") for k in range(2, 6))
+
+
+@registered(f"WITH v AS (SELECT c_acctbal AS v, count(*) AS n, row_number() OVER (ORDER BY c_acctbal) AS j FROM customer GROUP BY 1), c AS (SELECT v.*, v - (SELECT avg(c_acctbal) FROM customer) AS x FROM v), p AS MATERIALIZED (SELECT j, v, CAST(sum(n) OVER (ORDER BY j) AS DOUBLE) AS w, sum(n * x) OVER (ORDER BY j) AS s, sum(n * x * x) OVER (ORDER BY j) AS q FROM c), d1 AS (SELECT j, q - s * s / w AS best FROM p), {_BEST}, e5 AS (SELECT max(j) AS j FROM p), e4 AS (SELECT upto AS j FROM d5 JOIN e5 USING (j)), e3 AS (SELECT upto AS j FROM d4 JOIN e4 USING (j)), e2 AS (SELECT upto AS j FROM d3 JOIN e3 USING (j)), e1 AS (SELECT upto AS j FROM d2 JOIN e2 USING (j)), e AS (SELECT min(v) AS edge FROM p UNION ALL SELECT v FROM p JOIN (SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM e3 UNION ALL SELECT * FROM e4 UNION ALL SELECT * FROM e5) USING (j)) {_EDGES}")
 def breaks_natural(s, sf):
     return _broken(s, X.table(s, sf, "customer"), F.col("c_acctbal"), "natural")
 
@@ -687,3 +730,13 @@ def raster_in_vector(s, sf):
     every = raster.RasterFrame.empty(s, WORLD)
     out = spatial.raster_stats(X.zones(s, sf), every.df.withColumn("value", (F.col("col") + F.col("row")).cast("double")), WORLD, [("n", "value", "count"), ("mean", "value", "mean")])
     return out.select("n_nationkey", "n", r6("mean").alias("mean"))
+
+
+_MERCATOR_TOP = crs.R * math.log(math.tan(math.pi / 4 + math.radians(81) / 2))
+
+
+@registered(cte("cus") + f", {_WORLD}, v AS (SELECT {_at('x', 'y')}, count(*) AS n FROM cus GROUP BY 1, 2), g AS (SELECT col, row, degrees(2 * atan(exp(({_double(_MERCATOR_TOP)} - (row + 0.5) * {_double(_MERCATOR_TOP)} / 9) / {_double(crs.R)})) - pi() / 2) AS lat FROM world) SELECT g.col, g.row, CAST(n AS DOUBLE) AS value FROM g JOIN v ON v.col = g.col AND v.row = CAST(floor((90 - lat) / 10) AS INTEGER)")
+def raster_reproject(s, sf):
+    """Customers counted in the cells of a world raster, which goes from degrees to web Mercator."""
+    counts = rastervec.rasterize(X.customers(s, sf), WORLD, "c_custkey", "count")
+    return _cells(counts.reproject("EPSG:3857")).where("value IS NOT NULL")
