@@ -270,3 +270,16 @@ def reproject_bbox(spark, bbox, source: str, target: str, steps: int = 20) -> tu
     u, v = transformer(source, target)(F.col("x"), F.col("y"))
     fine = grid.select(u.alias("u"), v.alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND NOT isnan(u) AND NOT isnan(v) AND abs(u) < double('infinity') AND abs(v) < double('infinity')")
     return tuple(fine.agg(F.min("u"), F.min("v"), F.max("u"), F.max("v")).first())
+
+
+def group_bbox(frames, target: str) -> tuple[float, ...] | None:
+    """The bbox, in one projection, of several frames of any: the least that holds their own bboxes once reprojected (see reproject_bbox). Frames without
+    geometries, or without a place there, are left out; None if all are."""
+    boxes = []
+    for frame in frames:
+        own = tuple(frame.bbox().first())
+        if own[0] is not None:
+            box = reproject_bbox(frame.df.sparkSession, own, frame.crs, target)
+            if box[0] is not None:
+                boxes.append(box)
+    return (*(min(b[i] for b in boxes) for i in (0, 1)), *(max(b[i] for b in boxes) for i in (2, 3))) if boxes else None

@@ -312,3 +312,11 @@ class Classifier:
 def cutoff(df: DataFrame, value: Column, percent: float) -> float | None:
     """The smallest value whose share of all values up to it reaches percent."""
     return df.select(value.alias("v")).agg(F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY v)")).first()[0]
+
+
+def area_sizes(df: DataFrame, value: Column, smallest: float, largest: float, name: str = "size") -> DataFrame:
+    """df with a point size whose area grows evenly with the value, from that of the smallest size at the least value to that of the largest at the greatest one."""
+    edge = df.agg(F.min(value).alias("__a"), F.max(value).alias("__b"))
+    share = F.coalesce((value - F.col("__a")) / F.nullif(F.col("__b") - F.col("__a"), F.lit(0.0)), F.lit(0.0))
+    size = F.sqrt(F.lit(float(smallest) ** 2) + share * (float(largest) ** 2 - float(smallest) ** 2))
+    return df.join(F.broadcast(edge)).withColumn(name, F.when(value.isNotNull(), size)).drop("__a", "__b")

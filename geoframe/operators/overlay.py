@@ -242,6 +242,24 @@ def convex_hull(frame: FeatureFrame) -> FeatureFrame:
     return frame.new(out.where(F.col(GEOM).isNotNull()), geometry_type="Polygon")
 
 
+def enclose(frame: FeatureFrame, key: str | None = None) -> FeatureFrame:
+    """The polygons that the lines (or outlines) of each key enclose together, numbered from 0 in each (of the whole frame without one: faces can be made of
+    any lines, so one task makes them; give a key that bounds the lines)."""
+    keys = [key] if key else []
+    rows = frame.df.where(F.col(GEOM).isNotNull()).select(*keys, GEOM).withColumn("__all", F.lit(1))
+    schema = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), f"{FID} long, {GEOM} {GEOMETRY}"])
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        rings = [r for c in t.column(GEOM).chunks for s in arrowshapes.shapes(c) if s[0] != "Point" for p in s[1] for r in (p if s[0] == "LineString" else [[*q, q[0]] if q[0] != q[-1] else q for q in p])]
+        made = [("Polygon", [p]) for p in kernels.enclosed(("LineString", [[r] for r in rings]))] if rings else []
+        made.sort(key=lambda s: (min(s[1][0][0]), kernels.area(s)))
+        same = [t.column(k).take(pa.array([0] * len(made), pa.int64())) for k in keys]
+        return pa.table([*same, pa.array(range(len(made)), pa.int64()), arrowshapes.geometries(made)], names=[*keys, FID, GEOM])
+
+    return frame.new(rows.groupBy(*(keys or ["__all"])).applyInArrow(run, schema), geometry_type="Polygon")
+
+
 def tessellate(frame: FeatureFrame, how: str = "voronoi", key: str | None = None) -> FeatureFrame:
     """Delaunay triangles, or Voronoi cells, of the points of each key (the whole frame without one: such a diagram is global, one task
     makes it, so give a key that bounds the points)."""

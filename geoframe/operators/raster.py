@@ -389,3 +389,10 @@ def normalise(raster: RasterFrame, low: float = 0.0, high: float = 255.0) -> Ras
     v = low + (high - low) * (F.col("value") - F.col("__a")) / F.nullif(F.col("__b") - F.col("__a"), F.lit(0.0))
     return raster.new(raster.df.join(F.broadcast(edge), "band").withColumn("value", v))
 
+
+def stretch(raster: RasterFrame, center: float = 0.0, low: float = 0.0, high: float = 255.0) -> RasterFrame:
+    """Values scaled to [low, high] so that center lies in the middle: the range reaches as far to either side as the farthest value of the band."""
+    edge = raster.df.groupBy("band").agg(F.max(F.abs(F.col("value") - center)).alias("__far"))
+    v = (low + high) / 2 + (high - low) / 2 * (F.col("value") - center) / F.nullif(F.col("__far"), F.lit(0.0))
+    v = F.when(F.col("value").isNotNull(), F.coalesce(v, F.lit((low + high) / 2)))
+    return raster.new(raster.df.join(F.broadcast(edge), "band").withColumn("value", v))

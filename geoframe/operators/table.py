@@ -244,9 +244,12 @@ class FeatureFrame:
         return self.new(out.withColumn(GEOM, F.col("__one")).withColumn(FID, F.col("__fid0")).drop("__shape", "__one", "__fid0"))
 
     def group(self, key: str | Column) -> DataFrame:
-        """The group as a number that sorts as the keys do, on every row."""
+        """Rows with the `key` of their group and its number `group`, from 0 in the order of the keys (null first). Sorted by group and __fid, groups follow
+        each other as in a list of (key, rows), and none has to be held as a whole."""
         c = F.col(key) if isinstance(key, str) else key
-        return self.df.withColumn("group", c)
+        rows = self.df.withColumn("key", c)
+        numbers = ranked(rows.select("key").distinct(), F.col("key"), name="group").select(F.col("key").alias("__key"), "group")
+        return rows.join(numbers, F.col("key").eqNullSafe(F.col("__key"))).drop("__key")
 
     def split(self, key: str | Column, breaks: Sequence[float] | None = None) -> FeatureFrame:
         """Rows marked with the part they belong to (`part`): the key's value, or with breaks the class [a, b), the last one closed; rows
@@ -407,10 +410,16 @@ class FeatureFrame:
         x1, y1, x2, y2 = min(bbox[0], bbox[2]), min(bbox[1], bbox[3]), max(bbox[0], bbox[2]), max(bbox[1], bbox[3])
         return self.new(self.df.where(F.coalesce(~G.overlaps_bbox(F.col(GEOM), x1, y1, x2, y2), F.lit(True))))
 
-    def quick_nearest(self, x: float, y: float, n: int = 1) -> FeatureFrame:
-        """The n features whose bboxes are nearest to a point."""
-        d = G.bbox_distance(F.col(GEOM), F.lit(float(x)), F.lit(float(y)))
-        return self.new(self.df.where(F.col(GEOM).isNotNull()).orderBy(d, FID).limit(n))
+    def quick_nearest(self, *place: float | tuple, n: int = 1) -> FeatureFrame:
+        """The n features whose bboxes are nearest to a point (x, y) or to a bbox, the nearest first; overlapping ones are at distance 0."""
+        place = place[0] if len(place) == 1 else place
+        if len(place) == 3:  # x, y, n
+            *place, n = place
+        x1, y1, x2, y2 = (*place, *place) if len(place) == 2 else (min(place[0], place[2]), min(place[1], place[3]), max(place[0], place[2]), max(place[1], place[3]))
+        b = F.col(f"{GEOM}.bbox")
+        dx = F.greatest(b["xmin"] - float(x2), float(x1) - b["xmax"], F.lit(0.0))
+        dy = F.greatest(b["ymin"] - float(y2), float(y1) - b["ymax"], F.lit(0.0))
+        return self.new(self.df.where(F.col(GEOM).isNotNull()).orderBy(F.sqrt(dx * dx + dy * dy), FID).limit(n))
 
     def point_geometry(self, xfield: str, yfield: str) -> FeatureFrame:
         return self.new(self.df.withColumn(GEOM, G.point(F.col(xfield).try_cast("double"), F.col(yfield).try_cast("double"))), geometry_type="Point")

@@ -1,8 +1,10 @@
-"""Rasters from and to files: ESRI ASCII grids, cell tables, uncompressed GeoTIFF, world files."""
+"""Rasters from and to files: ESRI ASCII grids, cell tables, GeoTIFF, PNG and GIF pictures, world files."""
 
 from __future__ import annotations
 
+import os
 import struct as binary
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,8 @@ def read(spark: SparkSession, path: str, grid: Grid | None = None, **options) ->
         return read_ascii(spark, path)
     if ending in ("tif", "tiff", "geotiff"):
         return read_geotiff(spark, path, grid)
+    if ending in ("png", "gif", "jpg", "jpeg"):
+        return read_image(spark, path, grid)
     if ending in ("csv", "txt", "tsv"):
         return read_cells(spark, path, grid, **options)
     if ending == "parquet":
@@ -120,27 +124,92 @@ def read_prj(path: str) -> str:
 
 # TIFF: the fixed numbers of tags and of kinds of values.
 _SIZES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 11: ("f", 4), 12: ("d", 8), 5: ("II", 8)}
-_TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 273: "offsets", 277: "bands", 278: "rows", 279: "lengths", 284: "planar", 339: "format", 33550: "scale", 33922: "tie", 34264: "matrix", 42113: "nodata"}
+_TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 273: "offsets", 277: "bands", 278: "rows", 279: "lengths", 284: "planar", 317: "predictor", 339: "format", 33550: "scale", 33922: "tie", 34264: "matrix", 42113: "nodata"}
 
 
-def _tiff_tags(data: bytes) -> dict:
-    order = "<" if data[:2] == b"II" else ">"
-    (at,) = binary.unpack(order + "I", data[4:8])
-    (n,) = binary.unpack(order + "H", data[at : at + 2])
-    tags = {"order": order}
+def _tiff_tags(read) -> dict:
+    """Tags of a TIFF's first directory; read gives the bytes at a place."""
+    first = read(0, 8)
+    order = "<" if first[:2] == b"II" else ">"
+    (at,) = binary.unpack(order + "I", first[4:8])
+    (n,) = binary.unpack(order + "H", read(at, 2))
+    listed, tags = read(at + 2, 12 * n), {"order": order}
     for i in range(n):
-        tag, kind, count = binary.unpack(order + "HHI", data[at + 2 + 12 * i : at + 10 + 12 * i])
+        tag, kind, count = binary.unpack(order + "HHI", listed[12 * i : 12 * i + 8])
         if tag not in _TAGS or kind not in _SIZES:
             continue
         letter, size = _SIZES[kind]
-        spot = at + 10 + 12 * i
+        raw = listed[12 * i + 8 : 12 * i + 12]
         if size * count > 4:
-            (spot,) = binary.unpack(order + "I", data[spot : spot + 4])
-        raw = data[spot : spot + size * count]
-        tags[_TAGS[tag]] = raw.split(b"\0")[0].decode() if letter == "s" else binary.unpack(order + letter * count, raw)
+            raw = read(binary.unpack(order + "I", raw)[0], size * count)
+        tags[_TAGS[tag]] = raw[:count].split(b"\0")[0].decode() if letter == "s" else binary.unpack(order + letter * count, raw[: size * count])
     return tags
 
 
+def _reader(spark: SparkSession, path: str):
+    """A function that reads bytes at a place of a file by Spark's own file system, and one that closes it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+
+    def read(place: int, size: int) -> bytes:
+        stream.seek(place)
+        return bytes(stream.readNBytes(size))
+
+    return read, stream.close
+
+
+def lzw(data: bytes, msb: bool = True, least: int = 8) -> bytes:
+    """Lempel-Ziv-Welch codes as TIFF (from the highest bit, one code early) and GIF (from the lowest) pack them."""
+    clear, out, table = 1 << least, [], []
+    size, held, bits, last = least + 1, 0, 0, b""
+    for byte in data:
+        held, bits = ((held << 8) | byte, bits + 8) if msb else (held | (byte << bits), bits + 8)
+        while bits >= size:
+            if msb:
+                code, held = held >> (bits - size), held & ((1 << (bits - size)) - 1)
+            else:
+                code, held = held & ((1 << size) - 1), held >> size
+            bits -= size
+            if code == clear:
+                table, size, last = [bytes([i]) for i in range(clear)] + [b"", b""], least + 1, b""
+                continue
+            if code == clear + 1:
+                return b"".join(out)
+            if not table:
+                table = [bytes([i]) for i in range(clear)] + [b"", b""]
+            if code < len(table):
+                word = table[code]
+            elif code == len(table) and last:
+                word = last + last[:1]
+            else:
+                raise ValueError("broken LZW data")
+            out.append(word)
+            if last and len(table) < 4096:
+                table.append(last + word[:1])
+            last = word
+            if len(table) >= (1 << size) - msb and size < 12:
+                size += 1
+    return b"".join(out)
+
+
+def packbits(data: bytes) -> bytes:
+    out, at = [], 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out.append(data[at + 1 : at + 2 + n])
+            at += 2 + n
+        else:
+            if n > 128:
+                out.append(data[at + 1 : at + 2] * (257 - n))
+            at += 2 if n > 128 else 1
+    return b"".join(out)
+
+
+#: By TIFF's numbers of compressions.
+_UNPACK = {1: bytes, 5: lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: packbits}
+
+
 def _tiff_grid(tags: dict, world: tuple | None) -> Grid:
     w, h = tags["width"][0], tags["height"][0]
     bits, form = tags.get("bits", (8,))[0], tags.get("format", (1,))[0]
@@ -158,37 +227,223 @@ def _tiff_grid(tags: dict, world: tuple | None) -> Grid:
 
 
 def read_geotiff(spark: SparkSession, path: str, grid: Grid | None = None, world: tuple | None = None) -> RasterFrame:
-    """Uncompressed strips. The file comes by Spark's own reader; strips are cut into rows on the executors."""
-    first = spark.read.format("binaryFile").load(path)
-    small = bytes(first.select("content").first()[0])
-    tags = _tiff_tags(small)
-    if tags.get("compression", (1,))[0] != 1:
-        raise ValueError("only uncompressed TIFF can be read")
+    """Strips, plain or packed by LZW, deflate or PackBits, with or without differences between columns. Only the tags come to the driver; strips are cut out of the
+    file by Spark and dealt to the executors."""
+    read, close = _reader(spark, path)
+    tags = _tiff_tags(read)
+    close()
+    packed, differs = tags.get("compression", (1,))[0], tags.get("predictor", (1,))[0] == 2
+    if packed not in _UNPACK or tags.get("predictor", (1,))[0] not in (1, 2) or "offsets" not in tags:
+        raise ValueError(f"a TIFF of compression {packed}, predictor {tags.get('predictor', (1,))[0]}{'' if 'offsets' in tags else ', in tiles'} cannot be read")
     grid = grid or _tiff_grid(tags, world)
     bands, planar = tags.get("bands", (1,))[0], tags.get("planar", (1,))[0]
     bits, form = tags.get("bits", (8,))[0], tags.get("format", (1,))[0]
     kind = np.dtype({(8, 1): "u1", (8, 2): "i1", (16, 1): "u2", (16, 2): "i2", (32, 1): "u4", (32, 2): "i4", (32, 3): "f4", (64, 3): "f8"}[bits, form]).newbyteorder(tags["order"])
-    offsets, lengths, per = tags["offsets"], tags["lengths"], tags.get("rows", (tags["height"][0],))[0]
-    strips = -(-grid.height // per)
+    per, across = tags.get("rows", (tags["height"][0],))[0], 1 if planar == 2 else bands
+    width, height, nodata, unpack = grid.width, grid.height, grid.nodata, _UNPACK[packed]
+    strips = -(-height // per)
+
+    def run(batches):
+        for b in batches:
+            for s, data in zip(b["strip"], b["data"], strict=True):
+                top = (s % strips) * per
+                rows = min(per, height - top)
+                v = np.frombuffer(unpack(bytes(data)), kind)[: rows * width * across].reshape(rows, width, across)
+                v = np.cumsum(v, axis=1, dtype=kind.newbyteorder("=")) if differs else v
+                r, c = np.mgrid[0:rows, 0:width]
+                for k in range(across):
+                    value = pd.Series(v[:, :, k].ravel().astype(float))
+                    value = value if nodata is None else value.where(value != nodata)
+                    yield pd.DataFrame({"band": np.int32(s // strips if planar == 2 else k), "col": c.ravel().astype(np.int32), "row": (r.ravel() + top).astype(np.int32), "value": value})
+
+    places = list(zip(range(len(tags["offsets"])), tags["offsets"], tags["lengths"], strict=True))
+    listed = spark.createDataFrame(places, "strip int, at long, size int")
+    whole = spark.read.format("binaryFile").load(path).select("content")
+    # One row, the file, beside its strips' places: each is cut out and dealt on by its number.
+    cut = whole.withColumn("p", F.explode(F.array(*(F.struct(F.lit(i).alias("strip"), F.lit(o).alias("at"), F.lit(n).alias("size")) for i, o, n in places)))) if len(places) <= 256 else whole.join(F.broadcast(listed)).withColumn("p", F.struct("strip", "at", "size"))
+    dealt = cut.select("p.strip", F.expr("substring(content, cast(p.at as int) + 1, p.size)").alias("data")).repartition("strip")
+    return RasterFrame(dealt.mapInPandas(run, "band int, col int, row int, value double").withColumn("value", F.when(~F.isnan("value"), F.col("value"))), grid)
+
+
+# Images: a PNG is decoded here, a GIF's first picture too; others need an imaging library.
+
+def _png(data: bytes) -> np.ndarray:
+    """height x width x channels of a PNG that is not interlaced; a palette's numbers become its colours."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG")
+    at, body, palette = 8, [], None
+    while at < len(data):
+        size, name = binary.unpack(">I4s", data[at : at + 8])
+        part = data[at + 8 : at + 8 + size]
+        if name == b"IHDR":
+            width, height, depth, colour, _, _, interlaced = binary.unpack(">IIBBBBB", part)
+        elif name == b"PLTE":
+            palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
+        elif name == b"IDAT":
+            body.append(part)
+        at += 12 + size
+    if interlaced:
+        raise ValueError("interlaced PNG cannot be read")
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    step, line = max(1, channels * depth // 8), (width * channels * depth + 7) // 8
+    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(height, line + 1)
+    out, above = np.zeros((height, line), np.uint8), np.zeros(line, np.uint8)
+    for r in range(height):
+        above = out[r] = _unfiltered(int(raw[r, 0]), raw[r, 1:], above, step)
+    if depth == 16:
+        values = out.view(">u2").astype(np.uint16)
+    elif depth == 8:
+        values = out
+    else:
+        values = np.stack([(out >> (8 - depth * (k + 1))) & ((1 << depth) - 1) for k in range(8 // depth)], axis=2).reshape(height, -1)[:, :width]
+    values = values.reshape(height, width, channels)
+    return palette[values[:, :, 0]] if colour == 3 else values
+
+
+def _unfiltered(how: int, x: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """A line of bytes whose differences from the left, from above, from their mean or from the nearer of three are undone."""
+    if how == 0:
+        return x
+    if how == 2:
+        return x + above
+    if how == 1:
+        pad = np.concatenate((x, np.zeros(-len(x) % step, np.uint8))).reshape(-1, step)
+        return np.cumsum(pad, axis=0, dtype=np.uint8).ravel()[: len(x)]
+    out, up = [0] * step + x.tolist(), [0] * step + above.tolist()
+    for i in range(step, len(out)):
+        a, b, c = out[i - step], up[i], up[i - step]
+        if how == 3:
+            guess = (a + b) // 2
+        else:
+            p = a + b - c
+            guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+        out[i] = (out[i] + guess) & 255
+    return np.array(out[step:], np.uint8)
+
+
+def _gif(data: bytes) -> np.ndarray:
+    """height x width x 3 of a GIF's first picture."""
+    if data[:3] != b"GIF":
+        raise ValueError("not a GIF")
+    width, height, flags = binary.unpack("<HHB", data[6:11])
+    at, colours = 13, None
+
+    def table(flags: int, at: int):
+        n = 2 << (flags & 7)
+        return (np.frombuffer(data[at : at + 3 * n], np.uint8).reshape(-1, 3), at + 3 * n) if flags & 128 else (None, at)
+
+    colours, at = table(flags, at)
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            at += 2
+            while data[at]:
+                at += data[at] + 1
+            at += 1
+            continue
+        left, top, w, h, flags = binary.unpack("<HHHHB", data[at + 1 : at + 10])
+        own, at = table(flags, at + 10)
+        colours, least, at, parts = own if own is not None else colours, data[at], at + 1, []
+        while data[at]:
+            parts.append(data[at + 1 : at + 1 + data[at]])
+            at += data[at] + 1
+        lines = np.frombuffer(lzw(b"".join(parts), False, least), np.uint8)[: w * h].reshape(h, w)
+        if flags & 64:
+            order = [r for start, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for r in range(start, h, step)]
+            lines = lines[np.argsort(order)]
+        out = np.zeros((height, width), np.uint8)
+        out[top : top + h, left : left + w] = lines
+        return colours[out]
+    raise ValueError("a GIF without a picture")
+
+
+def _picture(data: bytes, ending: str) -> np.ndarray:
+    if ending == "png":
+        return _png(data)
+    if ending == "gif":
+        return _gif(data)
+    try:
+        import io
+
+        from PIL import Image
+    except ImportError:
+        raise ValueError(f".{ending} needs an imaging library, which is not installed") from None
+    out = np.asarray(Image.open(io.BytesIO(data)))
+    return out if out.ndim == 3 else out[:, :, None]
+
+
+def of_image(spark: SparkSession, image: np.ndarray, grid: Grid | None = None) -> RasterFrame:
+    """A raster with a band for each channel of an image in memory (height x width, or height x width x channels)."""
+    image = np.asarray(image)
+    image = image if image.ndim == 3 else image[:, :, None]
+    h, w, n = image.shape
+    grid = grid or Grid(w, h, mode="int8" if image.dtype == np.uint8 else "int32" if image.dtype.kind in "iu" else "float32", nodata=None)
+    band, row, col = np.mgrid[0:n, 0:h, 0:w]
+    cells = pd.DataFrame({"band": band.ravel().astype(np.int32), "col": col.ravel().astype(np.int32), "row": row.ravel().astype(np.int32), "value": np.moveaxis(image, 2, 0).ravel().astype(float)})
+    out = RasterFrame(spark.createDataFrame(cells, "band int, col int, row int, value double"), grid)
+    return out.new(out.df.withColumn("value", F.when(~F.isnan("value"), F.col("value"))))
+
+
+def _beside(path: str, endings: tuple[str, ...]) -> str | None:
+    return next((f"{path.rsplit('.', 1)[0]}.{e}" for e in endings if os.path.exists(f"{path.rsplit('.', 1)[0]}.{e}")), None)
+
+
+def read_image(spark: SparkSession, path: str, grid: Grid | None = None) -> RasterFrame:
+    """A picture as a raster of bands, with the world file and the .prj beside it. A picture is one stream, so one task decodes it."""
+    ending = path.rsplit(".", 1)[-1].lower()
+    read, close = _reader(spark, path)
+    head_ = read(0, 1 << 16)
+    close()
+    if grid is None:
+        if ending == "png":
+            width, height, depth = binary.unpack(">IIB", head_[16:25])
+        elif ending == "gif":
+            (width, height), depth = binary.unpack("<HH", head_[6:10]), 8
+        else:
+            read, close = _reader(spark, path)
+            height, width = _picture(read(0, 1 << 30), ending).shape[:2]
+            close()
+            depth = 8
+        world = _beside(path, ("wld", ending[0] + ending[-1] + "w", ending + "w"))
+        grid = Grid(width, height, tuple(read_world(world)) if world else (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), "int32" if depth == 16 else "int8", None, read_prj(f"{path.rsplit('.', 1)[0]}.prj"))
 
     def run(batches):
         for b in batches:
             for data in b["content"]:
-                for s, (o, n) in enumerate(zip(offsets, lengths, strict=True)):
-                    v = np.frombuffer(data[o : o + n], kind).astype(float)
-                    top = (s % strips) * per
-                    if planar == 2 or bands == 1:
-                        v, which = v.reshape(-1, grid.width, 1), [s // strips if planar == 2 else 0]
-                    else:
-                        v, which = v.reshape(-1, grid.width, bands), list(range(bands))
-                    for k, band in enumerate(which):
-                        r, c = np.mgrid[0 : v.shape[0], 0 : grid.width]
-                        value = pd.Series(v[:, :, k].ravel())
-                        if grid.nodata is not None:
-                            value = value.where(value != grid.nodata)
-                        yield pd.DataFrame({"band": np.int32(band), "col": c.ravel().astype(np.int32), "row": (r.ravel() + top).astype(np.int32), "value": value})
-
-    return RasterFrame(first.select("content").mapInPandas(run, "band int, col int, row int, value double").withColumn("value", F.when(~F.isnan("value"), F.col("value"))), grid)
+                image = _picture(bytes(data), ending)
+                r, c = np.mgrid[0 : image.shape[0], 0 : image.shape[1]]
+                for k in range(image.shape[2]):
+                    yield pd.DataFrame({"band": np.int32(k), "col": c.ravel().astype(np.int32), "row": r.ravel().astype(np.int32), "value": image[:, :, k].ravel().astype(float)})
+
+    return RasterFrame(spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "band int, col int, row int, value double"), grid)
+
+
+def write_png(raster: RasterFrame, path: str) -> None:
+    """Bands 0 to 3 at most as grey, grey and alpha, RGB or RGBA of 8 bits (whole values of 0 to 255; nodata is 0), with a world file and a .prj beside. Rows stream through the
+    driver in order, as one picture must."""
+    g, bands = raster.grid, len(raster)
+    colour = {1: 0, 2: 4, 3: 2, 4: 6}.get(bands)
+    if colour is None:
+        raise ValueError(f"a picture has 1 to 4 bands, not {bands}")
+
+    def chunk(name: bytes, part: bytes) -> bytes:
+        return binary.pack(">I", len(part)) + name + part + binary.pack(">I", zlib.crc32(name + part))
+
+    v = F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor(F.coalesce("value", F.lit(0.0)))))
+    lines = raster.df.groupBy("row").agg(F.collect_list(F.struct("col", "band", v.cast("int").alias("v"))).alias("cells")).orderBy("row")
+    packer, line = zlib.compressobj(), 0
+    with open(path, "wb") as out:
+        out.write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", binary.pack(">IIBBBBB", g.width, g.height, 8, colour, 0, 0, 0)))
+        for r in lines.toLocalIterator():
+            values = np.zeros((g.width, bands), np.uint8)
+            for cell in r["cells"]:
+                values[cell["col"], cell["band"]] = cell["v"]
+            empty = (b"\0" + bytes(g.width * bands)) * (r["row"] - line)
+            if part := packer.compress(empty + b"\0" + values.tobytes()):
+                out.write(chunk(b"IDAT", part))
+            line = r["row"] + 1
+        out.write(chunk(b"IDAT", packer.compress((b"\0" + bytes(g.width * bands)) * (g.height - line)) + packer.flush()) + chunk(b"IEND", b""))
+    write_world(g, f"{path.rsplit('.', 1)[0]}.wld")
+    write_prj(g.crs, f"{path.rsplit('.', 1)[0]}.prj")
 
 
 def write_geotiff(raster: RasterFrame, path: str) -> None:
@@ -232,7 +487,7 @@ def write_geotiff(raster: RasterFrame, path: str) -> None:
 
 def write(raster: RasterFrame, path: str, **options) -> None:
     ending = path.rsplit(".", 1)[-1].lower()
-    writers = {"asc": write_ascii, "tif": write_geotiff, "tiff": write_geotiff, "csv": write_cells, "txt": write_cells}
+    writers = {"asc": write_ascii, "tif": write_geotiff, "tiff": write_geotiff, "png": write_png, "csv": write_cells, "txt": write_cells}
     if ending == "parquet":
         raster.df.write.mode("overwrite").parquet(path)
     elif ending in writers:

@@ -39,6 +39,29 @@ class Grid:
         (c, r), (x, y) = xy_cell, xy_geo
         return cls(width, height, (xscale, xskew, x - c * xscale - r * xskew, yskew, yscale, y - c * yskew - r * yscale), **more)
 
+    @classmethod
+    def made(cls, width: int | None = None, height: int | None = None, affine: tuple | None = None, xscale: float | None = None, yscale: float | None = None, cellsize: float | None = None, xskew: float = 0.0, yskew: float = 0.0, xoffset: float | None = None, yoffset: float | None = None, xy_cell: tuple[float, float] | None = None, xy_geo: tuple[float, float] | None = None, bbox: tuple[float, float, float, float] | None = None, anchor: str = "corner", **more) -> Grid:
+        """From whatever says it, in this order: an affine; scales (cellsize: square cells, rows going south) with offsets, or with a cell position that lies at a
+        place; a bbox with the size, or with the scales, which the size then follows. anchor "center": offsets and xy_geo are those of a cell's middle."""
+        if cellsize is not None:
+            xscale, yscale = cellsize if xscale is None else xscale, -cellsize if yscale is None else yscale
+        if affine is None and xscale is not None and yscale is not None and bbox is None:
+            shift = {"corner": 0.0, "center": 0.5}[anchor]
+            if xoffset is not None and yoffset is not None:
+                (col, row), (x, y) = (shift, shift), (xoffset, yoffset)
+            elif xy_cell is not None and xy_geo is not None:
+                (col, row), (x, y) = (xy_cell[0] + shift, xy_cell[1] + shift), xy_geo
+            else:
+                raise ValueError("scales need offsets, or xy_cell and xy_geo, or a bbox")
+            affine = (xscale, xskew, x - col * xscale - row * xskew, yskew, yscale, y - col * yskew - row * yscale)
+        if affine is not None:
+            if not width or not height:
+                raise ValueError("a grid needs its width and height")
+            return cls(width, height, tuple(map(float, affine)), **more)
+        if bbox is None:
+            raise ValueError("a grid needs an affine, scales with offsets, a tie point, or a bbox")
+        return cls.of_bbox(bbox, width, height, None if xscale is None else abs(xscale), None if yscale is None else abs(yscale), **more)
+
     @property
     def inverse(self) -> tuple[float, float, float, float, float, float]:
         a, b, c, d, e, f = self.affine
