@@ -46,9 +46,10 @@ def geometry(kind: Column | str, parts: Column, multi: Column | None = None) ->
 
     def whole(p: Column) -> Column:
         outer = F.flatten(F.transform(p, lambda part: F.get(part, 0)))
-        return let(outer, lambda v: F.when(F.size(v) > 0, F.struct(
-            kind.alias("type"), (F.size(p) > 1 if multi is None else multi).alias("multi"), p.alias("parts"),
-            bbox_struct(F.array_min(F.transform(v, lambda q: q["x"])), F.array_min(F.transform(v, lambda q: q["y"])), F.array_max(F.transform(v, lambda q: q["x"])), F.array_max(F.transform(v, lambda q: q["y"]))).alias("bbox"),
+        # Both go into the inner lambda by its own value: Spark does not hand a Python function an argument in which one lambda uses the variable of another.
+        return let(F.struct(p.alias("p"), outer.alias("v")), lambda z: F.when(F.size(z["v"]) > 0, F.struct(
+            kind.alias("type"), (F.size(z["p"]) > 1 if multi is None else multi).alias("multi"), z["p"].alias("parts"),
+            bbox_struct(F.array_min(F.transform(z["v"], lambda q: q["x"])), F.array_min(F.transform(z["v"], lambda q: q["y"])), F.array_max(F.transform(z["v"], lambda q: q["x"])), F.array_max(F.transform(z["v"], lambda q: q["y"]))).alias("bbox"),
         )))
 
     return let(parts, whole).cast(GEOMETRY)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,9 +12,12 @@ from pyspark.sql import functions as F
 from geoframe.functions import crs
 from geoframe.functions import geometry as G
 from geoframe.operators import classify, overlay, query, raster, rastervec, spatial
-from geoframe.operators.table import FeatureFrame
+from geoframe.operators.table import FeatureFrame, shared_dir
 from geoframe.plans import fixtures as X
 from geoframe.plans.fixtures import cte
+from geoframe.sources import raster as raster_files
+from geoframe.sources import vector
+from geoframe.streaming import geofence
 from geoframe.types import FID, GEOM, Grid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -740,3 +744,277 @@ def raster_reproject(s, sf):
     """Customers counted in the cells of a world raster, which goes from degrees to web Mercator."""
     counts = rastervec.rasterize(X.customers(s, sf), WORLD, "c_custkey", "count")
     return _cells(counts.reproject("EPSG:3857")).where("value IS NOT NULL")
+
+
+# More of predicates, overlays and conversions
+
+def _lines(s, sf) -> FeatureFrame:
+    """A level line of 80 degrees from each supplier eastwards."""
+    f = X.suppliers(s, sf)
+    x, y = G.x(F.col(GEOM)), G.y(F.col(GEOM))
+    return f.new(f.df.withColumn(GEOM, G.line(F.array(G.vertex(x, y), G.vertex(x + 80, y)))), geometry_type="LineString")
+
+
+@registered(cte("sup", "zon") + "SELECT s_suppkey, n_nationkey FROM sup JOIN zon ON y > y1 AND y < y2 AND x < x2 AND x + 80 > x1")
+def sjoin_crosses(s, sf):
+    return spatial.spatial_join(_lines(s, sf), X.zones(s, sf), "crosses").df.select("s_suppkey", "n_nationkey")
+
+
+@registered(cte("sup", "zon") + "SELECT n_nationkey, s_suppkey FROM zon JOIN sup ON x >= x1 AND x <= x2 AND y >= y1 AND y <= y2")
+def sjoin_covers(s, sf):
+    return spatial.spatial_join(X.zones(s, sf), X.suppliers(s, sf), "covers").df.select("n_nationkey", "s_suppkey")
+
+
+@registered("SELECT n_nationkey, n_nationkey AS k FROM nation")
+def sjoin_equals(s, sf):
+    z = X.zones(s, sf)
+    return spatial.spatial_join(z, z.new(z.df.select(F.col("n_nationkey").alias("k"), FID, GEOM)), "equals").df.select("n_nationkey", "k")
+
+
+_KM = "6378.137 * 2 * asin(sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2)))"
+
+
+@registered(cte("sup") + f", near AS (SELECT a.s_suppkey, b.s_suppkey AS other, {_KM} AS km, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)), b.s_suppkey) AS r FROM sup a JOIN sup b ON abs(a.y) < 60 AND {_KM} <= 700) SELECT s_suppkey, other FROM near WHERE r <= 3")
+def sjoin_km_first(s, sf):
+    """At most three suppliers within 700 km. Suppliers lie on whole degrees and none is near the ring, so a sphere tells the same ones as the ellipsoid does."""
+    a = X.suppliers(s, sf)
+    out = spatial.spatial_join(a.new(a.df.where(F.abs(G.y(F.col(GEOM))) < 60)), a.rename_field("s_suppkey", "other"), "distance", radius=700.0, n=3)
+    return out.df.select("s_suppkey", "other")
+
+
+@registered(cte("sup") + "SELECT s_suppkey, CAST(2 AS BIGINT) AS parts FROM sup")
+def clip_union_points(s, sf):
+    """Each supplier and the place 3 degrees north of it, as one geometry."""
+    a = X.suppliers(s, sf)
+    north = a.new(a.df.select(F.col("s_suppkey").alias("k"), FID, G.transform(F.col(GEOM), lambda x, y: x, lambda x, y: y + 3).alias(GEOM)))
+    out = spatial.spatial_join(a, north, "distance", radius=3.5, geodetic=False, clip="union", subkey=lambda l, r: l("s_suppkey") == r("k"))
+    return out.df.select("s_suppkey", F.size(f"{GEOM}.parts").cast("long").alias("parts"))
+
+
+def _moved(z: FeatureFrame, dx: float, dy: float) -> DataFrame:
+    return z.df.withColumn(GEOM, G.transform(F.col(GEOM), lambda x, y: x + dx, lambda x, y: y + dy)).withColumn(FID, F.col(FID) + 1000)
+
+
+def _both(s, sf) -> FeatureFrame:
+    z = X.zones(s, sf)
+    return z.new(z.df.unionByName(_moved(z, 20, 10)))
+
+
+@registered(cte("zon") + "SELECT n_nationkey, round((x2-x1-20)*(y2-y1-10), 6) AS area FROM zon")
+def fold_intersection(s, sf):
+    out = _both(s, sf).aggregate(["n_nationkey"], [], geometry=overlay.fold("intersection")).df
+    return out.select("n_nationkey", r6(G.area(F.col(GEOM))).alias("area"))
+
+
+@registered(cte("zon") + "SELECT n_nationkey, round((x2-x1)*(y2-y1) - (x2-x1-20)*(y2-y1-10), 6) AS area FROM zon")
+def fold_difference(s, sf):
+    out = _both(s, sf).aggregate(["n_nationkey"], [], geometry=overlay.fold("difference")).df
+    return out.select("n_nationkey", r6(G.area(F.col(GEOM))).alias("area"))
+
+
+@registered(cte("sup") + "SELECT s_suppkey, round(80 * 4 + CAST(3.121445152258052 AS DOUBLE) * 4, 4) AS area FROM sup")
+def buffer_lines(s, sf):
+    out = overlay.buffer(_lines(s, sf), 2.0, resolution=32).df
+    return out.select("s_suppkey", F.round(G.area(F.col(GEOM)), 4).alias("area"))
+
+
+@registered(cte("zon") + "SELECT n_nationkey, round((x2-x1)*(y2-y1) + 2*3*((x2-x1)+(y2-y1)) + CAST(3.121445152258052 AS DOUBLE) * 9, 4) AS area FROM zon")
+def buffer_polygons(s, sf):
+    out = overlay.buffer(X.zones(s, sf), 3.0, resolution=32).df
+    return out.select("n_nationkey", F.round(G.area(F.col(GEOM)), 4).alias("area"))
+
+
+def _shaped(s, sf, ring) -> FeatureFrame:
+    """Zones of another outline, made of their boxes' sides."""
+    z = X.zones(s, sf)
+    b = F.col(f"{GEOM}.bbox")
+    v = ring(b["xmin"], b["ymin"], b["xmax"], b["ymax"])
+    return z.new(z.df.withColumn(GEOM, G.polygon(F.array(*(G.vertex(x, y) for x, y in [*v, v[0]])))))
+
+
+def _corner(s, sf) -> FeatureFrame:
+    return _shaped(s, sf, lambda a, b, c, d: [(a, b), (c, b), (c, b + 10), (a + 20, b + 10), (a + 20, d), (a, d)])
+
+
+@registered(cte("zon") + "SELECT n_nationkey, round((x2-x1)*(y2-y1) - (x2-x1-20)*(y2-y1-10)/2, 6) AS area FROM zon")
+def convex_hull(s, sf):
+    return overlay.convex_hull(_corner(s, sf)).df.select("n_nationkey", r6(G.area(F.col(GEOM))).alias("area"))
+
+
+@registered(cte("zon") + "SELECT n_nationkey, round((x2-x1)*(y2-y1), 6) AS area, CAST(5 AS BIGINT) AS vertices FROM zon")
+def clean_simplified(s, sf):
+    """Vertices half-way along the sides say nothing."""
+    frame = _shaped(s, sf, lambda a, b, c, d: [(a, b), ((a + c) / 2, b), (c, b), (c, (b + d) / 2), (c, d), ((a + c) / 2, d), (a, d), (a, (b + d) / 2)])
+    out = overlay.clean(frame, 0.01).df
+    return out.select("n_nationkey", r6(G.area(F.col(GEOM))).alias("area"), F.size(G.vertices(F.col(GEOM))).cast("long").alias("vertices"))
+
+
+@registered(cte("sup", "zon") + ", v AS (SELECT DISTINCT * FROM (SELECT x1 AS tx, y1 AS ty FROM zon UNION ALL SELECT x1, y2 FROM zon UNION ALL SELECT x2, y1 FROM zon UNION ALL SELECT x2, y2 FROM zon)), n AS (SELECT s_suppkey, arg_min(tx, (sqrt(pow(x-tx, 2) + pow(y-ty, 2)), tx, ty)) AS tx, arg_min(ty, (sqrt(pow(x-tx, 2) + pow(y-ty, 2)), tx, ty)) AS ty FROM sup JOIN v ON sqrt(pow(x-tx, 2) + pow(y-ty, 2)) <= 12 GROUP BY 1) SELECT s_suppkey, coalesce(tx, x) AS x, coalesce(ty, y) AS y FROM sup LEFT JOIN n USING (s_suppkey)")
+def snap_points(s, sf):
+    return overlay.snap(X.suppliers(s, sf), X.zones(s, sf), 12.0).df.select("s_suppkey", G.x(F.col(GEOM)).alias("x"), G.y(F.col(GEOM)).alias("y"))
+
+
+@registered(cte("sup") + ", m AS (SELECT s_suppkey, x, unnest([x, x + 80, -180.0, -108.0, -36.0, 36.0, 108.0, 180.0]) AS e FROM sup), k AS (SELECT DISTINCT s_suppkey, e FROM m WHERE e >= x AND e <= x + 80) SELECT s_suppkey, CAST(count(*) - 1 AS BIGINT) AS pieces, CAST(max(e) - min(e) AS DOUBLE) AS len FROM k GROUP BY 1")
+def cut_lines(s, sf):
+    """Level lines cut along the meridians between the zones."""
+    edges = s.createDataFrame([(i, float(x)) for i, x in enumerate((-180, -108, -36, 36, 108, 180))], f"{FID} long, x double")
+    cutter = FeatureFrame(edges.select(FID, G.line(F.array(G.vertex(F.col("x"), F.lit(-95.0)), G.vertex(F.col("x"), F.lit(95.0)))).alias(GEOM)), "LineString")
+    out = overlay.cut(_lines(s, sf), cutter).df
+    return out.groupBy("s_suppkey").agg(F.count("*").alias("pieces"), r6(F.sum(G.length(F.col(GEOM)))).alias("len"))
+
+
+@registered(cte("zon") + "SELECT n_nationkey, CAST(4 AS BIGINT) AS triangles, round((x2-x1)*(y2-y1), 6) AS area FROM zon")
+def delaunay(s, sf):
+    """A zone's corners and its middle."""
+    z = X.zones(s, sf)
+    corners, middles = overlay.to_points(z, "vertex").df, overlay.to_points(z).df
+    pts = corners.unionByName(middles).withColumn(FID, F.monotonically_increasing_id())
+    out = overlay.tessellate(FeatureFrame(pts, "Point"), "delaunay", "n_nationkey").df
+    return out.groupBy("n_nationkey").agg(F.count("*").alias("triangles"), r6(F.sum(G.area(F.col(GEOM)))).alias("area"))
+
+
+@registered(cte("zon") + "SELECT n_regionkey, CAST(count(*) AS BIGINT) AS faces, round(sum((x2-x1)*(y2-y1)), 6) AS area FROM zon GROUP BY 1")
+def enclose_zones(s, sf):
+    """The outlines of a region's zones, as lines, enclose the zones again."""
+    out = overlay.enclose(overlay.to_lines(X.zones(s, sf)), "n_regionkey").df
+    return out.groupBy("n_regionkey").agg(F.count("*").alias("faces"), r6(F.sum(G.area(F.col(GEOM)))).alias("area"))
+
+
+@registered("SELECT CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS BIGINT) AS \"group\", c_mktsegment AS key, c_custkey FROM customer")
+def group_numbers(s, sf):
+    return X.customers(s, sf).group("c_mktsegment").select("group", "key", "c_custkey")
+
+
+@registered(cte("zon") + "SELECT n_nationkey FROM zon ORDER BY sqrt(pow(greatest(x1 - 30, 20 - x2, 0), 2) + pow(greatest(y1 - 40, 10 - y2, 0), 2)), n_nationkey LIMIT 7")
+def quick_nearest_box(s, sf):
+    return X.zones(s, sf).quick_nearest((20, 10, 30, 40), n=7).df.select("n_nationkey")
+
+
+@registered("SELECT c_custkey, round(sqrt(4 + (c_acctbal - a) / (b - a) * 96), 6) AS size FROM customer, (SELECT min(c_acctbal) AS a, max(c_acctbal) AS b FROM customer)")
+def area_sizes(s, sf):
+    return classify.area_sizes(X.table(s, sf, "customer"), F.col("c_acctbal"), 2, 10).select("c_custkey", r6("size").alias("size"))
+
+
+@registered("WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i, c_acctbal FROM customer) SELECT c_custkey, round(sum(c_acctbal) OVER (ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 4) AS total FROM r")
+def moving_window_all(s, sf):
+    out = X.customers(s, sf).moving_window(5, [("total", "c_acctbal", "sum")])
+    return out.df.select("c_custkey", F.round("total", 4).alias("total"))
+
+
+# More of rasters
+
+_TWO = cte("qty", "dis") + "SELECT col, row, round({}, 6) + 0.0 AS value FROM qty JOIN (SELECT col, row, value AS w FROM dis) USING (col, row)"
+
+
+@registered(_TWO.format("value - w * 100"))
+def raster_minus(s, sf):
+    return _cells(X.quantity(s, sf) - X.discount(s, sf) * 100)
+
+
+@registered(_TWO.format("value * w"))
+def raster_times(s, sf):
+    return _cells(X.quantity(s, sf) * X.discount(s, sf))
+
+
+@registered(_TWO.format("1000 / value"))
+def raster_reflected(s, sf):
+    return _cells((1000 / X.quantity(s, sf)) + X.discount(s, sf) * 0)
+
+
+@registered(_TWO.format("pow(w, 2)"))
+def raster_power(s, sf):
+    return _cells(X.discount(s, sf) ** 2)
+
+
+@registered(_TWO.format("CASE WHEN value > 40 AND w > 0.05 THEN 1e0 ELSE 0e0 END"))
+def raster_logic(s, sf):
+    return _cells((X.quantity(s, sf) > 40) & (X.discount(s, sf) > 0.05))
+
+
+@registered(cte("qty") + "SELECT col, row, CAST(CASE WHEN value > 50 THEN 1 ELSE 0 END AS DOUBLE) AS value FROM qty")
+def raster_conditional(s, sf):
+    return _cells(X.quantity(s, sf).conditional("val > 50"))
+
+
+@registered(cte("qty") + ", e AS (SELECT min(value) AS a, max(value) AS b FROM qty), n AS (SELECT CAST(least(9, floor((value - a) / ((b - a) / 10))) AS INTEGER) AS bin, count(*) AS n FROM qty, e GROUP BY 1) SELECT CAST(i AS INTEGER) AS bin, round(a + i * (b - a) / 10, 6) AS lo, CAST(coalesce(n, 0) AS BIGINT) AS n FROM range(10) t(i) CROSS JOIN e LEFT JOIN n ON n.bin = i")
+def raster_histogram(s, sf):
+    return X.quantity(s, sf).histogram().select("bin", r6("lo").alias("lo"), "n")
+
+
+@registered(cte("qty") + "SELECT a.col, a.row, CAST(count(*) AS BIGINT) AS n, round(sum(b.value), 4) AS total FROM qty b JOIN (SELECT col, row FROM qty) a ON abs(a.col - b.col) <= 1 AND abs(a.row - b.row) <= 1 AND (a.col <> b.col OR a.row <> b.row) GROUP BY 1, 2")
+def raster_neighbours(s, sf):
+    q = X.quantity(s, sf)
+    seen = q.neighbours().join(q.df.select("band", "col", "row"), ["band", "col", "row"], "left_semi")
+    return seen.groupBy("col", "row").agg(F.count("*").alias("n"), F.round(F.sum("n_value"), 4).alias("total"))
+
+
+@registered(cte("qty") + "SELECT col, row, round(127.5 + 127.5 * (value - 30) / f, 6) + 0.0 AS value FROM qty, (SELECT max(abs(value - 30)) AS f FROM qty)")
+def raster_stretch(s, sf):
+    return _cells(raster.stretch(X.quantity(s, sf), 30.0))
+
+
+def _weight(d: str) -> str:
+    return f"(CASE WHEN abs({d}) <= 1 THEN 1.5 * pow(abs({d}), 3) - 2.5 * pow(abs({d}), 2) + 1 WHEN abs({d}) < 2 THEN -0.5 * pow(abs({d}), 3) + 2.5 * pow(abs({d}), 2) - 4 * abs({d}) + 2 ELSE 0 END)"
+
+
+@registered(cte("qty", "grid") + f", z AS (SELECT col, row, coalesce(value, 0) AS v FROM grid LEFT JOIN qty USING (col, row)), t AS (SELECT CAST(c AS INTEGER) AS col, CAST(r AS INTEGER) AS row, (c + 0.5) / 3e0 - 0.5 AS u, (r + 0.5) / 3e0 - 0.5 AS v FROM range(144) a(c), range(72) b(r)), w AS (SELECT t.col, t.row, least(47, greatest(0, floor(u) + i)) AS sc, least(23, greatest(0, floor(t.v) + j)) AS sr, {_weight('(u - floor(u) - i)')} * {_weight('(t.v - floor(t.v) - j)')} AS k FROM t, range(-1, 3) x(i), range(-1, 3) y(j)) SELECT w.col, w.row, round(sum(k * z.v), 4) + 0.0 AS value FROM w JOIN z ON z.col = sc AND z.row = sr GROUP BY 1, 2")
+def resample_bicubic(s, sf):
+    q = X.quantity(s, sf)
+    full = raster.mosaic([raster.RasterFrame.empty(s, q.grid, 1, 0.0), q])
+    return _cells(full.resample(Grid(144, 72, (1 / 3, 0.0, 0.0, 0.0, 1 / 3, 0.0)), "bicubic"), 4)
+
+
+@registered(cte("qty") + "SELECT col, row, round(CASE WHEN b > value THEN b ELSE value END, 6) + 0.0 AS value FROM (SELECT col, row, value, value * 0.5 + 20 AS b FROM qty)")
+def mosaic_most(s, sf):
+    q = X.quantity(s, sf)
+    return _cells(raster.mosaic([q, q * 0.5 + 20], "max"))
+
+
+# Files and streams: written, read back, and looked at
+
+def _folder(s) -> str:
+    return f"{shared_dir(s)}/files-{uuid.uuid4().hex}"
+
+
+@registered("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def source_csv(s, sf):
+    path = f"{_folder(s)}.csv"
+    vector.write(X.customers(s, sf).keep_fields("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), path)
+    return vector.read(s, path).df.select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"), "c_mktsegment")
+
+
+@registered(cte("cus") + "SELECT c_custkey, c_mktsegment, x, y FROM cus")
+def source_geojson(s, sf):
+    path = f"{_folder(s)}.geojson"
+    vector.write(X.customers(s, sf).keep_fields("c_custkey", "c_mktsegment"), path)
+    return vector.read(s, path).df.select("c_custkey", "c_mktsegment", G.x(F.col(GEOM)).alias("x"), G.y(F.col(GEOM)).alias("y"))
+
+
+@registered(cte("cus") + "SELECT c_custkey, x, y FROM cus WHERE x >= 0 AND x <= 50")
+def source_parquet(s, sf):
+    """The bbox filter reaches the scan."""
+    path = f"{_folder(s)}.parquet"
+    vector.write(X.customers(s, sf).keep_fields("c_custkey"), path)
+    back = FeatureFrame(vector.read(s, path).df, "Point").quick_overlap((0, -90, 50, 90))
+    return back.df.select("c_custkey", G.x(F.col(GEOM)).alias("x"), G.y(F.col(GEOM)).alias("y"))
+
+
+@registered(cte("qty") + "SELECT col, row, round(value, 6) + 0.0 AS value FROM qty")
+def source_ascii(s, sf):
+    path = f"{_folder(s)}.asc"
+    q = X.quantity(s, sf)
+    full = raster.mosaic([raster.RasterFrame.empty(s, q.grid), q])
+    raster_files.write(full.new(full.df, q.grid.with_(affine=(1.0, 0.0, 0.0, 0.0, -1.0, float(q.grid.height)))), path)
+    return _cells(raster_files.read(s, path)).where("value IS NOT NULL")
+
+
+@registered(cte("zon") + "SELECT n_name, event_type, CAST(count(*) AS BIGINT) AS n FROM events JOIN zon ON CAST(user_id * 37 % 360 AS DOUBLE) - 179.5 > x1 AND CAST(user_id * 37 % 360 AS DOUBLE) - 179.5 < x2 AND CAST(user_id * 17 % 180 AS DOUBLE) - 89.5 > y1 AND CAST(user_id * 17 % 180 AS DOUBLE) - 89.5 < y2 GROUP BY 1, 2")
+def stream_geofence(s, sf):
+    """All events as a stream against the zones, by where their users are."""
+    schema = X.table(s, sf, "events").schema
+    events = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
+    at = lambda k, n: (F.col("user_id") * k % n).cast("double") - (n / 2 - 0.5)
+    path = _folder(s)
+    met = geofence(events, at(37, 360), at(17, 180), X.zones(s, sf)).select("n_name", "event_type")
+    met.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(met.schema).parquet(path).groupBy("n_name", "event_type").agg(F.count("*").alias("n"))
