@@ -774,11 +774,13 @@ def sjoin_equals(s, sf):
 _KM = "6378.137 * 2 * asin(sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2)))"
 
 
-@registered(cte("sup") + f", near AS (SELECT a.s_suppkey, b.s_suppkey AS other, {_KM} AS km, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)), b.s_suppkey) AS r FROM sup a JOIN sup b ON abs(a.y) < 60 AND {_KM} <= 700) SELECT s_suppkey, other FROM near WHERE r <= 3")
+@registered(cte("sup") + f", near AS (SELECT a.s_suppkey, b.s_suppkey AS other, {_KM} AS km, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)), b.s_suppkey) AS r FROM sup a JOIN sup b ON abs(a.y) < 30 AND abs(a.x) < 150 AND {_KM} <= 1700) SELECT s_suppkey, other FROM near WHERE r <= 3")
 def sjoin_km_first(s, sf):
-    """At most three suppliers within 700 km. Suppliers lie on whole degrees and none is near the ring, so a sphere tells the same ones as the ellipsoid does."""
+    """At most three suppliers within 1,700 km, around the equator. As suppliers lie in a lattice, all distances are below 1,580 or above 1,830 km, so a
+    sphere tells the same ones as the ellipsoid does."""
     a = X.suppliers(s, sf)
-    out = spatial.spatial_join(a.new(a.df.where(F.abs(G.y(F.col(GEOM))) < 60)), a.rename_field("s_suppkey", "other"), "distance", radius=700.0, n=3)
+    x, y = G.x(F.col(GEOM)), G.y(F.col(GEOM))
+    out = spatial.spatial_join(a.new(a.df.where((F.abs(y) < 30) & (F.abs(x) < 150))), a.rename_field("s_suppkey", "other"), "distance", radius=1700.0, n=3)
     return out.df.select("s_suppkey", "other")
 
 
