@@ -81,9 +81,10 @@ def vectorize(raster: RasterFrame, merge: bool = False, band: int = 0) -> Featur
         out = cells.withColumn(FID, F.col("row").cast("long") * raster.grid.width + F.col("col")).drop("band")
         return FeatureFrame(out, "Polygon", raster.grid.crs)
     label = regions(rows)
-    x, y = _corner(raster.grid, F.col("col"), F.col("row"))
-    u, v = _corner(raster.grid, F.col("col") + 1, F.col("row") + 1)
-    squares = label.withColumn(GEOM, G.box(x, y, u, v)).withColumn(FID, F.col("region"))
+    # A run of cells is one box: fewer shapes to unite.
+    runs = label.groupBy("region", "run", "row").agg(F.min("col").alias("c0"), (F.max("col") + 1).alias("c1"))
+    corners = [_corner(raster.grid, F.col(c), F.col("row") + r) for r, c in ((0, "c0"), (0, "c1"), (1, "c1"), (1, "c0"))]
+    squares = runs.withColumn(GEOM, G.polygon(F.array(*(G.vertex(x, y) for x, y in [*corners, corners[0]]))))
     from geoframe.operators.overlay import dissolve
 
     shapes = dissolve(squares.select("region", GEOM), ["region"])
@@ -92,7 +93,7 @@ def vectorize(raster: RasterFrame, merge: bool = False, band: int = 0) -> Featur
 
 
 def regions(raster: RasterFrame) -> DataFrame:
-    """col, row, value and region, the smallest cell number of the contiguous cells of one value. Cells of a row that lie side by side are one run,
+    """col, row, value, run and region, the smallest cell number of the contiguous cells of one value. Cells of a row that lie side by side are one run,
     runs of one value that touch are linked, and components of the links are the regions: rounds grow with the logarithm of the number of runs."""
     n = raster.grid.width
     rows = raster.band(0).df.where("value IS NOT NULL").select("col", "row", "value")
@@ -103,7 +104,7 @@ def regions(raster: RasterFrame) -> DataFrame:
     above = cells.select("col", (F.col("row") + 1).alias("row"), F.col("value").alias("v"), F.col("run").alias("up"))
     links = cells.join(above, ["col", "row"]).where(F.col("v") == F.col("value")).select(F.col("run").alias("a"), F.col("up").alias("b"))
     found = components(links)
-    return cells.join(found.withColumnRenamed("id", "run"), "run", "left").select("col", "row", "value", F.coalesce("component", "run").alias("region"))
+    return cells.join(found.withColumnRenamed("id", "run"), "run", "left").select("col", "row", "value", "run", F.coalesce("component", "run").alias("region"))
 
 
 def _point_cells(frame: FeatureFrame, grid: Grid, value) -> DataFrame:

@@ -54,8 +54,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def remove_kept(*frames: DataFrame) -> None:
     """Remove the tables that frames straight from checkpointed() read, once nothing else reads them."""
     for df in frames:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            _remove(next((k for k in _kept if k.split(":")[-1].rstrip("/") == path.split(":")[-1].rstrip("/")), None))
+        for folder in {f.rsplit("/", 2)[-2] for f in df.inputFiles()}:
+            _remove(next((k for k in _kept if k.endswith(f"/{folder}")), None))
 
 
 def _remove(path: str | None) -> None:

@@ -113,8 +113,39 @@ def test_moving_window_over_blocks(spark, monkeypatch, n):
         assert got[i] == (sum(part), max(part), part[0])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [1 << 20, 40, 0])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr("geoframe.operators.components.ONE_TASK", most)
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5001), (5001, 5000), (7, 7), (None, 3)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(200)}, 5000: 5000, 5001: 5000}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_kept_tables_are_removed(spark):
+    from geoframe.operators import table
+
+    before = set(table._kept)
+    one, two = (table.checkpointed(spark.range(5).withColumnRenamed("id", "an id, (odd)")) for _ in range(2))
+    assert len(set(table._kept) - before) == 2 and one.columns == ["an id, (odd)"] and one.count() == 5
+    table.remove_kept(one)
+    assert len(set(table._kept) - before) == 1 and two.count() == 5
+    table.remove_kept(two)
+    assert set(table._kept) == before
+
+
+def test_no_local_folder_on_a_cluster():
+    from geoframe.operators import table
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        table.shared_dir(Session)
+    Session.sparkContext.getCheckpointDir = staticmethod(lambda: "hdfs://x/y/")
+    assert table.shared_dir(Session) == "hdfs://x/y"
