@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoframe.llm import byte_bpe, chat_format, embedding_dedup, language_id, license_scan, ngram_join, pii, quality, source_mix, topk_search
+from geoframe.llm import byte_bpe, chat_format, embedding_dedup, filter_audit, language_id, license_scan, ngram_join, pii, quality, source_mix, topk_search, turn_repair, url_filter
 from geoframe.llm.common import table
 
 
@@ -62,6 +62,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_topk_search, op3_ngram_join, op4_source_mix, op5_language_id, op6_embedding_dedup, op7_byte_bpe, op8_quality, op9_chat_format, op10_pii)}
+#: The rules of the query op11; what they do not judge is judged by outcomes: a page is bad if the label of its id says quality 0.
+URL_RULES = [url_filter.Rule(*r) for r in (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))]
 
-ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql(), "op2_topk_search": topk_search.oracle_sql(), "op3_ngram_join": ngram_join.oracle_sql(), "op4_source_mix": source_mix.oracle_sql(), "op6_embedding_dedup": embedding_dedup.oracle_sql(), "op9_chat_format": chat_format.oracle_sql(STEERING), "op10_pii": pii.oracle_sql()}
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, labels)
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repaired(turn_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_topk_search, op3_ngram_join, op4_source_mix, op5_language_id, op6_embedding_dedup, op7_byte_bpe, op8_quality, op9_chat_format, op10_pii, op11_url_filter, op12_turn_repair, op13_filter_audit)}
+
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql(), "op2_topk_search": topk_search.oracle_sql(), "op3_ngram_join": ngram_join.oracle_sql(), "op4_source_mix": source_mix.oracle_sql(), "op6_embedding_dedup": embedding_dedup.oracle_sql(), "op9_chat_format": chat_format.oracle_sql(STEERING), "op10_pii": pii.oracle_sql(), "op11_url_filter": url_filter.oracle_sql(URL_RULES), "op12_turn_repair": turn_repair.oracle_sql(), "op13_filter_audit": filter_audit.oracle_sql()}
