@@ -73,6 +73,8 @@ def buckets(unit: np.ndarray, hashes: int, tables: int = TABLES, probes: int = P
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows of norm 1. The largest component becomes 1 first, so that no square overflows or vanishes whatever the components' size."""
+    v = v / np.abs(v).max(1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -214,9 +216,11 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 def oracle_sql(least: float = 0.98) -> str:
     """DuckDB SQL that compares all pairs of a label and walks the links."""
     return f"""
-WITH RECURSIVE ok AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+WITH RECURSIVE fine AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+tops AS (SELECT *, list_max(list_transform(v, lambda x: abs(x))) AS top FROM fine),
+ok AS (SELECT vec_id, label, list_transform(v, lambda x: x / top) AS v FROM tops),
 pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
   WHERE list_cosine_similarity(a.v, b.v) >= {least}),
 reach(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.b, r.c FROM reach r JOIN pairs p ON p.a = r.id WHERE p.b > r.c),

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -119,26 +120,52 @@ def test_keep_one(spark, hard):
 
 # 4
 
+def _farthest(order, weights):
+    """The largest distance, at any slot, of a source's blocks from its share."""
+    got, worst, total = dict.fromkeys(weights, 0), 0.0, sum(weights.values())
+    for t, s in enumerate(order, 1):
+        got[s] += 1
+        worst = max(worst, *(abs(got[s] - t * w / total) for s, w in weights.items()))
+    return worst
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.617123, "b": 0.33, "c": 0.052877}, {"a": 7.0, "b": 2.000001, "c": 0.05, "d": 1.5, "e": 0.000001}])
+def test_mix_follows_the_given_weights(spark, weights):
+    """Less than a block off the weights as they are given, over 100,000 slots."""
+    most = {s: int(100_500 * w / sum(weights.values())) + 2 for s, w in weights.items()}
+    counts = spark.createDataFrame([(s, n * 16) for s, n in most.items()], "source string, n long")
+    share = source_mix.shares(counts, weights)
+    names = {r.i: r.source for r in share.collect()}
+    order = [names[r.i] for r in source_mix.slots(share).orderBy("slot").limit(100_000).collect()]
+    assert len(order) == 100_000 and _farthest(order, weights) < 1
+
+
 def test_mix_deviation_and_edges(spark, sf, hard, none):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    weights = {f"src{i}": 1 + i % 5 for i in range(20)}
-    out = source_mix.mix(docs, weights=weights, block=2, period=200).toPandas()
-    n = docs.groupBy("source").count().withColumnRenamed("count", "n")
-    share = {r.source: r.a / r.period for r in source_mix.shares(n, weights, 200).collect()}
-    assert abs(sum(share.values()) - 1) < 1e-9 and len(out) == docs.count() and out.mix_position.is_unique
-    by = {s: set(g) for s, g in out.groupby("source")["mix_slot"]}
-    end, got = min(max(x) for x in by.values()), collections.Counter()
-    for t in range(end + 1):
-        owner = [s for s in by if t in by[s]]
-        assert len(owner) == 1
-        got[owner[0]] += 1
-        assert all(abs(got[s] - (t + 1) * share[s]) < 1 for s in by)
+    for weights in ({f"src{i}": 1 + i % 5 for i in range(20)}, None):
+        out = source_mix.mix(docs, weights=weights, block=2).toPandas()
+        sizes = docs.groupBy(source_mix.F.coalesce("source", source_mix.F.lit("")).alias("s")).count().collect()
+        target = {r.s: weights.get(r.s) if weights else math.floor(math.sqrt(r["count"]) * 1000) for r in sizes}
+        target = {s: w or sum(weights.values()) / 1000 for s, w in target.items()}
+        assert len(out) == docs.count() and out.mix_position.is_unique
+        by = {s: set(g) for s, g in out.assign(source=out.source.fillna("")).groupby("source")["mix_slot"]}
+        owners = [[s for s in by if t in by[s]] for t in range(min(max(x) for x in by.values()) + 1)]
+        assert all(len(o) == 1 for o in owners) and _farthest([o[0] for o in owners], target) < 1
     mixed = source_mix.mix(hard)
     assert mixed.count() == hard.count() and set(mixed.columns) == {*hard.columns, *source_mix.NEW}
     assert source_mix.mix(none).count() == 0
     assert source_mix.mix(hard, weights={}).count() == hard.count()
 
 
+def test_mix_of_weights_beyond_the_slots(spark):
+    """Where neither the stream nor what repeats fits, whole slots repeat, and no block is lost."""
+    counts = spark.createDataFrame([("a", 6000), ("b", 3001), ("c", 7)], "source string, n long")
+    share = source_mix.shares(counts, {"a": 0.617123, "b": 0.33, "c": 0.052877}, block=1, most=100)
+    rows = {r.source: (r.w, r.total, r.slots) for r in share.collect()}
+    assert rows == {"a": (61, 100, 100), "b": (33, 100, 100), "c": (6, 100, 100)}
+    assert source_mix.slots(share).count() == 100
+
+
 def test_mixed_files_are_in_order(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source")
     at = [r.mix_position for r in source_mix.mix(docs, files=5).collect()]

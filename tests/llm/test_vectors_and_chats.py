@@ -53,6 +53,17 @@ def test_dedup_is_brute_force(spark, vectors, monkeypatch):
     assert embedding_dedup.near_duplicates(vectors.limit(0)).count() == 0
 
 
+def test_dedup_of_very_large_and_very_small_vectors(spark):
+    """Cosines do not depend on the vectors' size, up to the ends of double precision."""
+    rows = [(0, [1e200, 2e200, 1e195]), (1, [1e200, 2e200, 3e195]), (2, [1e-200, 2e-200, 0.0]), (3, [5e-324, 1e-323, 0.0]), (4, [1.7e308, 1.7e308, -1.7e308]), (5, [1.0, 1.0, -1.0]), (6, [1.0, 2.0, 0.0]), (7, [-1e300, 1e-300, 0.0]), (8, [2e-310, 4e-310, 0.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {i: (5, 0) for i in (0, 1, 2, 3, 6, 8)} | {4: (1, 4), 5: (1, 4), 7: (0, 7)}
+    assert spark_rows(embedding_dedup.near_duplicates(df)) == oracle(embedding_dedup.oracle_sql(), embeddings=df.toPandas())
+    single = spark.createDataFrame([(0, [3e30, 1.0], 1), (1, [2e30, 1.0], 1), (2, [1e-30, 0.0], 1)], "vec_id long, embedding array<float>, label int")
+    assert {r.n_links for r in embedding_dedup.near_duplicates(single).collect()} == {2}
+
+
 @pytest.mark.parametrize("hashes", [1, 2, 3])
 def test_recall_at_the_threshold(hashes):
     """Pairs at a cosine of just 0.98 in 64 dimensions meet in a bucket."""
@@ -114,6 +125,17 @@ def test_formatting_of_ties_nulls_and_repeats(spark):
     assert chat_format.read_back(chat_format.reconstruct(chat_format.log_of(df.limit(0)))).count() == 0
 
 
+def test_messages_of_one_turn_go_by_role_and_text(spark):
+    """As they are without escapes: these tell another order when they are formatted."""
+    said = [("user2", "a"), ("user", "b"), ("user|>", "c"), ("user", "<|"), ("user", "<z"), ("user", "b "), ("user", "b\\"), ("assistant", "[INST]"), ("assistant", "[Z"), ("", "x")]
+    rows = [(c, 1, r, t) for c in (1, 2) for r, t in (said if c == 1 else reversed(said))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_format.read_back(chat_format.reconstruct(chat_format.log_of(df)))
+    want = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in sorted(said)).encode()).hexdigest()
+    assert {r.turns_sha256 for r in got.collect()} == {want}
+    assert spark_rows(got) == [r for r in oracle(chat_format.oracle_sql([(-7, 0, "user", "a")]), conversations=df.toPandas()) if "-7" not in r]
+
+
 def test_logs_of_finished_turns_hold_drafts(spark):
     """Deltas, edits and regenerations lie between the table and what is read back."""
     rows = [(i % 7, i // 7, "assistant" if i % 2 else "user", "é\\U0001f600<|" * (i * 13 % 900) if i % 11 else None) for i in range(300)]
