@@ -15,6 +15,8 @@ from geoframe.functions.arrowshapes import of_shapes
 # The WGS84 ellipsoid.
 A, B, FLAT = 6378137.0, 6356752.314245, 1 / 298.257223563
 MILES_PER_KM = 0.621371
+#: About a quarter round, in km.
+QUARTER = 10_000.0
 _XY = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 
 
@@ -23,7 +25,7 @@ def inverse(lat1, lon1, lat2, lon2, miles: bool = False) -> np.ndarray:
     lat1, lon1, lat2, lon2 = np.broadcast_arrays(*(np.asarray(v, float) for v in (lat1, lon1, lat2, lon2)))
     u1, u2 = (np.arctan((1 - FLAT) * np.tan(np.radians(v))) for v in (lat1, lat2))
     su1, cu1, su2, cu2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
-    span = np.radians(lon2 - lon1)
+    span = np.radians((lon2 - lon1 + 180) % 360 - 180)
     lam, done = span.copy(), np.zeros(span.shape, bool)
     with np.errstate(all="ignore"):
         for _ in range(200):
@@ -36,7 +38,7 @@ def inverse(lat1, lon1, lat2, lon2, miles: bool = False) -> np.ndarray:
             c2m = np.where(c2a > 0, cs - 2 * su1 * su2 / np.where(c2a > 0, c2a, 1), 0)
             c = FLAT / 16 * c2a * (4 + FLAT * (4 - 3 * c2a))
             new = span + (1 - c) * FLAT * sa * (sigma + c * ss * (c2m + c * cs * (2 * c2m**2 - 1)))
-            done |= np.abs(new - lam) < 1e-12
+            done |= (np.abs(new - lam) < 1e-12) & (np.abs(new) <= np.pi)  # beyond, it has found a way round the wrong side
             lam = np.where(done, lam, new)
             if done.all():
                 break
@@ -49,6 +51,31 @@ def inverse(lat1, lon1, lat2, lon2, miles: bool = False) -> np.ndarray:
     return np.round(km * (MILES_PER_KM if miles else 1), 6)
 
 
+def apart_km(lat1, lon1, lat2, lon2) -> np.ndarray:
+    """Distance in km of any two points, nearly antipodal ones too: there the way leads over a place a quarter round from the first, in the direction that
+    makes it shortest (searched by halving around the best of 72)."""
+    places = np.broadcast_arrays(*(np.atleast_1d(np.asarray(v, float)) for v in (lat1, lon1, lat2, lon2)))
+    shape, places = places[0].shape, [v.ravel() for v in places]
+    km = inverse(*places)
+    far = np.flatnonzero(np.isnan(km) & np.isfinite(sum(places)))
+    if len(far):
+        p = [v[far] for v in places]
+
+        def over(bearing: np.ndarray) -> np.ndarray:
+            u, v = direct(p[1], p[0], bearing, QUARTER)
+            return QUARTER + inverse(v, u, p[2], p[3])
+
+        turns = np.arange(0.0, 360.0, 5.0)
+        best = turns[np.nanargmin(np.stack([over(np.full(len(far), t)) for t in turns]), 0)]
+        width = 5.0
+        for _ in range(24):
+            tried = np.stack([best - width / 2, best, best + width / 2])
+            best = np.take_along_axis(tried, np.nanargmin(np.stack([over(t) for t in tried]), 0)[None], 0)[0]
+            width /= 2
+        km[far] = over(best)
+    return km.reshape(shape)
+
+
 def direct(lon, lat, bearing, km) -> tuple[np.ndarray, np.ndarray]:
     """Longitude and latitude of the point at a bearing (degrees from north) and distance."""
     lon, lat, bearing, km = np.broadcast_arrays(*(np.asarray(v, float) for v in (lon, lat, bearing, km)))
@@ -117,8 +144,8 @@ def ring_km2(lon, lat, steps: int = 64) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def distance_km(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
-    """Null where a coordinate is, or where the iteration does not converge."""
-    out = inverse(lat1.astype(float), lon1.astype(float), lat2.astype(float), lon2.astype(float))
+    """Null where a coordinate is."""
+    out = apart_km(lat1.astype(float), lon1.astype(float), lat2.astype(float), lon2.astype(float))
     return pd.Series(out).where(~np.isnan(out), None)
 
 

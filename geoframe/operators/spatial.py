@@ -15,9 +15,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoframe.functions import geodesy, kernels, stats
+from geoframe.functions import kernels, stats
 from geoframe.functions import geometry as G
 from geoframe.functions.arrowshapes import of_shapes
+from geoframe.operators import geodesic
 from geoframe.operators.table import FeatureFrame
 from geoframe.types import FID, GEOM
 
@@ -156,19 +157,12 @@ def pairs_of(left: FeatureFrame, right: FeatureFrame, condition: str, radius: fl
         return candidates(left.df, right.df).where(predicate(condition, lg, rg, left.geometry_type, right.geometry_type))
     if radius is None and n is None:
         raise ValueError("a distance join needs a radius, or n, or both")
+    if geodetic:
+        return geodesic.pairs_within(left, right, radius) if n is None else geodesic.nearest(left, right, n, radius)
     if radius is None:
         return _nearest(left, right, n)
-    if geodetic:
-        # Only points have a geodetic radius: a buffer of 100 vertices, in km.
-        if left.geometry_type not in (None, "Point"):
-            raise ValueError("a radius in km is for points on the left side: geodetic=False takes it in units of the coordinates")
-        around = left.df.withColumn("__at", F.col(GEOM)).withColumn(GEOM, geodesy.buffer_km(F.col(GEOM), radius))
-        out = candidates(around, right.df).where(predicate("intersects", lg, rg, "Polygon", right.geometry_type))
-        near = planar_distance(F.col("l___at"), rg, "Point", right.geometry_type)
-        out = out.withColumn("distance", near).withColumn(f"l_{GEOM}", F.col("l___at")).drop("l___at")
-    else:
-        out = candidates(left.df, right.df, radius)
-        out = out.withColumn("distance", planar_distance(lg, rg, left.geometry_type, right.geometry_type)).where(F.col("distance") <= radius)
+    out = candidates(left.df, right.df, radius)
+    out = out.withColumn("distance", planar_distance(lg, rg, left.geometry_type, right.geometry_type)).where(F.col("distance") <= radius)
     return out if n is None else _first(out, n)
 
 
@@ -211,10 +205,12 @@ def _nearest(left: FeatureFrame, right: FeatureFrame, n: int) -> DataFrame:
         reach *= 4
 
 
-def spatial_join(left: FeatureFrame, right: FeatureFrame, condition: str, subkey=None, keepall: bool = False, clip=None, radius: float | None = None, n: int | None = None, geodetic: bool = True, distance: bool = False) -> FeatureFrame:
+def spatial_join(left: FeatureFrame, right: FeatureFrame, condition: str, subkey=None, keepall: bool = False, clip=None, radius: float | None = None, n: int | None = None, geodetic: bool | None = None, distance: bool = False) -> FeatureFrame:
     """Pairs of features: the left one's fields, the right one's that the left has not, the left geometry (or what clip makes of both).
-    radius: in km around left points (n of them at most, the nearest first, if n is given), or with geodetic=False in units of the coordinates. subkey: a function of (left, right), which give columns by name, to a further test. keepall: left features without a partner once, with nulls."""
-    pairs = pairs_of(left, right, condition, radius, n, geodetic and condition == "distance" and radius is not None)
+    radius: in km on the ellipsoid between any features (n of them at most, the nearest first, if n is given), or with geodetic=False in units of the coordinates; n
+    alone: by units of the coordinates, or with geodetic=True by km. subkey: a function of (left, right), which give columns by name, to a further test. keepall: left features without a partner once, with nulls."""
+    in_km = condition == "distance" and (radius is not None if geodetic is None else geodetic)
+    pairs = pairs_of(left, right, condition, radius, n, in_km)
     if subkey is not None:
         pairs = pairs.where(subkey(lambda f: F.col(f"l_{f}"), lambda f: F.col(f"r_{f}")))
     geom = F.col(f"l_{GEOM}") if clip is None else _clip(clip, F.col(f"l_{GEOM}"), F.col(f"r_{GEOM}"), right.geometry_type)

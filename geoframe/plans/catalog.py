@@ -771,17 +771,53 @@ def sjoin_equals(s, sf):
     return spatial.spatial_join(z, z.new(z.df.select(F.col("n_nationkey").alias("k"), FID, GEOM)), "equals").df.select("n_nationkey", "k")
 
 
-_KM = "6378.137 * 2 * asin(sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2)))"
+def _km_sql(pairs: str, where: str = "true") -> str:
+    """CTEs that end in km(a, b, km): the ellipsoid's distances, by Vincenty's iteration, of pairs(a, b, x1, y1, x2, y2), which are to be less than half round."""
+    f = 1 / 298.257223563
+    return f"""pairs AS ({pairs}),
+vin(a, b, l, u1, u2, lam, k) AS (SELECT a, b, radians(x2 - x1), atan((1 - {_double(f)}) * tan(radians(y1))), atan((1 - {_double(f)}) * tan(radians(y2))), radians(x2 - x1), 0 FROM pairs
+  UNION ALL
+  SELECT a, b, l, u1, u2, l + (1 - c) * {_double(f)} * sa * (sigma + c * ss * (c2m + c * cs * (2 * c2m * c2m - 1))), k + 1
+  FROM (SELECT *, {_double(f)} / 16 * c2a * (4 + {_double(f)} * (4 - 3 * c2a)) AS c FROM (SELECT *, CASE WHEN c2a > 0 THEN cs - 2 * sin(u1) * sin(u2) / c2a ELSE 0 END AS c2m FROM (SELECT *, 1 - sa * sa AS c2a FROM (SELECT *, atan2(ss, cs) AS sigma, CASE WHEN ss > 0 THEN cos(u1) * cos(u2) * sin(lam) / ss ELSE 0 END AS sa FROM
+    (SELECT *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM vin WHERE k < 20))))) t),
+ends AS (SELECT *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM vin WHERE k = 20),
+bent AS (SELECT *, CASE WHEN ss > 0 THEN cos(u1) * cos(u2) * sin(lam) / ss ELSE 0 END AS sa FROM ends),
+curved AS (SELECT *, (1 - sa * sa) * (pow(6378137.0, 2) - pow(6356752.314245, 2)) / pow(6356752.314245, 2) AS u, CASE WHEN 1 - sa * sa > 0 THEN cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) ELSE 0 END AS c2m FROM bent),
+sized AS (SELECT *, 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))) AS g, u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) AS h FROM curved),
+km AS (SELECT a, b, round(6356752.314245 * g * (atan2(ss, cs) - h * ss * (c2m + h / 4 * (cs * (2 * c2m * c2m - 1) - h / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3)))) / 1000, 6) AS km FROM sized WHERE {where})"""
 
 
-@registered(cte("sup") + f", near AS (SELECT a.s_suppkey, b.s_suppkey AS other, {_KM} AS km, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)), b.s_suppkey) AS r FROM sup a JOIN sup b ON abs(a.y) < 30 AND abs(a.x) < 150 AND {_KM} <= 1700) SELECT s_suppkey, other FROM near WHERE r <= 3")
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+#: Whether two points are within some km of each other on a sphere: a little more than needed.
+_AROUND = "6400 * 2 * asin(least(1, sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2))))"
+_GLOBE = "glo AS (SELECT vec_id, degrees(atan2(CAST(embedding[2] AS DOUBLE), CAST(embedding[1] AS DOUBLE))) AS x, degrees(atan2(CAST(embedding[3] AS DOUBLE), sqrt(pow(CAST(embedding[1] AS DOUBLE), 2) + pow(CAST(embedding[2] AS DOUBLE), 2)))) AS y FROM embeddings)"
+
+
+@registered(_recursive(cte("sup") + ", " + _km_sql(f"SELECT a.s_suppkey AS a, b.s_suppkey AS b, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM sup a JOIN sup b ON {_AROUND} <= 1720") + ", near AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY km, b) AS r FROM km WHERE km <= 1700) SELECT a AS s_suppkey, b AS other, round(km, 3) AS km FROM near WHERE r <= 3"))
 def sjoin_km_first(s, sf):
-    """At most three suppliers within 1,700 km, around the equator. As suppliers lie in a lattice, all distances are below 1,580 or above 1,830 km, so a
-    sphere tells the same ones as the ellipsoid does."""
+    """At most three suppliers within 1,700 km of each, the nearest by km, all over the globe."""
     a = X.suppliers(s, sf)
-    x, y = G.x(F.col(GEOM)), G.y(F.col(GEOM))
-    out = spatial.spatial_join(a.new(a.df.where((F.abs(y) < 30) & (F.abs(x) < 150))), a.rename_field("s_suppkey", "other"), "distance", radius=1700.0, n=3)
-    return out.df.select("s_suppkey", "other")
+    out = spatial.spatial_join(a, a.rename_field("s_suppkey", "other"), "distance", radius=1700.0, n=3, distance=True)
+    return out.df.select("s_suppkey", "other", F.round("distance", 3).alias("km"))
+
+
+@registered(_recursive(f"WITH {_GLOBE}, " + _km_sql("SELECT a.vec_id AS a, b.vec_id AS b, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM glo a JOIN glo b ON " + f"{_AROUND} <= 305") + " SELECT a AS vec_id, b AS other, round(km, 3) AS km FROM km WHERE km <= 300"))
+def sjoin_km(s, sf):
+    """All pairs of irregular points, whose places are directions of vectors, within 300 km of each other."""
+    g = X.globe(s, sf)
+    out = spatial.spatial_join(g, g.rename_field("vec_id", "other"), "distance", radius=300.0, distance=True)
+    return out.df.select("vec_id", "other", F.round("distance", 3).alias("km"))
+
+
+@registered(_recursive(f"WITH {_GLOBE}, " + _km_sql("SELECT a.vec_id AS a, b.vec_id AS b, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM glo a JOIN glo b ON a.vec_id % 20 = 0 AND " + f"{_AROUND} <= 15000") + ", near AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY km, b) AS r FROM km) SELECT a AS vec_id, b AS other, round(km, 3) AS km FROM near WHERE r <= 5"))
+def sjoin_km_nearest(s, sf):
+    """The five nearest by km, without a radius."""
+    g = X.globe(s, sf)
+    out = spatial.spatial_join(g.select("vec_id % 20 == 0"), g.rename_field("vec_id", "other"), "distance", n=5, geodetic=True, distance=True)
+    return out.df.select("vec_id", "other", F.round("distance", 3).alias("km"))
 
 
 @registered(cte("sup") + "SELECT s_suppkey, CAST(2 AS BIGINT) AS parts FROM sup")

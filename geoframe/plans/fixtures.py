@@ -53,6 +53,14 @@ def embedded(spark, sf) -> FeatureFrame:
     return FeatureFrame(df.select("vec_id", "label", F.col("vec_id").alias(FID), G.point(F.get(e, 0).cast("double"), F.get(e, 1).cast("double")).alias(GEOM)), "Point")
 
 
+def globe(spark, sf) -> FeatureFrame:
+    """Irregular points all over the globe: the directions of the first three components of the embeddings."""
+    df = table(spark, sf, "embeddings")
+    e = [F.get("embedding", k).cast("double") for k in range(3)]
+    x, y = F.degrees(F.atan2(e[1], e[0])), F.degrees(F.atan2(e[2], F.sqrt(e[0] * e[0] + e[1] * e[1])))
+    return FeatureFrame(df.select("vec_id", "label", F.col("vec_id").alias(FID), G.point(x, y).alias(GEOM)), "Point")
+
+
 def events(spark, sf) -> FeatureFrame:
     df = table(spark, sf, "events")
     return FeatureFrame(df.withColumn(FID, F.col("event_id")))

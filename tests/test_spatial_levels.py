@@ -75,5 +75,3 @@ def test_a_radius_in_km_holds_with_n_too(spark):
     assert [r.o for r in spatial.spatial_join(a, b, "distance", radius=60, n=1).df.collect()] == [4]
     unknown = FeatureFrame(a.df)
     assert {r.o for r in spatial.spatial_join(unknown, b, "distance", radius=60).df.collect()} == all_of_them
-    with pytest.raises(ValueError, match="geodetic=False"):
-        spatial.spatial_join(boxes(spark, [(0, 0, 1, 1)]), b, "distance", radius=60)
