@@ -96,8 +96,10 @@ def length(geom: Column) -> Column:
 
 
 def _ring_area(ring: Column) -> Column:
-    closed = F.concat(ring, F.array(F.get(ring, 0)))
-    return F.abs(_along(closed, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])) / 2
+    # Seen from its first vertex, so that a ring far from the origin loses no digits.
+    o = F.get(ring, 0)
+    near = F.transform(ring, lambda v: vertex(v["x"] - o["x"], v["y"] - o["y"]))
+    return let(near, lambda r: F.abs(_along(F.concat(r, F.array(F.get(r, 0))), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])) / 2)
 
 
 def area(geom: Column) -> Column:

@@ -32,16 +32,20 @@ HALF_ROUND, SHORT_PIECE, LONG_PIECE, DEGREE = 20_016.0, 5.0, 100.0, 111.7
 STEPS = 36
 
 
-def _in_space(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
-    """Earth-centred coordinates in km."""
+def _in_space(lon: Column, lat: Column) -> Column:
+    """Earth-centred coordinates in km, as a struct (x, y, z)."""
     e2 = geodesy.FLAT * (2 - geodesy.FLAT)
     phi, lam = F.radians(lat), F.radians(lon)
-    n = geodesy.A / 1000 / F.sqrt(1 - e2 * F.sin(phi) * F.sin(phi))
-    return n * F.cos(phi) * F.cos(lam), n * F.cos(phi) * F.sin(lam), n * (1 - e2) * F.sin(phi)
+
+    def placed(v: Column) -> Column:
+        n = geodesy.A / 1000 / F.sqrt(1 - e2 * v["s"] * v["s"])
+        return F.struct((n * v["c"] * F.cos(v["l"])).alias("x"), (n * v["c"] * F.sin(v["l"])).alias("y"), (n * (1 - e2) * v["s"]).alias("z"))
+
+    return G.let(F.struct(F.sin(phi).alias("s"), F.cos(phi).alias("c"), lam.alias("l")), placed)
 
 
 def _pieces(df: DataFrame, step: float) -> DataFrame:
-    """__fid, x1, y1, x2, y2 (the piece's ends in degrees), px, py, pz, r (its ball in space, km)."""
+    """__fid, x1, y1, x2, y2 (the piece's ends in degrees), p, r (middle and radius of its ball in space, km)."""
     e = F.explode(G._edges(F.col(GEOM)))
     rows = df.where(F.col(GEOM).isNotNull()).select(FID, e.alias("e")).select(FID, F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
     widest = F.when(F.signum("ay") * F.signum("by") <= 0, 1.0).otherwise(F.cos(F.radians(F.least(F.abs("ay"), F.abs("by")))))
@@ -52,8 +56,7 @@ def _pieces(df: DataFrame, step: float) -> DataFrame:
     t1, t2 = F.col("k") / F.col("m"), (F.col("k") + 1) / F.col("m")
     end = F.col("k") + 1 == F.col("m")
     rows = rows.select(FID, at("ax", "bx", t1).alias("x1"), at("ay", "by", t1).alias("y1"), F.when(end, F.col("bx")).otherwise(at("ax", "bx", t2)).alias("x2"), F.when(end, F.col("by")).otherwise(at("ay", "by", t2)).alias("y2"), (F.col("km") / F.col("m") / 2).alias("r"))
-    x, y, z = _in_space((F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2)
-    return rows.select(FID, "x1", "y1", "x2", "y2", x.alias("px"), y.alias("py"), z.alias("pz"), "r")
+    return rows.select(FID, "x1", "y1", "x2", "y2", _in_space((F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2).alias("p"), "r")
 
 
 def _near(left: DataFrame, right: DataFrame, km: float, step: float) -> DataFrame:
@@ -61,19 +64,20 @@ def _near(left: DataFrame, right: DataFrame, km: float, step: float) -> DataFram
     reach = max(km + step, 1e-6)
     size = max(reach, 1e-3)
     cell = lambda c: F.floor(c / size).cast("long")
-    spread = lambda c: F.explode(F.sequence(cell(F.col(c) - reach), cell(F.col(c) + reach)))
-    a = left.select(*(F.col(c).alias(f"l_{c}") for c in left.columns))
-    a = a.withColumn("__x", spread("l_px")).withColumn("__y", spread("l_py")).withColumn("__z", spread("l_pz"))
     # Only cells that the surface passes hold anything.
-    closest = lambda c: F.greatest(F.lit(0.0), F.col(c) * size, -(F.col(c) + 1) * size)
-    farthest = lambda c: F.greatest(F.abs(F.col(c) * size), F.abs((F.col(c) + 1) * size))
-    norm = lambda of: F.sqrt(sum((of(c) * of(c) for c in ("__y", "__z")), of("__x") * of("__x")))
-    a = a.where((norm(closest) <= geodesy.A / 1000 + 1e-3) & (norm(farthest) >= geodesy.B / 1000 - 1e-3))
-    b = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns), *(cell(F.col(p)).alias(c) for p, c in (("px", "__x"), ("py", "__y"), ("pz", "__z"))))
-    gap = lambda c: F.col(f"l_{c}") - F.col(f"r_{c}")
-    apart = gap("px") * gap("px") + gap("py") * gap("py") + gap("pz") * gap("pz")
+    closest = lambda c: F.greatest(F.lit(0.0), c * size, -(c + 1) * size)
+    farthest = lambda c: F.greatest(F.abs(c * size), F.abs((c + 1) * size))
+    square = lambda of, v: of(v["x"]) * of(v["x"]) + of(v["y"]) * of(v["y"]) + of(v["z"]) * of(v["z"])
+    passed = lambda v: (square(closest, v) <= (geodesy.A / 1000 + 1e-3) ** 2) & (square(farthest, v) >= (geodesy.B / 1000 - 1e-3) ** 2)
+    along = lambda c: F.sequence(cell(F.col("l_p")[c] - reach), cell(F.col("l_p")[c] + reach))
+    # Functions of arrays, and one row generator: three of them would make more code than a method may have.
+    box = F.flatten(F.transform(along("x"), lambda x: F.flatten(F.transform(along("y"), lambda y: F.transform(along("z"), lambda z: F.struct(x.alias("x"), y.alias("y"), z.alias("z")))))))
+    a = left.select(*(F.col(c).alias(f"l_{c}") for c in left.columns)).withColumn("__cell", F.explode(F.filter(box, passed)))
+    b = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)).withColumn("__cell", F.struct(*(cell(F.col("r_p")[c]).alias(c) for c in "xyz")))
+    gap = lambda c: F.col("l_p")[c] - F.col("r_p")[c]
+    apart = gap("x") * gap("x") + gap("y") * gap("y") + gap("z") * gap("z")
     most = F.col("l_r") + F.col("r_r") + km
-    return a.join(b, ["__x", "__y", "__z"]).where(apart <= most * most * (1 + 1e-12) + 1e-12)
+    return a.join(b, "__cell").where(apart <= most * most * (1 + 1e-12) + 1e-12)
 
 
 def _space(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
@@ -174,14 +178,13 @@ def pairs_within(left: FeatureFrame, right: FeatureFrame, km: float) -> DataFram
 def _points(df: DataFrame) -> DataFrame:
     """_pieces() of single points."""
     x, y = G.x(F.col(GEOM)), G.y(F.col(GEOM))
-    px, py, pz = _in_space(x, y)
-    return df.where(F.col(GEOM).isNotNull()).select(FID, x.alias("x1"), y.alias("y1"), x.alias("x2"), y.alias("y2"), px.alias("px"), py.alias("py"), pz.alias("pz"), F.lit(0.0).alias("r"))
+    return df.where(F.col(GEOM).isNotNull()).select(FID, x.alias("x1"), y.alias("y1"), x.alias("x2"), y.alias("y2"), _in_space(x, y).alias("p"), F.lit(0.0).alias("r"))
 
 
 def _start(right: DataFrame, n: int, total: int) -> float:
     """A radius that holds n features around most of them: by what cells of a degree or so hold, seen from the features."""
     size = 100.0
-    cells = right.groupBy(*(F.floor(F.col(c) / size) for c in ("px", "py", "pz"))).agg(F.count("*").alias("n"))
+    cells = right.groupBy(*(F.floor(F.col("p")[c] / size) for c in "xyz")).agg(F.count("*").alias("n"))
     met = cells.agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("n")).first()["n"] or 1.0
     dense = met / (size * size)
     even = total / (4 * math.pi * 6371.0**2)

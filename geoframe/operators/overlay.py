@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoframe.functions import arrowshapes, geodesy, kernels
+from geoframe.functions import arrangement, arrowshapes, geodesy, kernels
 from geoframe.functions import geometry as G
 from geoframe.functions.arrowshapes import of_shapes
 from geoframe.operators.table import FeatureFrame
@@ -183,22 +184,26 @@ def snap(frame: FeatureFrame, other: FeatureFrame, tolerance: float) -> FeatureF
 
 
 def cut(frame: FeatureFrame, cutter: FeatureFrame) -> FeatureFrame:
-    """Lines split where the cutter's lines meet them; polygons split along them. Points raise."""
+    """Lines split where the cutter's lines meet them; polygons split along them, a row for each piece. Points raise. Of a cutter only
+    those edges come to a feature whose boxes overlap its own."""
     if frame.geometry_type == "Point":
         raise ValueError("points cannot be cut")
     from geoframe.operators.spatial import candidates
 
-    met = candidates(frame.df.select(FID, GEOM), cutter.df.select(GEOM))
-    blades = met.groupBy(F.col(f"l_{FID}").alias(FID)).agg(F.collect_list(f"r_{GEOM}").alias("__cut"))
-    rows = frame.df.join(blades, FID, "left")
+    edge = F.explode(G._edges(F.col(GEOM)))
+    blades = cutter.df.where(F.col(GEOM).isNotNull()).select(edge.alias("e")).select(G.line(F.array("e.a", "e.b")).alias(GEOM))
+    ends = [F.col(f"r_{GEOM}.parts")[0][0][k][c] for k in (0, 1) for c in "xy"]
+    met = candidates(frame.df.select(FID, GEOM), blades).select(F.col(f"l_{FID}").alias(FID), F.array(*ends).alias("e"))
+    rows = frame.df.join(met.groupBy(FID).agg(F.collect_list("e").alias("__cut")), FID, "left")
     schema = rows.drop("__cut").schema
 
     def run(batches):
         for b in batches:
-            knives = b.column(b.num_columns - 1).to_pylist()
+            knives = b.column(b.num_columns - 1)
             at, made = [], []
             for i, s in enumerate(arrowshapes.shapes(b.column(b.schema.get_field_index(GEOM)))):
-                for piece in _pieces(s, [kernels.shape(k) for k in knives[i] or []]) if s else [None]:
+                knife = np.array(knives[i].as_py() or [], float).reshape(-1, 4)
+                for piece in _pieces(s, knife) if s else [None]:
                     at.append(i)
                     made.append(piece)
             rows = b.select(schema.names).take(pa.array(at, pa.int64()))
@@ -208,27 +213,24 @@ def cut(frame: FeatureFrame, cutter: FeatureFrame) -> FeatureFrame:
     return frame.new(rows.mapInArrow(run, schema))
 
 
-def _pieces(s, knives: list) -> list:
-    if not knives:
+def _pieces(s, knives: np.ndarray) -> list:
+    if not len(knives):
         return [s]
-    lines = ("LineString", [p for k in knives for p in ([[r] for part in k[1] for r in part] if k[0] == "Polygon" else k[1])])
-    if s[0] == "LineString":
-        out = []
-        for part in s[1]:
-            e, _ = kernels.pieces(("LineString", [part]), lines)
-            spots = {(round(c[4], 9), round(c[5], 9)) for c in kernels.crossings(kernels.edges(("LineString", [part])), kernels.edges(lines))}
-            run = [tuple(e[0, :2])]
-            for x0, y0, x1, y1 in e.tolist():
-                if (round(x0, 9), round(y0, 9)) in spots and len(run) > 1:
-                    out.append(("LineString", [[run]]))
-                    run = [(x0, y0)]
-                run.append((x1, y1))
-            out.append(("LineString", [[run]]))
-        return out
-    # A blade so thin that its area is nothing against the polygon's parts it; it must be wider than what stitching takes for one point.
-    width = 1e-7 * max(1.0, abs(kernels.edges(s)).max())
-    rest = kernels.combine(s, kernels.buffer(lines, width, 4, cap="square"), "difference")
-    return [("Polygon", [part]) for part in rest[1]] if rest else [s]
+    if s[0] == "Polygon":
+        return [("Polygon", [part]) for part in arrangement.split_polygon(kernels.edges(s), knives)]
+    lines = ("LineString", [[[tuple(k[:2]), tuple(k[2:])]] for k in knives.tolist()])
+    out = []
+    for part in s[1]:
+        e, _ = kernels.pieces(("LineString", [part]), lines)
+        spots = {(round(c[4], 9), round(c[5], 9)) for c in kernels.crossings(kernels.edges(("LineString", [part])), knives)}
+        run = [tuple(e[0, :2])]
+        for x0, y0, x1, y1 in e.tolist():
+            if (round(x0, 9), round(y0, 9)) in spots and len(run) > 1:
+                out.append(("LineString", [[run]]))
+                run = [(x0, y0)]
+            run.append((x1, y1))
+        out.append(("LineString", [[run]]))
+    return out
 
 
 def convex_hull(frame: FeatureFrame) -> FeatureFrame:

@@ -901,6 +901,21 @@ def cut_lines(s, sf):
     return out.groupBy("s_suppkey").agg(F.count("*").alias("pieces"), r6(F.sum(G.length(F.col(GEOM)))).alias("len"))
 
 
+#: Share of a diamond's area below a share t of its height.
+_BELOW = "CASE WHEN t < 0.5 THEN 2 * t * t ELSE 1 - 2 * (1 - t) * (1 - t) END"
+
+
+@registered(cte("sup", "zon") + f", t AS (SELECT DISTINCT n_nationkey, (x2-x1)*(y2-y1)/2 AS a, unnest([0.0, 1.0, (y-y1)/(y2-y1)]) AS t FROM zon LEFT JOIN sup ON y > y1 AND y < y2), p AS (SELECT n_nationkey, a * (b - lag(b) OVER (PARTITION BY n_nationkey ORDER BY b)) AS area FROM (SELECT n_nationkey, a, {_BELOW} AS b FROM t WHERE t IS NOT NULL)) SELECT n_nationkey, count(*) AS pieces, round(sum(area), 6) + 0.0 AS area, round(max(area), 6) + 0.0 AS largest FROM p WHERE area IS NOT NULL GROUP BY 1")
+def cut_polygons(s, sf):
+    """Diamonds cut along the parallels of all suppliers."""
+    frame = _shaped(s, sf, lambda a, b, c, d: [((a + c) / 2, b), (c, (b + d) / 2), ((a + c) / 2, d), (a, (b + d) / 2)])
+    along = X.suppliers(s, sf)
+    y = G.y(F.col(GEOM))
+    lines = along.new(along.df.withColumn(GEOM, G.line(F.array(G.vertex(F.lit(-181.0), y), G.vertex(F.lit(181.0), y)))), geometry_type="LineString")
+    area = G.area(F.col(GEOM))
+    return overlay.cut(frame, lines).df.groupBy("n_nationkey").agg(F.count("*").alias("pieces"), r6(F.sum(area)).alias("area"), r6(F.max(area)).alias("largest"))
+
+
 @registered(cte("zon") + "SELECT n_nationkey, CAST(4 AS BIGINT) AS triangles, round((x2-x1)*(y2-y1), 6) AS area FROM zon")
 def delaunay(s, sf):
     """A zone's corners and its middle."""
