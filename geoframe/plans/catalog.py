@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoframe.functions import crs
+from geoframe.functions import crs, datums
 from geoframe.functions import geometry as G
 from geoframe.operators import classify, overlay, query, raster, rastervec, spatial
 from geoframe.operators.table import FeatureFrame, shared_dir
@@ -425,6 +425,40 @@ def reproject_robinson(s, sf):
 _SERIES = ", ".join(f"{_double(a)} AS a{j}" for j, a in enumerate(crs._ALPHA, 1))
 
 
+def _datum_sql(name: str) -> str:
+    """CTEs that end in moved(c_custkey, lon, lat): customers' places in a datum of three numbers, on WGS84."""
+    (size, inverse), (tx, ty, tz) = datums.ELLIPSOIDS[datums.DATUMS[name][0]], datums.DATUMS[name][1]
+    e2 = datums.Ellipsoid(size, inverse).e2
+    w = datums.ellipsoid("WGS84")
+    b, second = w.a * (1 - w.f), w.e2 / (1 - w.e2)
+    turn = lambda t, n: f"{n} AS (SELECT *, atan2(h + {_double(second * b)} * pow({t} / sqrt(1 + {t} * {t}), 3), p - {_double(w.e2 * w.a)} * pow(1 / sqrt(1 + {t} * {t}), 3)) AS {n}_phi FROM"
+    return f"""n AS (SELECT c_custkey, radians(x) AS l, radians(y) AS f, {_double(size)} / sqrt(1 - {_double(e2)} * pow(sin(radians(y)), 2)) AS n FROM cus),
+space AS (SELECT c_custkey, n * cos(f) * cos(l) + {_double(tx)} AS x, n * cos(f) * sin(l) + {_double(ty)} AS y, n * {_double(1 - e2)} * sin(f) + {_double(tz)} AS h FROM n),
+axis AS (SELECT *, sqrt(x * x + y * y) AS p, h * {_double(w.a)} / (sqrt(x * x + y * y) * {_double(b)}) AS t FROM space),
+{turn("t", "one")} axis), flat AS (SELECT * EXCLUDE (t), {_double(1 - w.f)} * tan(one_phi) AS t FROM one),
+{turn("t", "two")} flat), moved AS (SELECT c_custkey, degrees(atan2(y, x)) AS lon, degrees(two_phi) AS lat FROM two)"""
+
+
+@registered(cte("cus") + ", " + _datum_sql("NAD27") + " SELECT c_custkey, round(lon, 7) + 0.0 AS x, round(lat, 7) + 0.0 AS y FROM moved")
+def reproject_datum(s, sf):
+    """Customers' places as if in NAD27, on WGS84."""
+    out = crs.reproject(X.customers(s, sf).df, "EPSG:4267", "EPSG:4326")
+    return out.select("c_custkey", F.round(G.x(F.col(GEOM)), 7).alias("x"), F.round(G.y(F.col(GEOM)), 7).alias("y"))
+
+
+_LAEA = crs.projection("EPSG:3035")
+_WHOLE, _SIN, _COS, _BENT = crs._middle(_LAEA)
+_E = _double(_LAEA.body.e)
+
+
+@registered(cte("cus") + f", q AS (SELECT c_custkey, radians(x / 10) AS l, {_double(1 - _LAEA.body.e2)} * (sin(f) / (1 - {_E} * {_E} * sin(f) * sin(f)) + atanh({_E} * sin(f)) / {_E}) / {_double(_WHOLE)} AS b FROM (SELECT c_custkey, x, radians(y) AS f FROM cus)), k AS (SELECT *, {_double(_LAEA.a * math.sqrt(_WHOLE / 2))} * sqrt(2 / (1 + {_double(_SIN)} * b + {_double(_COS)} * sqrt(1 - b * b) * cos(l))) AS r FROM q) SELECT c_custkey, round(4321000 + r * {_double(_BENT)} * sqrt(1 - b * b) * sin(l), 3) + 0.0 AS x, round(3210000 + r / {_double(_BENT)} * ({_double(_COS)} * b - {_double(_SIN)} * sqrt(1 - b * b) * cos(l)), 3) + 0.0 AS y FROM k")
+def reproject_wkt(s, sf):
+    """Customers, drawn together in longitude around 10 degrees, in the system that a well-known text describes."""
+    f = X.customers(s, sf)
+    drawn = f.df.withColumn(GEOM, G.transform(F.col(GEOM), lambda x, y: x / 10 + 10, lambda x, y: y))
+    return _places(crs.reproject(drawn, "EPSG:4326", crs.to_wkt("EPSG:3035")))
+
+
 @registered(cte("cus") + f", p AS (SELECT c_custkey, radians(x / 60) AS l, radians(y) AS f, {_SERIES} FROM cus), t AS (SELECT *, sinh(atanh(sin(f)) - {_double(crs.E)} * atanh({_double(crs.E)} * sin(f))) AS t FROM p), u AS (SELECT *, atan2(t, cos(l)) AS xi, atanh(sin(l) / sqrt(1 + t * t)) AS eta FROM t) SELECT c_custkey, round(500000 + 0.9996 * {_double(crs._RECTIFYING)} * (eta + a1*cos(2*xi)*sinh(2*eta) + a2*cos(4*xi)*sinh(4*eta) + a3*cos(6*xi)*sinh(6*eta)), 3) + 0.0 AS x, round(0.9996 * {_double(crs._RECTIFYING)} * (xi + a1*sin(2*xi)*cosh(2*eta) + a2*sin(4*xi)*cosh(4*eta) + a3*sin(6*xi)*cosh(6*eta)), 3) + 0.0 AS y FROM u")
 def reproject_utm(s, sf):
     """All customers, drawn together into three degrees on either side of the zone's middle."""

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
+from geoframe.functions.crs import to_wkt
 from geoframe.operators.raster import RasterFrame
 from geoframe.operators.table import checkpointed
 from geoframe.sources.vector import head
@@ -110,8 +111,9 @@ def write_world(grid: Grid, path: str) -> None:
 
 
 def write_prj(crs: str, path: str) -> None:
+    """The coordinate system as well-known text."""
     with open(path, "w") as f:
-        f.write(crs)
+        f.write(to_wkt(crs))
 
 
 def read_prj(path: str) -> str:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from geoframe.functions import geometry as G
 from geoframe.functions import kernels
+from geoframe.functions.crs import to_wkt
 from geoframe.operators.table import FeatureFrame, as_column
 from geoframe.types import FID, GEOM, GEOMETRY, WGS84
 
@@ -349,7 +350,7 @@ def write_shapefile(frame: FeatureFrame, path: str) -> None:
             dbf.write(names[f].encode()[:10].ljust(11, b"\0") + (b"N" if is_number[f] else b"C") + b"\0" * 4 + bytes([w, d]) + b"\0" * 14)
         dbf.write(b"\r")
     with open(f"{stem}.prj", "w") as f:
-        f.write(frame.crs)
+        f.write(to_wkt(frame.crs))
 
 
 def _record(s, code: int) -> bytes:
