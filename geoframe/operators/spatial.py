@@ -12,10 +12,12 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from geoframe.functions import kernels, stats
+from geoframe.functions import batches, kernels, stats
 from geoframe.functions import geometry as G
 from geoframe.functions.arrowshapes import of_shapes
 from geoframe.operators import geodesic
@@ -89,8 +91,15 @@ def candidates(left: DataFrame, right: DataFrame, extra: float = 0.0, levels: Le
 
 
 def _kernel(condition: str):
-    test = kernels.PREDICATES[condition]
-    return of_shapes(lambda a, b: bool(test(a, b)), "gg", "boolean")
+    def told(a: pa.Array, b: pa.Array) -> pa.Array:
+        return batches.predicate(condition, a, b)
+
+    return F.arrow_udf(told, T.BooleanType())
+
+
+@F.arrow_udf(T.DoubleType())
+def _distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    return batches.distance(a, b)
 
 
 def predicate(condition: str, a: Column, b: Column, atype: str | None = None, btype: str | None = None) -> Column:
@@ -118,7 +127,7 @@ def planar_distance(a: Column, b: Column, atype: str | None = None, btype: str |
         return G.distance_to_point(a, G.x(b), G.y(b))
     if atype == "Point":
         return G.distance_to_point(b, G.x(a), G.y(a))
-    return of_shapes(kernels.distance, "gg", "double")(a, b)
+    return _distance(a, b)
 
 
 def _clip(how, a: Column, b: Column, btype: str | None):

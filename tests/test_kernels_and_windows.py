@@ -149,3 +149,13 @@ def test_no_local_folder_on_a_cluster():
         table.shared_dir(Session)
     Session.sparkContext.getCheckpointDir = staticmethod(lambda: "hdfs://x/y/")
     assert table.shared_dir(Session) == "hdfs://x/y"
+
+
+def test_grids_go_there_and_back():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        grid = Grid(7, 5, tuple(rng.normal(0, 10, 6).tolist()))
+        col, row = rng.uniform(-20, 20, 2).tolist()
+        assert grid.to_cell(*grid.to_geo(col, row), fraction=True) == pytest.approx((col, row), abs=1e-8)
+    with pytest.raises(ValueError, match="no inverse"):
+        _ = Grid(2, 2, (1.0, 2.0, 0.0, 2.0, 4.0, 0.0)).inverse
