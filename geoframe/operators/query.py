@@ -43,8 +43,8 @@ def query(source: FeatureFrame | DataFrame, select: Sequence[tuple], where=None,
     if limit is not None:
         first = rows.select(*names).distinct().orderBy(*names).limit(limit)
         first = first.select(*(F.col(n).alias(f"f{n}") for n in names))
-        rows = rows.join(F.broadcast(first), [F.col(n).eqNullSafe(F.col(f"f{n}")) for n in names], "left_semi")
-    out = rows.groupBy(*names).agg(*stats.aggregates(select, order, condition), *([geomselect.alias(GEOM)] if geomselect is not None else []))
+        rows = rows.join(first, [F.col(n).eqNullSafe(F.col(f"f{n}")) for n in names], "left_semi")
+    out = stats.aggregated(rows, names, select, order, condition, [geomselect.alias(GEOM)] if geomselect is not None else [])
     return out.orderBy(*names).drop(*names)
 
 

@@ -19,14 +19,18 @@ CELL = ["band", "col", "row"]
 _LIMITS = {"1bit": (0, 1), "int8": (0, 255)}
 STATS = {
     "count": F.count, "sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "stdev": F.stddev_pop, "var": F.var_pop,
-    # The middle of the distinct values, however often each occurs.
-    "median": lambda v: F.get(F.array_sort(F.collect_set(v)), F.floor(F.size(F.collect_set(v)) / 2).cast("int")),
-    "majority": lambda v: F.mode(v, True), "minority": stats.minority,
+    "majority": lambda v: F.mode(v, True),
 }
+#: The middle of the distinct values, however often each occurs, and the rarest value.
+RANKED = {"median": "distinct_median", "minority": "minority"}
 
 
-def statistic(name: str | Callable, value: Column) -> Column:
-    return name(value) if callable(name) else STATS[name](value)
+def statistics(rows: DataFrame, by: Sequence[str], named: Sequence[tuple[str, str | Callable]]) -> DataFrame:
+    """rows grouped by columns, with statistics (name, statistic) of their value."""
+    v = F.col("value")
+    plain = [(s(v) if callable(s) else STATS[s](v)).alias(n) for n, s in named if callable(s) or s not in RANKED]
+    out = stats.grouped(rows, by, plain, [(n, v, RANKED[s]) for n, s in named if not callable(s) and s in RANKED])
+    return out.select(*by, *(n for n, _ in named))
 
 
 class RasterFrame:
@@ -161,7 +165,7 @@ class RasterFrame:
 
     def summarystats(self, *names: str) -> DataFrame:
         names = names or ("count", "sum", "mean", "min", "max", "median", "majority", "minority")
-        return self.df.where("value IS NOT NULL").groupBy("band").agg(*(statistic(n, F.col("value")).alias(n) for n in names))
+        return statistics(self.df.where("value IS NOT NULL"), ["band"], [(n, n) for n in names])
 
     def histogram(self, bins: int = 10, band: int = 0) -> DataFrame:
         from geoframe.operators.table import FeatureFrame
@@ -197,7 +201,8 @@ class RasterFrame:
         """Blocks of cells made one; width and height must not exceed the raster's."""
         fx, fy = max(1, round(self.grid.width / width)), max(1, round(self.grid.height / height))
         w, h = -(-self.grid.width // fx), -(-self.grid.height // fy)
-        out = self.df.groupBy("band", F.floor(F.col("col") / fx).cast("int").alias("col"), F.floor(F.col("row") / fy).cast("int").alias("row")).agg(statistic(stat, F.col("value")).cast("double").alias("value"))
+        blocks = self.df.select("band", F.floor(F.col("col") / fx).cast("int").alias("col"), F.floor(F.col("row") / fy).cast("int").alias("row"), "value")
+        out = statistics(blocks, CELL, [("made", stat)]).select(*CELL, F.col("made").cast("double").alias("value"))
         a, b, c, d, e, f = self.grid.affine
         return self.new(out, self.grid.with_(width=w, height=h, affine=(a * fx, b * fy, c, d * fx, e * fy, f)))
 
@@ -379,7 +384,7 @@ def zonal_statistics(zones: RasterFrame, values: RasterFrame, stat: str | Callab
     z = zones.band(0).df.where("value IS NOT NULL").select("col", "row", F.col("value").alias("zone"))
     v = values if values.grid.affine == zones.grid.affine else values.resample(zones.grid)
     met = z.join(v.band(0).df.where("value IS NOT NULL").select("col", "row", "value"), ["col", "row"])
-    out = met.groupBy("zone").agg(statistic(stat, F.col("value")).alias("value"))
+    out = statistics(met, ["zone"], [("made", stat)]).withColumnRenamed("made", "value")
     return z.join(out, "zone", "left").select("col", "row", "zone", "value") if paint else out
 
 

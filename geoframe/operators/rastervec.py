@@ -66,10 +66,10 @@ def rasterize(frame: FeatureFrame, grid: Grid, value: str | Column | None = None
     v = stats.value_of(value)
     v = v * partial if partial is not None else v
     if priority is not None:
-        made = F.max_by(v, F.struct(priority, F.col(FID)))
+        cells = met.groupBy("col", "row").agg(F.max_by(v, F.struct(priority, F.col(FID))).alias("value"))
     else:
-        made = stats.stat(stat, v)
-    cells = met.groupBy("col", "row").agg(made.cast("double").alias("value"))
+        cells = stats.aggregated(met, ["col", "row"], [("value_", v, stat)]).withColumnRenamed("value_", "value")
+    cells = cells.withColumn("value", F.col("value").cast("double"))
     return RasterFrame(every.join(cells, ["col", "row"], "left"), grid)
 
 
@@ -123,7 +123,7 @@ def interpolate(frame: FeatureFrame, grid: Grid, value, sensitivity: float = 3.0
     cells. Points are first made one for each cell, so there are no more of them than cells; each cell takes all of them, as the method has it,
     in blocks of point cells and parts of cells, so that no task holds more than one of each."""
     points = _point_cells(frame, grid, value).where(f"pc >= 0 AND pr >= 0 AND pc < {grid.width} AND pr < {grid.height}")
-    known = points.groupBy("pc", "pr").agg(stats.stat(stat, "v_").alias("known"))
+    known = stats.aggregated(points, ["pc", "pr"], [("known", "v_", stat)])
     known = checkpointed(known.where("known IS NOT NULL"))
     blocks, parts = max(1, -(-known.count() // POINT_BLOCK)), max(1, -(-grid.width * grid.height // CELL_PART))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -150,7 +150,7 @@ def smooth(frame: FeatureFrame, grid: Grid, radius: float, value=None, method: s
     cells = cells.where(f"col >= 0 AND row >= 0 AND col < {grid.width} AND row < {grid.height}")
     x, y = _corner(grid, F.col("col"), F.col("row"))
     d = F.sqrt((x - F.col("px")) ** 2 + (y - F.col("py")) ** 2)
-    near = cells.where(d <= radius).groupBy("col", "row").agg(stats.stat(stat, F.col("v_") * (1 - d / radius), FID).cast("double").alias("value"))
+    near = stats.aggregated(cells.where(d <= radius), ["col", "row"], [("made", F.col("v_") * (1 - d / radius), stat)]).select("col", "row", F.col("made").cast("double").alias("value"))
     every = RasterFrame.empty(frame.df.sparkSession, grid).df.select("band", "col", "row")
     return RasterFrame(every.join(near, ["col", "row"], "left"), grid)
 

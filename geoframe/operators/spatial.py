@@ -245,7 +245,7 @@ def spatial_stats(left: FeatureFrame, right: FeatureFrame, mapping: Sequence[tup
     rows = pairs.select(F.col(f"l_{FID}").alias(FID), *(F.col(f"r_{f}").alias(f"r_{f}") for f in right.fields), F.col(f"r_{FID}").alias("__rfid"))
     renamed = [(n, F.col(f"r_{v}") if isinstance(v, str) else v, s) for n, v, s in mapping]
     by = [FID] + ([f"r_{subkey}"] if subkey else [])
-    out = rows.groupBy(*by).agg(*stats.aggregates(renamed, "__rfid"))
+    out = stats.aggregated(rows, by, renamed, "__rfid")
     if subkey:
         out = out.withColumnRenamed(f"r_{subkey}", subkey)
     return left.df.drop(GEOM).join(out, FID, "left" if keepall else "inner")

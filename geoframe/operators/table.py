@@ -206,20 +206,12 @@ class FeatureFrame:
     # Aggregation
 
     def aggregate_df(self, keys: Sequence[str | Column], mapping: Mapping, when: Column | None = None) -> DataFrame:
-        """Key columns and statistics. minority is counted in two steps, so that no group comes together in one task."""
+        """Key columns and statistics."""
         named = [k if isinstance(k, Column) else F.col(f"`{k}`") for k in keys]
         names = [k if isinstance(k, str) else f"key{i}" for i, k in enumerate(keys)]
-        plain = [(n, v, s) for n, v, s in mapping if s != "minority"]
         rows = self.df.select("*", *(c.alias(f"__key{i}") for i, c in enumerate(named)))
         by = [f"__key{i}" for i in range(len(named))]
-        out = rows.groupBy(*by).agg(*(stats.aggregates(plain, when=when) or [F.lit(0).alias("__none")]))
-        for n, v, s in mapping:
-            if s == "minority":
-                value = stats.missing_as_null(stats.value_of(v) if when is None else F.when(when, stats.value_of(v)))
-                counted = rows.groupBy(*by, value.alias("__v")).agg(F.count("*").alias("__n"))
-                rare = counted.where("__v IS NOT NULL").groupBy(*by).agg(F.min_by("__v", F.struct("__n", "__v")).alias(n))
-                rare = rare.select(*(F.col(b).alias(f"r{b}") for b in by), n)
-                out = out.join(rare, [F.col(b).eqNullSafe(F.col(f"r{b}")) for b in by] or F.lit(True), "left").drop(*(f"r{b}" for b in by))
+        out = stats.aggregated(rows, by, mapping, when=when)
         return out.select(*(F.col(b).alias(n) for b, n in zip(by, names, strict=True)), *(n for n, _, _ in mapping))
 
     def aggregate(self, key: Sequence[str] | str | Column, mapping: Mapping = (), geometry: Callable[[DataFrame, list[str]], DataFrame] | None = None) -> FeatureFrame:

@@ -827,7 +827,7 @@ def _recursive(sql: str) -> str:
 
 #: Whether two points are within some km of each other on a sphere: a little more than needed.
 _AROUND = "6400 * 2 * asin(least(1, sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2))))"
-_GLOBE = "glo AS (SELECT vec_id, degrees(atan2(CAST(embedding[2] AS DOUBLE), CAST(embedding[1] AS DOUBLE))) AS x, degrees(atan2(CAST(embedding[3] AS DOUBLE), sqrt(pow(CAST(embedding[1] AS DOUBLE), 2) + pow(CAST(embedding[2] AS DOUBLE), 2)))) AS y FROM embeddings)"
+_GLOBE = X.SQL["glo"]
 
 
 @registered(_recursive(cte("sup") + ", " + _km_sql(f"SELECT a.s_suppkey AS a, b.s_suppkey AS b, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM sup a JOIN sup b ON {_AROUND} <= 1720") + ", near AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY km, b) AS r FROM km WHERE km <= 1700) SELECT a AS s_suppkey, b AS other, round(km, 3) AS km FROM near WHERE r <= 3"))
@@ -854,6 +854,32 @@ def sjoin_km_nearest(s, sf):
     return out.df.select("vec_id", "other", F.round("distance", 3).alias("km"))
 
 
+def _turn(a: str, b: str, c: str, d: str, e: str, f: str) -> str:
+    return f"(({c} - {a}) * ({f} - {b}) - ({d} - {b}) * ({e} - {a}))"
+
+
+_IN = "(SELECT count(*) FROM sides s WHERE s.vec_id = {0} AND (s.y1 > v.y) <> (s.y2 > v.y) AND v.x < (s.x2 - s.x1) * (v.y - s.y1) / (s.y2 - s.y1) + s.x1) % 2 = 1"
+
+
+@registered(cte("glo", "sta") + f""", near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM boxes a JOIN boxes b ON a.x1 <= b.x2 AND a.x2 >= b.x1 AND a.y1 <= b.y2 AND a.y2 >= b.y1),
+cross_ AS (SELECT DISTINCT a, b FROM near JOIN sides s ON s.vec_id = a JOIN sides t ON t.vec_id = b
+  WHERE {_turn("s.x1", "s.y1", "s.x2", "s.y2", "t.x1", "t.y1")} * {_turn("s.x1", "s.y1", "s.x2", "s.y2", "t.x2", "t.y2")} <= 0
+    AND {_turn("t.x1", "t.y1", "t.x2", "t.y2", "s.x1", "s.y1")} * {_turn("t.x1", "t.y1", "t.x2", "t.y2", "s.x2", "s.y2")} <= 0 AND s.x1 + s.x2 + t.x1 + t.x2 IS NOT NULL),
+inner_ AS (SELECT a, b FROM near JOIN corners v ON v.vec_id = a AND v.k = 0 WHERE {_IN.format("b")} UNION SELECT a, b FROM near JOIN corners v ON v.vec_id = b AND v.k = 0 WHERE {_IN.format("a")})
+SELECT a AS vec_id, b AS other FROM cross_ UNION SELECT a, b FROM inner_""")
+def sjoin_stars(s, sf):
+    """Irregular polygons that share a point with one another."""
+    f = X.stars(s, sf)
+    return spatial.spatial_join(f, f.rename_field("vec_id", "other"), "intersects").df.select("vec_id", "other")
+
+
+@registered(cte("glo", "sta") + """, parts AS (SELECT s.vec_id, abs(sum(s.x1 * s.y2 - s.x2 * s.y1)) / 2 AS area, sum(sqrt(pow(s.x2 - s.x1, 2) + pow(s.y2 - s.y1, 2))) AS len FROM sides s GROUP BY 1)
+SELECT vec_id, round(area, 6) AS area, round(len, 6) AS len FROM parts""")
+def star_measures(s, sf):
+    f = X.stars(s, sf)
+    return f.df.select("vec_id", r6(G.area(F.col(GEOM))).alias("area"), r6(G.length(F.col(GEOM))).alias("len"))
+
+
 @registered(cte("sup") + "SELECT s_suppkey, CAST(2 AS BIGINT) AS parts FROM sup")
 def clip_union_points(s, sf):
     """Each supplier and the place 3 degrees north of it, as one geometry."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,16 @@ def globe(spark, sf) -> FeatureFrame:
     return FeatureFrame(df.select("vec_id", "label", F.col("vec_id").alias(FID), G.point(x, y).alias(GEOM)), "Point")
 
 
+def stars(spark, sf) -> FeatureFrame:
+    """Irregular polygons: eight corners around each of the globe's points, as far away as further components say."""
+    df = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    at = globe(spark, sf)
+    rows = at.df.join(df, "vec_id")
+    r = [2 + 10 * F.abs(F.get("embedding", k + 4).cast("double")) for k in range(8)]
+    ring = [G.vertex(G.x(F.col(GEOM)) + r[k] * math.cos(k * math.pi / 4), G.y(F.col(GEOM)) + r[k] * math.sin(k * math.pi / 4)) for k in range(8)]
+    return at.new(rows.withColumn(GEOM, G.polygon(F.array(*ring, ring[0]))).select(*at.df.columns), geometry_type="Polygon")
+
+
 def events(spark, sf) -> FeatureFrame:
     df = table(spark, sf, "events")
     return FeatureFrame(df.withColumn(FID, F.col("event_id")))
@@ -99,6 +111,10 @@ SQL = {
     "par": "par AS (SELECT *, CAST((p_partkey*37)%360-180 AS DOUBLE)+CAST(0.5 AS DOUBLE) AS x, CAST((p_partkey*17)%180-90 AS DOUBLE)+CAST(0.5 AS DOUBLE) AS y FROM part)",
     "zon": "zon AS (SELECT *, CAST(-180+72*(n_nationkey%5) AS DOUBLE) AS x1, CAST(-90+36*(n_nationkey//5) AS DOUBLE) AS y1, CAST(-180+72*(n_nationkey%5) AS DOUBLE)+72 AS x2, CAST(-90+36*(n_nationkey//5) AS DOUBLE)+36 AS y2 FROM nation)",
     "emb": "emb AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)",
+    "glo": "glo AS (SELECT vec_id, label, degrees(atan2(CAST(embedding[2] AS DOUBLE), CAST(embedding[1] AS DOUBLE))) AS x, degrees(atan2(CAST(embedding[3] AS DOUBLE), sqrt(pow(CAST(embedding[1] AS DOUBLE), 2) + pow(CAST(embedding[2] AS DOUBLE), 2)))) AS y FROM embeddings)",
+    "sta": "corners AS (SELECT vec_id, k, x + r * cos(k * pi() / 4) AS x, y + r * sin(k * pi() / 4) AS y FROM (SELECT vec_id, k, x, y, 2 + 10 * abs(CAST(embedding[k + 5] AS DOUBLE)) AS r FROM glo JOIN embeddings USING (vec_id), range(0, 8) t(k))), "
+    "sides AS (SELECT a.vec_id, a.k, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM corners a JOIN corners b ON a.vec_id = b.vec_id AND b.k = (a.k + 1) % 8), "
+    "boxes AS (SELECT vec_id, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2 FROM corners GROUP BY 1)",
     "qty": f"qty AS (SELECT CAST(l_partkey%{COLS} AS INTEGER) AS col, CAST(l_suppkey%{ROWS} AS INTEGER) AS row, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2)",
     "dis": f"dis AS (SELECT CAST(l_partkey%{COLS} AS INTEGER) AS col, CAST(l_suppkey%{ROWS} AS INTEGER) AS row, round(avg(l_discount+0.0), 6) AS value FROM lineitem GROUP BY 1, 2)",
     "grid": f"grid AS (SELECT CAST(c AS INTEGER) AS col, CAST(r AS INTEGER) AS row FROM range({COLS}) a(c), range({ROWS}) b(r))",

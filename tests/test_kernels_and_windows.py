@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoframe.functions import geometry as G
-from geoframe.functions import kernels
+from geoframe.functions import kernels, stats
 from geoframe.operators import rastervec, spatial
 from geoframe.operators.components import components
 from geoframe.operators.raster import RasterFrame
@@ -159,3 +159,26 @@ def test_grids_go_there_and_back():
         assert grid.to_cell(*grid.to_geo(col, row), fraction=True) == pytest.approx((col, row), abs=1e-8)
     with pytest.raises(ValueError, match="no inverse"):
         _ = Grid(2, 2, (1.0, 2.0, 0.0, 2.0, 4.0, 0.0)).inverse
+
+
+def test_ranked_statistics_hold_no_group(spark):
+    """The rarest value and the middle of the distinct ones, by groups that nulls may name, with a hot group."""
+    rng = np.random.default_rng(12)
+    rows = [(k, float(v)) for k, v in zip(rng.choice([0, 0, 0, 1, 2], 4000).tolist(), rng.integers(0, 900, 4000).tolist(), strict=True)]
+    rows = [(None if k == 2 else k, v) for k, v in rows] + [(7, None), (8, 5.0), (8, 5.0), (8, 4.0)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    out = stats.grouped(df, ["k"], [F.count("*").alias("n")], [("rare", F.col("v"), "minority"), ("middle", F.col("v"), "distinct_median")])
+    by = {}
+    for k, v in rows:
+        by.setdefault(k, []).append(v)
+    want = {}
+    for k, vs in by.items():
+        some = [v for v in vs if v is not None]
+        distinct = sorted(set(some))
+        want[k] = (len(vs), min(distinct, key=lambda v: (some.count(v), v), default=None), distinct[len(distinct) // 2] if distinct else None)
+    assert {r.k: (r.n, r.rare, r.middle) for r in out.collect()} == want
+    one = stats.grouped(df, [], [F.count("*").alias("n")], [("middle", F.col("v"), "distinct_median")]).first()
+    every = sorted({v for _, v in rows if v is not None})
+    assert one.n == len(rows) and one.middle == every[len(every) // 2]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
