@@ -1,6 +1,6 @@
 """Operators that make new geometries: clip and crop, tiles, buffers, dissolve, simplify, snap, cut, hulls, triangles and cells of points.
 
-Kernels run through Arrow, feature by feature; unions are made in two levels, so that no group's geometries all come to one task at once.
+Kernels run through Arrow, feature by feature; unions are made in levels, so that no group's geometries all come to one task.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from geoframe.functions import arrangement, arrowshapes, geodesy, kernels
 from geoframe.functions import geometry as G
 from geoframe.functions.arrowshapes import of_shapes
-from geoframe.operators.table import FeatureFrame
+from geoframe.operators.table import FeatureFrame, checkpointed
 from geoframe.types import FID, GEOM, GEOMETRY
 
 
@@ -77,10 +77,43 @@ def buffer(frame: FeatureFrame, distance, geodetic: bool = False, resolution: in
     return frame.new(rows.withColumn(GEOM, made).where(F.col(GEOM).isNotNull()), geometry_type="Polygon")
 
 
-def dissolve(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The union of each group's geometries. Shares of a group, by place, are united first, so neighbours meet early and a hot group is many tasks."""
-    cell = F.concat_ws(":", F.floor(F.log2(F.greatest(F.col(f"{GEOM}.bbox.xmax") - F.col(f"{GEOM}.bbox.xmin"), F.lit(1e-9)))).cast("string"), *(F.floor(F.col(f"{GEOM}.bbox.{k}min") / F.greatest(4 * (F.col(f"{GEOM}.bbox.{k}max") - F.col(f"{GEOM}.bbox.{k}min")), F.lit(1e-9))).cast("string") for k in "xy"))
-    return _grouped(_grouped(rows.where(F.col(GEOM).isNotNull()).select(*keys, GEOM, cell.alias("__cell")), [*keys, "__cell"], kernels.union_all), keys, kernels.union_all)
+#: Shapes that one task unites at most, and how much wider the cells of each pass are.
+UNITED, WIDER = 2048, 4
+
+
+def dissolve(rows: DataFrame, keys: Sequence[str], most: int = UNITED) -> DataFrame:
+    """The union of each group's geometries, as a tree: what lies in one cell is united, then what lies in one of the cells around, and so on; borders that
+    neighbours share cancel at once, so that what goes up is outlines. No task unites more than `most` shapes: fuller cells are dealt
+    out until they are not. Points and lines are united in two levels."""
+    rows = rows.where(F.col(GEOM).isNotNull()).select(*keys, GEOM)
+    b = F.col(f"{GEOM}.bbox")
+    side = F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"])
+    told = rows.agg(F.count("*").alias("n"), F.percentile_approx(side, 0.5).alias("side"), F.min(b["xmin"]).alias("x1"), F.max(b["xmax"]).alias("x2"), F.min(b["ymin"]).alias("y1"), F.max(b["ymax"]).alias("y2"), F.bool_and(F.col(f"{GEOM}.type") == "Polygon").alias("polygons")).first()
+    if not told["polygons"]:
+        size = F.greatest(4 * (told["side"] or 0) + F.lit(0.0), F.lit(1e-9))
+        cell = F.concat_ws(":", F.floor(b["xmin"] / size).cast("string"), F.floor(b["ymin"] / size).cast("string"))
+        return _grouped(_grouped(rows.withColumn("__cell", cell), [*keys, "__cell"], kernels.union_all), keys, kernels.union_all)
+    if told["n"] <= most:
+        return _grouped(rows, keys, kernels.union_all)
+    extent = max(told["x2"] - told["x1"], told["y2"] - told["y1"], 1e-300)
+    size = max(8 * told["side"], extent / 2**20)
+    # Repeated shapes go first: they are united with themselves.
+    rows = rows.withColumn("__same", F.col(f"{GEOM}.parts")).groupBy(*keys, "__same").agg(F.first(GEOM).alias(GEOM)).drop("__same")
+    while True:
+        last = size > 4 * extent
+        at = [F.lit(0).cast("long") if last else F.floor(((b[f"{k}min"] + b[f"{k}max"]) / 2 - told[f"{k}1"]) / size).cast("long") for k in "xy"]
+        rows = checkpointed(rows.withColumn("__cx", at[0]).withColumn("__cy", at[1]))
+        cell = [*keys, "__cx", "__cy"]
+        counts = rows.groupBy(*cell).agg(F.count("*").alias("__n")).select(*(F.col(c).alias(f"__of{c}") for c in cell), F.ceil(F.col("__n") / most).cast("int").alias("__shares"))
+        fullest = counts.agg(F.max("__shares")).first()[0]
+        dealt = rows.withColumn("__own", F.lit(0))
+        if fullest > 1:
+            dealt = rows.join(counts, [F.col(c).eqNullSafe(F.col(f"__of{c}")) for c in cell])
+            dealt = dealt.withColumn("__own", F.pmod(F.xxhash64(f"{GEOM}.parts"), F.col("__shares")).cast("int")).select(*cell, GEOM, "__own")
+        rows = _grouped(dealt, [*cell, "__own"], kernels.union_all).select(*keys, GEOM)
+        if last and fullest == 1:
+            return rows
+        size = size * WIDER if fullest == 1 else size
 
 
 def _grouped(rows: DataFrame, keys: Sequence[str], unite: Callable[[list], tuple | None]) -> DataFrame:

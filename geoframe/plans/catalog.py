@@ -976,6 +976,15 @@ def cut_polygons(s, sf):
     return overlay.cut(frame, lines).df.groupBy("n_nationkey").agg(F.count("*").alias("pieces"), r6(F.sum(area)).alias("area"), r6(F.max(area)).alias("largest"))
 
 
+@registered(cte("qty") + ", c AS (SELECT col, row, col // 12 AS bx, row // 12 AS by FROM qty WHERE floor(value) % 3 <> 0) SELECT CAST(a.bx AS INTEGER) AS bx, CAST(a.by AS INTEGER) AS by, CAST(count(*) AS DOUBLE) AS area, CAST(sum(4 - (SELECT count(*) FROM c b WHERE b.bx = a.bx AND b.by = a.by AND abs(a.col - b.col) + abs(a.row - b.row) = 1)) AS DOUBLE) AS outline FROM c a GROUP BY 1, 2")
+def dissolve_cells(s, sf):
+    """Cells of a raster as squares, united by blocks in a tree: area and outline of what is left."""
+    q = X.quantity(s, sf)
+    rows = q.df.where("value IS NOT NULL AND floor(value) % 3 <> 0").select(F.floor(F.col("col") / 12).cast("int").alias("bx"), F.floor(F.col("row") / 12).cast("int").alias("by"), G.box(F.col("col"), F.col("row"), F.col("col") + 1, F.col("row") + 1).alias(GEOM))
+    out = overlay.dissolve(rows, ["bx", "by"], most=64)
+    return out.select("bx", "by", r6(G.area(F.col(GEOM))).alias("area"), r6(G.length(F.col(GEOM))).alias("outline"))
+
+
 @registered(cte("zon") + "SELECT n_nationkey, CAST(4 AS BIGINT) AS triangles, round((x2-x1)*(y2-y1), 6) AS area FROM zon")
 def delaunay(s, sf):
     """A zone's corners and its middle."""

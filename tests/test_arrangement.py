@@ -83,3 +83,41 @@ def test_cut_of_frames_far_from_the_origin(spark):
     out = overlay.cut(boxes, blades).df.select("k", G.area(F.col(GEOM)).alias("a")).collect()
     by = {k: sorted(r.a for r in out if r.k == k) for k in (0, 1, 2)}
     assert np.allclose(by[0], [12.5, 12.5, 37.5, 37.5], atol=1e-7) and np.allclose(by[1], [0.21875, 0.28125]) and np.allclose(by[2], [0.5])
+
+
+def test_unions_cover_what_their_shapes_cover():
+    rng = np.random.default_rng(3)
+    for k in range(30):
+        n, off = int(rng.integers(2, 12)), rng.choice((0.0, 1e6))
+        shapes = [("Polygon", [[star(rng, *(off + rng.uniform(0, 4, 2)), rng.uniform(0.3, 2), 9)]]) for _ in range(n)]
+        shapes += [("Polygon", [[[(off + a, off + b), (off + a + 1, off + b), (off + a + 1, off + b + 1), (off + a, off + b + 1), (off + a, off + b)][:: int(rng.choice((1, -1)))]]]) for a, b in rng.integers(0, 4, (n, 2)).tolist()]
+        kind, parts = kernels.union_all(shapes)
+        at = off + rng.uniform(-2, 6, (400, 2))
+        inside = lambda s: kernels.inside(at[:, 0], at[:, 1], s)
+        assert (inside((kind, parts)) == np.any([inside(s) for s in shapes], 0)).all()
+        assert all(abs(kernels.ring_area(p[0])) > sum(abs(kernels.ring_area(h)) for h in p[1:]) for p in parts)
+
+
+def test_a_union_of_tiles_is_their_outline():
+    tiles = [("Polygon", [[[(a, b), (a + 1, b), (a + 1, b + 1), (a, b + 1), (a, b)]]]) for a in range(30) for b in range(20) if not (10 <= a < 12 and 5 <= b < 9)]
+    kind, parts = kernels.union_all(tiles)
+    assert len(parts) == 1 and len(parts[0]) == 2 and area(parts[0]) == 30 * 20 - 8 and [len(r) for r in parts[0]] == [5, 5]
+    two = kernels.union_all([("Polygon", [[[(0, 0), (1, 0), (1, 1), (0, 0)]]]), ("Polygon", [[[(5, 5), (6, 5), (6, 6), (5, 5)]]])])
+    assert len(two[1]) == 2
+
+
+def test_dissolve_is_a_tree(spark, monkeypatch):
+    """4,000 squares of one group, some in heaps, no more than 50 in a task."""
+    held = []
+    rows = spark.range(4000).select(F.when(F.col("id") < 3990, 1).alias("g"), G.box(F.col("id") % 80, F.floor(F.col("id") / 80), F.col("id") % 80 + 1, F.floor(F.col("id") / 80) + 1).alias(GEOM))
+    heap = spark.range(300).select(F.lit(1).alias("g"), G.box(F.col("id") / 1000, F.lit(0), F.col("id") / 1000 + 1, F.lit(1)).alias(GEOM))
+    grouped = overlay._grouped
+
+    def watched(frame, keys, unite):
+        held.append(frame.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return grouped(frame, keys, unite)
+
+    monkeypatch.setattr(overlay, "_grouped", watched)
+    out = {r.g: (r.a, r.n) for r in overlay.dissolve(rows.unionByName(heap), ["g"], most=50).select("g", G.area(F.col(GEOM)).alias("a"), F.size(G.vertices(F.col(GEOM))).alias("n")).collect()}
+    assert out == {1: (3990.0, 7), None: (10.0, 5)} and len(held) > 2 and max(held) <= 75
+    assert overlay.dissolve(rows.limit(0), ["g"]).count() == 0
