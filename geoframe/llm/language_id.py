@@ -2,7 +2,7 @@
 
 A text's subwords are the runs of 2 to 4 bytes inside its lower-cased words, word borders included; each is hashed to a row of
 an embedding matrix, the rows are averaged, and a linear softmax tells the language.  The model is trained by stochastic
-gradient descent in numpy on a bounded sample: ROWS_PER_LANGUAGE labelled rows (as a hash takes them) for each language, as many of each
+gradient descent in numpy on a bounded sample: ROWS_PER_LANGUAGE labelled rows (as a hash of their ids takes them, one row of each id) for each language, as many of each
 as make SAMPLE_ROWS where languages are many, but one at least, each row whole and in a few excerpts so that short texts are learnt too; of a row
 with more different subwords than its share of SAMPLE_VALUES, an excerpt from anywhere in it takes the place of the whole, so that the sample fits the driver whatever the
 texts' lengths.  A part of the sample is kept back: on it a temperature is fitted, and then the threshold of rejection, the least confidence such that of the rows
@@ -91,6 +91,8 @@ def _sample(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
     share = F.lit(SAMPLE_VALUES) / F.greatest(F.sum(F.least(wanted, F.col("count"))).over(Window.partitionBy()) * 1.2, F.lit(1.0))
     cut = per.select("lang", "first", (F.lit(float(1 << 30)) * F.least(F.lit(1.0), wanted / F.col("count"))).alias("cut"), F.greatest(share, F.lit(64.0)).cast("int").alias("most"))
     taken = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place")).join(F.broadcast(cut), "lang").where("place < cut OR place = first")
+    # One row of an id, however often it is repeated, so that the sample is as large as the bounds say.
+    taken = taken.groupBy("lang", "place").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("most").alias("most"))
 
     def run(batches):
         for b in sliced(batches):

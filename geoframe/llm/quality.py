@@ -241,6 +241,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     cut = F.when(F.col("y") == 1, F.lit(ROWS_PER_CLASS / n[1] * (1 << 30))).otherwise(F.lit(ROWS_PER_CLASS / n[0] * (1 << 30)))
     taken = marked.withColumn("place", place).where(F.col("place") < cut).orderBy("place", "id", "y").limit(4 * ROWS_PER_CLASS)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(taken), "id")
+    # One row of an id and label, however often it is repeated, so that the sample stays as large as its bound.
+    rows = rows.groupBy("y", "place", "id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = _features(rows.select(F.struct("y", "place", "id").alias("k"), "text"), vectors, "k", f"struct<y:int,place:bigint,id:{df.schema[id_col].dataType.simpleString()}>")
     sample = rows.select("k.y", "k.place", "k.id", "x").toPandas().sort_values(["place", "id", "y"], kind="stable")
     if not len(sample):

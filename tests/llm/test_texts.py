@@ -468,3 +468,15 @@ def test_stages_over_hard_rows(spark, number):
     if name == "mixture":
         assert collections.Counter(r.text for r in got) == collections.Counter(r[1] for r in rows)
     assert stage(spark, plain.limit(0), "").count() == 0
+
+
+def test_samples_are_bounded_by_rows(spark):
+    """An id that is repeated very often is one row of what is learnt from."""
+    rows = [(7, f"alpha beta gamma {i % 50}", "en") for i in range(3000)] + [(i, f"eins zwei drei {i}", "de") for i in range(100, 130)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held", language_id.held_out())
+    free = docs.where("NOT held").select("doc_id").distinct().count()
+    sample = language_id._sample(docs, "doc_id", "text", "lang").toPandas()
+    assert len(sample) <= 4 * free
+    labels = spark.createDataFrame([(i, i % 2) for i in (7, *range(100, 130))] * 2, "doc_id long, quality int")
+    vectors, net = quality.fit(docs, labels)
+    assert quality.predict(docs, vectors, net).count() == len(rows)
