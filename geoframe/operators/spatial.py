@@ -42,15 +42,12 @@ class Levels:
     extent the points' spacing. None stands for points that are not there yet, as in a stream."""
 
     def __init__(self, left: DataFrame | None, right: DataFrame, extra: float = 0.0):
-        told = []
         b = F.col(f"{GEOM}.bbox")
-        for df, more in ((left, extra), (right, 0.0)):
-            if df is None:
-                told.append({"levels": [], "n": 0})
-                continue
-            side = _side(GEOM, more)
-            # One row: the levels are few, as each is a factor of 4.
-            told.append(df.where(F.col(GEOM).isNotNull()).agg(F.collect_set(_raw_level(side)).alias("levels"), F.percentile_approx(F.when(side > 0, side), 0.5).alias("median"), F.min(b["xmin"]).alias("x1"), F.max(b["xmax"]).alias("x2"), F.min(b["ymin"]).alias("y1"), F.max(b["ymax"]).alias("y2"), F.count("*").alias("n")).first())
+        # One job for both sides, and one row for each: the levels are few, as each is a factor of 4.
+        sides = [df.where(F.col(GEOM).isNotNull()).select(F.lit(k).alias("of"), _side(GEOM, more).alias("side"), *(b[c].alias(c) for c in ("xmin", "xmax", "ymin", "ymax"))) for k, (df, more) in enumerate(((left, extra), (right, 0.0))) if df is not None]
+        side = F.col("side")
+        rows = reduce(DataFrame.unionAll, sides).groupBy("of").agg(F.collect_set(_raw_level(side)).alias("levels"), F.percentile_approx(F.when(side > 0, side), 0.5).alias("median"), F.min("xmin").alias("x1"), F.max("xmax").alias("x2"), F.min("ymin").alias("y1"), F.max("ymax").alias("y2"), F.count("*").alias("n")).collect()
+        told = [next((r for r in rows if r["of"] == k), {"levels": [], "n": 0}) for k in (0, 1)]
         some = [t for t in told if t["n"]]
         extent = max([max(t["x2"] for t in some) - min(t["x1"] for t in some), max(t["y2"] for t in some) - min(t["y1"] for t in some)], default=0.0) if some else 0.0
         far = max([abs(t[c]) for t in some for c in ("x1", "x2", "y1", "y2")], default=1.0) or 1.0
@@ -193,8 +190,11 @@ def _nearest(left: FeatureFrame, right: FeatureFrame, n: int) -> DataFrame:
     u1, u2, v1, v2, waiting = open_.agg(*whole).first()
     if not total or not waiting:
         return candidates(left.df.limit(0), right.df.limit(0)).withColumn("distance", F.lit(0.0))
-    # What n of the right features take up on average; no distance is beyond the extent of both.
+    # What n of the right features take up on average; less, where cells of that size, as most of the features see them, hold more.
     reach = max(x2 - x1, y2 - y1, 1e-9) * (max(n, 1) / total) ** 0.5
+    cells = shapes.groupBy(F.floor(b["xmin"] / reach), F.floor(b["ymin"] / reach)).agg(F.count("*").alias("n"))
+    met = cells.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
+    reach *= min(1.0, max(1e-3, 1.5 * (max(n, 1) / met) ** 0.5))
     extent = max(max(x2, u2) - min(x1, u1), max(y2, v2) - min(y1, v1), reach)
     found = []
     while True:

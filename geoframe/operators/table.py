@@ -51,6 +51,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Have a file or folder removed when this process ends."""
+    _kept[path] = spark
+
+
 def remove_kept(*frames: DataFrame) -> None:
     """Remove the tables that frames straight from checkpointed() read, once nothing else reads them."""
     for df in frames:

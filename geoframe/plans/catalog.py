@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from geoframe.functions import crs, datums
 from geoframe.functions import geometry as G
 from geoframe.operators import classify, overlay, query, raster, rastervec, spatial
-from geoframe.operators.table import FeatureFrame, shared_dir
+from geoframe.operators.table import FeatureFrame, remove_at_end, shared_dir
 from geoframe.plans import fixtures as X
 from geoframe.plans.fixtures import cte
 from geoframe.sources import raster as raster_files
@@ -1095,7 +1095,11 @@ def mosaic_most(s, sf):
 # Files and streams: written, read back, and looked at
 
 def _folder(s) -> str:
-    return f"{shared_dir(s)}/files-{uuid.uuid4().hex}"
+    """A place in the shared folder for a query's files, which go when the process ends."""
+    path = f"{shared_dir(s)}/files-{uuid.uuid4().hex}"
+    for ending in ("", ".csv", ".geojson", ".parquet", ".asc"):
+        remove_at_end(s, path + ending)
+    return path
 
 
 @registered("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
