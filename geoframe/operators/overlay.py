@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoframe.functions import arrangement, arrowshapes, geodesy, kernels
+from geoframe.functions import crs as systems
 from geoframe.functions import geometry as G
 from geoframe.functions.arrowshapes import of_shapes
 from geoframe.operators.table import FeatureFrame, checkpointed
@@ -61,8 +62,8 @@ def tiled(frame: FeatureFrame, tilesize: tuple[float, float] | None = None, tile
     return out.withColumn(GEOM, combine(F.col(GEOM), G.box(x1, y1, x1 + w, y1 + h), "intersection")).where(F.col(GEOM).isNotNull())
 
 
-def buffer(frame: FeatureFrame, distance, geodetic: bool = False, resolution: int = 32, join: str = "round", cap: str = "round") -> FeatureFrame:
-    """Polygons around the features; distance is a number or a Column. Points (and all geodetic buffers, which are for points) are rings by
+def buffer(frame: FeatureFrame, distance, geodetic: bool = False, resolution: int = 32, join: str = "round", cap: str = "round", mitre_limit: float = 5.0) -> FeatureFrame:
+    """Polygons around the features; distance is a number or a Column. A mitre that reaches farther than mitre_limit times the distance is bevelled. Points (and all geodetic buffers, which are for points) are rings by
     formula, lines and polygons unions of strips and discs."""
     d = distance if isinstance(distance, Column) else F.lit(float(distance))
     rows = frame.df.where(F.col(GEOM).isNotNull())
@@ -73,7 +74,7 @@ def buffer(frame: FeatureFrame, distance, geodetic: bool = False, resolution: in
         ring = F.transform(F.sequence(F.lit(0), F.lit(resolution)), lambda i: G.vertex(G.x(F.col(GEOM)) + d * F.cos(turn(i % resolution)), G.y(F.col(GEOM)) + d * F.sin(turn(i % resolution))))
         made = G.polygon(ring)
     else:
-        made = of_shapes(lambda s, r: kernels.buffer(s, r, resolution, join, cap), "gv", "geometry")(F.col(GEOM), d.cast("double"))
+        made = of_shapes(lambda s, r: kernels.buffer(s, r, resolution, join, cap, mitre_limit), "gv", "geometry")(F.col(GEOM), d.cast("double"))
     return frame.new(rows.withColumn(GEOM, made).where(F.col(GEOM).isNotNull()), geometry_type="Polygon")
 
 
@@ -266,6 +267,11 @@ def _pieces(s, knives: np.ndarray) -> list:
     return out
 
 
+def reproject(frame: FeatureFrame, tocrs: str) -> FeatureFrame:
+    """The frame in another coordinate system; vertices that have no place there go."""
+    return frame.new(systems.reproject(frame.df, frame.crs, tocrs), crs=tocrs)
+
+
 def convex_hull(frame: FeatureFrame) -> FeatureFrame:
     """Hulls that are polygons; features whose hull is a point or line go."""
 

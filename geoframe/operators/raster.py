@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from geoframe.functions import stats
 from geoframe.functions.exprparse import parse
 from geoframe.functions.geometry import box
+from geoframe.operators import bound
 from geoframe.types import GEOM, Grid
 
 CELL = ["band", "col", "row"]
@@ -34,6 +35,9 @@ def statistics(rows: DataFrame, by: Sequence[str], named: Sequence[tuple[str, st
 
 
 class RasterFrame:
+    #: Functions of the operator modules with this raster as their first argument (see operators.bound).
+    manage, analyze = (bound.Group(bound.RASTER[g]) for g in ("manage", "analyze"))
+
     def __init__(self, df: DataFrame, grid: Grid):
         self.df, self.grid = df.select(*CELL, F.col("value").cast("double").alias("value")), grid
 

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from geoframe.functions import geometry as G
 from geoframe.functions import kernels, stats
 from geoframe.functions.exprparse import parse
+from geoframe.operators import bound
 from geoframe.types import FID, GEOM, GEOMETRY, WGS84
 
 Mapping = Sequence[tuple]
@@ -94,6 +95,9 @@ def with_fid(df: DataFrame, *keys: str) -> DataFrame:
 
 
 class FeatureFrame:
+    #: Functions of the operator modules with this frame as their first argument (see operators.bound).
+    manage, analyze, convert = (bound.Group(bound.VECTOR[g]) for g in ("manage", "analyze", "convert"))
+
     def __init__(self, df: DataFrame, geometry_type: str | None = None, crs: str = WGS84, order: Sequence[str] = ()):
         """geometry_type: Point, LineString or Polygon; the type of all geometries in the frame, if it is known."""
         if FID not in df.columns:
