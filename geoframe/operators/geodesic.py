@@ -182,13 +182,12 @@ def _points(df: DataFrame) -> DataFrame:
 
 
 def _start(right: DataFrame, n: int, total: int) -> float:
-    """A radius that holds n features around most of them: by what cells of a degree or so hold, seen from the features."""
-    size = 100.0
-    cells = right.groupBy(*(F.floor(F.col("p")[c] / size) for c in "xyz")).agg(F.count("*").alias("n"))
-    met = cells.agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("n")).first()["n"] or 1.0
-    dense = met / (size * size)
-    even = total / (4 * math.pi * 6371.0**2)
-    return min(HALF_ROUND, max(1e-3, 1.5 * math.sqrt(n / (math.pi * max(dense, even)))))
+    """A radius that holds n features around most of them: what n take up if they lie evenly, less where cells of that size, as most of the features see
+    them, hold more."""
+    even = min(HALF_ROUND, max(1e-3, math.sqrt(n * 4 * 6371.0**2 / total)))
+    cells = right.groupBy(*(F.floor(F.col("p")[c] / even) for c in "xyz")).agg(F.count("*").alias("n"))
+    met = cells.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 1.0
+    return even * min(1.0, max(1e-3, 1.5 * math.sqrt(n / met)))
 
 
 def nearest(left: FeatureFrame, right: FeatureFrame, n: int, km: float | None = None) -> DataFrame:
