@@ -13,7 +13,7 @@ from importlib import import_module
 VECTOR = {
     "manage": {"crop": "overlay", "tiled": "overlay", "where": "spatial", "spatial_join": "spatial", "split": "table.FeatureFrame", "merge": "table.FeatureFrame", "clean": "overlay", "snap": "overlay", "connect": "spatial", "buffer": "overlay", "cut": "overlay", "reproject": "overlay"},
     "analyze": {"spatial_stats": "spatial", "raster_stats": "spatial", "closest_point": "spatial"},
-    "convert": {"to_points": "overlay", "to_lines": "overlay", "convex_hull": "overlay", "enclose": "overlay", "tessellate": "overlay", "rasterize": "rastervec"},
+    "convert": {"to_points": "overlay", "to_lines": "overlay", "convex_hull": "overlay", "enclose": "overlay", "tessellate": "tessellation", "rasterize": "rastervec"},
 }
 RASTER = {
     "manage": {m: "raster.RasterFrame" for m in ("resample", "roll", "align", "upscale", "crop", "tiled", "reproject")} | {"clip": "rastervec", "vectorize": "rastervec"},

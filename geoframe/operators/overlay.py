@@ -1,4 +1,4 @@
-"""Operators that make new geometries: clip and crop, tiles, buffers, dissolve, simplify, snap, cut, hulls, triangles and cells of points.
+"""Operators that make new geometries: clip and crop, tiles, buffers, dissolve, simplify, snap, cut, hulls, faces that lines enclose.
 
 Kernels run through Arrow, feature by feature; unions are made in levels, so that no group's geometries all come to one task.
 """
@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -301,25 +300,6 @@ def enclose(frame: FeatureFrame, key: str | None = None) -> FeatureFrame:
     return frame.new(rows.groupBy(*(keys or ["__all"])).applyInArrow(run, schema), geometry_type="Polygon")
 
 
-def tessellate(frame: FeatureFrame, how: str = "voronoi", key: str | None = None) -> FeatureFrame:
-    """Delaunay triangles, or Voronoi cells, of the points of each key (the whole frame without one: such a diagram is global, one task
-    makes it, so give a key that bounds the points)."""
-    keys = [key] if key else []
-    rows = frame.df.where(F.col(GEOM).isNotNull()).select(*keys, FID, G.x(F.col(GEOM)).alias("x"), G.y(F.col(GEOM)).alias("y"))
-    schema = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), f"{FID} long, {GEOM} {GEOMETRY}"])
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(FID).drop_duplicates(["x", "y"])
-        pts = list(zip(p["x"], p["y"], strict=True))
-        if how == "voronoi":
-            made = list(zip(p[FID], kernels.voronoi(pts), strict=True))
-        else:
-            made = [(i, [pts[a], pts[b], pts[c], pts[a]]) for i, (a, b, c) in enumerate(kernels.delaunay(pts))]
-        return pd.DataFrame([[*(p[k].iloc[0] for k in keys), i, kernels.struct("Polygon", [[ring]])] for i, ring in made], columns=[*keys, FID, GEOM])
-
-    return frame.new(rows.withColumn("__all", F.lit(1)).groupBy(*(keys or ["__all"])).applyInPandas(run, schema), geometry_type="Polygon")
-
-
 def label_points(frame: FeatureFrame, view: tuple[float, float, float, float]) -> FeatureFrame:
     """The centroid of what is in view of each feature."""
     return to_points(crop(frame, view))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from geoframe.functions import crs, datums
 from geoframe.functions import geometry as G
-from geoframe.operators import classify, overlay, query, raster, rastervec, spatial
+from geoframe.operators import classify, overlay, query, raster, rastervec, spatial, tessellation
 from geoframe.operators.table import FeatureFrame, remove_at_end, shared_dir
 from geoframe.plans import fixtures as X
 from geoframe.plans.fixtures import cte
@@ -991,10 +991,38 @@ def delaunay(s, sf):
     z = X.zones(s, sf)
     corners, middles = overlay.to_points(z, "vertex").df, overlay.to_points(z).df
     pts = corners.unionByName(middles).withColumn(FID, F.monotonically_increasing_id())
-    out = overlay.tessellate(FeatureFrame(pts, "Point"), "delaunay", "n_nationkey").df
+    out = tessellation.tessellate(FeatureFrame(pts, "Point"), "delaunay", "n_nationkey").df
     return out.groupBy("n_nationkey").agg(F.count("*").alias("triangles"), r6(F.sum(G.area(F.col(GEOM)))).alias("area"))
 
 
+@registered(cte("emb") + "SELECT a.vec_id, round(min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 6) AS nearest FROM (SELECT min(vec_id) AS vec_id, x, y FROM emb GROUP BY x, y) a JOIN emb b ON a.x <> b.x OR a.y <> b.y GROUP BY 1")
+def delaunay_nearest(s, sf):
+    """The shortest side at each point of a diagram of all: it goes to the nearest other point."""
+    out = tessellation.tessellate(X.embedded(s, sf), "delaunay").df
+    v = lambda i: F.col(f"{GEOM}.parts")[0][0][i % 3]
+    end = F.explode(F.array(*(F.struct(v(i)["x"].alias("x"), v(i)["y"].alias("y"), F.least(*(F.hypot(v(i)["x"] - v(i + k)["x"], v(i)["y"] - v(i + k)["y"]) for k in (1, 2))).alias("d")) for i in range(3))))
+    least = out.select(end.alias("e")).groupBy(F.col("e.x").alias("x"), F.col("e.y").alias("y")).agg(F.min("e.d").alias("d"))
+    points = X.embedded(s, sf).df.select("vec_id", G.x(F.col(GEOM)).alias("x"), G.y(F.col(GEOM)).alias("y"))
+    return points.groupBy("x", "y").agg(F.min("vec_id").alias("vec_id")).join(least, ["x", "y"]).select("vec_id", r6("d").alias("nearest"))
+
+
+@registered(cte("emb") + ", oth AS (SELECT e.vec_id, CAST(embedding[3] AS DOUBLE) AS x, CAST(embedding[4] AS DOUBLE) AS y FROM embeddings e), box AS (SELECT min(x) - (max(x) - min(x)) AS x1, max(x) + (max(x) - min(x)) AS x2, min(y) - (max(y) - min(y)) AS y1, max(y) + (max(y) - min(y)) AS y2 FROM emb) SELECT oth.vec_id, arg_min(emb.vec_id, pow(emb.x - oth.x, 2) + pow(emb.y - oth.y, 2)) AS cell FROM oth JOIN box ON oth.x > x1 AND oth.x < x2 AND oth.y > y1 AND oth.y < y2 CROSS JOIN emb GROUP BY 1")
+def voronoi_owner(s, sf):
+    """Whose cell each of other irregular points is in: the nearest one's."""
+    cells = tessellation.tessellate(X.embedded(s, sf), "voronoi").df.withColumn("cell", F.col(FID))
+    e = F.col("embedding")
+    others = X.table(s, sf, "embeddings").select("vec_id", F.col("vec_id").alias(FID), G.point(F.get(e, 2).cast("double"), F.get(e, 3).cast("double")).alias(GEOM))
+    return spatial.spatial_join(FeatureFrame(others, "Point"), FeatureFrame(cells, "Polygon"), "within").df.select("vec_id", "cell")
+
+
+@registered("WITH cus AS (SELECT DISTINCT c_nationkey, CAST((c_custkey*37)%360-180 AS DOUBLE)+0.5e0 AS x, CAST((c_custkey*17)%180-90 AS DOUBLE)+0.5e0 AS y FROM customer) SELECT c_nationkey, count(*) AS cells, round(9 * (CASE WHEN max(x) > min(x) THEN max(x) - min(x) ELSE 1 END) * (CASE WHEN max(y) > min(y) THEN max(y) - min(y) ELSE 1 END), 4) AS area FROM cus GROUP BY 1 HAVING count(*) > 1 AND max(x) > min(x) AND max(y) > min(y)")
+def voronoi_lattice(s, sf):
+    """Cells of each nation's customers, on a lattice, fill the frame."""
+    out = tessellation.tessellate(X.customers(s, sf), "voronoi", "c_nationkey").df
+    flat = X.customers(s, sf).df.groupBy("c_nationkey").agg(*(F.max(c(F.col(GEOM))) > F.min(c(F.col(GEOM))) for c in (G.x, G.y))).toDF("c_nationkey", "wide", "high").where("wide AND high")
+    return out.join(flat, "c_nationkey").groupBy("c_nationkey").agg(F.count("*").alias("cells"), (F.round(F.sum(G.area(F.col(GEOM))), 4) + 0.0).alias("area"))
+
+
 @registered(cte("zon") + "SELECT n_regionkey, CAST(count(*) AS BIGINT) AS faces, round(sum((x2-x1)*(y2-y1)), 6) AS area FROM zon GROUP BY 1")
 def enclose_zones(s, sf):
     """The outlines of a region's zones, as lines, enclose the zones again."""
