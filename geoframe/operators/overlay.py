@@ -164,8 +164,13 @@ def _cleaned(s, tolerance: float):
     return (kind, out) if out else None
 
 
-def clean(frame: FeatureFrame, tolerance: float = 0.0) -> FeatureFrame:
-    """Valid, simplified geometries; features that have nothing left go."""
+def clean(frame: FeatureFrame, tolerance: float = 0.0, preserve_topology: bool = False) -> FeatureFrame:
+    """Valid, simplified geometries; features that have nothing left go. preserve_topology simplifies all features together (see coverage.simplify),
+    so that shared borders stay shared; what is valid stays so, and nothing goes."""
+    if preserve_topology:
+        from geoframe.operators import coverage
+
+        return coverage.simplify(frame, tolerance)
     out = frame.df.where(F.col(GEOM).isNotNull())
     if frame.geometry_type != "Point":
         out = out.withColumn(GEOM, kernel(_cleaned)(F.col(GEOM), float(tolerance)))

@@ -1023,6 +1023,24 @@ def voronoi_lattice(s, sf):
     return out.join(flat, "c_nationkey").groupBy("c_nationkey").agg(F.count("*").alias("cells"), (F.round(F.sum(G.area(F.col(GEOM))), 4) + 0.0).alias("area"))
 
 
+@registered(cte("zon") + "SELECT n_nationkey, CAST(4 AS BIGINT) AS corners, round((x2-x1)*(y2-y1), 6) AS area FROM zon")
+def simplify_shared(s, sf):
+    """Zones whose borders wave by less than the tolerance, between corners that all have: their boxes are left, without gaps or overlaps."""
+    z = X.zones(s, sf)
+    b = F.col(f"{GEOM}.bbox")
+    step = F.sequence(F.lit(0), F.lit(35))
+    wave = lambda k, at: F.when((k % 36) == 0, 0.0).otherwise(F.sin(k * 2.0 + at))
+    across = lambda y: F.transform(step, lambda k: G.vertex(b["xmin"] + k * 2, F.col(f"{GEOM}.bbox.{y}") + wave(k, F.col(f"{GEOM}.bbox.{y}"))))
+    along = lambda x: F.transform(step, lambda k: G.vertex(F.col(f"{GEOM}.bbox.{x}") + wave(k, F.col(f"{GEOM}.bbox.{x}")), b["ymin"] + k))
+    corner = F.array(G.vertex(b["xmax"], b["ymax"]))
+    top = F.slice(F.reverse(F.concat(across("ymax"), corner)), 1, 36)
+    left = F.slice(F.reverse(F.concat(along("xmin"), F.array(G.vertex(b["xmin"], b["ymax"])))), 1, 36)
+    ring = F.concat(across("ymin"), along("xmax"), top, left)
+    waved = z.new(z.df.withColumn(GEOM, G.polygon(F.concat(ring, F.slice(ring, 1, 1)))))
+    out = overlay.clean(waved, 3.0, preserve_topology=True).df
+    return out.select("n_nationkey", (F.size(G.vertices(F.col(GEOM))) - 1).cast("long").alias("corners"), r6(G.area(F.col(GEOM))).alias("area"))
+
+
 @registered(cte("zon") + "SELECT n_regionkey, CAST(count(*) AS BIGINT) AS faces, round(sum((x2-x1)*(y2-y1)), 6) AS area FROM zon GROUP BY 1")
 def enclose_zones(s, sf):
     """The outlines of a region's zones, as lines, enclose the zones again."""
