@@ -17,7 +17,7 @@ from geoframe.plans import fixtures as X
 from geoframe.plans.fixtures import cte
 from geoframe.sources import raster as raster_files
 from geoframe.sources import vector
-from geoframe.streaming import geofence
+from geoframe.streaming import geofence, ordered
 from geoframe.types import FID, GEOM, Grid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1180,6 +1180,18 @@ def source_ascii(s, sf):
     return _cells(raster_files.read(s, path)).where("value IS NOT NULL")
 
 
+@registered(cte("zon") + ", e AS (SELECT user_id, ts, n_name AS zone FROM events LEFT JOIN zon ON CAST(event_id * 37 % 360 AS DOUBLE) - 179.5 > x1 AND CAST(event_id * 37 % 360 AS DOUBLE) - 179.5 < x2 AND CAST(event_id * 17 % 180 AS DOUBLE) - 89.5 > y1 AND CAST(event_id * 17 % 180 AS DOUBLE) - 89.5 < y2), l AS (SELECT *, lag(zone) OVER (PARTITION BY user_id ORDER BY ts, zone) AS last FROM e WHERE ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)) SELECT user_id, move, zone, CAST(count(*) AS BIGINT) AS n FROM (SELECT user_id, 'enter' AS move, zone FROM l WHERE zone IS DISTINCT FROM last UNION ALL SELECT user_id, 'leave' AS move, last AS zone FROM l WHERE zone IS DISTINCT FROM last) WHERE zone IS NOT NULL GROUP BY 1, 2, 3")
+def stream_moves(s, sf):
+    """All events as a stream: which zones users enter and leave, by when and where their events are; up to the last watermark."""
+    schema = X.table(s, sf, "events").schema
+    events = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
+    at = lambda k, n: (F.col("event_id") * k % n).cast("double") - (n / 2 - 0.5)
+    met = ordered.moves(geofence(events, at(37, 360), at(17, 180), X.zones(s, sf)), "user_id", "ts", "n_name")
+    path = _folder(s)
+    met.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(met.schema).parquet(path).groupBy("user_id", "move", "zone").agg(F.count("*").alias("n"))
+
+
 @registered(cte("zon") + "SELECT n_name, event_type, CAST(count(*) AS BIGINT) AS n FROM events JOIN zon ON CAST(user_id * 37 % 360 AS DOUBLE) - 179.5 > x1 AND CAST(user_id * 37 % 360 AS DOUBLE) - 179.5 < x2 AND CAST(user_id * 17 % 180 AS DOUBLE) - 89.5 > y1 AND CAST(user_id * 17 % 180 AS DOUBLE) - 89.5 < y2 GROUP BY 1, 2")
 def stream_geofence(s, sf):
     """All events as a stream against the zones, by where their users are."""
