@@ -114,16 +114,20 @@ def _levels(rows: DataFrame, keys: list[str]) -> DataFrame:
         tile = [F.floor((F.col(c) - F.col(lo)) * scale).alias(f"__t{c}") for c, lo in (("__x", "__x0"), ("__y", "__y0"))]
         full = rows.groupBy(*keys, "__level", *tile).count().groupBy(*keys, "__level").agg(F.max("count").alias("__most"))
         full = full.where((F.col("__most") > FULL) & (F.col("__level") < LEVELS))
+        if not keys:
+            if full.isEmpty():
+                return rows
+            rows = rows.withColumn("__level", F.col("__level") + WIDER)
+            continue
+        if rows.where(F.col("__n") > FULL).isEmpty():
+            return rows
         if more is not None:
             remove_kept(more)
         more = checkpointed(full.select(*(F.col(k).alias(f"__of{k}") for k in keys), F.lit(WIDER).alias("__deeper")))
         if more.isEmpty():
             return rows
-        if keys:
-            rows = rows.join(more, [F.col(k).eqNullSafe(F.col(f"__of{k}")) for k in keys], "left").withColumn("__level", F.col("__level") + F.coalesce("__deeper", F.lit(0)))
-            rows = checkpointed(rows.drop("__deeper", *(f"__of{k}" for k in keys)))
-        else:
-            rows = rows.withColumn("__level", F.col("__level") + WIDER)
+        rows = rows.join(more, [F.col(k).eqNullSafe(F.col(f"__of{k}")) for k in keys], "left").withColumn("__level", F.col("__level") + F.coalesce("__deeper", F.lit(0)))
+        rows = checkpointed(rows.drop("__deeper", *(f"__of{k}" for k in keys)))
 
 
 def _boxed(points: DataFrame, keys: list[str]) -> DataFrame:
