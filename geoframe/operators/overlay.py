@@ -16,7 +16,7 @@ from geoframe.functions import arrangement, arrowshapes, geodesy, kernels
 from geoframe.functions import crs as systems
 from geoframe.functions import geometry as G
 from geoframe.functions.arrowshapes import of_shapes
-from geoframe.operators.table import FeatureFrame, checkpointed
+from geoframe.operators.table import FeatureFrame, checkpointed, spread
 from geoframe.types import FID, GEOM, GEOMETRY
 
 
@@ -229,7 +229,9 @@ def cut(frame: FeatureFrame, cutter: FeatureFrame) -> FeatureFrame:
     from geoframe.operators.spatial import candidates
 
     edge = F.explode(G._edges(F.col(GEOM)))
-    blades = cutter.df.where(F.col(GEOM).isNotNull()).select(edge.alias("e")).select(G.line(F.array("e.a", "e.b")).alias(GEOM))
+    blades = cutter.df.where(F.col(GEOM).isNotNull()).select(edge.alias("e"))
+    # An edge cuts once, however often and whichever way it is drawn.
+    blades = blades.select(F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b")).distinct().select(G.segment(F.col("a"), F.col("b")).alias(GEOM))
     ends = [F.col(f"r_{GEOM}.parts")[0][0][k][c] for k in (0, 1) for c in "xy"]
     met = candidates(frame.df.select(FID, GEOM), blades).select(F.col(f"l_{FID}").alias(FID), F.array(*ends).alias("e"))
     rows = frame.df.join(met.groupBy(FID).agg(F.collect_list("e").alias("__cut")), FID, "left")
@@ -248,7 +250,7 @@ def cut(frame: FeatureFrame, cutter: FeatureFrame) -> FeatureFrame:
             columns = [arrowshapes.geometries(made) if n == GEOM else rows.column(n) for n in schema.names]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return frame.new(rows.mapInArrow(run, schema))
+    return frame.new(spread(rows).mapInArrow(run, schema))
 
 
 def _pieces(s, knives: np.ndarray) -> list:
