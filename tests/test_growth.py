@@ -41,3 +41,25 @@ def test_an_edge_cuts_once(spark, monkeypatch):
     assert [r[0] for r in out.select(G.area(F.col(GEOM))).collect()] == [pytest.approx(4.0)] * 4
     met = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [a#" in met
+
+
+def test_repeated_places_are_paired_once(spark, monkeypatch):
+    met = []
+    old = spatial.candidates
+    monkeypatch.setattr(spatial, "candidates", lambda a, b, *more: met.append((a.count(), b.count())) or old(a, b, *more))
+    monkeypatch.setattr(spatial, "CONNECTED", 50)
+    a = points(spark, [(i, i, float(i % 5), 0.0) for i in range(100)] + [(100, 100, None, 0.0)])
+    b = points(spark, [(i, i, float(i % 7), 1.0) for i in range(140)], "m")
+    out = spatial.spatial_join(a, b, "distance", radius=1.5, geodetic=False, distance=True).df
+    got = sorted((r.k, r.m, r.distance) for r in out.collect())
+    want = sorted((i, j, d) for i in range(100) for j in range(140) if (d := ((i % 5 - j % 7) ** 2 + 1) ** 0.5) <= 1.5)
+    assert got == [(i, j, pytest.approx(d)) for i, j, d in want]
+    assert met == [(5, 7)]
+
+
+def test_numbers_by_the_billion_are_rounded_as_others(spark):
+    from geoframe.plans import catalog
+
+    values = [0.0, -0.0, 1.0000005, 2.5e-7, 5e-7, -5e-7, 123.4567895, 1e13 + 0.3, float("inf"), None, *(k * 1e-7 + k * k for k in range(2000)), *(-(k**0.5) for k in range(2000))]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(catalog.quick6("v").alias("a"), catalog.r6("v").alias("b"))
+    assert not rows.where("NOT a <=> b").count()
