@@ -73,6 +73,7 @@ def buffer(frame: FeatureFrame, distance, geodetic: bool = False, resolution: in
         ring = F.transform(F.sequence(F.lit(0), F.lit(resolution)), lambda i: G.vertex(G.x(F.col(GEOM)) + d * F.cos(turn(i % resolution)), G.y(F.col(GEOM)) + d * F.sin(turn(i % resolution))))
         made = G.polygon(ring)
     else:
+        rows = spread(rows)
         made = of_shapes(lambda s, r: kernels.buffer(s, r, resolution, join, cap, mitre_limit), "gv", "geometry")(F.col(GEOM), d.cast("double"))
     return frame.new(rows.withColumn(GEOM, made).where(F.col(GEOM).isNotNull()), geometry_type="Polygon")
 

@@ -63,3 +63,23 @@ def test_numbers_by_the_billion_are_rounded_as_others(spark):
     values = [0.0, -0.0, 1.0000005, 2.5e-7, 5e-7, -5e-7, 123.4567895, 1e13 + 0.3, float("inf"), None, *(k * 1e-7 + k * k for k in range(2000)), *(-(k**0.5) for k in range(2000))]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select(catalog.quick6("v").alias("a"), catalog.r6("v").alias("b"))
     assert not rows.where("NOT a <=> b").count()
+
+
+def test_a_strip_with_two_caps_is_the_union(spark):
+    import math
+
+    from geoframe.functions import kernels
+
+    for k in range(40):
+        x, y, turn, far = k % 7 - 3.0, k % 5 * 1.5, k * 0.37, 2.0 + k % 3
+        line = ("LineString", [[[(x, y), (x + far * math.cos(turn), y + far * math.sin(turn))]]])
+        made = kernels.buffer(line, 2.0, 32)
+        kind, parts = kernels.buffer(("LineString", [[[*line[1][0][0], line[1][0][0][1]]]]), 2.0, 32)
+        assert (kind, len(parts), len(made[1])) == ("Polygon", 1, 1)
+        assert kernels.area(made) == pytest.approx(kernels.area((kind, parts)), abs=1e-9)
+        assert kernels.area(kernels.combine(made, (kind, parts), "difference") or ("Polygon", [])) == pytest.approx(0, abs=1e-7)
+
+
+def test_buffers_are_dealt_out(spark):
+    lines = FeatureFrame(spark.range(50).coalesce(1).select(F.col("id").alias(FID), G.line(F.array(G.vertex(F.lit(0), F.lit(0)), G.vertex(F.lit(9), F.col("id")))).alias(GEOM)), "LineString")
+    assert overlay.buffer(lines, 1.0).df.rdd.getNumPartitions() > 1
