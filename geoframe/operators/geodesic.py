@@ -194,6 +194,26 @@ def nearest(left: FeatureFrame, right: FeatureFrame, n: int, km: float | None =
     """l_* and r_* columns and the distance in km of the n right features nearest to each left one (of those within km). Radii grow fourfold
     until each left feature has n within; what is settled leaves the loop, and each radius' pairs are kept, so that none is measured again."""
     single = _one_piece(left) and _one_piece(right)
+    if single:
+        return _with_rows(_nearest_places(left, right, n, km), left, right)
+    return _with_rows(_rings(left, right, n, km, False), left, right)
+
+
+def _nearest_places(left: FeatureFrame, right: FeatureFrame, n: int, km: float | None) -> DataFrame:
+    """_rings() of points: places that repeat are searched for once, and of those found the n smallest ids are enough."""
+    place = lambda f: f.df.where(F.col(GEOM).isNotNull()).select(FID, G.x(F.col(GEOM)).alias("__x"), G.y(F.col(GEOM)).alias("__y"))
+    rank = F.row_number().over(Window.partitionBy("__x", "__y").orderBy(FID))
+    few = place(right).withColumn("__rank", rank).where(F.col("__rank") <= n)
+    own = checkpointed(place(left))
+    spots = own.groupBy("__x", "__y").agg(F.min(FID).alias("__spot"))
+    a, b = (frame.new(checkpointed(rows.select(F.col(of).alias(FID), G.point(F.col("__x"), F.col("__y")).alias(GEOM)))) for frame, rows, of in ((left, spots, "__spot"), (right, few, FID)))
+    found = _rings(a, b, n, km, True).withColumnRenamed(f"l_{FID}", "__spot")
+    mine = own.join(spots, ["__x", "__y"]).select("__spot", F.col(FID).alias(f"l_{FID}"))
+    return found.join(mine, "__spot").drop("__spot")
+
+
+def _rings(left: FeatureFrame, right: FeatureFrame, n: int, km: float | None, single: bool) -> DataFrame:
+    """l___fid, r___fid and the distance of the nearest, without rows."""
     total = right.df.where(F.col(GEOM).isNotNull()).count()
     most = HALF_ROUND if km is None else km
     made = _points if single else lambda df: _pieces(df, LONG_PIECE)
@@ -218,4 +238,4 @@ def nearest(left: FeatureFrame, right: FeatureFrame, n: int, km: float | None =
         if not open_.limit(1).count():
             break
         reach = min(most, 4 * reach)
-    return _with_rows(reduce(DataFrame.unionByName, found), left, right)
+    return reduce(DataFrame.unionByName, found)

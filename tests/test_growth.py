@@ -83,3 +83,16 @@ def test_a_strip_with_two_caps_is_the_union(spark):
 def test_buffers_are_dealt_out(spark):
     lines = FeatureFrame(spark.range(50).coalesce(1).select(F.col("id").alias(FID), G.line(F.array(G.vertex(F.lit(0), F.lit(0)), G.vertex(F.lit(9), F.col("id")))).alias(GEOM)), "LineString")
     assert overlay.buffer(lines, 1.0).df.rdd.getNumPartitions() > 1
+
+
+def test_nearest_by_km_does_not_grow_with_repeated_places(spark, monkeypatch):
+    from geoframe.operators import geodesic
+
+    met = []
+    old = geodesic._near
+    monkeypatch.setattr(geodesic, "_near", lambda a, b, *more: met.append((a.count(), b.count())) or old(a, b, *more))
+    a = points(spark, [(i, i, float(i % 5), 50.0) for i in range(100)])
+    out = geodesic.nearest(a, a, 3)
+    got = sorted((r[f"l_{FID}"], r[f"r_{FID}"], r["distance"]) for r in out.collect())
+    assert got == [(i, i % 5 + 5 * k, 0.0) for i in range(100) for k in range(3)]
+    assert met[0] == (5, 15)
