@@ -5,6 +5,8 @@ Every function takes and returns columns of the geometry struct (geoframe.types.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -203,18 +205,39 @@ def distance_to_point(geom: Column, px: Column, py: Column) -> Column:
     return F.when(F.coalesce(inside(geom, px, py), F.lit(False)), F.lit(0.0)).otherwise(outline_distance(geom, px, py))
 
 
+def is_box(geom: Column) -> Column:
+    """Whether a geometry is one upright rectangle, so that its bbox is all of it; null or false else. Without lambdas, so it is compiled."""
+    ring = F.get(F.get(geom["parts"], 0), 0)
+    c = [F.get(ring, k) for k in range(5)]
+    same = lambda p, q, *axes: reduce(Column.__and__, [c[p][a] == c[q][a] for a in axes])
+    turned = (same(0, 1, "y") & same(1, 2, "x") & same(2, 3, "y") & same(3, 0, "x")) | (same(0, 1, "x") & same(1, 2, "y") & same(2, 3, "x") & same(3, 0, "y"))
+    wide = (c[0]["x"] != c[2]["x"]) & (c[0]["y"] != c[2]["y"])
+    return (geom["type"] == "Polygon") & (F.size(geom["parts"]) == 1) & (F.size(F.get(geom["parts"], 0)) == 1) & ((F.size(ring) == 4) | (F.size(ring) == 5) & same(4, 0, "x", "y")) & wide & turned
+
+
+def _in_bbox(geom: Column, px: Column, py: Column) -> Column:
+    b = geom["bbox"]
+    return (px >= b["xmin"]) & (px <= b["xmax"]) & (py >= b["ymin"]) & (py <= b["ymax"])
+
+
+def _within_bbox(geom: Column, px: Column, py: Column) -> Column:
+    b = geom["bbox"]
+    return (px > b["xmin"]) & (px < b["xmax"]) & (py > b["ymin"]) & (py < b["ymax"])
+
+
 def intersects_point(geom: Column, px: Column, py: Column) -> Column:
     """Whether a geometry and a point share a point: inside, or on the outline."""
-    return inside(geom, px, py) | (outline_distance(geom, px, py) == 0)
+    return F.when(is_box(geom), _in_bbox(geom, px, py)).otherwise(inside(geom, px, py) | (outline_distance(geom, px, py) == 0))
 
 
 def contains_point(geom: Column, px: Column, py: Column) -> Column:
     """Whether the point is in a polygon's interior."""
-    return inside(geom, px, py) & (outline_distance(geom, px, py) > 0)
+    return F.when(is_box(geom), _within_bbox(geom, px, py)).otherwise(inside(geom, px, py) & (outline_distance(geom, px, py) > 0))
 
 
 def touches_point(geom: Column, px: Column, py: Column) -> Column:
-    return (geom["type"] == "Polygon") & (outline_distance(geom, px, py) == 0)
+    edge = _in_bbox(geom, px, py) & ~_within_bbox(geom, px, py)
+    return F.when(is_box(geom), edge).otherwise((geom["type"] == "Polygon") & (outline_distance(geom, px, py) == 0))
 
 
 def nearest_on(geom: Column, px: Column, py: Column) -> Column:

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from geoframe.functions import geometry as G
 from geoframe.operators.spatial import Levels, candidates, predicate
-from geoframe.operators.table import FeatureFrame
+from geoframe.operators.table import FeatureFrame, spread
 from geoframe.types import FID, GEOM
 
 
 def geofence(stream: DataFrame, x: Column, y: Column, zones: FeatureFrame) -> DataFrame:
-    """Rows of a stream with the fields of the zones that they are in: a stream-static equi-join on grid cells, so no state is kept."""
-    points = stream.withColumn(FID, F.lit(0).cast("long")).withColumn(GEOM, G.point(x, y))
+    """Rows of a stream with the fields of the zones that they are in: a stream-static equi-join on grid cells, so no state is kept. A file is often one split, so rows are dealt out."""
+    points = spread(stream).withColumn(FID, F.lit(0).cast("long")).withColumn(GEOM, G.point(x, y))
     pairs = candidates(points, zones.df, levels=Levels(None, zones.df))
     pairs = pairs.where(predicate("intersects", F.col(f"l_{GEOM}"), F.col(f"r_{GEOM}"), "Point", zones.geometry_type))
     own = [f for f in zones.fields if f not in stream.columns]

@@ -96,3 +96,27 @@ def test_nearest_by_km_does_not_grow_with_repeated_places(spark, monkeypatch):
     got = sorted((r[f"l_{FID}"], r[f"r_{FID}"], r["distance"]) for r in out.collect())
     assert got == [(i, i % 5 + 5 * k, 0.0) for i in range(100) for k in range(3)]
     assert met[0] == (5, 15)
+
+
+def test_boxes_are_told_by_their_bbox(spark):
+    """Points on an edge, too, which the distance from it leaves out by rounding; and a box takes no lambda to be told."""
+    ends = [(0.1, 0.1), (0.7, 0.1), (0.7, 0.9), (0.1, 0.9)]
+    square = lambda corners: F.array(*(G.vertex(F.lit(x), F.lit(y)) for x, y in corners))
+    on = [(0.7, 0.1 + 0.8 * k / 97) for k in range(97)]
+    df = spark.createDataFrame([*on, (0.4, 0.5), (0.1, 0.9), (0.8, 0.5), (float("nan"), 0.5)], "x double, y double")
+    for corners in (ends, ends[::-1], [*ends, ends[0]], [*ends[2:], *ends[:2]]):
+        shape = G.polygon(square(corners))
+        told = df.select(G.is_box(shape).alias("box"), G.intersects_point(shape, F.col("x"), F.col("y")).alias("i"), G.contains_point(shape, F.col("x"), F.col("y")).alias("c"), G.touches_point(shape, F.col("x"), F.col("y")).alias("t"))
+        assert [tuple(r) for r in told.collect()] == [(True, True, False, True)] * 97 + [(True, True, True, False), (True, True, False, True), (True, False, False, False), (True, False, False, False)]
+    others = [[(0, 0), (2, 0), (2, 2), (1, 3)], [(0, 0), (2, 0), (0, 2), (2, 2)], [(0, 0), (2, 0), (2, 2), (1, 1), (0, 2)], [(0, 1), (1, 0), (2, 1), (1, 2)], [(0, 0), (1, 0), (2, 0)]]
+    assert not spark.range(1).select(F.array(*(F.coalesce(G.is_box(G.polygon(square(c))), F.lit(False)) for c in others)).alias("b")).where(F.exists("b", lambda b: b)).count()
+
+
+def test_rows_of_a_geofence_are_dealt_out(spark):
+    from geoframe.streaming import geofence
+
+    zone = FeatureFrame(spark.range(1).select(F.col("id").alias(FID), F.lit("z").alias("name"), G.box(*(F.lit(v) for v in (0.0, 0.0, 40.0, 4.0))).alias(GEOM)), "Polygon")
+    rows = spark.range(100).coalesce(1)
+    met = geofence(rows, F.col("id") + 0.5, F.lit(1.0), zone)
+    assert met.rdd.getNumPartitions() > 1
+    assert sorted(r["id"] for r in met.collect()) == list(range(40))

@@ -41,3 +41,20 @@ def test_moves_and_last_rows_go_on_after_a_restart(spark, tmp_path):
     assert seen[1][0] == sorted([*early, ("a", t(25), "leave", "y"), ("a", t(40), "enter", "y"), ("b", t(30), "enter", "y")])
     assert seen[1][1] == sorted([("a", t(1), 1, 1.0, 1.0, 1.0), ("a", t(5), 2, 3.0, 1.0, 2.0), ("a", t(9), 2, 2.0, 2.0, 2.0), ("a", t(25), 2, 3.0, 3.0, 3.0), ("a", t(40), 2, 7.0, 3.0, 4.0), ("b", t(2), 1, 5.0, 5.0, 5.0), ("b", t(30), 2, 12.0, 5.0, 7.0), ("b", t(31), 2, 8.0, 1.0, 7.0)])
     assert spark.read.parquet(source).where(F.col("v") == 99).count() == 1
+
+
+def test_objects_share_states(spark, tmp_path):
+    """A call of Python and a state for each object cost far more than its rows; a null key beside large numbers changes none of them."""
+    source = str(tmp_path / "in")
+    big = 2**60
+    rows = [(big + k if k < 300 else None, at(m).to_pydatetime(), z) for k in range(301) for m, z in ((2, "y"), (1, "x"))]
+    spark.createDataFrame([*rows, (0, at(99).to_pydatetime(), None)], "k long, ts timestamp, zone string").coalesce(1).write.parquet(source)
+    made = ordered.moves(spark.readStream.schema("k long, ts timestamp, zone string").parquet(source), "k", "ts", "zone", states=8)
+    out = str(tmp_path / "out")
+    query = made.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) <= 9
+    got = sorted(((r.k is None, r.k or 0, r.ts, r.move, r.zone) for r in spark.read.schema(made.schema).parquet(out).collect()))
+    t = [at(m).to_pydatetime() for m in range(3)]
+    keys = [(False, big + k) for k in range(300)] + [(True, 0)]
+    assert got == [(*k, *told) for k in keys for told in ((t[1], "enter", "x"), (t[2], "enter", "y"), (t[2], "leave", "x"))]
