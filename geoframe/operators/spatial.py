@@ -94,6 +94,22 @@ def _kernel(condition: str):
     return F.arrow_udf(told, T.BooleanType())
 
 
+def _packed(a: pa.Array) -> pa.Array:
+    return batches.pack(a)
+
+
+# Not to be run again for each pair.
+_pack = F.arrow_udf(_packed, T.BinaryType()).asNondeterministic()
+
+
+def met(left: DataFrame, right: DataFrame, condition: str, atype: str | None = None, btype: str | None = None) -> DataFrame:
+    """Candidates that meet the condition. What is not points is packed once for each feature on its way to the kernel."""
+    if "Point" in (atype, btype):
+        return candidates(left, right).where(predicate(condition, F.col(f"l_{GEOM}"), F.col(f"r_{GEOM}"), atype, btype))
+    pairs = candidates(*(df.where(F.col(GEOM).isNotNull()).withColumn("__packed", _pack(F.col(GEOM))) for df in (left, right)))
+    return pairs.where(_kernel(condition)(F.col("l___packed"), F.col("r___packed"))).drop("l___packed", "r___packed")
+
+
 @F.arrow_udf(T.DoubleType())
 def _distance(a: pa.Array, b: pa.Array) -> pa.Array:
     return batches.distance(a, b)
@@ -142,8 +158,8 @@ def where(left: FeatureFrame, right: FeatureFrame, condition: str, radius: float
         pairs = candidates(left.df.select(FID, GEOM), right.df.select(GEOM), radius)
         test = planar_distance(F.col(f"l_{GEOM}"), F.col(f"r_{GEOM}"), left.geometry_type, right.geometry_type) <= radius
     else:
-        pairs = candidates(left.df.select(FID, GEOM), right.df.select(GEOM))
-        test = predicate("intersects" if condition == "disjoint" else condition, F.col(f"l_{GEOM}"), F.col(f"r_{GEOM}"), left.geometry_type, right.geometry_type)
+        pairs = met(left.df.select(FID, GEOM), right.df.select(GEOM), "intersects" if condition == "disjoint" else condition, left.geometry_type, right.geometry_type)
+        test = F.lit(True)
     hit = pairs.where(test).select(F.col(f"l_{FID}").alias(FID))
     return left.new(left.df.join(hit, FID, "left_anti" if condition == "disjoint" else "left_semi").select(*left.df.columns))
 
@@ -156,11 +172,11 @@ def pairs_of(left: FeatureFrame, right: FeatureFrame, condition: str, radius: fl
     """l_* and r_* columns of the pairs that meet the condition; for distance joins with the column distance."""
     lg, rg = F.col(f"l_{GEOM}"), F.col(f"r_{GEOM}")
     if condition == "disjoint":
-        met = pairs_of(left, right, "intersects").select(f"l_{FID}", f"r_{FID}")
+        hit = pairs_of(left, right, "intersects").select(f"l_{FID}", f"r_{FID}")
         every = left.df.where(F.col(GEOM).isNotNull()).select(*(F.col(f"`{c}`").alias(f"l_{c}") for c in left.df.columns)).join(right.df.where(F.col(GEOM).isNotNull()).select(*(F.col(f"`{c}`").alias(f"r_{c}") for c in right.df.columns)))
-        return every.join(met, [f"l_{FID}", f"r_{FID}"], "left_anti")
+        return every.join(hit, [f"l_{FID}", f"r_{FID}"], "left_anti")
     if condition != "distance":
-        return candidates(left.df, right.df).where(predicate(condition, lg, rg, left.geometry_type, right.geometry_type))
+        return met(left.df, right.df, condition, left.geometry_type, right.geometry_type)
     if radius is None and n is None:
         raise ValueError("a distance join needs a radius, or n, or both")
     if geodetic:

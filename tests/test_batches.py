@@ -78,3 +78,33 @@ def test_batches_are_ten_times_as_fast():
     few = [kernels.intersects(kernels.shape(left[i].as_py()), kernels.shape(right[i].as_py())) for i in range(0, 3000, 10)]
     single = (time.perf_counter() - began) * 10
     assert got[::10] == few and batched * 10 < single, (batched, single)
+
+
+def test_a_common_corner_needs_no_kernel(monkeypatch):
+    """Shapes that equal each other or share a corner meet for certain: each pair by itself cost a thousand times as much."""
+    rng = np.random.default_rng(11)
+    a = [("Polygon", [[star(rng, *rng.uniform(0, 100, 2), rng.uniform(0.5, 3), 8)]]) for _ in range(200)]
+    b = [("Polygon", [[[s[1][0][0][0], (-50.0, -50.0), (-60.0, 0.0), s[1][0][0][0]]]]) for s in a]
+    monkeypatch.setitem(kernels.PREDICATES, "intersects", None)
+    monkeypatch.setitem(kernels.PREDICATES, "disjoint", None)
+    for left, right in ((a, a), (a, b), (b, a)):
+        assert batches.predicate("intersects", column(left), column(right)).to_pylist() == [True] * 200
+        assert batches.predicate("disjoint", column(left), column(right)).to_pylist() == [False] * 200
+
+
+def test_packed_shapes_are_those_of_structs(monkeypatch):
+    rng = np.random.default_rng(12)
+    a, b = many(rng, 300), many(rng, 300)
+    b[:20] = a[:20]
+    for name in kernels.PREDICATES:
+        want = batches.predicate(name, column(a), column(b)).to_pylist()
+        left, right = batches.pack(column(a)), batches.pack(column(b))
+        assert batches.predicate(name, left, right).to_pylist() == want, name
+        assert batches.predicate(name, left.slice(13, 90), right.slice(13, 90)).to_pylist() == want[13:103]
+        assert batches.predicate(name, batches.pack(column(a).slice(13, 90)), right.slice(13, 90)).to_pylist() == want[13:103]
+        monkeypatch.setattr(batches, "FEW", 0)
+        assert batches.predicate(name, left, right).to_pylist() == want
+        monkeypatch.undo()
+    assert [batches.shape(left, i) for i in range(300)] == [s and kernels.shape(kernels.struct(*s)) for s in a]
+    assert len(batches.predicate("intersects", batches.pack(column([])), batches.pack(column([])))) == 0
+    assert batches.predicate("within", batches.pack(column([None])), batches.pack(column([None]))).to_pylist() == [None]
