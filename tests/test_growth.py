@@ -120,3 +120,58 @@ def test_rows_of_a_geofence_are_dealt_out(spark):
     met = geofence(rows, F.col("id") + 0.5, F.lit(1.0), zone)
     assert met.rdd.getNumPartitions() > 1
     assert sorted(r["id"] for r in met.collect()) == list(range(40))
+
+
+def sent(spark, df):
+    """Rows that df's run writes for shuffles, nothing being broadcast."""
+    store, bus = spark._jsc.sc().statusStore(), spark._jsc.sc().listenerBus()
+
+    def stages():
+        bus.waitUntilEmpty()
+        told = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(told)}
+
+    before = stages()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df.write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_copies_for_shares_do_not_grow_with_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "CONNECTED", 10)
+    rows = {}
+    for k in (1, 3):
+        a = points(spark, [(i, 0, float(i), 0.0) for i in range(100 * k)])
+        b = points(spark, [(i, 0, 0.0, float(i)) for i in range(300 * k)], "m")
+        out = spatial.connect(a, b, key=("k", "m"), greatcircle=False).df.select(FID, G.length(F.col(GEOM)).alias("len"))
+        rows[k] = sent(spark, out)
+        want = [sum((i * i + j * j) ** 0.5 for i in range(100 * k) for j in range(300 * k)), 30000 * k * k, 100 * k]
+        assert list(out.agg(F.sum("len"), F.count("*"), F.count_distinct(FID)).first()) == [pytest.approx(v) for v in want]
+    # Nine times the pairs; a key's 32 shares for each core are at most a grid that copies each row to so many.
+    assert rows[3] < 4 * rows[1] and rows[3] < 40000
+
+
+def test_a_share_holds_few_rows_of_the_right_side(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "HELD", 50, raising=False)
+    a = points(spark, [(0, 0, 0.0, 0.0), (1, 1, 0.0, 0.0)])
+    b = points(spark, [(i, int(i > 590), 0.0, float(i)) for i in range(600)], "m")
+    out = spatial.connect(a, b, key=("k", "m"), greatcircle=False).df.select(F.spark_partition_id().alias("p"), FID, G.length(F.col(GEOM)).alias("len"))
+    got = out.collect()
+    assert sorted((r[FID], r["len"]) for r in got) == sorted((int(i > 590), float(i)) for i in range(600))
+    assert len({r["p"] for r in got if r[FID] == 0}) > 4
+
+
+def test_lengths_of_segments_take_no_arrays(spark):
+    ends = [G.vertex(F.col(x), F.col(y)) for x, y in (("x", "y"), ("u", "v"))]
+    rows = [(0.0, 0.0, 3.0, 4.0), (1.0, 1.0, 1.0, 1.0), (None, 0.0, 3.0, 4.0), (0.0, 0.0, 3.0, None), (None, None, None, None)]
+    lines = spark.createDataFrame(rows, "x double, y double, u double, v double").select(G.segment(*ends).alias(GEOM), G.line(F.array(*ends)).alias("whole"))
+    lengths = lines.select(G.segment_length(F.col(GEOM)).alias("len"), G.length(F.col(GEOM)).alias("told"), G.length(F.col("whole")).alias("whole"))
+    assert [tuple(r) for r in lengths.collect()] == [(v, v, v) for v in (5.0, 0.0, None, None, None)]
+    assert "array(" not in lengths.select("len")._jdf.queryExecution().optimizedPlan().toString()
+    # Where coordinates cannot be null, Catalyst tells that there are two vertices.
+    sure = spark.range(3).selectExpr("id * 1.0D AS x", "id * 2.0D AS y", "id + 3.0D AS u", "id * 2.0D AS v").select(G.segment(*ends).alias(GEOM)).select(G.length(F.col(GEOM)).alias("len"))
+    assert "array(" not in sure._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["len"] for r in sure.collect()] == [3.0, 3.0, 3.0]
